@@ -41,7 +41,21 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, out)
 
 
-QUERIES = {f.__name__: f for f in (op4_chat_format, op5_best_fit_packing, op8_token_files)}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import held_out, score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = train(docs, table(spark, sf_dir, "labels"))
+    return score(docs, weights).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op4_chat_format, op5_best_fit_packing, op8_token_files, op9_decontamination, op10_toxicity)}
 
 ORACLE: dict[str, str] = {
     "op4_chat_format": r"""
