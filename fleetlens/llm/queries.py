@@ -33,6 +33,13 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), stable=True)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_token_files, write_token_files
 
@@ -55,9 +62,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, weights).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op4_chat_format, op5_best_fit_packing, op8_token_files, op9_decontamination, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op4_chat_format, op5_best_fit_packing, op7_substring_dedup, op8_token_files, op9_decontamination, op10_toxicity)}
 
 ORACLE: dict[str, str] = {
+    "op7_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+             win AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS p, ws FROM w WHERE len(ws) >= 13),
+             k AS (SELECT doc_id, p, array_to_string(ws[p:p + 12], ' ') AS seq FROM win),
+             m AS (SELECT seq, min(doc_id) AS first FROM k GROUP BY seq),
+             hit AS (SELECT k.doc_id, list(DISTINCT p + i) AS gone
+                     FROM k JOIN m USING (seq), range(13) AS r(i) WHERE k.doc_id > first GROUP BY k.doc_id)
+        SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+               sha256(array_to_string(CASE WHEN gone IS NULL THEN ws
+                      ELSE list_filter(ws, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+        FROM w LEFT JOIN hit USING (doc_id)""",
     "op4_chat_format": r"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
