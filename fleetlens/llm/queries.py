@@ -9,6 +9,13 @@ from .common import scratch, table
 from .tokens import tokenizer_path
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_chats, read_chats, text_parts
 
@@ -33,6 +40,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import remove_repeats
 
@@ -62,7 +75,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, weights).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op4_chat_format, op5_best_fit_packing, op7_substring_dedup, op8_token_files, op9_decontamination, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_nearest, op4_chat_format, op5_best_fit_packing, op6_html_text, op7_substring_dedup, op8_token_files, op9_decontamination, op10_toxicity)}
 
 ORACLE: dict[str, str] = {
     "op7_substring_dedup": r"""
