@@ -1,9 +1,77 @@
-"""The corpus pipeline: toxicity, near-duplicates, suffix-array dedup, decontamination, packing."""
+"""The corpus pipeline over ``documents``: toxicity, near-duplicates, suffix-sort dedup, decontamination, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``docs`` is a plain Parquet table. All but the last
+return the columns of ``docs``. Rows with a null doc_id pass the near-duplicate stage; null texts stay null and are empty to
+every stage; repeated rows are documents of their own, except that rows of one doc_id share what is decided by id.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fleetlens.llm import decontaminate, near_dup, packing, suffix_dedup, toxicity
+from fleetlens.llm.common import stored
+from fleetlens.llm.tokens import tokenizer_path
+
+#: Bytes of a repeated string that is removed: less than what fifty words take.
+REPEAT_BYTES = 240
+
+#: No SQL can express the trained filter or the approximate candidates; tests/llm checks each stage by brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that a classifier trained on the labelled rows scores 0.5 or more."""
+    weights = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, weights)
+    return scored.filter("score < 0.5").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of least doc_id of every group of near-duplicates."""
+    gone = near_dup.near_duplicates(docs, stable=True).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts every byte string of ``REPEAT_BYTES`` that occurs more than once out of the texts; characters cut in half go
+    too, and n_chars follows the new text."""
+    out = suffix_dedup.remove_repeated_bytes(docs, REPEAT_BYTES, stable=True)
+
+    @F.pandas_udf("string")
+    def whole_characters(kept):  # noqa: ANN001, ANN202
+        return kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+    hit = F.col("n_removed") > 0
+    out = out.withColumn("text", F.when(hit, whole_characters("kept")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(hit, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a passage of the benchmark."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 2048 tokens: a row per piece."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("suffix dedup", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

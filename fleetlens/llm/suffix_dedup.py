@@ -65,9 +65,7 @@ class Suffixes:
         self.text, self.size, self.group = text, size.astype(np.int64), group
         n, self.width = text.shape
         # prefix[i, j]: the polynomial hash of the first j bytes, times the base to the power of the rest
-        power = np.ones(self.width + 1, np.uint64)
-        for j in range(1, self.width + 1):
-            power[j] = power[j - 1] * _BASE
+        power = np.cumprod(np.full(self.width + 1, _BASE, np.uint64))
         salted = _spread(text.astype(np.uint64) + np.uint64(1), *_MIX) * power[1:]
         self.prefix = np.zeros((n, self.width + 1), np.uint64)
         np.cumsum(salted, axis=1, out=self.prefix[:, 1:])
