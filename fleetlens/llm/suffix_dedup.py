@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -34,7 +34,8 @@ _BASE = np.uint64(0xD1342543DE82EF95)
 
 
 def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all windows of the bytes: (anchor place, its k-gram hash, first window, last window), in order."""
+    """Of all windows of the bytes: (anchor place, its k-gram's hash mixed anew, first window, last window), in order. The hash by
+    which anchors are chosen is low for all of them; the new one is spread evenly."""
     out: list[tuple[np.ndarray, ...]] = []
     w = length - K + 1
     for begin in range(0, len(data) - length + 1, _SEGMENT):
@@ -52,7 +53,7 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
         place = (np.minimum(behind[:windows], ahead[w - 1 : w - 1 + windows]) & np.uint64((1 << 22) - 1)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         last = np.append(first[1:], windows) - 1
-        out.append((place[first] + begin, h[place[first]], first + begin, last + begin))
+        out.append((place[first] + begin, _spread(h[place[first]], 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53), first + begin, last + begin))
     if not out:
         return tuple(np.empty(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -227,7 +228,6 @@ def repeated_spans(rows: DataFrame, length: int = 400, bits: int = 26, batch: in
     """(r, start, end): byte intervals of the rows (r long, text string) that windows cover which start elsewhere too; the
     intervals of a row may touch or overlap. ``bits``: size of the sketch, 2 ** bits cells (8 MB of bits at 26)."""
     spark = rows.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(_sketch(rows, length, bits))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,8 +266,8 @@ def repeated_spans(rows: DataFrame, length: int = 400, bits: int = 26, batch: in
 
     # rows with r: an anchor of a document; without: a context, once for each partition
     found = stored(rows.mapInArrow(contexts, "r long, i long, c binary, g long, context binary, at int, windows int, n int"), "contexts")
-    mine = found.filter("r is null")
-    often = mine.groupBy("g").agg(F.count("*").alias("k")).filter(F.col("k") > most_contexts).select("g")
+    # dealt and sorted by k-gram once, for the count and for the sort
+    mine = found.filter("r is null").withColumn("k", F.count("*").over(Window.partitionBy("g")))
 
     def settle(parts: list[tuple]) -> pa.RecordBatch:
         merged: dict[tuple, list] = {}
@@ -314,7 +314,7 @@ def repeated_spans(rows: DataFrame, length: int = 400, bits: int = 26, batch: in
             yield settle(held)
 
     columns = ("g", "c", "context", "at", "windows", "n")
-    usual = mine.join(often, "g", "left_anti").select(*columns).repartition(tasks, "g").sortWithinPartitions("g").mapInArrow(sort, "c binary, spans binary")
+    usual = mine.filter(F.col("k") <= most_contexts).select(*columns).mapInArrow(sort, "c binary, spans binary")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -323,7 +323,7 @@ def repeated_spans(rows: DataFrame, length: int = 400, bits: int = 26, batch: in
                 h = [xxhash.xxh3_128_digest(context[i : i + length]) for i in range(count)]
                 yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array([c] * count, pa.binary()), pa.array(range(count), pa.int32()), pa.array([n] * count, pa.int32())], names=["w", "c", "i", "n"])
 
-    hot = mine.join(often, "g", "left_semi").groupBy("c").agg(F.first("context").alias("context"), F.sum("n").alias("n"))
+    hot = mine.filter(F.col("k") > most_contexts).groupBy("c").agg(F.first("context").alias("context"), F.sum("n").alias("n"))
     single = hot.select("c", "context", F.least("n", F.lit(2)).cast("int").alias("n")).mapInArrow(explode, "w binary, c binary, i int, n int")
     twice = single.groupBy("w").agg(F.sum("n").alias("t")).filter("t > 1")
     rare = single.join(twice, "w", "left_semi").select("c", F.col("i").alias("s"), (F.col("i") + length).alias("e"))
