@@ -96,7 +96,7 @@ def kinematics(points: DataFrame, key: str, t: str, half: float, slow: float, li
     turn = F.col("heading") - F.lag("heading").over(w)
     turn = F.atan2(F.sin(turn), F.cos(turn))
     far = F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))
-    rows = rows.withColumn("_c", F.greatest(F.lit(-limit), F.least(F.lit(limit), F.when(far > 0, turn / far))))
+    rows = rows.withColumn("_c", F.when((far > 0) & turn.isNotNull(), F.greatest(F.lit(-limit), F.least(F.lit(limit), turn / far))))
     return rows.withColumn("curvature", F.avg("_c").over(w.rowsBetween(-2, 2))).drop("_lo", "_hi", "_c")
 
 

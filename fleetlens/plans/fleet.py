@@ -10,8 +10,8 @@ from .registry import query
 
 
 def rounded(df, digits: int = 4):
-    """Doubles to a few digits, so that the order of summation does not show."""
-    return df.select(*[F.round(c, digits).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+    """Doubles to a few digits, so that the order of summation does not show; no negative zero."""
+    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
 
 
 @query(f"""WITH {t.RENDERS}, {t.PASSES}, s AS (SELECT render, sum(ms) AS honest_ms FROM passes GROUP BY render)

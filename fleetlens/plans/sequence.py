@@ -73,10 +73,10 @@ def points(spark, sf):
  hd AS (SELECT *, last_value(CASE WHEN speed >= 2 THEN a END IGNORE NULLS) OVER (PARTITION BY series ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM v),
  d AS (SELECT *, heading - lag(heading) OVER w AS turn, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS far FROM hd WINDOW w AS (PARTITION BY series ORDER BY seq)),
  c AS (SELECT *, CASE WHEN far > 0 AND turn IS NOT NULL THEN greatest(-300, least(300, atan2(sin(turn), cos(turn)) / far)) END AS c FROM d)
-SELECT series, seq, round(speed, 6) AS speed, round(avg(c) OVER (PARTITION BY series ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 5) AS curvature FROM c""")
+SELECT series, seq, round(speed, 6) AS speed, round(avg(c) OVER (PARTITION BY series ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 4) + 0.0 AS curvature FROM c""")
 def w8_kinematics(spark, sf):
     out = op.kinematics(points(spark, sf), "series", "h", 6.0, 2.0)
-    return out.select("series", "seq", F.round("speed", 6).alias("speed"), F.round("curvature", 5).alias("curvature"))
+    return out.select("series", "seq", F.round("speed", 6).alias("speed"), (F.round("curvature", 4) + 0.0).alias("curvature"))
 
 
 @query(f"""WITH RECURSIVE {_POINTS}, g AS (SELECT series, seq, x AS v, coalesce(round((h - lag(h) OVER (PARTITION BY series ORDER BY seq)) * 3600, 0), 0) AS dt FROM pts),

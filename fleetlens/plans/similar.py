@@ -1 +1,110 @@
-"""Queries."""
+"""Queries over features, components, top-k and samples."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import similar as op
+from . import tables as t
+from .fleet import rounded
+from .registry import query
+
+
+def vectors(spark, sf):
+    return t.table(spark, sf, "embeddings").select(F.col("vec_id").alias("image"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+_PAIRS = """v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), pr AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.v, b.v) AS distance FROM v a JOIN v b ON a.vec_id < b.vec_id)"""
+
+
+@query(f"WITH {_PAIRS} SELECT a, b, round(distance, 6) AS distance FROM pr WHERE distance <= 0.9")
+def c11_pair_within(spark, sf):
+    return rounded(op.pair_within(vectors(spark, sf), "image", "v", 0.9), 6)
+
+
+@query("""SELECT vec_id AS image, p AS axis, round((embedding[p] - avg(embedding[p]::DOUBLE) OVER (PARTITION BY p)) / (stddev_pop(embedding[p]::DOUBLE) OVER (PARTITION BY p) + 1e-9), 6) AS z FROM (SELECT *, unnest(range(1, 65)) AS p FROM embeddings)""")
+def d55_standardise(spark, sf):
+    tall = vectors(spark, sf).select("image", F.posexplode("v").alias("p", "value")).select("image", (F.col("p") + 1).cast("long").alias("axis"), "value")
+    return rounded(op.standardise(tall, "image", "axis", "value"), 6)
+
+
+@query()
+def f8_radius_thin(spark, sf):
+    v = vectors(spark, sf)
+    edges = op.pair_within(v, "image", "v", 1.1)
+    return op.radius_thin(edges, t.table(spark, sf, "embeddings").select(F.col("vec_id").alias("image"), "label"), "image", "label")
+
+
+@query(f"""WITH {t.COMPONENTS} SELECT image, tier, round(sum(area) / 1e8, 6) AS coverage, round(count(*) * 1e6 / 1e8, 6) AS density, round(median(ln(width)), 6) AS width_median, round(stddev_pop(ln(width)), 6) AS width_sd,
+ round(median(ln(length / width)), 6) AS slender FROM components WHERE width > 0 AND length > 0 GROUP BY 1, 2""")
+def d54_layer_fingerprint(spark, sf):
+    return rounded(op.layer_fingerprint(t.components(spark, sf), 1e8), 6)
+
+
+@query()
+def d56_width_breaks(spark, sf):
+    return op.width_breaks(t.components(spark, sf))
+
+
+_BREAKS = "br AS (SELECT image, quantile_cont(width, 0.33) AS b1, quantile_cont(width, 0.67) AS b2 FROM components WHERE image % 4 > 0 GROUP BY image)"
+
+
+@query(f"""WITH {t.COMPONENTS}, {_BREAKS} SELECT c.image, id, CASE WHEN width >= coalesce(b2, 30) THEN 'major' WHEN width >= coalesce(b1, 15) THEN 'minor' WHEN length >= 3 * width THEN 'subminor' ELSE 'micro' END AS assigned FROM components c LEFT JOIN br USING (image)""")
+def d57_assign_tiers(spark, sf):
+    c = t.components(spark, sf)
+    breaks = c.filter("image % 4 > 0").groupBy("image").agg(F.array(F.percentile("width", 0.33), F.percentile("width", 0.67)).alias("breaks"))
+    return op.assign_tiers(c, breaks, 30.0).select("image", "id", "assigned")
+
+
+@query(f"""WITH {t.COMPONENTS}, m AS (SELECT image, median(width) AS m FROM components GROUP BY image) SELECT image, round(avg((length >= 3 * width)::INT), 6) AS share FROM components JOIN m USING (image) WHERE width <= m GROUP BY image""")
+def d58_stroke_share(spark, sf):
+    return rounded(op.stroke_share(t.components(spark, sf)), 6)
+
+
+@query(f"""WITH {t.SAMPLES}, g AS (SELECT kind, count(*) AS n, count(DISTINCT round(value / 500, 3)) AS levels, min(value / 500) AS lo, max(value / 500) AS hi, count(*) FILTER (series % 3 <> 0) AS tilted, count(*) FILTER (id % 5 = 0) AS hovering, (max(t) - min(t)) / 1e6 AS s FROM samples GROUP BY kind)
+SELECT kind, n, levels, lo, hi, tilted, hovering, CASE WHEN levels <= 1 THEN 'none' WHEN levels = 2 THEN 'on-off' WHEN levels >= 8 AND hi - lo > 0.2 THEN 'levels' ELSE 'maybe' END AS verdict, round(n / s, 8) AS per_second FROM g""")
+def d65_pen_capability(spark, sf):
+    s = t.samples(spark, sf).select("kind", (F.col("value") / 500).alias("p"), (F.col("series") % 3).alias("tilt"), (F.col("id") % 5 == 0).alias("hover"), "t")
+    return op.pen_capability(s, "kind", "p", "tilt", "hover", "t").withColumn("per_second", F.round("per_second", 8))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem""")
+def f1_order_index(spark, sf):
+    return op.order_index(t.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query("""SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1""")
+def f2_order_stats(spark, sf):
+    g = t.table(spark, sf, "orders").groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return op.order_stats(g, "total", "o_custkey")
+
+
+@query(f"""WITH {t.SERIES}, m AS (SELECT render, median(ms) AS m FROM series GROUP BY render), r AS (SELECT *, row_number() OVER (PARTITION BY render ORDER BY ms DESC, pass) AS place FROM series)
+SELECT render, pass, ms, place, round(ms / m, 6) AS to_median FROM r JOIN m USING (render) WHERE place <= 5""")
+def f3_slowest(spark, sf):
+    return rounded(op.slowest(t.series(spark, sf), "render", "ms", ["pass"], 5), 6).select("render", "pass", "ms", "place", "to_median")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 3")
+def f4_biggest(spark, sf):
+    return op.biggest(t.table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", 3)
+
+
+@query(f"""WITH {t.SERIES} SELECT render, pass FROM (SELECT *, count(*) OVER (PARTITION BY render) AS n FROM series) WHERE pass % greatest(1, n // 25) = 0""")
+def f5_systematic_sample(spark, sf):
+    return op.systematic_sample(t.series(spark, sf), "render", "pass", 25).select("render", "pass")
+
+
+@query(f"""WITH {t.SERIES}, j AS (SELECT render, pass, ms - lag(ms) OVER (PARTITION BY render ORDER BY pass) AS jump FROM series) SELECT render, pass, round(jump, 2) AS jump FROM j WHERE jump IS NOT NULL ORDER BY abs(jump) DESC, render, pass LIMIT 4""")
+def f6_worst_cells(spark, sf):
+    j = F.col("ms") - F.lag("ms").over(Window.partitionBy("render").orderBy("pass"))
+    rows = t.series(spark, sf).withColumn("jump", j).filter("jump is not null").select("render", "pass", "jump", F.abs("jump").alias("size"), F.struct("render", "pass").alias("k"))
+    return op.biggest(rows, "size", "k", 4).select("render", "pass", F.round("jump", 2).alias("jump"))
+
+
+@query("""WITH s AS (SELECT p_brand, p_partkey, p_name, p_size // 10 AS score, p_type = 'ECONOMY' AS hero, contains(p_name, 'ring') AS sized FROM part), m AS (SELECT *, max(score) OVER (PARTITION BY p_brand) AS top FROM s),
+ r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY hero DESC, sized DESC, p_partkey) AS place FROM m WHERE score = top) SELECT p_brand, p_partkey, place FROM r WHERE place <= 3""")
+def f7_best_candidates(spark, sf):
+    items = t.table(spark, sf, "part").select("p_brand", "p_partkey", F.expr("p_size div 10").alias("score"), (F.col("p_type") == "ECONOMY").alias("hero"), F.col("p_name").contains("ring").alias("sized"))
+    return op.best_candidates(items, "p_brand", "score", ["hero", "sized"], "p_partkey", 3).select("p_brand", "p_partkey", "place")
