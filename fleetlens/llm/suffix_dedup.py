@@ -67,9 +67,9 @@ class Suffixes:
         n, self.width = text.shape
         # prefix[i, j]: the polynomial hash of the first j bytes, times the base to the power of the rest
         power = np.cumprod(np.full(self.width + 1, _BASE, np.uint64))
-        salted = _spread(text.astype(np.uint64) + np.uint64(1), *_MIX) * power[1:]
         self.prefix = np.zeros((n, self.width + 1), np.uint64)
-        np.cumsum(salted, axis=1, out=self.prefix[:, 1:])
+        for i in range(0, n, 1024):
+            np.cumsum(_spread(text[i : i + 1024].astype(np.uint64) + np.uint64(1), *_MIX) * power[1:], axis=1, out=self.prefix[i : i + 1024, 1:])
         self.flat = self.prefix.ravel()
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -148,17 +148,21 @@ def repeated(contexts: list[bytes], at: np.ndarray, windows: np.ndarray, count:
     n, most = len(contexts), length - K + 1
     size = np.array([len(c) for c in contexts], np.int64)
     flat, start = np.frombuffer(b"".join(contexts), np.uint8), np.concatenate([[0], np.cumsum(size)[:-1]])
-    right_n, left_n = np.minimum(size - at, length), at
-    column = np.arange(length)
-    mid = (start + at)[:, None]
-    limit = max(0, len(flat) - 1)
-    right = np.where(column < right_n[:, None], flat[np.minimum(mid + column, limit)], 0).astype(np.uint8)
-    column = np.arange(most)
-    left = np.where(column < left_n[:, None], flat[np.maximum(mid - 1 - column, 0)], 0).astype(np.uint8)
-    by_right, by_left = Suffixes(right, right_n, group), Suffixes(left, left_n, group)
-    order_r, order_l = by_right.sort(), by_left.sort()
-    gap_r, gap_l = by_right.neighbours(order_r), by_left.neighbours(order_l)
-    del by_right, by_left, right, left
+
+    def ordered(width: int, valid: np.ndarray, first: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """The order of the suffixes that run from ``first`` in steps of 1 or -1, and their neighbours' common extensions."""
+        text = np.zeros((n, width), np.uint8)
+        column = np.arange(width)
+        for i in range(0, n, 1024):
+            part = slice(i, i + 1024)
+            take = np.clip(first[part, None] + step * column, 0, len(flat) - 1)
+            text[part] = np.where(column < valid[part, None], flat[take], 0)
+        s = Suffixes(text, valid, group)
+        order = s.sort()
+        return order, s.neighbours(order)
+
+    order_r, gap_r = ordered(length, np.minimum(size - at, length), start + at, 1)
+    order_l, gap_l = ordered(most, at, start + at - 1, -1)
     out = np.zeros((n, most), bool)
     own_r, own_l = np.empty(n, np.int64), np.empty(n, np.int64)
     first = at - windows + 1  # the window that starts d before the anchor exists for first <= d <= at
@@ -224,7 +228,7 @@ def _sketch(rows: DataFrame, length: int, bits: int) -> bytes:
     return bytes(out)
 
 
-def repeated_spans(rows: DataFrame, length: int = 400, bits: int = 26, batch: int = 4000, most_contexts: int = 12_000) -> DataFrame:
+def repeated_spans(rows: DataFrame, length: int = 400, bits: int = 26, batch: int = 2500, most_contexts: int = 6_000) -> DataFrame:
     """(r, start, end): byte intervals of the rows (r long, text string) that windows cover which start elsewhere too; the
     intervals of a row may touch or overlap. ``bits``: size of the sketch, 2 ** bits cells (8 MB of bits at 26)."""
     spark = rows.sparkSession
@@ -258,7 +262,7 @@ def repeated_spans(rows: DataFrame, length: int = 400, bits: int = 26, batch: in
                     else:
                         known[c] = [int(h[j].view(np.int64)), context, at, int(last[j]) - i + 1, 1]
                         held += len(context)
-                if held > 24 << 20:
+                if held > 12 << 20:
                     yield flush()
                     known, out, held = {}, [], 0
         if out:
@@ -291,11 +295,13 @@ def repeated_spans(rows: DataFrame, length: int = 400, bits: int = 26, batch: in
             for j, i in enumerate(sort):
                 if flags[j].any():
                     res_c.append(keys[i][1])
-                    res_s.append(spans(flags[j], int(at[j]), length).astype("<i4").tobytes())
+                    res_s.append(spans(flags[j], int(at[j]), length).astype(np.int32))
         for i in whole:
             res_c.append(keys[i][1])
-            res_s.append(np.array([[0, own[i][2] - 1 + length]], "<i4").tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(res_c, pa.binary()), pa.array(res_s, pa.binary())], names=["c", "spans"])
+            res_s.append(np.array([[0, own[i][2] - 1 + length]], np.int32))
+        flat = np.concatenate(res_s) if res_s else np.empty((0, 2), np.int32)
+        c = pa.array(res_c, pa.binary()).take(pa.array(np.repeat(np.arange(len(res_s)), np.array([len(x) for x in res_s], np.int64)), pa.int64()))
+        return pa.RecordBatch.from_arrays([c, pa.array(flat[:, 0], pa.int32()), pa.array(flat[:, 1], pa.int32())], names=["c", "s", "e"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -314,7 +320,7 @@ def repeated_spans(rows: DataFrame, length: int = 400, bits: int = 26, batch: in
             yield settle(held)
 
     columns = ("g", "c", "context", "at", "windows", "n")
-    usual = mine.filter(F.col("k") <= most_contexts).select(*columns).mapInArrow(sort, "c binary, spans binary")
+    usual = mine.filter(F.col("k") <= most_contexts).select(*columns).mapInArrow(sort, "c binary, s int, e int")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -328,15 +334,7 @@ def repeated_spans(rows: DataFrame, length: int = 400, bits: int = 26, batch: in
     twice = single.groupBy("w").agg(F.sum("n").alias("t")).filter("t > 1")
     rare = single.join(twice, "w", "left_semi").select("c", F.col("i").alias("s"), (F.col("i") + length).alias("e"))
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = [np.frombuffer(s, "<i4").reshape(-1, 2) for s in b.column(1).to_pylist()]
-            if parts:
-                flat = np.concatenate(parts)
-                c = b.column(0).take(pa.array(np.repeat(np.arange(len(parts)), [len(p) for p in parts])))
-                yield pa.RecordBatch.from_arrays([c, pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["c", "s", "e"])
-
-    answers = usual.mapInArrow(unpack, "c binary, s int, e int").unionByName(rare)
+    answers = usual.unionByName(rare)
     places = found.filter("r is not null").select("r", "i", "c")
     return places.join(answers, "c").select("r", (F.col("i") + F.col("s")).alias("start"), (F.col("i") + F.col("e")).alias("end"))
 
