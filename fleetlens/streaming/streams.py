@@ -29,18 +29,20 @@ def settled_arrivals_stream(polls: DataFrame, forget: str = "1 hour") -> DataFra
             state.remove()
             return
         last, done = state.get if state.exists else (-1, False)
-        pdf = pd.concat(list(frames)).sort_values("t")  # one key's polls of one micro-batch
+        pdf = pd.concat([f.copy() for f in frames]).sort_values("t")  # one key's polls of one micro-batch
+        settled = None
         for t, size in pdf[["t", "size"]].itertuples(index=False):
             if size is None or pd.isna(size):
                 continue
             if not done and size == last:
-                done = True
-                yield pd.DataFrame({"path": [key[0]], "t": [t], "size": [int(size)]})
+                done, settled = True, (t, int(size))
             last = int(size)
         latest = pdf["t"].max()
         state.update((last, done))
         if not pd.isna(latest):
             state.setTimeoutTimestamp(max(int(latest.timestamp() * 1000), state.getCurrentWatermarkMs()) + int(pd.Timedelta(forget).total_seconds() * 1000))
+        if settled is not None:
+            yield pd.DataFrame({"path": [key[0]], "t": [settled[0]], "size": [settled[1]]})
 
     return polls.withWatermark("t", forget).groupBy("path").applyInPandasWithState(step, "path string, t timestamp, size long", "last long, done boolean", "append", "EventTimeTimeout")
 

@@ -91,7 +91,7 @@ def test_thinning_equals_the_sequential_order(spark):
 
 def polls(spark):
     rows = [("a", 0, 5), ("b", 0, 1), ("a", 1, 5), ("b", 1, 2), ("a", 2, 9), ("a", 3, 9), ("b", 2, 3)]
-    return spark.createDataFrame(rows, "path string, s long, size long").select("path", F.timestamp_seconds(F.col("s") * 60).alias("t"), "size")
+    return spark.createDataFrame(rows, "path string, s long, size long").select("path", F.timestamp_seconds(F.col("s") * 60 + 1_700_000_000).alias("t"), "size")
 
 
 def test_settled_stream_equals_batch(spark, tmp_path):
