@@ -234,18 +234,9 @@ def repeated_spans(rows: DataFrame, length: int = 400, bits: int = 26, batch: in
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(_sketch(rows, length, bits))
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """(row, first window, context's hash, k-gram, context, anchor's place in it, windows) of all anchors that may repeat."""
         seen_bits = np.frombuffer(shared.value, np.uint8)
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
-        names = ["r", "i", "c", "g", "context", "at", "windows", "n"]
-        known: dict[bytes, list] = {}
-        out: list[tuple] = []
-        held = 0
-
-        def flush() -> pa.RecordBatch:
-            rows = [*out, *((None, None, c, *v) for c, v in known.items())]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
         for b in batches:
             for r, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 raw = text.as_py().encode("utf-8", "surrogatepass")
@@ -255,23 +246,42 @@ def repeated_spans(rows: DataFrame, length: int = 400, bits: int = 26, batch: in
                 for j in np.flatnonzero(maybe).tolist():
                     i = int(first[j])
                     context, at = raw[i : int(last[j]) + length], int(place[j]) - i
-                    c = xxhash.xxh3_128_digest(context, seed=at)
-                    out.append((r, i, c, None, None, None, None, None))
-                    if c in known:
-                        known[c][4] = 2
-                    else:
-                        known[c] = [int(h[j].view(np.int64)), context, at, int(last[j]) - i + 1, 1]
-                        held += len(context)
-                if held > 12 << 20:
+                    yield r, i, xxhash.xxh3_128_digest(context, seed=at), int(h[j].view(np.int64)), context, at, int(last[j]) - i + 1
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
+        known: dict[bytes, list] = {}
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            columns = zip(*((v[0], c, *v[1:]) for c, v in known.items()), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["g", "c", "context", "at", "windows", "n"])
+
+        for _, _, c, g, context, at, windows in found(batches):
+            if c in known:
+                known[c][4] = 2
+            else:
+                known[c] = [g, context, at, windows, 1]
+                held += len(context)
+                if held > 24 << 20:
                     yield flush()
-                    known, out, held = {}, [], 0
-        if out:
+                    known, held = {}, 0
+        if known:
             yield flush()
 
-    # rows with r: an anchor of a document; without: a context, once for each partition
-    found = stored(rows.mapInArrow(contexts, "r long, i long, c binary, g long, context binary, at int, windows int, n int"), "contexts")
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["r", "i", "c"])
+        for r, i, c, *_ in found(batches):
+            rows.append((r, i, c))
+            if len(rows) == 50_000:
+                yield batch_of()
+                rows = []
+        if rows:
+            yield batch_of()
+
     # dealt and sorted by k-gram once, for the count and for the sort
-    mine = found.filter("r is null").withColumn("k", F.count("*").over(Window.partitionBy("g")))
+    mine = rows.mapInArrow(contexts, "g long, c binary, context binary, at int, windows int, n int").withColumn("k", F.count("*").over(Window.partitionBy("g")))
 
     def settle(parts: list[tuple]) -> pa.RecordBatch:
         merged: dict[tuple, list] = {}
@@ -301,42 +311,41 @@ def repeated_spans(rows: DataFrame, length: int = 400, bits: int = 26, batch: in
             res_s.append(np.array([[0, own[i][2] - 1 + length]], np.int32))
         flat = np.concatenate(res_s) if res_s else np.empty((0, 2), np.int32)
         c = pa.array(res_c, pa.binary()).take(pa.array(np.repeat(np.arange(len(res_s)), np.array([len(x) for x in res_s], np.int64)), pa.int64()))
-        return pa.RecordBatch.from_arrays([c, pa.array(flat[:, 0], pa.int32()), pa.array(flat[:, 1], pa.int32())], names=["c", "s", "e"])
+        return pa.RecordBatch.from_arrays([c, pa.array(flat[:, 0], pa.int32()), pa.array(flat[:, 1], pa.int32()), pa.nulls(len(c), pa.binary()), pa.nulls(len(c), pa.int32())], names=["c", "s", "e", "w", "n"])
+
+    def single(c: bytes, context: bytes, n: int) -> pa.RecordBatch:
+        """Every window of a context as a row of its own, with its hash."""
+        count = len(context) - length + 1
+        w = [xxhash.xxh3_128_digest(context[i : i + length]) for i in range(count)]
+        return pa.RecordBatch.from_arrays([pa.array([c] * count, pa.binary()), pa.array(range(count), pa.int32()), pa.array(range(length, length + count), pa.int32()), pa.array(w, pa.binary()), pa.array([n] * count, pa.int32())], names=["c", "s", "e", "w", "n"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         group: list[tuple] = []
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            for *row, k in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                if k > most_contexts:
+                    yield single(row[1], row[2], row[5])
+                    continue
                 if group and group[0][0] != row[0]:
                     held += group
                     group = []
                     if len(held) >= batch:
                         yield settle(held)
                         held = []
-                group.append(row)
+                group.append(tuple(row))
         held += group
         if held:
             yield settle(held)
 
-    columns = ("g", "c", "context", "at", "windows", "n")
-    usual = mine.filter(F.col("k") <= most_contexts).select(*columns).mapInArrow(sort, "c binary, s int, e int")
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for c, context, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                count = len(context) - length + 1
-                h = [xxhash.xxh3_128_digest(context[i : i + length]) for i in range(count)]
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array([c] * count, pa.binary()), pa.array(range(count), pa.int32()), pa.array([n] * count, pa.int32())], names=["w", "c", "i", "n"])
-
-    hot = mine.filter(F.col("k") > most_contexts).groupBy("c").agg(F.first("context").alias("context"), F.sum("n").alias("n"))
-    single = hot.select("c", "context", F.least("n", F.lit(2)).cast("int").alias("n")).mapInArrow(explode, "w binary, c binary, i int, n int")
-    twice = single.groupBy("w").agg(F.sum("n").alias("t")).filter("t > 1")
-    rare = single.join(twice, "w", "left_semi").select("c", F.col("i").alias("s"), (F.col("i") + length).alias("e"))
-
-    answers = usual.unionByName(rare)
-    places = found.filter("r is not null").select("r", "i", "c")
-    return places.join(answers, "c").select("r", (F.col("i") + F.col("s")).alias("start"), (F.col("i") + F.col("e")).alias("end"))
+    columns = ("g", "c", "context", "at", "windows", "n", "k")
+    answers = stored(mine.select(*columns).mapInArrow(sort, "c binary, s int, e int, w binary, n int"), "answers")
+    alone = answers.filter("w is not null")
+    twice = alone.groupBy("w").agg(F.sum("n").alias("t")).filter("t > 1")
+    rare = alone.join(twice, "w", "left_semi").select("c", "s", "e").distinct()
+    answers = answers.filter("w is null").select("c", "s", "e").unionByName(rare)
+    where = rows.mapInArrow(places, "r long, i long, c binary")
+    return where.join(answers, "c").select("r", (F.col("i") + F.col("s")).alias("start"), (F.col("i") + F.col("e")).alias("end"))
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = 400, stable: bool = False, **options) -> DataFrame:
