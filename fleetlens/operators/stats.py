@@ -26,8 +26,22 @@ def exact_rank(df: DataFrame, keys: list[str], value: str, q: float, rule: str)
     without values give no row.
     """
     rows = df.filter(F.col(value).isNotNull())
+    at = lambda n: F.least(F.floor(n * q), n - 1) if rule == "upper" else F.greatest(F.ceil(n * q) - 1, F.lit(0))
+    if not keys:
+        return _whole_rank(rows.select(value), value, at)
     w = Window.partitionBy(*keys)
-    n = F.count(value).over(w)
-    at = F.least(F.floor(n * q), n - 1) if rule == "upper" else F.greatest(F.ceil(n * q) - 1, F.lit(0))
-    ranked = rows.select(*keys, value, (F.row_number().over(w.orderBy(value)) - 1).alias("_i"), at.alias("_at"))
+    ranked = rows.select(*keys, value, (F.row_number().over(w.orderBy(value)) - 1).alias("_i"), at(F.count(value).over(w)).alias("_at"))
     return ranked.filter("_i = _at").select(*keys, value)
+
+
+def _whole_rank(rows: DataFrame, value: str, at) -> DataFrame:  # noqa: ANN001
+    """The rank over a whole table without one task for all: range partitions, their counts, and a row number in each."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, value).withColumn("_p", F.spark_partition_id())
+    counts = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
+    w = Window.orderBy("_p")  # a row for each partition
+    place = counts.select("_p", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), at(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_at"), "_n")
+    own = place.filter((F.col("_before") <= F.col("_at")) & (F.col("_at") < F.col("_before") + F.col("_n")))
+    ranked = dealt.join(own.select("_p", (F.col("_at") - F.col("_before")).alias("_k")), "_p")
+    i = F.row_number().over(Window.partitionBy("_p").orderBy(value)) - 1
+    return ranked.withColumn("_i", i).filter("_i = _k").select(value)
