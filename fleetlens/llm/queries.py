@@ -91,18 +91,38 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_nearest, op2_suffix_dedup, op3_near_duplicates, op4_chat_format, op5_best_fit_packing, op6_html_text, op7_substring_dedup, op8_token_files, op9_decontamination, op10_toxicity)}
 
 ORACLE: dict[str, str] = {
+    "op2_suffix_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+             w AS (SELECT r, unnest(range(1, octet_length(b) - 398)) AS p, b FROM d WHERE octet_length(b) >= 400),
+             k AS (SELECT r, p, md5(b[p:p + 399]) AS h FROM w),
+             m AS (SELECT h FROM k GROUP BY h HAVING count(*) > 1),
+             s AS (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= 400 THEN 0 ELSE 1 END AS new FROM k JOIN m USING (h)),
+             g AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS run FROM s),
+             x AS (SELECT r, min(p) AS a, max(p) + 400 AS z FROM g GROUP BY r, run),
+             t AS (SELECT r, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS last FROM x GROUP BY r),
+             y AS (SELECT r, a, lag(z, 1, 1) OVER (PARTITION BY r ORDER BY a) AS z FROM x),
+             q AS (SELECT y.r, string_agg(hex(b[y.z:y.a - 1]), '' ORDER BY y.a) AS kept FROM y JOIN d USING (r) WHERE y.a > y.z GROUP BY y.r)
+        SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+               sha256(CASE WHEN t.r IS NULL THEN b ELSE from_hex(coalesce(kept, '') || CASE WHEN last <= octet_length(b) THEN hex(b[last:octet_length(b)]) ELSE '' END) END) AS kept_sha256
+        FROM d LEFT JOIN t USING (r) LEFT JOIN q USING (r)""",
     "op3_near_duplicates": r"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                                     'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
              s AS (SELECT DISTINCT doc_id, array_to_string(ws[p:p + 4], ' ') AS sh
                    FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS p FROM w WHERE len(ws) > 0)),
              n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-             i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id
+             i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id
                    GROUP BY 1, 2),
-             e AS (SELECT x, y FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * both >= 85 * (p.n + q.n - both)),
+             e AS (SELECT x, y FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * shared >= 85 * (p.n + q.n - shared)),
              r(id, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, e.y FROM r JOIN e ON e.x = r.seen)
         SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.low AS component_id, d.doc_id = c.low AS kept
         FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(seen) AS low FROM r GROUP BY id) c ON c.id = d.doc_id""",
+    "op6_html_text": r"""
+        WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS art FROM pages),
+             b AS (SELECT page_id, url, list_filter(list_transform(regexp_split_to_array(art, '</?(?:p|h1)>'),
+                          lambda x: trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '</?b>', '', 'g'),
+                          '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM a)
+        SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, length(array_to_string(blocks, chr(10)))::BIGINT AS n_chars FROM b""",
     "op7_substring_dedup": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
              win AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS p, ws FROM w WHERE len(ws) >= 13),
