@@ -62,19 +62,28 @@ class BestFit:
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, free int"
 
 
-def _cut(docs: DataFrame, tokenizer: str, seq_len: int, end_id: int, open_bins: int) -> DataFrame:
+def _cut(docs: DataFrame, tokenizer: str, seq_len: int, end_id: int, open_bins: int, buffer: int) -> DataFrame:
     """Pieces in bins of their own partition; free: places left in a bin that was open at the partition's end, else -1."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, fit, first = token_ids(tokenizer), BestFit(seq_len, open_bins), TaskContext.get().partitionId() << 36
         rows: list[tuple] = []
+        waiting: list[tuple] = []
+
+        def place() -> None:
+            waiting.sort(key=lambda x: -x[3])  # long pieces first: short ones fill what they leave
+            rows.extend((*x, *fit.put(x[3])) for x in waiting)
+            waiting.clear()
+
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.append(np.frombuffer(tok.encode(text.as_py()), tok.dtype), np.array([end_id], tok.dtype))
                 for k, start in enumerate(range(0, len(ids), seq_len)):
                     part = ids[start : start + seq_len]
-                    b, offset = fit.put(len(part))
-                    rows.append((doc_id, k, start, len(part), zlib.crc32(part.astype("<u4").tobytes()), b, offset))
+                    waiting.append((doc_id, k, start, len(part), zlib.crc32(part.astype("<u4").tobytes())))
+                if len(waiting) >= buffer:
+                    place()
+        place()
         left = fit.left()
         for at in range(0, len(rows), 1 << 16):
             columns = [list(x) for x in zip(*rows[at : at + (1 << 16)], strict=True)]
@@ -99,17 +108,18 @@ def _merge(left: DataFrame, seq_len: int, open_bins: int, tasks: int) -> DataFra
     return left.repartition(tasks, "bin").sortWithinPartitions(F.desc("used"), "bin").mapInArrow(merge, "bin long, into long, shift long")
 
 
-def pack(docs: DataFrame, tokenizer: str, seq_len: int = 2048, end_id: int = 0, open_bins: int = 1024, tasks_a_merge: int = 16) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, seq_len: int = 2048, end_id: int = 0, open_bins: int = 1024, buffer: int = 4096, tasks_a_merge: int = 16) -> DataFrame:
     """Packs the documents (doc_id long, text string; further columns are ignored) into sequences.
 
     Returns a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null text is empty and gives
     the end id alone; only a document of more than ``seq_len`` ids is cut; repeated rows are packed each; an empty table
-    gives no rows. Each partition packs its own stream in a fixed space of ``open_bins`` bins. The bins that it leaves
+    gives no rows. Each partition packs its own stream in a fixed space of ``open_bins`` bins,
+    the pieces of every ``buffer`` or so in order of length, the longest first. The bins that it leaves
     partly filled are packed once more, those of about ``tasks_a_merge`` partitions in one task, so that the partly
     filled rest does not grow with the number of partitions.
     """
     spark = docs.sparkSession
-    pieces = stored(_cut(docs, tokenizer, seq_len, end_id, open_bins), "pieces")
+    pieces = stored(_cut(docs, tokenizer, seq_len, end_id, open_bins, buffer), "pieces")
     left = pieces.filter("free > 0").groupBy("bin").agg(F.sum("length").alias("used"))
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // tasks_a_merge)
     moved = _merge(left, seq_len, open_bins, tasks)
