@@ -228,7 +228,7 @@ def _sketch(rows: DataFrame, length: int, bits: int) -> bytes:
     return bytes(out)
 
 
-def repeated_spans(rows: DataFrame, length: int = 400, bits: int = 26, batch: int = 2500, most_contexts: int = 6_000) -> DataFrame:
+def repeated_spans(rows: DataFrame, length: int = 400, bits: int = 26, batch: int = 2500, most_contexts: int = 20_000) -> DataFrame:
     """(r, start, end): byte intervals of the rows (r long, text string) that windows cover which start elsewhere too; the
     intervals of a row may touch or overlap. ``bits``: size of the sketch, 2 ** bits cells (8 MB of bits at 26)."""
     spark = rows.sparkSession
@@ -313,19 +313,23 @@ def repeated_spans(rows: DataFrame, length: int = 400, bits: int = 26, batch: in
         c = pa.array(res_c, pa.binary()).take(pa.array(np.repeat(np.arange(len(res_s)), np.array([len(x) for x in res_s], np.int64)), pa.int64()))
         return pa.RecordBatch.from_arrays([c, pa.array(flat[:, 0], pa.int32()), pa.array(flat[:, 1], pa.int32()), pa.nulls(len(c), pa.binary()), pa.nulls(len(c), pa.int32())], names=["c", "s", "e", "w", "n"])
 
-    def single(c: bytes, context: bytes, n: int) -> pa.RecordBatch:
-        """Every window of a context as a row of its own, with its hash."""
-        count = len(context) - length + 1
-        w = [xxhash.xxh3_128_digest(context[i : i + length]) for i in range(count)]
-        return pa.RecordBatch.from_arrays([pa.array([c] * count, pa.binary()), pa.array(range(count), pa.int32()), pa.array(range(length, length + count), pa.int32()), pa.array(w, pa.binary()), pa.array([n] * count, pa.int32())], names=["c", "s", "e", "w", "n"])
+    def singles(rows: list[tuple]) -> pa.RecordBatch:
+        """Every window of some contexts as a row of its own, with its hash."""
+        out = [(c, i, i + length, xxhash.xxh3_128_digest(context[i : i + length]), n) for _, c, context, _, _, n in rows for i in range(len(context) - length + 1)]
+        kinds = (pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["c", "s", "e", "w", "n"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         group: list[tuple] = []
+        often: list[tuple] = []
         for b in batches:
             for *row, k in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
                 if k > most_contexts:
-                    yield single(row[1], row[2], row[5])
+                    often.append(row)
+                    if len(often) == 100:
+                        yield singles(often)
+                        often = []
                     continue
                 if group and group[0][0] != row[0]:
                     held += group
@@ -337,12 +341,18 @@ def repeated_spans(rows: DataFrame, length: int = 400, bits: int = 26, batch: in
         held += group
         if held:
             yield settle(held)
+        if often:
+            yield singles(often)
 
     columns = ("g", "c", "context", "at", "windows", "n", "k")
     answers = stored(mine.select(*columns).mapInArrow(sort, "c binary, s int, e int, w binary, n int"), "answers")
     alone = answers.filter("w is not null")
     twice = alone.groupBy("w").agg(F.sum("n").alias("t")).filter("t > 1")
-    rare = alone.join(twice, "w", "left_semi").select("c", "s", "e").distinct()
+    rare = alone.join(twice, "w", "left_semi").select("c", "s", "e")
+    before = F.max("e").over(Window.partitionBy("c").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
+    rare = rare.withColumn("run", F.when(F.col("s") <= before, 0).otherwise(1))
+    rare = rare.withColumn("run", F.sum("run").over(Window.partitionBy("c").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)))
+    rare = rare.groupBy("c", "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("run")
     answers = answers.filter("w is null").select("c", "s", "e").unionByName(rare)
     where = rows.mapInArrow(places, "r long, i long, c binary")
     return where.join(answers, "c").select("r", (F.col("i") + F.col("s")).alias("start"), (F.col("i") + F.col("e")).alias("end"))
