@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +75,30 @@ def lower_ascii(text: Column) -> Column:
 
 
 LOWER_ASCII = {c: c + 32 for c in range(65, 91)}
+
+
+#: In a worker process: what empties each operator's cache, and whose turn it is.
+_caches: dict[str, Callable[[], None]] = {}
+_turn = ""
+
+
+def cache_of(name: str, empty: Callable[[], None]) -> None:
+    _caches[name] = empty
+
+
+def take_turn(name: str) -> None:
+    """Called where a task begins: a worker process outlives its stage, so the caches of other operators are emptied and their memory is
+    given back."""
+    global _turn
+    if _turn == name:
+        return
+    _turn = name
+    for other, empty in _caches.items():
+        if other != name:
+            empty()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        pass

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import take_turn
+
 _SPACE = re.compile(r"\s+")
 _P = np.uint64(0x100000001B3)
 
@@ -147,7 +149,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 12, rate: float =
     it, in lower case with single spaces; up to ``rate`` of its length may differ by edits, fewer where it is so short that
     the q-gram bound would be empty; below q characters it must stand there exactly. n_segments counts those held, edits
     is the fewest of any, start and end are places in the normalised text of the first held segment. Null texts and
-    items are empty and match nothing; repeated document rows give a row each; further columns are ignored.
+    items are empty and match nothing; repeated document rows give a row each; a null item_id shows as -1;
+    further columns are ignored.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter("text is not null").distinct()
@@ -166,6 +169,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 12, rate: float =
 
 def _scanner(shared, q: int, rate: float, segment: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("index")
         index = Index(shared.value, q, rate, segment)
         for b in batches:
             rows: list[tuple] = []

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, take_turn
 from .components import components
 from .decontaminate import gram_hashes
 from .substring import _spread, word_codes
@@ -155,6 +155,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, half_key
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("words")
         for b in batches:
             n, h, half = [], [], []
             for text in b.column(1):
@@ -173,6 +174,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, half_key
     groups = stored(rough.join(size, "component").select("id", F.col("component").alias("c"), F.ceil(F.col("size") / block).cast("int").alias("blocks")), "groups")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("words")
         for b in batches:
             s = [shingles(t.as_py(), width).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(s, pa.binary())], names=["id", "c", "blocks", "s"])

@@ -22,8 +22,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stored
+from .common import stored, take_turn
 from .decontaminate import gram_hashes
 from .substring import _spread, pack_gaps, unpack_gaps
 
@@ -191,6 +192,7 @@ def _sketch(rows: DataFrame, length: int, bits: int) -> bytes:
     block_bits = min(bits, 20)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("bytes")
         held, n = [], 0
 
         def emit() -> pa.RecordBatch:
@@ -236,6 +238,7 @@ def repeated_spans(rows: DataFrame, length: int = 400, bits: int = 26, batch: in
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """(row, first window, context's hash, k-gram, context, anchor's place in it, windows) of all anchors that may repeat."""
+        take_turn("bytes")
         seen_bits = np.frombuffer(shared.value, np.uint8)
         for b in batches:
             for r, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -320,6 +323,7 @@ def repeated_spans(rows: DataFrame, length: int = 400, bits: int = 26, batch: in
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["c", "s", "e", "w", "n"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("bytes")
         held: list[tuple] = []
         group: list[tuple] = []
         often: list[tuple] = []
@@ -399,7 +403,5 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, stable: bool = Fal
             added = [pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    from pyspark.sql import types as T
-
     fields = [*joined.schema.fields, *(T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())]
     return joined.mapInArrow(cut, T.StructType(fields)).drop("_row", "_spans")

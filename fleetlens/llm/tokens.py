@@ -15,6 +15,8 @@ import unicodedata
 
 import numpy as np
 
+from .common import cache_of, take_turn
+
 #: The Latin letters and numbers below U+0180.
 _L = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _N = "0-9²³¹¼-¾"
@@ -22,7 +24,7 @@ _BYTE_PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{
 _WORD_PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
 #: Characters that send a text to the library whole.
 _ODD = re.compile(r"[^\t\n\r -~¡-įĲ-ſ]")
-_CACHE_BYTES = 96 << 20
+_CACHE_BYTES = 64 << 20
 
 
 def _byte_chars() -> dict[int, int]:
@@ -88,10 +90,12 @@ class TokenIds:
 
 
 _loaded: dict[str, TokenIds] = {}
+cache_of("tokens", lambda: _loaded.clear())
 
 
 def token_ids(path: str) -> TokenIds:
     """One instance per worker process and file."""
+    take_turn("tokens")
     if path not in _loaded:
         _loaded[path] = TokenIds(path)
     return _loaded[path]

@@ -15,11 +15,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import cache_of, take_turn
 
 _WORD = re.compile(r"[^\W_]+")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 400_000
 _words: dict[str, int] = {}
+cache_of("toxicity", lambda: _words.clear())
 
 
 def held_out(doc_id: Column) -> Column:
@@ -88,11 +92,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     )
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("toxicity")
         for b in batches:
             rows = [np.unique(features(t.as_py(), bits)).tobytes() for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary())], names=["o", "y", "f"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("toxicity")
         rows = [(np.append(np.frombuffer(f, np.uint32), np.uint32(1 << bits)), y) for b in batches for y, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
         if rows:
             model = Ftrl(bits)
@@ -103,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
             kept = np.flatnonzero(w)
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(w[kept])], names=["feature", "weight"])
 
-    joined = docs.join(F.broadcast(sample), "doc_id")  # at most max_rows rows of two numbers
+    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most max_rows rows of two numbers
     rows = joined.select(F.xxhash64("doc_id", "text").alias("o"), "y", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     hashes = rows.mapInArrow(hashed, "o long, y int, f binary")
     return hashes.repartition(1).sortWithinPartitions("o", "y").mapInArrow(learn, "feature long, weight double").toPandas()
@@ -118,6 +124,7 @@ def score(docs: DataFrame, weights: pd.DataFrame, bits: int = 20) -> DataFrame:
     at = plain.columns.index("text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("toxicity")
         w = np.zeros((1 << bits) + 1)
         w[shared.value[0]] = shared.value[1]
         has = w != 0
@@ -129,6 +136,4 @@ def score(docs: DataFrame, weights: pd.DataFrame, bits: int = 20) -> DataFrame:
             p = 1 / (1 + np.exp(-np.clip(np.array(out, float), -35, 35)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, "score"])
 
-    from pyspark.sql import types as T
-
     return plain.mapInArrow(apply, T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())]))

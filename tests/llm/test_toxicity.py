@@ -24,7 +24,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_edges(spark):
-    docs = spark.createDataFrame([(1, None, 0.5), (2, "", 0.1), (3, "bad " * 100_000, 0.2), (3, "fine", 0.3), (None, "fine words", 0.0)], "doc_id long, text string, score double")
+    docs = spark.createDataFrame([(1, None, 0.5, 1, 2), (2, "", 0.1, 1, 2), (3, "bad " * 100_000, 0.2, 1, 2), (3, "fine", 0.3, 1, 2), (None, "fine words", 0.0, 1, 2)], "doc_id long, text string, score double, y int, toxic int")
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = score(docs, train(docs, none)).collect()
     assert len(got) == 5 and all(r.score == 0.5 for r in got)
