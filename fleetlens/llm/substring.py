@@ -22,17 +22,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, stored
+from .common import WORD_RE, cache_of, stored, take_turn
 
 MAX_BITS = 28
 _BLOCK_BITS = 20
 #: Documents of a fragment: 2 ** FRAGMENT_BITS rows of one partition.
 FRAGMENT_BITS = 10
 _FLUSH = 4_000_000
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 400_000
 _NO_ID = np.iinfo(np.int64).max
 
 _words: dict[str, int] = {}
+cache_of("words", lambda: _words.clear())
 
 
 def word_codes(text: str) -> list[int]:
@@ -86,6 +87,7 @@ def sketch(docs: DataFrame, window: int, bits: int) -> list[bytes]:
     def emit(h: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         for row, x in enumerate(h):
             cells, count = np.unique(x, return_counts=True)
+            cells = cells.astype(np.int64)
             block = cells >> block_bits
             edge = np.searchsorted(block, np.arange((1 << (bits - block_bits)) + 1))
             out = []
@@ -98,6 +100,7 @@ def sketch(docs: DataFrame, window: int, bits: int) -> list[bytes]:
                 yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["k", "once", "more"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("words")
         held: list[tuple[np.ndarray, np.ndarray]] = []
         n, shift = 0, np.uint64(64 - bits)
         for b in batches:
@@ -108,10 +111,10 @@ def sketch(docs: DataFrame, window: int, bits: int) -> list[bytes]:
                     held.append(((h >> shift).astype(np.uint32), (g >> shift).astype(np.uint32)))
                     n += len(h)
                 if n >= _FLUSH:
-                    yield from emit([np.concatenate(x).astype(np.int64) for x in zip(*held, strict=True)])
+                    yield from emit([np.concatenate(x) for x in zip(*held, strict=True)])
                     held, n = [], 0
         if held:
-            yield from emit([np.concatenate(x).astype(np.int64) for x in zip(*held, strict=True)])
+            yield from emit([np.concatenate(x) for x in zip(*held, strict=True)])
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         counts = np.zeros(1 << block_bits, np.uint8)
@@ -129,6 +132,13 @@ def sketch(docs: DataFrame, window: int, bits: int) -> list[bytes]:
     return [bytes(x) for x in out]
 
 
+def hash_order(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The order by h, then g: one sort by h, and a second only where two of one h differ in g."""
+    order = np.argsort(h, kind="stable")
+    a, b = h[order], g[order]
+    return np.lexsort((g, h)) if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any() else order
+
+
 class Fragment:
     """The possibly repeated windows of some documents: distinct ones in hash order with their smallest doc_id."""
 
@@ -151,15 +161,14 @@ class Fragment:
         join = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
         h, g, self.doc, self.place = join(hs, np.uint64), join(gs, np.uint32), join(docs, np.int64), join(places, np.int64)
         self.id = np.array([_NO_ID if i is None else i for i in ids], np.int64)
-        order = np.lexsort((g, h))
+        order = hash_order(h, g)
         h, g = h[order], g[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
         self.group = np.empty(len(h), np.int64)
         self.group[order] = np.cumsum(new) - 1
         self.h, self.g = h[new], g[new]
-        self.low = np.full(len(self.h), _NO_ID)
-        np.minimum.at(self.low, self.group, self.id[self.doc])
+        self.low = np.minimum.reduceat(self.id[self.doc[order]], np.flatnonzero(new)) if len(h) else np.empty(0, np.int64)
 
     def bucket_edges(self, buckets: int) -> np.ndarray:
         limit = [np.uint64(-(-(b << 64) // buckets)) for b in range(1, buckets)]
@@ -191,6 +200,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, stable: bool = False, bits
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("words")
         sketches = _loaded(shared)
 
         def one(f: int, ids: list, texts: list) -> Iterator[pa.RecordBatch]:
@@ -215,12 +225,12 @@ def remove_repeats(docs: DataFrame, window: int = 13, stable: bool = False, bits
 
     def answer(key: tuple, t: pa.Table) -> pa.Table:
         h, g, low = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("h", np.uint64), ("g", np.uint32), ("low", np.int64)))
-        order = np.lexsort((low, g, h))
+        order = hash_order(h, g)
         hs, gs = h[order], g[order]
         new = np.ones(len(h), bool)
         new[1:] = (hs[1:] != hs[:-1]) | (gs[1:] != gs[:-1])
         least = np.empty(len(h), np.int64)
-        least[order] = low[order][new][np.cumsum(new) - 1]
+        least[order] = np.minimum.reduceat(low[order], np.flatnonzero(new))[np.cumsum(new) - 1]
         earlier = least < low
         end = np.cumsum([len(x) // 8 for x in t.column("h").to_pylist()])
         parts = np.split(earlier, end[:-1])
@@ -228,6 +238,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, stable: bool = False, bits
         return pa.table({"f": pa.array([t.column("f")[i].as_py() for i in keep], pa.int64()), "b": pa.array([key[0].as_py()] * len(keep), pa.int32()), "bits": pa.array([np.packbits(parts[i]).tobytes() for i in keep], pa.binary())})
 
     def lay(left: pa.Table, right: pa.Table) -> pa.Table:
+        take_turn("words")
         ids, texts = left.column("doc_id").to_pylist(), left.column("text").to_pylist()
         x = Fragment(ids, texts, window, _loaded(shared), bits)
         edge = x.bucket_edges(buckets)
