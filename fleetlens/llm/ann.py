@@ -2,8 +2,9 @@
 
 Each of ``tables`` random pseudo-rotations (three rounds of random signs and a fast Hadamard transform) sends a vector to
 the nearest signed axis, its bucket. A query looks into the ``probes`` nearest axes of every table, and what it meets is
-ranked by the exact inner product. Where norms differ, vectors get one more coordinate that makes them unit length, so
-that the largest inner product is the smallest angle.
+ranked by the exact inner product. That finds the largest inner products where they are the smallest angles, so only the
+dimensions whose vectors are of one length are hashed. Where lengths differ, long vectors answer at any angle and every
+query is compared with every vector; so is a query that met fewer than ``k`` vectors in its buckets.
 
 Buckets are few (tables * 2 * padded dimension), so their sizes are known to the driver; a bucket is split into blocks
 of at most ``block`` vectors and ``block`` queries, each pair of blocks being one small matrix product. Equal vectors are one
@@ -19,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 
 def usable(v: Column) -> Column:
     """Neither null, empty, zero nor holding null or non-finite components."""
@@ -69,10 +72,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 1
 
     Score is the inner product in double precision, summed from the first component on; equal scores go to the smaller
     vec_id, and a row of the query's own vec_id is no candidate. Rows with a null vec_id or an unusable vector take no
-    part, vectors of different length never meet, repeated rows count once, further columns are ignored.
+    part, vectors of different length never meet, repeated rows count once, further columns are ignored. A query gets
+    fewer than ``k`` rows only where there are fewer vec_ids of its dimension.
     """
-    spark = vectors.sparkSession
-    n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
     rows = clean(vectors).withColumn("h", F.xxhash64("v"))
     first = rows.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
@@ -80,9 +82,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 1
     classes = first.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).select(F.col("v"), "ids", F.lit(None).cast("long").alias("q"))
     asked = clean(queries).distinct().select("v", F.array().cast("array<long>").alias("ids"), F.col("vec_id").alias("q"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    size = classes.agg(F.max(norm).alias("most"), F.min(norm).alias("least")).first()
-    most = float(size.most or 1.0)
-    unit = size.least is not None and size.least > most * (1 - 1e-6)
+    lengths = classes.groupBy(F.size("v").alias("dim")).agg(F.max(norm).alias("most"), F.min(norm).alias("least")).collect()
+    even = frozenset(r.dim for r in lengths if r.least > r.most * (1 - 1e-6))
+    if not even:
+        return _answers(classes, asked, k, tables, probes, block, seed, even)
+    met = stored(_answers(classes, asked, k, tables, probes, block, seed, even), "nearest")
+    full = met.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("query_id")
+    short = asked.join(full, asked["q"] == full["query_id"], "left_anti")
+    if short.isEmpty():
+        return met
+    return met.join(full, "query_id", "left_semi").unionByName(_answers(classes, short, k, tables, probes, block, seed, frozenset()))
+
+
+def _answers(classes: DataFrame, asked: DataFrame, k: int, tables: int, probes: int, block: int, seed: int, even: frozenset[int]) -> DataFrame:
+    """The answers to ``asked`` by hashing in the dimensions of ``even``; in others all vectors are one bucket."""
+    spark = classes.sparkSession
+    n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def hashed(kind: int):
         """kind 0: buckets of vectors; 1: of queries. Yields (dim, row numbers, buckets, hashes of the vectors)."""
@@ -92,10 +107,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 1
                 dim = x.shape[1]
                 salt = (np.ascontiguousarray(x).view(np.uint64) * np.arange(1, 2 * dim, 2, dtype=np.uint64)).sum(axis=1)
                 salt = ((salt ^ (salt >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(34)
-                length = np.linalg.norm(x, axis=1)
-                x = x / (length[:, None] if kind or unit else most)
-                if not unit:
-                    x = np.hstack([x, np.zeros((len(x), 1)) if kind else np.sqrt(np.maximum(0, 1 - (length / most) ** 2))[:, None]])
+                if dim not in even:
+                    yield dim, at, np.full(len(at), -1), salt.astype(np.int64)
+                    continue
+                x = x / np.linalg.norm(x, axis=1)[:, None]
                 for t, y in enumerate(Rotations(x.shape[1], tables, seed).axes(x)):
                     near = np.argpartition(-y, probes, axis=1)[:, :probes] if kind and probes < y.shape[1] else np.argmax(y, axis=1)[:, None] if not kind else np.tile(np.arange(y.shape[1]), (len(y), 1))
                     for c in range(near.shape[1]):
@@ -161,11 +176,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 1
         own, ask = np.flatnonzero(is_class), np.flatnonzero(~is_class)
         out_q, out_ids, out_scores = [], [], []
         data = v[own]
+        slack = 1e-9 * np.linalg.norm(v[ask], axis=1) * np.linalg.norm(data, axis=1).max(initial=0)
         for s in range(0, len(ask) if len(own) else 0, 256):
             part = ask[s : s + 256]
             near = v[part] @ data.T
             kk = min(k + 1, len(own))
-            limit = -np.partition(-near, kk - 1, axis=1)[:, kk - 1] - 1e-9 * most * most
+            limit = -np.partition(-near, kk - 1, axis=1)[:, kk - 1] - slack[s : s + 256]
             r, c = np.nonzero(near >= limit[:, None])
             score = exact(v[part[r]], data[c])
             edge = np.searchsorted(r, np.arange(len(part) + 1))

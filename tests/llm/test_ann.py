@@ -49,3 +49,33 @@ def test_edges(spark):
     assert got == [(0, 1, 60, 1.0), (0, 2, 1, 0.5), (60, 1, 0, 1.0), (60, 2, 1, 0.5)]
     none = df.limit(0)
     assert nearest(none, none).count() == 0 and nearest(df, none).count() == 0
+
+
+def answers(spark, rows, k=20):
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    asked = [(i, v) for i, v in rows if i % 20 == 0]
+    got = {i: [] for i, _ in asked}
+    for r in nearest(df, df.filter("vec_id % 20 == 0"), k=k).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    return got, brute(rows, asked, k)
+
+
+def test_uneven_norms(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1200, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    one = np.ones((1200, 1))
+    one[7] = 100
+    for norm in (np.exp(rng.normal(size=(1200, 1))), one):
+        got, want = answers(spark, list(enumerate(x * norm)))
+        assert got == want
+
+
+def test_short_lists_of_small_tables(spark):
+    x = np.random.default_rng(4).normal(size=(41, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = list(enumerate(x)) + [(100 + i, v) for i, v in enumerate(np.eye(3))]
+    for k in (20, 60):
+        got, want = answers(spark, rows, k)
+        assert {q: len(a) for q, a in got.items()} == {q: len(a) for q, a in want.items()}
+    assert got == want
