@@ -76,10 +76,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 1
     fewer than ``k`` rows only where there are fewer vec_ids of its dimension.
     """
     clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    rows = clean(vectors).withColumn("h", F.xxhash64("v"))
-    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
-    # one hash, one vector (but for collisions, which the grouping by the vector itself keeps apart)
-    classes = first.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).select(F.col("v"), "ids", F.lit(None).cast("long").alias("q"))
+    rows = clean(vectors).distinct().withColumn("h", F.xxhash64("v"))
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("h", "v").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
+    classes = stored(first.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")), "classes").select("v", "ids", F.lit(None).cast("long").alias("q"))
     asked = clean(queries).distinct().select("v", F.array().cast("array<long>").alias("ids"), F.col("vec_id").alias("q"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     lengths = classes.groupBy(F.size("v").alias("dim")).agg(F.max(norm).alias("most"), F.min(norm).alias("least")).collect()

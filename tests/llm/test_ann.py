@@ -79,3 +79,9 @@ def test_short_lists_of_small_tables(spark):
         got, want = answers(spark, rows, k)
         assert {q: len(a) for q, a in got.items()} == {q: len(a) for q, a in want.items()}
     assert got == want
+
+
+def test_repeated_rows_leave_room_for_equal_vectors(spark):
+    v = np.array([0.6, 0.8])
+    got, want = answers(spark, [(1, v)] * 50 + [(i, v) for i in range(2, 6)] + [(20, v)] * 30)
+    assert got == want and [i for i, _ in got[20]] == [1, 2, 3, 4, 5]
