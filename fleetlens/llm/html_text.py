@@ -2,7 +2,8 @@
 
 Each paragraph gives points for its length and commas to its ancestors, the nearest one most; a container's points are
 discounted by its link density, and the best container is kept with the siblings that score alike. Elements that are
-navigation, notices, adverts, forms, comments and the like by their tag, role or class take no part at all.
+navigation, notices, adverts, forms, comments and the like by their tag, role or class take no part at all; a class or id
+says nothing of an element that holds the page's article or most of its paragraph points.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z0-9]+")
+_WORD = re.compile(r"\S+")
 
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -39,13 +41,16 @@ _DROP_NAMES = {
     "header", "masthead", "footer", "copyright", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay",
     "share", "sharing", "social", "newsletter", "subscribe", "subscription", "signup", "login", "paywall", "skip",
 }
+#: Words that make no other thing of a name in _DROP_NAMES when they stand beside it, as in "comment-list".
+_PLAIN_NAMES = {"area", "bar", "block", "box", "btn", "button", "buttons", "container", "global", "icons", "inner", "item", "items", "left", "link", "links", "list", "page", "panel", "posts", "primary", "right", "secondary", "section", "site", "top", "wrap", "wrapper"}
 
 
 class _Node:
-    __slots__ = ("tag", "up", "drop", "points", "text", "linked", "links", "block")
+    __slots__ = ("tag", "up", "drop", "named", "weight", "points", "text", "linked", "links", "block")
 
-    def __init__(self, tag: str, up: _Node | None, drop: bool):
+    def __init__(self, tag: str, up: _Node | None, drop: bool, named: bool = False):
         self.tag, self.up, self.drop = tag, up, drop or (up is not None and up.drop)
+        self.named, self.weight = named, 0.0  # unwanted by class or id; points of the paragraphs inside
         self.points, self.text, self.linked, self.links = 0.0, 0, 0, 0
         self.block = tag not in _INLINE
 
@@ -63,8 +68,6 @@ def _unwanted(tag: str, attrs: str) -> bool:
         return False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and not _DROP_NAMES.isdisjoint(_NAME.findall(value)):
-            return True
         if name == "role" and value.strip() in _DROP_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -72,6 +75,63 @@ def _unwanted(tag: str, attrs: str) -> bool:
     return False
 
 
+def _named(tag: str, attrs: str) -> bool:
+    """Whether a whole name of the class or id is an unwanted one."""
+    if tag in _NEVER or not attrs:
+        return False
+    for m in _ATTR.finditer(attrs):
+        if m[1].lower() in ("class", "id"):
+            for name in _WORD.findall((m[2] or m[3] or m[4] or "").lower()):
+                words = set(_NAME.findall(name))
+                if words & _DROP_NAMES and words <= _DROP_NAMES | _PLAIN_NAMES:
+                    return True
+    return False
+
+
+def _points(text: str) -> float:
+    return 0.1 + text.count(",") + min(len(text) / 100, 3.0)
+
+
+def _heading(tag: str) -> bool:
+    return tag[:1] == "h" and tag[1:].isdigit()
+
+
+def _wanted(blocks: list[tuple[_Node, list[tuple[_Node, str]]]], nodes: list[_Node]) -> list[tuple[_Node, str]]:
+    """The blocks without what stands in elements unwanted by class or id, which are taken out of the elements' counts too."""
+    named = [x for x in nodes if x.named and not x.drop]
+    if named:
+        all_points = 0.0
+        for holder, parts in blocks:
+            if not _heading(holder.tag):
+                points = _points(_SPACE.sub(" ", "".join(t for _, t in parts)).strip())
+                all_points += points
+                for x in (holder, *holder.over()):
+                    x.weight += points
+        articles = [x for x in nodes if x.tag in ("article", "main") and x.weight > 0]
+        free = any(not any(y.named for y in x.over()) for x in articles)
+        holding = set() if free else {id(y) for x in articles for y in x.over()}
+        for x in named:
+            if id(x) in holding or 2 * x.weight > all_points and not free:
+                x.named = False
+        for x in named:
+            inside = any(y.named for y in x.over())
+            if x.named and not inside:
+                link = x.tag == "a"
+                for y in x.over():
+                    link = link or y.tag == "a"
+                    y.text -= x.text
+                    y.linked -= x.text if link else x.linked
+                    y.links -= x.links + (x.tag == "a")
+        for x in nodes:  # parents first
+            x.drop = x.drop or x.named or x.up is not None and x.up.drop
+    out = []
+    for holder, parts in blocks:
+        text = _SPACE.sub(" ", "".join(t for x, t in parts if not x.drop)).strip()
+        if text:
+            out.append((holder, text))
+    return out
+
+
 def _blocks(page: str) -> tuple[list[tuple[_Node, str]], list[_Node]]:
     """The page's text blocks with the block element that holds each, and all elements, in page order."""
     node = _Node("", None, False)
@@ -85,10 +145,8 @@ def _blocks(page: str) -> tuple[list[tuple[_Node, str]], list[_Node]]:
 
     def flush() -> None:
         if parts:
-            text = _SPACE.sub(" ", "".join(parts)).strip()
+            blocks.append((holder(node), parts.copy()))
             parts.clear()
-            if text:
-                blocks.append((holder(node), text))
 
     def close(to: _Node) -> None:
         nonlocal node
@@ -100,7 +158,7 @@ def _blocks(page: str) -> tuple[list[tuple[_Node, str]], list[_Node]]:
     def say(raw: str) -> None:
         if raw and not node.drop:
             text = html.unescape(raw) if "&" in raw else raw
-            parts.append(text)
+            parts.append((node, text))
             n = len(text.strip())
             link = False
             for x in (node, *node.over()):
@@ -131,7 +189,7 @@ def _blocks(page: str) -> tuple[list[tuple[_Node, str]], list[_Node]]:
                 flush()
             continue
         if tag == "br":
-            parts.append(" ")
+            parts.append((node, " "))
             continue
         if tag in _VOID:
             if tag not in _INLINE:
@@ -151,7 +209,7 @@ def _blocks(page: str) -> tuple[list[tuple[_Node, str]], list[_Node]]:
                     close(x.up)
                 if x.tag in ("table", "ul", "ol", "dl"):
                     break
-        new = _Node(tag, node, _unwanted(tag, m[3]))
+        new = _Node(tag, node, _unwanted(tag, m[3]), _named(tag, m[3]))
         if new.block:
             flush()
         node = new
@@ -161,7 +219,7 @@ def _blocks(page: str) -> tuple[list[tuple[_Node, str]], list[_Node]]:
                 x.links += 1
     close(nodes[0])
     flush()
-    return blocks, nodes
+    return _wanted(blocks, nodes), nodes
 
 
 def main_text(page: str) -> str:
@@ -170,20 +228,30 @@ def main_text(page: str) -> str:
     if not blocks:
         return ""
     for holder, text in blocks:
-        if holder.tag[:1] == "h" and holder.tag[1:].isdigit():
+        if _heading(holder.tag):
             continue  # headings go with their section but speak for none
-        points = 0.1 + text.count(",") + min(len(text) / 100, 3.0)
+        points = _points(text)
         up = [holder.up or holder, *(holder.up.over() if holder.up is not None else ())] if holder.tag in ("p", "li", "pre", "td", "blockquote", "dd") else [holder, *holder.over()]
         for level, x in enumerate(up):
             x.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
     score = lambda x: x.points * (1 - x.linked / max(1, x.text))
     best = max(nodes, key=score)  # the first of equals: the outermost
     best = next((x for x in (best, *best.over()) if x.tag in ("article", "main")), best)
-    floor = max(10.0, 0.2 * score(best))
-    alike = {id(x) for x in nodes if x.up is best.up and x is not best and best.up is not None and score(x) >= floor and x.linked < 0.5 * max(1, x.text)}
+    floor = 0.2 * score(best)
+    alike = {id(x) for x in nodes if x.up is best.up and x is not best and best.up is not None and score(x) >= floor and x.points > 0 and x.linked < 0.5 * max(1, x.text)}
     loose = {id(x) for x in nodes if x.up is best.up and best.up is not None and x.tag == "p" and x.text > 80 and x.linked < 0.25 * x.text}
     keep = {id(best)} | alike | loose
     listing = {id(x) for x in nodes if x.tag in ("ul", "ol", "dl", "div", "table") and x.links >= 3 and x.linked > 0.8 * max(1, x.text) and x is not best}
+    if best.tag not in ("", "html", "body"):  # what links an article holds, such as its references, are part of it
+        spoken = best.tag in ("article", "main")
+        for holder, text in blocks:
+            over = [holder, *holder.over()]
+            if best in over:
+                mine = over[: over.index(best)]
+                if spoken:
+                    listing -= {id(x) for x in mine}
+                elif listing.isdisjoint(map(id, mine)):
+                    spoken = holder.tag == "p"
     out = []
     for holder, text in blocks:
         chain = [id(holder), *map(id, holder.over())]

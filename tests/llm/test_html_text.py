@@ -44,3 +44,22 @@ def test_edges(spark):
     got = extract_main_text(df).orderBy("page_id", "n_chars").collect()
     assert [(r.page_id, r.n_chars) for r in got] == [(1, 0), (2, 0), (3, 1), (3, 50_000 * 11 - 1)]
     assert extract_main_text(df.limit(0)).count() == 0
+
+
+def test_names_do_not_drop_what_holds_the_article():
+    one, two = "First, of many words, " * 5 + "end.", "Second, of few, words."
+    for name in ("layout with-sidebar", "no-comments", "has-header", "social-enabled", "sidebar", "header"):
+        for inner in (f"<article><p>{one}</p><p>{two}</p></article>", f"<div><p>{one}</p><p>{two}</p></div>"):
+            page = f'<body><div class="{name}">{inner}<div class="comments"><p>Nice, nice.</p></div></div></body>'
+            assert main_text(page) == f"{one}\n{two}"
+    page = f'<body><article><p>{two}</p></article><div class="comments"><article><p>{one}</p></article></div></body>'
+    assert main_text(page) == two
+
+
+def test_short_siblings_and_link_lists_inside_the_article():
+    one, two = "One, two, three, four, five and more.", "Six, seven, and eight."
+    assert main_text(f"<body><div><p>{one}</p></div><div><p>{two}</p></div></body>") == f"{one}\n{two}"
+    links = "<ul>" + "".join(f"<li><a href={i}>Reference {i}</a></li>" for i in range(4)) + "</ul>"
+    want = f"{one}\n{two}\n" + "\n".join(f"Reference {i}" for i in range(4))
+    for tag in ("article", "div"):
+        assert main_text(f"<body><ul><li><a href=a>Home</a><li><a href=b>News</a><li><a href=c>Shop</a></ul><{tag}><p>{one}</p><p>{two}</p>{links}</{tag}></body>") == want
