@@ -2,16 +2,22 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``docs`` is a plain Parquet table. All but the last
 return the columns of ``docs``. Rows with a null doc_id pass the near-duplicate stage; null texts stay null and are empty to
-every stage; repeated rows are documents of their own, except that rows of one doc_id share what is decided by id.
+every stage; rows of one doc_id share what is decided by id, and the near-duplicate stage keeps one of those with the same
+shingles.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetlens.llm import decontaminate, near_dup, packing, suffix_dedup, toxicity
-from fleetlens.llm.common import stored
+from fleetlens.llm.common import stored, take_turn
 from fleetlens.llm.tokens import tokenizer_path
 
 #: Bytes of a repeated string that is removed: less than what fifty words take.
@@ -22,16 +28,41 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that a classifier trained on the labelled rows scores 0.5 or more."""
+    """Drops the documents that a classifier trained on the labelled rows scores 0.5 or more; none where no label
+    could be learnt from."""
     weights = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if weights.empty:
+        return docs
     scored = toxicity.score(docs, weights)
     return scored.filter("score < 0.5").select(*docs.columns)
 
 
+def _one_of_each_set(docs: DataFrame) -> DataFrame:
+    """One row of each doc_id and set of shingles, the one of least text; rows without a doc_id or shingles stay."""
+    at = docs.columns.index("text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("words")
+        for b in batches:
+            found = (near_dup.shingles(t.as_py() or "", 5) for t in b.column(at))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found], pa.binary())], names=[*b.schema.names, "_set"])
+
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again"))
+    repeated = stored(repeated, "repeated-ids")  # of known size, which is mostly none
+    if repeated.isEmpty():
+        return docs
+    again = docs["doc_id"] == repeated["_again"]
+    rows = docs.join(repeated, again, "left_semi").mapInArrow(sets, T.StructType([*docs.schema.fields, T.StructField("_set", T.BinaryType())]))
+    order = Window.partitionBy("doc_id", "_set").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
+    first = rows.filter("_set is not null").withColumn("_r", F.row_number().over(order)).filter("_r = 1")
+    return docs.join(repeated, again, "left_anti").unionByName(rows.filter("_set is null").select(*docs.columns)).unionByName(first.select(*docs.columns))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of every group of near-duplicates."""
+    """Keeps the document of least doc_id of every group of near-duplicates, and one of its rows with the same shingles."""
     gone = near_dup.near_duplicates(docs, stable=True).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)
+    single = _one_of_each_set(docs)
+    return single.join(gone, single["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

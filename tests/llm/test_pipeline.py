@@ -47,5 +47,22 @@ def test_stages_against_brute_force(spark):
     assert max(used.values()) <= 2048
 
 
+def test_repeated_rows_leave_one_text(spark):
+    long, other = " ".join(f"w{i}" for i in range(200)), " ".join(f"v{i}" for i in range(200))
+    rows = [(1, long, "a"), (1, long, "b"), (1, long.upper(), "a"), (1, other, "a"), (2, other + " end", None), (3, None, "a"), (3, None, "a"), (3, " ", "a"), (4, "x y", "a"), (None, "z", "a"), (None, "z", "a")]
+    docs = stored(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "test")
+    single = stored(cp.drop_near_duplicates(spark, docs, SF), "test")
+    assert single.columns == docs.columns
+    want = [(1, long.upper(), "a"), (1, other, "a"), (3, None, "a"), (3, None, "a"), (3, " ", "a"), (4, "x y", "a"), (None, "z", "a"), (None, "z", "a")]
+    assert Counter(map(tuple, single.collect())) == Counter(want)
+    assert Counter(map(tuple, cp.cut_repeats(spark, single, SF).collect())) == Counter(want)
+
+
+def test_toxicity_keeps_all_without_labels(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert cp.drop_toxic(spark, docs, str(tmp_path)).count() == 2
+
+
 def test_run_is_the_stages(spark):
     assert cp.run(spark, SF).count() > 0 and len(cp.STAGES) == 5
