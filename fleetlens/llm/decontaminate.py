@@ -3,7 +3,8 @@
 An item is cut into overlapping segments. Where a document holds a segment with at most k edits, its alignment stays
 on k + 1 neighbouring diagonals and keeps at least m - q + 1 - q * k of the segment's q-grams. So shared q-grams are
 counted in bands of 2 * (k + 1) diagonals that overlap by half, bands below that bound are dropped without loss, and the
-rest is verified. The benchmark is small beside the corpus: its index is broadcast only below ``max_index_chars``, and
+rest is verified. Where a document holds no segment of an item, the same count over the q-grams of the whole item gives every
+other place where a stretch of a segment's length can begin. The benchmark is small beside the corpus: its index is broadcast only below ``max_index_chars``, and
 a larger one is gone through in parts, one pass over the documents each.
 """
 
@@ -59,10 +60,13 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], q: int, rate: float, segment: int):
         self.q, self.rate = q, rate
         self.item, self.text, self.offset = [], [], []
+        self.whole: list[tuple[int, str]] = []  # items of several segments
         for item_id, raw in items:
             t = normal(raw)
             if not t:
                 continue
+            if len(t) > segment:
+                self.whole.append((item_id, t))
             starts = [0] if len(t) <= segment else [*range(0, len(t) - segment, segment // 2), len(t) - segment]
             for s in starts:
                 self.item.append(item_id)
@@ -78,18 +82,63 @@ class Index:
         order = np.argsort(h, kind="stable")
         self.seg, self.pos = seg[order], pos[order]
         self.hash, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
+        self.length = segment
+        self.whole_k = max(0, min(int(rate * segment), (segment - q) // q))
+        self.whole_need = segment - q + 1 - q * self.whole_k
+        if segment < q:
+            self.whole = []
+        # the whole items' q-grams in the same hash order: each stands in a segment too
+        grams = [gram_hashes(_codes(t), q) for _, t in self.whole]
+        h = np.concatenate([*grams, np.empty(0, np.uint64)])
+        seg = np.repeat(np.arange(len(grams)), np.array([len(g) for g in grams], np.int64))
+        pos = np.concatenate([*(np.arange(len(g)) for g in grams), np.empty(0, np.int64)]).astype(np.int64)
+        order = np.argsort(h, kind="stable")
+        self.whole_seg, self.whole_pos = seg[order], pos[order]
+        self.whole_first = np.searchsorted(h[order], self.hash)
+        self.whole_count = np.searchsorted(h[order], self.hash, "right") - self.whole_first
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.hash >> np.uint64(44)).astype(np.int64)] = True
 
-    def candidates(self, codes: np.ndarray) -> list[tuple[int, int]]:
-        """(segment, first diagonal of a band) with enough shared q-grams."""
+    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the text's q-grams that stand in the index, and their numbers there."""
         h = gram_hashes(codes, self.q)
         at = np.flatnonzero(self.bits[(h >> np.uint64(44)).astype(np.int64)])
         if not len(at):
-            return []
+            return at, at
         i = np.minimum(np.searchsorted(self.hash, h[at]), len(self.hash) - 1)
         same = self.hash[i] == h[at]
-        at, i = at[same], i[same]
+        return at[same], i[same]
+
+    def stretches(self, at: np.ndarray, i: np.ndarray, held: set[int]) -> list[tuple[int, int, np.ndarray]]:
+        """(whole item, first diagonal of a band, starts in the item) of stretches of a segment's length with enough shared q-grams,
+        for items not in ``held``."""
+        if not self.whole or len(at) < self.whole_need:
+            return []
+        n = self.whole_count[i]
+        flat = np.repeat(self.whole_first[i] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        seg, pos = self.whole_seg[flat], self.whole_pos[flat]
+        diagonal = np.repeat(at, n) - pos
+        enough = np.bincount(seg, minlength=len(self.whole)) >= self.whole_need
+        out, w, window = [], self.whole_k + 1, self.length - self.q + 1
+        for item in np.flatnonzero(enough).tolist():
+            if self.whole[item][0] in held:
+                continue
+            mine = seg == item
+            p, band = pos[mine], diagonal[mine] // w
+            p, band = np.concatenate([p, p]), np.concatenate([band, band - 1])
+            order = np.argsort(band, kind="stable")
+            p, band = p[order], band[order]
+            value, first, count = np.unique(band, return_index=True, return_counts=True)
+            for b, f, c in zip(value.tolist(), first.tolist(), count.tolist(), strict=True):
+                if c >= self.whole_need:
+                    run = np.concatenate([[0], np.cumsum(np.bincount(p[f : f + c], minlength=len(self.whole[item][1]) - self.q + 1))])
+                    starts = np.flatnonzero(run[window:] - run[:-window] >= self.whole_need)
+                    if len(starts):
+                        out.append((item, b * w, starts))
+        return out
+
+    def candidates(self, at: np.ndarray, i: np.ndarray) -> list[tuple[int, int]]:
+        """(segment, first diagonal of a band) with enough shared q-grams."""
         if len(at) < self.need[self.need > 0].min(initial=1 << 62):
             return []
         n = self.count[i]
@@ -142,11 +191,29 @@ def align(segment: str, text: str, low: int, width: int, k: int) -> tuple[int, i
     return e, lo + cost[j][1], lo + j
 
 
+def fewest_edits(item: np.ndarray, text: np.ndarray, starts: np.ndarray, length: int, low: int, width: int, k: int) -> np.ndarray:
+    """For each start the edits that ``align`` would find for ``length`` characters of ``item`` from there, all at once; ``low`` is
+    a diagonal of the whole item."""
+    far, cell = 1 << 20, np.arange(width + 2 * k + 1)
+    place = starts[:, None] + low - k + cell  # characters of the text that are read at row 0
+    cost = np.where((place >= 0) & (place <= len(text)), 0, far)
+    for i in range(length):
+        place = place + 1
+        inside = (place >= 0) & (place <= len(text))
+        same = text[np.clip(place - 1, 0, len(text) - 1)] == item[starts + i][:, None]
+        row = np.where(place > 0, cost + ~same, far)
+        row[:, :-1] = np.minimum(row[:, :-1], cost[:, 1:] + 1)
+        row = np.where(inside, row, far)
+        cost = np.where(inside, np.minimum.accumulate(row - cell, axis=1) + cell, far)
+    return cost.min(axis=1)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 12, rate: float = 0.05, segment: int = 100, max_index_chars: int = 2_000_000) -> DataFrame:
     """A row per document and item of which it holds a segment: doc_id, item_id, n_segments, edits, start, end.
 
     A segment is a whole item of at most ``segment`` characters, or ``segment`` characters of a longer one at every half of
-    it, in lower case with single spaces; up to ``rate`` of its length may differ by edits, fewer where it is so short that
+    it, in lower case with single spaces; where a document holds none of an item's, any other stretch of ``segment`` characters
+    of the item counts like one, but n_segments is 0. Up to ``rate`` of its length may differ by edits, fewer where it is so short that
     the q-gram bound would be empty; below q characters it must stand there exactly. n_segments counts those held, edits
     is the fewest of any, start and end are places in the normalised text of the first held segment. Null texts and
     items are empty and match nothing; repeated document rows give a row each; a null item_id shows as -1;
@@ -180,11 +247,24 @@ def _scanner(shared, q: int, rate: float, segment: int):
                     at = t.find(index.text[s])
                     if at >= 0:
                         held[index.item[s], s] = (0, at, at + len(index.text[s]))
-                for s, low in index.candidates(_codes(t)):
+                codes = _codes(t)
+                at, found = index.hits(codes)
+                for s, low in index.candidates(at, found):
                     k = int(index.k[s])
                     got = align(index.text[s], t, low, 2 * (k + 1), k)
                     if got is not None and got < held.get((index.item[s], s), (k + 1, 0, 0)):
                         held[index.item[s], s] = got
+                between: dict[int, list[tuple]] = {}
+                for x, low, starts in index.stretches(at, found, {i for i, _ in held}):
+                    (item, whole), k = index.whole[x], index.whole_k
+                    edits = fewest_edits(_codes(whole), codes, starts, segment, low, 2 * (k + 1), k)
+                    if edits.min() <= k:
+                        first = int(starts[np.flatnonzero(edits <= k)[0]])
+                        _, start, end = align(whole[first : first + segment], t, low + first, 2 * (k + 1), k)
+                        between.setdefault(item, []).append((int(edits.min()), start, end))
+                for item, own in sorted(between.items()):
+                    first = min(own, key=lambda v: (v[1], v[2]))
+                    rows.append((doc_id, item, 0, min(v[0] for v in own), first[1], first[2]))
                 for item in sorted({i for i, _ in held}):
                     own = [v for (i, _), v in held.items() if i == item]
                     first = min(own, key=lambda v: (v[1], v[2]))

@@ -2,7 +2,8 @@
 
 import random
 
-from fleetlens.llm.decontaminate import decontaminate, find_leaks, normal
+import numpy as np
+from fleetlens.llm.decontaminate import align, decontaminate, fewest_edits, find_leaks, normal
 
 
 def brute(segment, text, k):
@@ -65,3 +66,30 @@ def test_empty(spark):
     assert find_leaks(d, b).count() == 0
     full = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert find_leaks(full, b).count() == 0 and decontaminate(full, b).count() == 1
+
+
+def test_stretches_at_any_offset(spark):
+    rng = random.Random(8)
+    item = " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(60))[:233].strip() + "x"
+    other = lambda n: " ".join("".join(rng.choices("mnopqrst", k=5)) for _ in range(n))
+    docs = [(i, f"{other(6)} {item[i : i + 100]} {other(6)}") for i in range(len(item) - 99)]  # each offset, as exact text
+    docs += [(1000, f"{other(5)}{item[10:140]}{other(5)}"), (1001, f"{other(6)} {item[20:60]}zz{item[62:130]} {other(6)}"), (1002, f"{other(6)} {item[15:95]} {other(6)}")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(7, item)], "item_id long, text string")
+    rows = {r.doc_id: r for r in find_leaks(d, b).collect()}
+    assert set(rows) == {i for i, _ in docs} - {1002} and all(r.item_id == 7 for r in rows.values())
+    assert rows[1000].n_segments == 0 and rows[1000].edits == 0 and rows[1001].edits == 2
+    assert {r.doc_id for r in decontaminate(d, b).collect()} == {1002}
+
+
+def test_fewest_edits_are_those_of_align():
+    rng = random.Random(9)
+    codes = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    for _ in range(60):
+        item = "".join(rng.choices("abc", k=60))
+        text = ("".join(rng.choices("abc", k=rng.randint(0, 9))) + edit(item, rng.randint(0, 6), rng))[: rng.randint(30, 80)]
+        starts, low, k = np.arange(21), rng.randint(-6, 9), 5
+        got = fewest_edits(codes(item), codes(text), starts, 40, low, 12, k)
+        for s, e in zip(starts, got, strict=True):
+            want = align(item[s : s + 40], text, low + int(s), 12, k)
+            assert want is not None and want[0] == e if e <= k else want is None
