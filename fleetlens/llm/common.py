@@ -22,10 +22,24 @@ _own: dict[str, str] = {}
 _scratch: list[tuple[SparkSession, str]] = []
 
 
+#: Rows of an Arrow batch: the JVM and the worker each hold one, and texts may be long.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows a batch to ``BATCH_ROWS`` where it has Spark's default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; on a local master a temporary one where it is unset,
+    and an error elsewhere, as executors could not read it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="fleetlens-")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import take_turn
+from .common import bounded_batches, take_turn
 
 _SPACE = re.compile(r"\s+")
 _P = np.uint64(0x100000001B3)
@@ -220,6 +220,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 12, rate: float =
     further columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter("text is not null").distinct()
     total = items.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("n")).first().n
     parts = max(1, -(-int(total) // max_index_chars))

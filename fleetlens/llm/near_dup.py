@@ -2,7 +2,8 @@
 
 A document has two collections of ``half_keys`` short keys of ``rows`` minhashes each; every pair of one key from either
 collection makes a table key. So 2 * half_keys * rows minhashes serve half_keys ** 2 tables of 2 * rows minhashes. Two
-documents of similarity s miss each other with a chance of at most 2 * (1 - s ** rows) ** half_keys: 2e-4 at 0.85.
+documents of similarity s miss each other with a chance of at most 2 * (1 - s ** rows) ** half_keys: with 3 rows 2e-4 at
+0.85 with 10 keys, 4e-4 at 0.8 with 12.
 
 Documents of one set are one class. Documents that share table keys are joined to rough groups, without pairs: each
 key joins its members to its first one, in the partition before the shuffle and once more after it. Inside a group the
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, take_turn
+from .common import bounded_batches, stored, take_turn
 from .components import components
 from .decontaminate import gram_hashes
 from .substring import _spread, word_codes
@@ -85,7 +86,7 @@ def _rough_edges(classes: DataFrame, mh: MinHash, tasks: int) -> DataFrame:
             ids.append(b.column(0).to_numpy())
             half.append(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(-1, 2 * mh.half_keys))
             n += b.num_rows
-            if n >= 20_000:
+            if n >= 4096:
                 yield from emit(np.concatenate(ids), mh.keys(np.concatenate(half)))
                 ids, half, n = [], [], 0
         if n:
@@ -141,7 +142,7 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent:
     return label
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, half_keys: int = 10, rows: int = 3, block: int = 1000, stable: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, half_keys: int = 12, rows: int = 3, block: int = 1000, stable: bool = False) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (least doc_id that links lead to, itself included), kept.
 
     A document's set holds its ``width``-word shingles, as 64-bit hashes, over words without ASCII white space, A-Z in lower
@@ -150,6 +151,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, half_key
     Rows of one doc_id are one node with the links of all of them; further columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     mh = MinHash(half_keys, rows)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded_batches, stored
 from .tokens import token_ids
 
 
@@ -119,6 +119,7 @@ def pack(docs: DataFrame, tokenizer: str, seq_len: int = 2048, end_id: int = 0,
     filled rest does not grow with the number of partitions.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     pieces = stored(_cut(docs, tokenizer, seq_len, end_id, open_bins, buffer), "pieces")
     left = pieces.filter("free > 0").groupBy("bin").agg(F.sum("length").alias("used"))
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // tasks_a_merge)

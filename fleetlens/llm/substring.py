@@ -22,14 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, cache_of, stored, take_turn
+from .common import WORD_RE, bounded_batches, cache_of, stored, take_turn
 
 MAX_BITS = 28
 _BLOCK_BITS = 20
 #: Documents of a fragment: 2 ** FRAGMENT_BITS rows of one partition.
 FRAGMENT_BITS = 10
 _FLUSH = 4_000_000
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 150_000
 _NO_ID = np.iinfo(np.int64).max
 
 _words: dict[str, int] = {}
@@ -189,6 +189,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, stable: bool = False, bits
     copy is written to the shared folder first. Two different windows count as one with a chance of 2 ** -96 a pair.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("f", F.shiftright(F.monotonically_increasing_id(), FRAGMENT_BITS))
     if not stable:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, take_turn
+from .common import bounded_batches, stored, take_turn
 from .decontaminate import gram_hashes
 from .substring import _spread, pack_gaps, unpack_gaps
 
@@ -265,7 +265,7 @@ def repeated_spans(rows: DataFrame, length: int = 400, bits: int = 26, batch: in
                 known[c][4] = 2
             else:
                 known[c] = [g, context, at, windows, 1]
-                held += len(context)
+                held += len(context) + 400  # and the objects that hold it
                 if held > 24 << 20:
                     yield flush()
                     known, held = {}, 0
@@ -362,14 +362,16 @@ def repeated_spans(rows: DataFrame, length: int = 400, bits: int = 26, batch: in
     return where.join(answers, "c").select("r", (F.col("i") + F.col("s")).alias("start"), (F.col("i") + F.col("e")).alias("end"))
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = 400, stable: bool = False, **options) -> DataFrame:
-    """``docs`` with n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary: the bytes that stay) added.
+def remove_repeated_bytes(docs: DataFrame, length: int = 400, stable: bool = False, as_text: bool = False, **options) -> DataFrame:
+    """``docs`` with n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary: the bytes that stay) added;
+    ``as_text``: kept is a string, without the bytes of characters that a cut went through.
 
     Removes each byte of the UTF-8 text that a ``length``-byte string covers which also starts anywhere else, in the same
     document or another; strings never cross documents and are judged on the input. Null and empty texts have no bytes.
     Repeated rows are documents of their own, so rows with equal long texts lose all of it. Columns of the added names
     are replaced. ``stable``: as for substring.remove_repeats.
     """
+    bounded_batches(docs.sparkSession)
     plain = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "_row").withColumn("_row", F.monotonically_increasing_id())
     if not stable:
         plain = stored(plain, "documents")
@@ -399,9 +401,10 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, stable: bool = Fal
                 n_bytes.append(len(raw))
                 n_removed.append(gone)
                 n_spans.append(runs)
-                kept.append(b"".join(parts))
-            added = [pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())]
+                left = b"".join(parts)
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
+            added = [pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary())]
             yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    fields = [*joined.schema.fields, *(T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())]
+    fields = [*joined.schema.fields, *(T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.StringType() if as_text else T.BinaryType())]
     return joined.mapInArrow(cut, T.StructType(fields)).drop("_row", "_spans")

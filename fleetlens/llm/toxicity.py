@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cache_of, take_turn
+from .common import bounded_batches, cache_of, take_turn
 
 _WORD = re.compile(r"[^\W_]+")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 150_000
 _words: dict[str, int] = {}
 cache_of("toxicity", lambda: _words.clear())
 
@@ -84,6 +84,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     them. Null texts are empty. Rows with a doc_id of several documents or labels are learnt from each. Without any
     such row the weights are empty, which scores every text 0.5.
     """
+    bounded_batches(docs.sparkSession)
     sample = (
         labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y"))
         .filter(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
@@ -119,6 +120,7 @@ def score(docs: DataFrame, weights: pd.DataFrame, bits: int = 20) -> DataFrame:
     """Adds ``score`` (0 to 1) to ``docs`` from the whole text alone; a null text counts as empty. A column of that name is
     replaced."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast((weights["feature"].to_numpy(np.int64), weights["weight"].to_numpy(float)))
     plain = docs.drop("score")
     at = plain.columns.index("text")

@@ -7,7 +7,7 @@ from fleetlens.llm.components import components
 from fleetlens.llm.near_dup import near_duplicates
 
 
-def brute(docs, percent=85):
+def brute(docs, percent=80):
     def words(t):
         return re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
 
@@ -45,9 +45,9 @@ def corpus():
 def test_against_brute_force(spark):
     docs = corpus()
     df = spark.createDataFrame([(*d, 5, "x") for d in docs], "doc_id long, text string, n long, h string")
-    for block in (40, 1000):
-        got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, block=block).collect())
-        assert got == brute(docs)
+    for block, percent in ((40, 80), (1000, 80), (1000, 85)):
+        got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, percent=percent, block=block).collect())
+        assert got == brute(docs, percent)
 
 
 def test_edges(spark):
