@@ -59,8 +59,8 @@ def _one_of_each_set(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of every group of near-duplicates, and one of its rows with the same shingles."""
-    gone = near_dup.near_duplicates(docs, stable=True).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    """Keeps the document of least doc_id of every group of near-duplicates (five-word shingles, 0.8), and one of its rows with the same shingles."""
+    gone = near_dup.near_duplicates(docs, percent=80, stable=True).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     single = _one_of_each_set(docs)
     return single.join(gone, single["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)
 
@@ -68,14 +68,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts every byte string of ``REPEAT_BYTES`` that occurs more than once out of the texts; characters cut in half go
     too, and n_chars follows the new text."""
-    out = suffix_dedup.remove_repeated_bytes(docs, REPEAT_BYTES, stable=True)
-
-    @F.pandas_udf("string")
-    def whole_characters(kept):  # noqa: ANN001, ANN202
-        return kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
+    out = suffix_dedup.remove_repeated_bytes(docs, REPEAT_BYTES, stable=True, as_text=True)
     hit = F.col("n_removed") > 0
-    out = out.withColumn("text", F.when(hit, whole_characters("kept")).otherwise(F.col("text")))
+    out = out.withColumn("text", F.when(hit, F.col("kept")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(hit, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
