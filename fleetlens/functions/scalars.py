@@ -96,8 +96,11 @@ def has_entity(text: Column) -> Column:
 
 
 def has_prose(text: Column) -> Column:
-    """At least 34 characters and 5 spaces."""
-    return (F.char_length(text) >= 34) & (F.char_length(text) - F.char_length(F.replace(text, F.lit(" "), F.lit(""))) >= 5)
+    """Reads like a sentence: at least 34 characters and 5 spaces, three small letters in a row in its first line, neither markup nor
+    template braces, no leading digit, no key or path, and no generic font family. Whether it is a known key is a join for the caller."""
+    spaces = F.char_length(text) - F.char_length(F.replace(text, F.lit(" "), F.lit("")))
+    sentence = text.rlike(r"^(?=.*[a-z]{3})[^<>{}]*$") & ~text.rlike(r"^[a-z0-9.\-_/]+$") & ~text.rlike(r"^[0-9]")
+    return (F.char_length(text) >= 34) & (spaces >= 5) & sentence & ~text.rlike(r"\b(sans-serif|ui-monospace|monospace|system-ui)\b")
 
 
 def lint_terms(texts: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
@@ -138,10 +141,10 @@ def finish(name: Column) -> Column:
 
 
 def name_tokens(slug: Column, stop: list[str]) -> Column:
-    """Words of at least four letters that are no stop words; all words where none are left."""
-    all_ = F.filter(F.split(F.lower(slug), "[^a-z0-9]+"), lambda x: x != "")
-    kept = F.filter(all_, lambda x: (F.char_length(x) >= 4) & ~x.isin(stop))
-    return F.when(F.size(kept) > 0, kept).otherwise(all_)
+    """Words of at least four letters that are no stop words; the stop words among them too where no other is left."""
+    long = F.filter(F.split(F.lower(slug), "[^a-z0-9]+"), lambda x: F.char_length(x) >= 4)
+    kept = F.filter(long, lambda x: ~x.isin(stop))
+    return F.when(F.size(kept) > 0, kept).otherwise(long)
 
 
 def token_score(tokens: Column, name: Column) -> Column:

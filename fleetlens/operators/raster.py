@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -44,21 +48,31 @@ def tile_checksums(levels: DataFrame, order: list[str]) -> DataFrame:
     return levels.groupBy("image").agg(F.avg("q").alias("mean"), F.min("q").alias("lo"), F.max("q").alias("hi"), F.crc32(F.unhex(b)).alias("crc"), (F.min("q") == F.max("q")).alias("flat"))
 
 
-def same_picture(pairs: DataFrame, hashes: DataFrame, pixels: DataFrame) -> DataFrame:
-    """Pairs (pair, a, b) of images: equal where their tile hashes (image, hash) are; only the others meet pixel by pixel:
-    differing pixels, first of them and largest difference."""
-    h = hashes.select("image", "hash")
-    s = pairs.join(h.select(F.col("image").alias("a"), F.col("hash").alias("ha")), "a").join(h.select(F.col("image").alias("b"), F.col("hash").alias("hb")), "b")
-    other = s.filter("ha <> hb").select("pair", "a", "b")
-    p = other.join(pixels.select(F.col("image").alias("a"), "x", "y", F.col("q").alias("qa")), "a").join(pixels.select(F.col("image").alias("b"), "x", "y", F.col("q").alias("qb")), ["b", "x", "y"])
-    d = p.filter("qa <> qb").groupBy("pair").agg(F.count("*").alias("differ"), F.min(F.col("y") * 8 + F.col("x")).alias("first"), F.max(F.abs(F.col("qa") - F.col("qb"))).alias("worst"))
-    return s.select("pair", (F.col("ha") == F.col("hb")).alias("same")).join(d, "pair", "left").withColumn("differ", F.coalesce("differ", F.lit(0)))
+def tile_hashes(levels: DataFrame, *tile: str) -> DataFrame:
+    """One hash of all pixels of each tile of each image, by a mergeable aggregate: (image, the tile's columns, hash)."""
+    return levels.groupBy("image", *tile).agg(F.bit_xor(F.xxhash64("y", "x", "q")).alias("hash"))
+
+
+def same_picture(pairs: DataFrame, hashes: DataFrame, pixels: DataFrame, tile: list[str], width: int) -> DataFrame:
+    """Pairs (pair, a, b) of images: same where all tiles have equal hashes; only tiles that differ, or that one image lacks, meet pixel
+    by pixel: tiles that differ, differing pixels, the first of them and the largest difference. ``pixels`` has image, the columns of
+    ``tile``, x, y and q."""
+    a = pairs.select("pair", F.col("a").alias("image")).join(hashes, "image").select("pair", *tile, F.col("hash").alias("ha"))
+    b = pairs.select("pair", F.col("b").alias("image")).join(hashes, "image").select("pair", *tile, F.col("hash").alias("hb"))
+    tiles = a.join(b, ["pair", *tile], "full_outer").withColumn("_same", F.col("ha").eqNullSafe(F.col("hb")))
+    whole = tiles.groupBy("pair").agg(F.bool_and("_same").alias("same"), F.count_if(~F.col("_same")).alias("tiles"))
+    other = tiles.filter("not _same and ha is not null and hb is not null").join(pairs, "pair").select("pair", "a", "b", *tile)
+    p = other.join(pixels.select(F.col("image").alias("a"), *tile, "x", "y", F.col("q").alias("qa")), ["a", *tile])
+    p = p.join(pixels.select(F.col("image").alias("b"), *tile, "x", "y", F.col("q").alias("qb")), ["b", *tile, "x", "y"])
+    d = p.filter("qa <> qb").groupBy("pair").agg(F.count("*").alias("differ"), F.min(F.col("y") * width + F.col("x")).alias("first"), F.max(F.abs(F.col("qa") - F.col("qb"))).alias("worst"))
+    return whole.join(d, "pair", "left").withColumn("differ", F.coalesce("differ", F.lit(0)))
 
 
-def tile_audit(levels: DataFrame, size: int, recorded: DataFrame, every: int = 1) -> DataFrame:
-    """Pixels, wrong size, never drawn, mean and share over 40 of the tiles whose number is a multiple of ``every``; mismatch: the mean is
-    more than 0.5 from the recorded one."""
-    g = levels.filter(F.pmod(F.col("image"), F.lit(every)) == 0).groupBy("image").agg(F.count("*").alias("n"), (F.count("*") != size).alias("wrong_size"), (~F.bool_or(F.col("q") != 0)).alias("never_drawn"), F.avg("q").alias("mean"), F.avg((F.col("q") > 40).cast("double")).alias("lit40"))
+def tile_audit(levels: DataFrame, size: int, recorded: DataFrame, width: int, every: int = 1) -> DataFrame:
+    """Of every tile its pixels, wrong size and whether it was never drawn; mean and share over 40 of every ``every``-th pixel in rows of
+    ``width``; mismatch: that mean is more than 0.5 from the recorded one."""
+    taken = F.pmod(F.col("y") * width + F.col("x"), F.lit(every)) == 0
+    g = levels.groupBy("image").agg(F.count("*").alias("n"), (F.count("*") != size).alias("wrong_size"), (~F.bool_or(F.col("q") != 0)).alias("never_drawn"), F.avg(F.when(taken, F.col("q"))).alias("mean"), F.avg(F.when(taken, (F.col("q") > 40).cast("double"))).alias("lit40"))
     return g.join(recorded, "image", "left").withColumn("mismatch", F.abs(F.col("mean") - F.col("recorded")) > 0.5).drop("recorded")
 
 
@@ -240,18 +254,70 @@ def smooth_median3x3(grid: DataFrame) -> DataFrame:
     return grid.join(g, ["image", "tx", "ty"]).select("image", "tx", "ty", F.element_at("_s", (F.floor(F.size("_s") / 2) + 1).cast("int")).alias("v"))
 
 
-def radial_step(grid: DataFrame, radii: list[int], inner: int, outer: int) -> DataFrame:
-    """Per image the centre and radius where the mean inside differs most from the ring around it, in deviations of the ring; at least
-    ``inner`` cells inside and ``outer`` in the ring. Each cell is sent to the centres within reach, and a prefix sum over
-    distance gives every radius at once."""
-    reach = max(radii) + 2
-    centres = grid.select("image", F.col("tx").alias("cx"), F.col("ty").alias("cy"))
-    near = grid.withColumn("_a", F.explode(F.sequence(F.col("tx") - reach, F.col("tx") + reach))).withColumn("_b", F.explode(F.sequence(F.col("ty") - reach, F.col("ty") + reach)))
-    cells = near.select("image", F.col("_a").alias("cx"), F.col("_b").alias("cy"), F.floor(F.hypot(F.col("tx") - F.col("_a"), F.col("ty") - F.col("_b"))).alias("r"), "v").join(centres, ["image", "cx", "cy"], "left_semi")
-    rings = cells.groupBy("image", "cx", "cy", "r").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("ss"))
-    w = Window.partitionBy("image", "cx", "cy").orderBy("r")
-    total = rings.select("image", "cx", "cy", "r", *[F.sum(c).over(w).alias(c) for c in ("n", "s", "ss")], *[F.sum(c).over(w.rangeBetween(1, 2)).alias(f"o{c}") for c in ("n", "s", "ss")])
-    k = total.filter(F.col("r").isin(radii) & (F.col("n") >= inner) & (F.col("on") >= outer))
-    sd = F.sqrt(F.greatest(F.lit(0.0), F.col("oss") / F.col("on") - F.pow(F.col("os") / F.col("on"), 2)))
-    z = k.withColumn("z", ratio(F.abs(F.col("s") / F.col("n") - F.col("os") / F.col("on")), sd)).filter("z is not null")
-    return z.groupBy("image").agg(F.max(F.struct("z", "cx", "cy", "r")).alias("m")).select("image", "m.cx", "m.cy", "m.r", "m.z")
+def _best_circle(f: np.ndarray, inner: int, outer: int) -> tuple[float, int, int, int] | None:
+    """(separation, column, row, radius) of the best circle on a grid of rows and columns, or None: coarse centres, then those around the
+    best."""
+    depth, across = f.shape
+    least, most = max(3, math.floor(across * 0.04 + 0.5)), math.floor(across * 0.45 + 0.5)
+    step = max(1, math.floor(across / 64 + 0.5))
+    ys, xs = np.mgrid[0:depth, 0:across]
+    f = f - f.mean()
+    best: tuple[float, int, int, int] | None = None
+
+    def at(cx: int, cy: int) -> None:
+        nonlocal best
+        ring = np.hypot(xs - cx, ys - cy).astype(np.int64)
+        inside = ring <= most
+        ring, v = ring[inside], f[inside]
+        n, s, ss = (np.concatenate([[0], np.cumsum(np.bincount(ring, w, minlength=most + 1))]) for w in (None, v, v * v))
+        r = np.arange(least, most - 5)
+        far = np.minimum(most, r + np.maximum(4, r // 2))
+        n_in, n_out = n[r + 1], n[far + 1] - n[r + 2]
+        ok = (n_in >= inner) & (n_out >= outer)
+        if not ok.any():
+            return
+        r, far, n_in, n_out = r[ok], far[ok], n_in[ok], n_out[ok]
+        s_out, ss_out = s[far + 1] - s[r + 2], ss[far + 1] - ss[r + 2]
+        sd = np.sqrt(np.maximum(0, ss_out - s_out * s_out / n_out) / np.maximum(1, n_out - 1))
+        z = np.where(sd > 0, (s[r + 1] / n_in - s_out / n_out) / np.where(sd > 0, sd, 1), -np.inf)
+        i = int(z.argmax())
+        if z[i] > (best[0] if best else -np.inf):
+            best = (float(z[i]), cx, cy, int(r[i]))
+
+    for cy in range(0, depth, step):
+        for cx in range(0, across, step):
+            at(cx, cy)
+    if best and step > 1:
+        _, x, y, _ = best
+        for cy in range(max(0, y - step), min(depth - 1, y + step) + 1):
+            for cx in range(max(0, x - step), min(across - 1, x + step) + 1):
+                at(cx, cy)
+    return best
+
+
+def radial_step(grid: DataFrame, inner: int = 24, outer: int = 48) -> DataFrame:
+    """Per image (image, tx, ty, v: one row a cell) the circle whose inside stands out most over the ring around it, in deviations of the ring: image, cx, cy, r, z,
+    and edge, the cells between the centre and the nearest border; images without a fit are left out. Centres are tried on a grid of
+    about 64 columns and then one by one around the best; radii go from 4 % to 45 % of the width; an inside of fewer than
+    ``inner`` cells or a ring of fewer than ``outer`` is no comparison. Missing cells count as 0. An image is one group, bounded by its
+    cells, and images are fitted in parallel; a join of centres with cells would shuffle each cell once per centre."""
+
+    def fit(t: pa.Table) -> pa.Table:
+        x, y, v = (t.column(c).to_numpy() for c in ("tx", "ty", "v"))
+        f = np.zeros((int(y.max()) + 1, int(x.max()) + 1))
+        f[y, x] = v
+        got = _best_circle(f, inner, outer)
+        rows = [] if got is None else [(t.column("image")[0].as_py(), got[1], got[2], got[3], got[0], min(got[1], f.shape[1] - 1 - got[1], got[2], f.shape[0] - 1 - got[2]))]
+        kinds = (t.schema.field("image").type, pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32())
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["image", "cx", "cy", "r", "z", "edge"])
+
+    cells = grid.select("image", F.col("tx").cast("int").alias("tx"), F.col("ty").cast("int").alias("ty"), F.col("v").cast("double").alias("v"))
+    return cells.groupBy("image").applyInArrow(fit, f"image {dict(grid.dtypes)['image']}, cx int, cy int, r int, z double, edge int")
+
+
+def radial_verdict(target: DataFrame, control: DataFrame, key: str = "pair") -> DataFrame:
+    """Fits (of radial_step, with ``key``) against those of controls that hold no circle: ratio of the separations and whether the target's is
+    usable: refused where the ratio is under 1.8 or the centre lies within a cell of the border; without a control it is unproven."""
+    j = target.join(control.select(key, F.col("z").alias("control_z")), key, "left").withColumn("to_control", ratio(F.col("z"), F.col("control_z")))
+    verdict = F.when(F.col("edge") <= 1, "at the edge").when(F.col("to_control").isNull(), "unproven").when(F.col("to_control") < 1.8, "too close").otherwise("separated")
+    return j.withColumn("verdict", verdict)

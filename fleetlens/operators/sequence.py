@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,17 +104,22 @@ def kinematics(points: DataFrame, key: str, t: str, half: float, slow: float, li
 
 
 def dwell(points: DataFrame, key: str, slow: float, decay: float = 0.85) -> DataFrame:
-    """Leaky accumulator per point: + dt while v is below ``slow``, else times ``decay``. Each key's points are a stroke, a bounded
-    array; strokes run in parallel. ``points`` has key, seq, v, dt; a null v counts as fast."""
-    strokes = points.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "v", "dt"))).alias("p"))
-    step = lambda a, p: F.when(F.coalesce(p["v"] < slow, F.lit(False)), a["d"] + p["dt"]).otherwise(a["d"] * decay)
-    walked = F.aggregate(
-        "p",
-        F.struct(F.lit(0.0).alias("d"), F.array().cast("array<struct<seq:bigint,dwell:double>>").alias("out")),
-        lambda a, p: F.struct(step(a, p).alias("d"), F.concat(a["out"], F.array(F.struct(p["seq"].cast("bigint").alias("seq"), step(a, p).alias("dwell")))).alias("out")),
-        lambda a: a["out"],
-    )
-    return strokes.select(key, F.explode(walked).alias("r")).select(key, "r.seq", "r.dwell")
+    """Leaky accumulator per point: + dt while v is below ``slow``, else times ``decay``. ``points`` has key, seq, v, dt; a null v counts
+    as fast. Keys are dealt over tasks and each task walks its points in order once, holding one number, however long a stroke is."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, d, begun = None, 0.0, False
+        for b in batches:
+            out = []
+            for k, v, dt in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if not begun or k != now:
+                    now, d, begun = k, 0.0, True
+                d = d + dt if v is not None and v < slow else d * decay
+                out.append(d)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], names=[key, "seq", "dwell"])
+
+    rows = points.select(key, F.col("seq").cast("long").alias("seq"), F.col("v").cast("double").alias("v"), F.coalesce(F.col("dt").cast("double"), F.lit(0.0)).alias("dt"))
+    return rows.repartition(key).sortWithinPartitions(key, "seq").mapInArrow(walk, f"{key} {dict(points.dtypes)[key]}, seq long, dwell double")
 
 
 def thin_series(rows: DataFrame, key: str, seq: str, cap: int, run: int = 1) -> DataFrame:

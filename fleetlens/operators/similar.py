@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import product
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
 from .stats import ratio
 
 
@@ -15,58 +20,103 @@ def standardise(features: DataFrame, key: str, axis: str, value: str) -> DataFra
     return features.join(m, axis).select(key, axis, ((F.col(value) - F.col("_m")) / (F.col("_s") + 1e-9)).alias("z"))
 
 
-def pair_within(vectors: DataFrame, key: str, vector: str, radius: float, cell: float | None = None, dims: int = 3) -> DataFrame:
-    """Pairs (a < b) of vectors at a Euclidean distance of at most ``radius``. The first ``dims`` components are cut into cells as wide as
-    the radius; a vector goes to its own cell, and its partner to that and all around it, so no pair is lost and each is met once."""
-    cell = cell or radius
-    at = [F.floor(F.col(vector)[i] / cell).alias(f"_c{i}") for i in range(dims)]
-    reach = int(-(-radius // cell))
-    left = vectors.select(F.col(key).alias("a"), F.col(vector).alias("va"), *at)
-    shifts = F.array(*[F.array(*[F.lit(d) for d in s]) for s in _grid(reach, dims)])
-    right = vectors.select(F.col(key).alias("b"), F.col(vector).alias("vb"), *at).withColumn("_s", F.explode(shifts))
-    right = right.select("b", "vb", *[(F.col(f"_c{i}") + F.col("_s")[i]).alias(f"_c{i}") for i in range(dims)])
-    d = F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    return left.join(right, [f"_c{i}" for i in range(dims)]).filter("a < b").withColumn("distance", d).filter(F.col("distance") <= radius).select("a", "b", "distance")
-
-
-def _grid(reach: int, dims: int) -> list[tuple[int, ...]]:
-    out: list[tuple[int, ...]] = [()]
-    for _ in range(dims):
-        out = [(*x, d) for x in out for d in range(-reach, reach + 1)]
-    return out
-
-
-def radius_thin(edges: DataFrame, points: DataFrame, key: str, priority: str, most_rounds: int = 100) -> DataFrame:
+def _spread_axes(vectors: DataFrame, key: str, vector: str, dims: int, most: int = 4096) -> np.ndarray:
+    """``dims`` orthonormal directions of largest spread, from at most ``most`` vectors; any such directions give the same pairs."""
+    rows = vectors.filter(F.size(vector) > 0).orderBy(F.xxhash64(key)).limit(most).select(vector).collect()
+    if not rows:
+        return np.zeros((0, 0))
+    x = np.array([r[0] for r in rows], float)
+    x -= x.mean(axis=0)
+    return np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :dims].T
+
+
+def pair_within(vectors: DataFrame, key: str, vector: str, radius: float, dims: int = 3, block: int = 2048) -> DataFrame:
+    """Pairs (a < b) of vectors at a Euclidean distance of at most ``radius``, none lost.
+
+    Vectors are projected on ``dims`` orthonormal directions of large spread, which shortens no distance's lower bound, and cut into
+    cells as wide as the radius. A vector stays in its cell and visits the half of the neighbouring cells that come after it, so each
+    pair meets once. Cells are split into blocks of about ``block`` vectors a side, each pair of blocks a task's matrix product. Where
+    the radius is wide against the spread of the data there are few cells and the work is that of all pairs, in blocks. All vectors
+    are of one length, without nulls inside; null vectors and keys take no part, and rows of one key never meet.
+    """
+    axes = _spread_axes(vectors, key, vector, dims)
+    own = dict(vectors.dtypes)[key]
+    if not len(axes):
+        return vectors.select(F.col(key).alias("a"), F.col(key).alias("b"), F.lit(0.0).alias("distance")).filter(F.lit(False))
+    width = radius if radius > 0 else 1.0
+    rows = vectors.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    dot = lambda axis: F.aggregate(F.zip_with("v", F.array(*[F.lit(float(c)) for c in axis]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    cells = [f"c{i}" for i in range(len(axes))]
+    home = rows.select("k", "v", *[F.floor(dot(a) / width).alias(c) for a, c in zip(axes, cells, strict=True)])
+    after = [s for s in product((-1, 0, 1), repeat=len(axes)) if s > (0,) * len(axes)]
+    guests = home.withColumn("_s", F.explode(F.array(*[F.array(*map(F.lit, s)) for s in after])))
+    guests = guests.select("k", "v", *[(F.col(c) + F.col("_s")[i]).alias(c) for i, c in enumerate(cells)], F.lit(True).alias("guest"))
+    home = home.withColumn("guest", F.lit(False))
+    n_home = home.groupBy(*cells).agg(F.ceil(F.count("*") / block).cast("int").alias("nx"))
+    others = home.unionByName(guests.join(n_home.select(*cells), cells, "left_semi"))
+    sizes = n_home.join(others.groupBy(*cells).agg(F.ceil(F.count("*") / block).cast("int").alias("ny")), cells)
+    part = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = home.join(sizes, cells).select("k", "v", *cells, "guest", part("nx").alias("x"), every("ny").alias("y"), F.lit(True).alias("left"))
+    right = others.join(sizes, cells).select("k", "v", *cells, "guest", every("nx").alias("x"), part("ny").alias("y"), F.lit(False).alias("left"))
+
+    def meet(t: pa.Table) -> pa.Table:
+        is_left, guest = t.column("left").to_numpy(), t.column("guest").to_numpy()
+        keys = t.column("k").to_numpy(zero_copy_only=False)
+        v = t.column("v").combine_chunks().flatten().to_numpy().reshape(len(keys), -1)
+        i, j = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+        out: list[tuple[np.ndarray, ...]] = []
+        norm = (v * v).sum(axis=1)
+        for s in range(0, len(i), 512):
+            p = i[s : s + 512]
+            square = norm[p][:, None] + norm[j] - 2 * (v[p] @ v[j].T)
+            r, c = np.nonzero(square <= radius * radius + 1e-9 * (1 + norm[p][:, None] + norm[j]))
+            x, y = p[r], j[c]
+            fit = guest[y] & (keys[x] != keys[y]) | (keys[x] < keys[y])
+            x, y = x[fit], y[fit]
+            d = np.sqrt(((v[x] - v[y]) ** 2).sum(axis=1))
+            near = d <= radius
+            out.append((keys[x[near]], keys[y[near]], d[near]))
+        a, b, d = (np.concatenate(c) if out else np.empty(0) for c in (zip(*out, strict=True) if out else ((), (), ())))
+        low = a < b
+        kind = t.schema.field("k").type
+        return pa.table({"a": pa.array(np.where(low, a, b), kind), "b": pa.array(np.where(low, b, a), kind), "distance": pa.array(d, pa.float64())})
+
+    return left.unionByName(right).groupBy(*cells, "x", "y").applyInArrow(meet, f"a {own}, b {own}, distance double")
+
+
+def nearest_pairs(vectors: DataFrame, key: str, vector: str, k: int, sample: int = 1000) -> DataFrame:
+    """The ``k`` closest pairs (a < b) of all, nearest first, equals by a and b. The k-th distance among a bounded sample bounds the k-th
+    of all, so the pairs within it hold the answer."""
+    rows = vectors.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).orderBy(F.xxhash64(key)).limit(sample).select(key, vector).collect()
+    x = np.array([r[1] for r in rows], float).reshape(len(rows), -1)
+    d = np.concatenate([np.sqrt(((x[i + 1 :] - x[i]) ** 2).sum(axis=1)) for i in range(len(x))]) if len(x) > 1 else np.zeros(1)
+    bound = float(np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1] if len(d) >= k else d.max()) * (1 + 1e-9)
+    return pair_within(vectors, key, vector, bound).orderBy("distance", "a", "b").limit(k)
+
+
+def radius_thin(edges: DataFrame, points: DataFrame, key: str, priority: str) -> DataFrame:
     """Greedy thinning: in order of priority (largest first, then least key) a point is kept if no kept one is its neighbour in ``edges``
     (a, b). Rounds keep every live point without a live neighbour before it and drop the neighbours of those; the kept set is that of
-    the sequential order. Each round is written to the shared folder."""
+    the sequential order. Every round settles at least the first live point, so it ends; each round is written to the shared folder."""
     spark = points.sparkSession
-    _ensure_checkpoints(spark)
+    shared_dir(spark)
     rank = points.select(F.col(key).alias("p"), F.col(priority).alias("w"))
     r1, r2 = rank.toDF("a", "wa"), rank.toDF("b", "wb")
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     # later -> earlier neighbours
     before = both.join(r1, "a").join(r2, "b").filter((F.col("wb") > F.col("wa")) | (F.col("wb") == F.col("wa")) & (F.col("b") < F.col("a"))).select("a", "b").checkpoint()
     live, kept = rank.select("p").checkpoint(), None
-    for _ in range(most_rounds):
+    while True:
         blocked = before.select(F.col("a").alias("p")).distinct()
         free = live.join(blocked, "p", "left_anti").checkpoint()
         kept = free if kept is None else kept.union(free)
         gone = before.join(free.select(F.col("p").alias("b")), "b", "left_semi").select(F.col("a").alias("p")).distinct().checkpoint()
-        live = live.join(free, "p", "left_anti").join(gone, "p", "left_anti").checkpoint()
         settled = free.union(gone).checkpoint()
+        live = live.join(settled, "p", "left_anti").checkpoint()
         before = before.join(settled.select(F.col("p").alias("a")), "a", "left_anti").join(settled.select(F.col("p").alias("b")), "b", "left_anti").checkpoint()
         if live.isEmpty():
             return points.join(kept.withColumnRenamed("p", key), key, "left_semi")
-    raise RuntimeError("thinning did not settle")
-
-
-def _ensure_checkpoints(spark) -> None:
-    import tempfile
-
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="fleetlens-"))
 
 
 def layer_fingerprint(components: DataFrame, area_total: float) -> DataFrame:
@@ -81,7 +131,6 @@ def layer_fingerprint(components: DataFrame, area_total: float) -> DataFrame:
 def width_breaks(components: DataFrame, k: int = 3, rounds: int = 40) -> DataFrame:
     """Break points of an image's ln widths by one-dimensional k-means, seeded at quantiles: the midpoints between neighbouring means, empty
     where there are fewer than k widths. The widths of an image are first counted by value, so a group is as large as its distinct widths."""
-    import numpy as np
     import pandas as pd
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -120,10 +169,12 @@ def stroke_share(components: DataFrame) -> DataFrame:
     return thin.groupBy("image").agg(F.avg((F.col("length") >= 3 * F.col("width")).cast("double")).alias("share"))
 
 
-def pen_capability(events: DataFrame, kind: str, pressure: str, tilt: str, hover: str, t: str) -> DataFrame:
-    """Per pointer kind: distinct pressures at three digits, range, verdict (none, on-off, levels, maybe), tilted and hovering events, and
-    events a second."""
-    g = events.groupBy(kind).agg(F.count("*").alias("n"), F.count_distinct(F.round(pressure, 3)).alias("levels"), F.min(pressure).alias("lo"), F.max(pressure).alias("hi"), F.count_if(F.col(tilt) != 0).alias("tilted"), F.count_if(F.col(hover)).alias("hovering"), ((F.max(t) - F.min(t)) / 1e6).alias("_s"))
+def pen_capability(events: DataFrame, kind: str, pressure: str, tilt: str, hover: str, t: str, points: str) -> DataFrame:
+    """Per pointer kind: distinct pressures at three digits, range, verdict (none, on-off, levels, maybe), tilted and hovering events,
+    events a second, and points an event of those that do not hover (``points``: how many an event stands for)."""
+    down = ~F.coalesce(F.col(hover), F.lit(False))
+    an_event = (F.sum(F.when(down, F.col(points))) / F.greatest(F.count_if(down), F.lit(1))).alias("points_per_event")
+    g = events.groupBy(kind).agg(an_event, F.count("*").alias("n"), F.count_distinct(F.round(pressure, 3)).alias("levels"), F.min(pressure).alias("lo"), F.max(pressure).alias("hi"), F.count_if(F.col(tilt) != 0).alias("tilted"), F.count_if(F.col(hover)).alias("hovering"), ((F.max(t) - F.min(t)) / 1e6).alias("_s"))
     v = F.when(F.col("levels") <= 1, "none").when(F.col("levels") == 2, "on-off").when((F.col("levels") >= 8) & (F.col("hi") - F.col("lo") > 0.2), "levels").otherwise("maybe")
     return g.withColumns({"verdict": v, "per_second": ratio(F.col("n"), F.col("_s"))}).drop("_s")
 

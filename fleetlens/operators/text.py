@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import fold_text, strip_derivative
+from ..functions.scalars import fold_text, placeholders, strip_derivative
 
 
 def resolve(folder: Column, ref: Column) -> Column:
@@ -72,10 +72,26 @@ def keep_terms(source: DataFrame, target: DataFrame, glossary: DataFrame, key: s
     return j.filter(~F.contains("_x", "_f")).select(key, "lang", "term")
 
 
-def context_coverage(keys: DataFrame, context: DataFrame, key: str) -> DataFrame:
-    """Keys without a context and contexts without a key."""
-    k, c = keys.select(key).distinct(), context.select(key).distinct()
-    return k.join(c, key, "left_anti").withColumn("problem", F.lit("unexplained")).unionByName(c.join(k, key, "left_anti").withColumn("problem", F.lit("stale")))
+def context_coverage(keys: DataFrame, context: DataFrame, glossary: DataFrame, key: str) -> DataFrame:
+    """What a translator could not work from: (key, problem, detail). Keys (key, text) and their contexts (key, where, placeholders
+    map<string,string>, terms array<string>) are met by key, cited terms by the glossary (term).
+
+    Problems: unexplained, a key without a context; nowhere, a context that says not where its text stands; undescribed and empty, a
+    placeholder of the text without a description or with a blank one; unknown term; stale, a context without a key. Details are
+    the placeholder or term, else null."""
+    k = keys.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list(placeholders(F.col("text"))))).alias("_holes")).withColumn("_k", F.lit(True))
+    j = k.join(context.select(key, "where", "placeholders", "terms", F.lit(True).alias("_c")), key, "full_outer")
+    both = j.filter("_k and _c")
+    none = F.lit(None).cast("string")
+    hole = both.select(key, "placeholders", F.explode("_holes").alias("detail"))
+    said = F.try_element_at("placeholders", F.col("detail"))
+    cited = both.select(key, F.explode(F.array_distinct("terms")).alias("detail"))
+    return (
+        j.filter("_c is null or _k is null").select(key, F.when(F.col("_c").isNull(), "unexplained").otherwise("stale").alias("problem"), none.alias("detail"))
+        .unionByName(both.filter(F.coalesce("where", F.lit("")) == "").select(key, F.lit("nowhere").alias("problem"), none.alias("detail")))
+        .unionByName(hole.filter(F.coalesce(F.trim(said), F.lit("")) == "").select(key, F.when(F.coalesce(said, F.lit("")) == "", "undescribed").otherwise("empty").alias("problem"), "detail"))
+        .unionByName(cited.join(glossary.select(F.col("term").alias("detail")), "detail", "left_anti").select(key, F.lit("unknown term").alias("problem"), "detail"))
+    )
 
 
 def catalogue_status(index: DataFrame, packs: DataFrame, key: str) -> DataFrame:

@@ -93,9 +93,15 @@ def b13_placeholders(spark, sf):
     return t.table(spark, sf, "documents").select("doc_id", F.array_join(sc.placeholders(holes()), ",").alias("holes"))
 
 
-@query(r"""SELECT page_id, regexp_matches(html, '&(#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);') AS entity, length(url) >= 34 AND length(url) - length(replace(url, '/', '')) >= 5 AS prose FROM pages""")
+@query(r"""SELECT page_id, regexp_matches(html, '&(#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);') AS entity FROM pages""")
 def b14_html_entities(spark, sf):
-    return t.table(spark, sf, "pages").select("page_id", sc.has_entity(F.col("html")).alias("entity"), sc.has_prose(F.translate("url", "/", " ")).alias("prose"))
+    return t.table(spark, sf, "pages").select("page_id", sc.has_entity(F.col("html")).alias("entity"))
+
+
+@query(r"""SELECT doc_id, length(text) >= 34 AND length(text) - length(replace(text, ' ', '')) >= 5 AND regexp_matches(split_part(text, chr(10), 1), '[a-z]{3}') AND NOT regexp_matches(text, '[<>{}]') AND NOT regexp_matches(text, '^[a-z0-9.\-_/]+$')
+ AND NOT regexp_matches(text, '^[0-9]') AND NOT regexp_matches(text, '\b(sans-serif|ui-monospace|monospace|system-ui)\b') AS prose FROM documents""")
+def b14_has_prose(spark, sf):
+    return t.table(spark, sf, "documents").select("doc_id", sc.has_prose(F.col("text")).alias("prose"))
 
 
 @query("""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS term FROM documents), d AS (SELECT DISTINCT lower(split_part(p_name, ' ', 2)) AS term FROM part UNION SELECT unnest(['und', 'the', 'des', 'los']))
@@ -127,7 +133,7 @@ def b18_finish(spark, sf):
     return t.table(spark, sf, "part").select("p_partkey", sc.finish(F.col("p_type")).alias("finish"))
 
 
-@query("""WITH a AS (SELECT p_partkey, p_type, list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM part), k AS (SELECT *, list_filter(w, lambda x: length(x) >= 4 AND x NOT IN ('small', 'large')) AS k FROM a),
+@query("""WITH a AS (SELECT p_partkey, p_type, list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: length(x) >= 4) AS w FROM part), k AS (SELECT *, list_filter(w, lambda x: x NOT IN ('small', 'large')) AS k FROM a),
  n AS (SELECT *, CASE WHEN len(k) > 0 THEN k ELSE w END AS tk FROM k) SELECT p_partkey, array_to_string(tk, ' ') AS tokens, len(list_filter(tk, lambda x: contains(regexp_replace(lower(p_type || ' ring-bolt widget'), '[^a-z0-9]+', '', 'g'), x)))::INT AS score FROM n""")
 def b19_token_score(spark, sf):
     tokens = sc.name_tokens(F.col("p_name"), ["small", "large"])

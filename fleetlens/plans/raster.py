@@ -45,23 +45,25 @@ def d39_tile_checksums(spark, sf):
     return op.tile_checksums(t.levels(spark, sf), ["y", "x"])
 
 
-@query(f"""WITH {t.LEVELS}, s AS (SELECT image, x, y, CASE WHEN image % 6 IN (0, 1) THEN 7 ELSE q END AS q FROM levels), h AS (SELECT image, string_agg(q::VARCHAR, ',' ORDER BY y, x) AS hash FROM s GROUP BY image),
- p AS (SELECT a.image // 2 AS pair, a.image AS a, b.image AS b, a.hash = b.hash AS same FROM h a JOIN h b ON a.image % 2 = 0 AND b.image = a.image + 1),
- d AS (SELECT p.pair, count(*) AS differ, min(x.y * 8 + x.x) AS first, max(abs(x.q - y.q)) AS worst FROM p JOIN s x ON x.image = p.a JOIN s y ON y.image = p.b AND x.x = y.x AND x.y = y.y WHERE x.q <> y.q GROUP BY 1)
-SELECT pair, same, coalesce(differ, 0) AS differ, first, worst FROM p LEFT JOIN d USING (pair)""")
+@query(f"""WITH {t.LEVELS}, s AS (SELECT image, x, y, x // 4 AS tx, y // 4 AS ty, CASE WHEN image % 6 IN (0, 1) AND x < 4 THEN 7 ELSE q END AS q FROM levels), h AS (SELECT image, tx, ty, string_agg(q::VARCHAR, ',' ORDER BY y, x) AS hash FROM s GROUP BY ALL),
+ p AS (SELECT a.image // 2 AS pair, tx, ty, a.image AS a, b.image AS b, a.hash = b.hash AS same FROM h a JOIN h b USING (tx, ty) WHERE a.image % 2 = 0 AND b.image = a.image + 1),
+ w AS (SELECT pair, bool_and(same) AS same, count(*) FILTER (NOT same) AS tiles FROM p GROUP BY pair),
+ d AS (SELECT p.pair, count(*) AS differ, min(x.y * 8 + x.x) AS first, max(abs(x.q - y.q)) AS worst FROM (SELECT DISTINCT pair, a, b FROM p) p JOIN s x ON x.image = p.a JOIN s y ON y.image = p.b AND x.x = y.x AND x.y = y.y WHERE x.q <> y.q GROUP BY 1)
+SELECT pair, same, tiles, coalesce(differ, 0) AS differ, first, worst FROM w LEFT JOIN d USING (pair)""")
 def d40_same_picture(spark, sf):
-    q = t.levels(spark, sf).withColumn("q", F.when(F.col("image") % 6 < 2, 7).otherwise(F.col("q")))
-    h = q.groupBy("image").agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("y", "x", "q")))).alias("hash"))
-    pairs = h.filter("image % 2 = 0").select(F.expr("image div 2").alias("pair"), F.col("image").alias("a"), (F.col("image") + 1).alias("b"))
-    return op.same_picture(pairs, h, q)
+    q = t.levels(spark, sf).withColumn("q", F.when((F.col("image") % 6 < 2) & (F.col("x") < 4), 7).otherwise(F.col("q")))
+    q = q.withColumns({"tx": F.expr("x div 4"), "ty": F.expr("y div 4")})
+    e = t.table(spark, sf, "embeddings").select(F.col("vec_id").alias("a"))
+    pairs = e.filter("a % 2 = 0").withColumn("b", F.col("a") + 1).join(e.select(F.col("a").alias("b")), "b", "left_semi").select(F.expr("a div 2").alias("pair"), "a", "b")
+    return op.same_picture(pairs, op.tile_hashes(q, "tx", "ty"), q, ["tx", "ty"], 8)
 
 
-@query(f"""WITH {t.LEVELS}, g AS (SELECT image, count(*) AS n, count(*) <> 64 AS wrong_size, NOT bool_or(q <> 0) AS never_drawn, avg(q) AS mean, avg((q > 40)::INT) AS lit40 FROM levels WHERE image % 5 = 0 GROUP BY image)
+@query(f"""WITH {t.LEVELS}, g AS (SELECT image, count(*) AS n, count(*) <> 64 AS wrong_size, NOT bool_or(q <> 0) AS never_drawn, avg(q) FILTER ((y * 8 + x) % 5 = 0) AS mean, avg((q > 40)::INT) FILTER ((y * 8 + x) % 5 = 0) AS lit40 FROM levels GROUP BY image)
 SELECT image, n, wrong_size, never_drawn, round(mean, 6) AS mean, round(lit40, 6) AS lit40, abs(mean - label * 4) > 0.5 AS mismatch FROM g JOIN embeddings ON vec_id = image""")
 def d41_tile_audit(spark, sf):
     q = t.levels(spark, sf)
     recorded = t.table(spark, sf, "embeddings").select(F.col("vec_id").alias("image"), (F.col("label") * 4).alias("recorded"))
-    return rounded(op.tile_audit(q, 64, recorded, 5), 6)
+    return rounded(op.tile_audit(q, 64, recorded, 8, 5), 6)
 
 
 @query(f"""WITH {t.PIXELS}, r AS (SELECT *, v - avg(v) OVER (PARTITION BY image, x // 2, y // 2) AS r FROM pixels)
@@ -227,9 +229,17 @@ def w10_smooth_median3x3(spark, sf):
     return op.smooth_median3x3(t.pixels(spark, sf).select("image", F.col("x").alias("tx"), F.col("y").alias("ty"), "v"))
 
 
+def sheets(spark, sf):
+    """Nine rasters of 8 x 8 as one sheet of 24 x 24 cells; the last may be partly empty."""
+    at = F.col("image") % 9
+    return t.pixels(spark, sf).select(F.expr("image div 9").alias("image"), (at % 3 * 8 + F.col("x")).alias("tx"), (F.floor(at / 3) * 8 + F.col("y")).alias("ty"), "v")
+
+
 @query()
 def w11_radial_step(spark, sf):
-    return op.radial_step(t.pixels(spark, sf).select("image", F.col("x").alias("tx"), F.col("y").alias("ty"), "v"), [1, 2], 5, 8)
+    """Every other sheet is a target, the one after it its control."""
+    fits = op.radial_step(op.smooth_median3x3(sheets(spark, sf))).withColumn("pair", F.expr("image div 2"))
+    return rounded(op.radial_verdict(fits.filter("image % 2 = 0"), fits.filter("image % 2 = 1")), 6)
 
 
 @query(f"""WITH {t.PIXELS}, l AS (SELECT image, x // 2 AS lx, y // 2 AS ly, max(v) AS large_v FROM pixels GROUP BY 1, 2, 3)

@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return keep
 
 
-from . import fleet, policy, quality, raster, sequence, similar, text_pages, timing  # noqa: E402, F401
+from . import fleet, policy, quality, raster, sequence, similar, sources, text_pages, timing  # noqa: E402, F401

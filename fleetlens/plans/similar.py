@@ -23,6 +23,11 @@ def c11_pair_within(spark, sf):
     return rounded(op.pair_within(vectors(spark, sf), "image", "v", 0.9), 6)
 
 
+@query(f"WITH {_PAIRS} SELECT a, b, round(distance, 6) AS distance FROM pr ORDER BY pr.distance, a, b LIMIT 8")
+def c11_nearest_pairs(spark, sf):
+    return rounded(op.nearest_pairs(vectors(spark, sf), "image", "v", 8), 6)
+
+
 @query("""SELECT vec_id AS image, p AS axis, round((embedding[p] - avg(embedding[p]::DOUBLE) OVER (PARTITION BY p)) / (stddev_pop(embedding[p]::DOUBLE) OVER (PARTITION BY p) + 1e-9), 6) AS z FROM (SELECT *, unnest(range(1, 65)) AS p FROM embeddings)""")
 def d55_standardise(spark, sf):
     tall = vectors(spark, sf).select("image", F.posexplode("v").alias("p", "value")).select("image", (F.col("p") + 1).cast("long").alias("axis"), "value")
@@ -62,11 +67,11 @@ def d58_stroke_share(spark, sf):
     return rounded(op.stroke_share(t.components(spark, sf)), 6)
 
 
-@query(f"""WITH {t.SAMPLES}, g AS (SELECT kind, count(*) AS n, count(DISTINCT round(value / 500, 3)) AS levels, min(value / 500) AS lo, max(value / 500) AS hi, count(*) FILTER (series % 3 <> 0) AS tilted, count(*) FILTER (id % 5 = 0) AS hovering, (max(t) - min(t)) / 1e6 AS s FROM samples GROUP BY kind)
-SELECT kind, n, levels, lo, hi, tilted, hovering, CASE WHEN levels <= 1 THEN 'none' WHEN levels = 2 THEN 'on-off' WHEN levels >= 8 AND hi - lo > 0.2 THEN 'levels' ELSE 'maybe' END AS verdict, round(n / s, 8) AS per_second FROM g""")
+@query(f"""WITH {t.SAMPLES}, g AS (SELECT kind, count(*) AS n, count(DISTINCT round(value / 500, 3)) AS levels, min(value / 500) AS lo, max(value / 500) AS hi, count(*) FILTER (series % 3 <> 0) AS tilted, count(*) FILTER (id % 5 = 0) AS hovering, (max(t) - min(t)) / 1e6 AS s, sum(CASE WHEN id % 5 > 0 THEN id % 4 + 1 END) AS pts FROM samples GROUP BY kind)
+SELECT kind, n, levels, lo, hi, tilted, hovering, CASE WHEN levels <= 1 THEN 'none' WHEN levels = 2 THEN 'on-off' WHEN levels >= 8 AND hi - lo > 0.2 THEN 'levels' ELSE 'maybe' END AS verdict, round(n / s, 8) AS per_second, round(pts / greatest(n - hovering, 1), 8) AS points_per_event FROM g""")
 def d65_pen_capability(spark, sf):
-    s = t.samples(spark, sf).select("kind", (F.col("value") / 500).alias("p"), (F.col("series") % 3).alias("tilt"), (F.col("id") % 5 == 0).alias("hover"), "t")
-    return op.pen_capability(s, "kind", "p", "tilt", "hover", "t").withColumn("per_second", F.round("per_second", 8))
+    s = t.samples(spark, sf).select("kind", (F.col("value") / 500).alias("p"), (F.col("series") % 3).alias("tilt"), (F.col("id") % 5 == 0).alias("hover"), "t", (F.col("id") % 4 + 1).alias("points"))
+    return op.pen_capability(s, "kind", "p", "tilt", "hover", "t", "points").withColumns({c: F.round(c, 8) for c in ("per_second", "points_per_event")})
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem""")

@@ -38,9 +38,11 @@ def c13_dead_links(spark, sf):
     return op.dead_links(links, files, "folder", "ref", "path").select("page_id", "n", "target")
 
 
-@query("""SELECT left(text, 5) AS signature, count(DISTINCT lang) AS labels FROM documents GROUP BY 1 HAVING count(DISTINCT lang) > 1""")
+@query("""SELECT concat_ws('-', length(text), len(string_split(text, ' '))) AS signature, count(DISTINCT lang) AS labels FROM documents GROUP BY 1 HAVING count(DISTINCT lang) > 1""")
 def d66_distinct_or_collide(spark, sf):
-    return op.distinct_or_collide(t.table(spark, sf, "documents").select(F.left("text", F.lit(5)).alias("signature"), "lang"), "signature", "lang")
+    """Texts are signed by their characters and words; texts of several languages share a signature here and there."""
+    signature = F.concat_ws("-", F.char_length("text"), F.size(F.split("text", " ")))
+    return op.distinct_or_collide(t.table(spark, sf, "documents").select(signature.alias("signature"), "lang"), "signature", "lang")
 
 
 @query(rf"""WITH {_REFS}, o AS (SELECT *, regexp_replace(regexp_replace(ref, '[?#].*$', ''), '(-p-\d+)?(\.[A-Za-z]{{2,5}})?$', '') AS original FROM refs) SELECT page_id % 10 AS g, original, arg_min(ref, page_id * 1000 + n) AS ref, count(*) AS variants FROM o GROUP BY 1, 2""")
@@ -94,7 +96,23 @@ def q8_keep_terms(spark, sf):
     return op.keep_terms(source, target, glossary, "doc_id", "text")
 
 
-@query("""WITH k AS (SELECT DISTINCT p_partkey FROM part), c AS (SELECT DISTINCT l_partkey + 3 AS p_partkey FROM lineitem WHERE l_quantity > 30)
-SELECT p_partkey, 'unexplained' AS problem FROM k WHERE p_partkey NOT IN (SELECT p_partkey FROM c) UNION ALL SELECT p_partkey, 'stale' FROM c WHERE p_partkey NOT IN (SELECT p_partkey FROM k)""")
+@query("""WITH k AS (SELECT DISTINCT p_partkey, replace(p_name, ' ', '-') AS name, split_part(p_name, ' ', 1) AS h1, split_part(p_name, ' ', 2) AS h2, p_size FROM part),
+ c AS (SELECT DISTINCT l_partkey + 3 AS p_partkey FROM lineitem WHERE l_quantity > 30),
+ g AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS term FROM part WHERE p_size > 25),
+ b AS (SELECT k.* FROM k JOIN c USING (p_partkey)),
+ h AS (SELECT p_partkey, unnest(list_distinct([h1, h2])) AS hole, h1, h2 FROM b)
+SELECT p_partkey, 'unexplained' AS problem, NULL::VARCHAR AS detail FROM k WHERE p_partkey NOT IN (SELECT p_partkey FROM c)
+ UNION ALL SELECT p_partkey, 'stale', NULL FROM c WHERE p_partkey NOT IN (SELECT p_partkey FROM k)
+ UNION ALL SELECT p_partkey, 'nowhere', NULL FROM b WHERE p_partkey % 5 = 0
+ UNION ALL SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'empty' ELSE 'undescribed' END, hole FROM h WHERE hole = h2 AND h2 <> h1 AND p_partkey % 3 < 2
+ UNION ALL SELECT p_partkey, 'unknown term', h2 FROM b WHERE h2 NOT IN (SELECT term FROM g)""")
 def q9_context_coverage(spark, sf):
-    return op.context_coverage(t.table(spark, sf, "part"), t.table(spark, sf, "lineitem").filter("l_quantity > 30").select((F.col("l_partkey") + 3).alias("p_partkey")), "p_partkey")
+    """Keys are parts, their texts hold the two words of the name as placeholders; contexts are made of line items."""
+    part = t.table(spark, sf, "part")
+    words = [F.split_part("p_name", F.lit(" "), F.lit(i)) for i in (1, 2)]
+    keys = part.select("p_partkey", F.concat(F.lit("{"), words[0], F.lit("} of {"), words[1], F.lit("}")).alias("text"))
+    made = t.table(spark, sf, "lineitem").filter("l_quantity > 30").select((F.col("l_partkey") + 3).alias("p_partkey")).distinct().join(part.select("p_partkey", "p_name"), "p_partkey", "left")
+    second = F.when(F.col("p_partkey") % 3 == 0, " ").when(F.col("p_partkey") % 3 == 2, "what it is")
+    said = F.map_from_entries(F.array_distinct(F.array(F.struct(words[0].alias("k"), F.lit("said").alias("v")), F.struct(F.when(words[1] == words[0], F.concat(words[1], F.lit("?"))).otherwise(words[1]).alias("k"), second.alias("v")))))
+    context = made.select("p_partkey", F.when(F.col("p_partkey") % 5 > 0, "a panel").alias("where"), F.when(F.col("p_name").isNotNull(), said).alias("placeholders"), F.array(words[1]).alias("terms"))
+    return op.context_coverage(keys, context, part.filter("p_size > 25").select(words[1].alias("term")).distinct(), "p_partkey")

@@ -201,6 +201,6 @@ def scan_images(spark: SparkSession, path: str) -> DataFrame:
     """Images as grey pixels 0..1: image, x, y, v, the mean of the colour channels; files that do not decode are left out."""
     im = spark.read.format("image").option("dropInvalid", True).load(path).select(F.col("image.origin").alias("image"), "image.width", "image.nChannels", "image.data")
     n = F.least("nChannels", F.lit(3))
-    colours = F.expr("aggregate(sequence(1, least(nChannels, 3)), 0, (a, c) -> a + conv(hex(substring(data, _i * nChannels + c, 1)), 16, 10))")
+    colours = F.expr("aggregate(sequence(1, least(nChannels, 3)), 0L, (a, c) -> a + conv(hex(substring(data, _i * nChannels + c, 1)), 16, 10))")
     px = im.withColumn("_i", F.explode(F.sequence(F.lit(0), (F.length("data") / F.col("nChannels")).cast("int") - 1)))
     return px.select("image", (F.col("_i") % F.col("width")).alias("x"), F.expr("_i div width").cast("int").alias("y"), (colours / n / 255.0).alias("v"))

@@ -73,12 +73,17 @@ def harvest_stream(files: DataFrame, key: str, t: str, verdict: Column, index_pa
     return once.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def unknown_shape_alerts(files: DataFrame, prefixes: DataFrame, key: str, name: str, shape: str) -> DataFrame:
-    """Names of an export's shape with a prefix that is not known: one row per path. ``prefixes`` is static."""
+def unknown_shape_alerts(files: DataFrame, prefixes: DataFrame, key: str, name: str, shape: str, t: str | None = None, delay: str = "1 hour") -> DataFrame:
+    """Names of an export's shape with a prefix that is not known: one row per path. ``prefixes`` is static. A stream needs its event time
+    ``t``: a path that comes again within ``delay`` of it gives no second alert, and is forgotten after that."""
     own = files.filter(F.col(name).rlike(shape)).withColumn("prefix", F.regexp_extract(name, "^([^-/_.]+)", 1))
     known = prefixes.select(F.col("prefix").alias("_p")).distinct()
     out = own.join(known, F.col("prefix") == F.col("_p"), "left_outer").filter("_p is null").drop("_p")
-    return out if files.isStreaming else out.dropDuplicates([key])
+    if not files.isStreaming:
+        return out.dropDuplicates([key])
+    if t is None:
+        raise ValueError("a stream of files needs its event time")
+    return out.withWatermark(t, delay).dropDuplicatesWithinWatermark([key])
 
 
 def event_rates(events: DataFrame, t: str, kind: str, window: str, slide: str, seconds: float, delay: str | None = None) -> DataFrame:
@@ -89,6 +94,16 @@ def event_rates(events: DataFrame, t: str, kind: str, window: str, slide: str, s
     return g.select(F.unix_micros("_w.start").alias("start"), kind, "n", (F.col("n") / seconds).alias("per_second"))
 
 
+def hover_median(events: DataFrame, t: str, hover: str, value: str, window: str = "1500 milliseconds", slide: str = "500 milliseconds", delay: str | None = None) -> DataFrame:
+    """The lower median of what hovering events hold over sliding windows: start (microseconds), n, median. Windows without a hovering
+    event give no row; ``delay`` sets the stream's watermark."""
+    if delay is not None:
+        events = events.withWatermark(t, delay)
+    g = events.filter(F.col(hover) & F.col(value).isNotNull()).groupBy(F.window(t, window, slide).alias("_w"))
+    g = g.agg(F.count("*").alias("n"), F.percentile_approx(value, 0.5, 10_000).alias("median"))
+    return g.select(F.unix_micros("_w.start").alias("start"), "n", "median")
+
+
 def bounded_history(events: DataFrame, key: str, t: str, keep: int, most: int) -> DataFrame:
     """Batch: of each key the events of the last ``keep`` units before its latest, at most ``most`` of them, oldest dropped; full says that
     the count did the dropping."""
@@ -98,23 +113,30 @@ def bounded_history(events: DataFrame, key: str, t: str, keep: int, most: int) -
     return recent.filter(F.col("_r") <= most).withColumn("full", F.col("_n") > most).drop("_m", "_r", "_n")
 
 
-def bounded_history_stream(events: DataFrame, keep: str, most: int) -> DataFrame:
+def bounded_history_stream(events: DataFrame, keep: str, most: int, delay: str = "1 minute") -> DataFrame:
     """Stream of (key string, t timestamp, value double): after each batch the size of a key's history cut to ``keep`` and ``most``, and
-    whether it is full. The history itself is the state, an array of at most ``most`` entries."""
+    whether it is full. The history itself is the state, an array of at most ``most`` entries; it goes once the watermark (``delay``) is
+    ``keep`` past its last event."""
     span = pd.Timedelta(keep)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = list(state.get[0]) if state.exists else []
         for pdf in frames:
-            held += [x.value // 1000 for x in pd.to_datetime(pdf["t"])]
+            held += [x.value // 1000 for x in pd.to_datetime(pdf["t"]) if not pd.isna(x)]
+        if not held:
+            return
         held.sort()
         kept = [x for x in held if x >= held[-1] - span.value // 1000]
         full = len(kept) > most
         kept = kept[-most:]
         state.update((kept,))
+        state.setTimeoutTimestamp(max(kept[-1] // 1000, state.getCurrentWatermarkMs()) + int(span.total_seconds() * 1000) + 1)
         yield pd.DataFrame({"key": [key[0]], "n": [len(kept)], "full": [full]})
 
-    return events.groupBy("key").applyInPandasWithState(step, "key string, n long, full boolean", "held array<long>", "update", "NoTimeout")
+    return events.withWatermark("t", delay).groupBy("key").applyInPandasWithState(step, "key string, n long, full boolean", "held array<long>", "update", "EventTimeTimeout")
 
 
 def sampler_overruns(samples: DataFrame, key: str, t: str, cost: str, every: float) -> DataFrame:
