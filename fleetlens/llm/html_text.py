@@ -1,9 +1,11 @@
 """Main text of web pages by tree scoring.
 
 Each paragraph gives points for its length and commas to its ancestors, the nearest one most; a container's points are
-discounted by its link density, and the best container is kept with the siblings that score alike. Elements that are
+discounted by its link density, and the best container is kept with the siblings that score alike. A page takes time in proportion to its length: each element
+knows the block, list and paragraph around it, and sums go up the tree in one pass. Elements that are
 navigation, notices, adverts, forms, comments and the like by their tag, role or class take no part at all; a class or id
-says nothing of an element that holds the page's article or most of its paragraph points.
+says nothing of an element that holds the page's article or most of its paragraph points. Of an article's own header the
+headings stay.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "da
 _CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"table", "ul", "ol", "dl", "html", "body", "article", "section", "div", "main"}
+_LISTS = {"table", "ul", "ol", "dl"}
 _NEVER = {"html", "body", "article", "main"}
 _DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "toolbar"}
 _DROP_NAMES = {
@@ -46,19 +49,19 @@ _PLAIN_NAMES = {"area", "bar", "block", "box", "btn", "button", "buttons", "cont
 
 
 class _Node:
-    __slots__ = ("tag", "up", "drop", "named", "weight", "points", "text", "linked", "links", "block")
+    __slots__ = ("tag", "up", "drop", "soft", "named", "weight", "points", "text", "linked", "links", "block", "holder", "stop", "item", "flag")
 
     def __init__(self, tag: str, up: _Node | None, drop: bool, named: bool = False):
         self.tag, self.up, self.drop = tag, up, drop or (up is not None and up.drop)
+        #: Dropped for no other reason than a header of an article, which may hold its headings.
+        self.soft = up is not None and up.soft and not drop
         self.named, self.weight = named, 0.0  # unwanted by class or id; points of the paragraphs inside
         self.points, self.text, self.linked, self.links = 0.0, 0, 0, 0
-        self.block = tag not in _INLINE
-
-    def over(self) -> Iterator[_Node]:
-        node = self.up
-        while node is not None:
-            yield node
-            node = node.up
+        self.block, self.flag = tag not in _INLINE, False
+        # the nearest of itself and those above: a block, what an open paragraph ends at, a list or what belongs to one
+        self.holder = self if self.block or up is None else up.holder
+        self.stop = self if tag == "p" or tag in _SCOPE or up is None else up.stop
+        self.item = self if tag in _SAME or tag in _LISTS else None if up is None else up.item
 
 
 def _unwanted(tag: str, attrs: str) -> bool:
@@ -96,39 +99,66 @@ def _heading(tag: str) -> bool:
     return tag[:1] == "h" and tag[1:].isdigit()
 
 
+def _up(nodes: list[_Node], add) -> None:  # noqa: ANN001
+    """Calls add(node, the one above) for all nodes, children before parents."""
+    for x in reversed(nodes):
+        if x.up is not None:
+            add(x, x.up)
+
+
+def _down(nodes: list[_Node], start) -> None:  # noqa: ANN001
+    """Sets the flag of each node for which start(node, flag of the one above) holds, parents before children."""
+    for x in nodes:
+        x.flag = start(x, x.up is not None and x.up.flag)
+
+
 def _wanted(blocks: list[tuple[_Node, list[tuple[_Node, str]]]], nodes: list[_Node]) -> list[tuple[_Node, str]]:
-    """The blocks without what stands in elements unwanted by class or id, which are taken out of the elements' counts too."""
-    named = [x for x in nodes if x.named and not x.drop]
-    if named:
+    """The blocks without what stands in elements unwanted by class or id; counts text, linked text and links of what is left."""
+    if any(x.named and not x.drop for x in nodes):
         all_points = 0.0
         for holder, parts in blocks:
             if not _heading(holder.tag):
                 points = _points(_SPACE.sub(" ", "".join(t for _, t in parts)).strip())
                 all_points += points
-                for x in (holder, *holder.over()):
-                    x.weight += points
+                holder.weight += points
+
+        def weigh(x: _Node, up: _Node) -> None:
+            up.weight += x.weight
+
+        _up(nodes, weigh)
         articles = [x for x in nodes if x.tag in ("article", "main") and x.weight > 0]
-        free = any(not any(y.named for y in x.over()) for x in articles)
-        holding = set() if free else {id(y) for x in articles for y in x.over()}
-        for x in named:
-            if id(x) in holding or 2 * x.weight > all_points and not free:
-                x.named = False
-        for x in named:
-            inside = any(y.named for y in x.over())
-            if x.named and not inside:
-                link = x.tag == "a"
-                for y in x.over():
-                    link = link or y.tag == "a"
-                    y.text -= x.text
-                    y.linked -= x.text if link else x.linked
-                    y.links -= x.links + (x.tag == "a")
+        _down(nodes, lambda x, over: over or x.up is not None and x.up.named)
+        free = any(not x.flag for x in articles)
+        mine = {id(x) for x in articles}
+        for x in nodes:
+            x.flag = False
+
+        def hold(x: _Node, up: _Node) -> None:
+            up.flag = up.flag or x.flag or id(x) in mine
+
+        if not free:
+            _up(nodes, hold)
         for x in nodes:  # parents first
-            x.drop = x.drop or x.named or x.up is not None and x.up.drop
+            if x.named and (x.flag or not free and 2 * x.weight > all_points):
+                x.named = False
+            x.drop = x.drop or x.named or x.up is not None and x.up.drop and not (x.up.soft and _heading(x.tag))
     out = []
     for holder, parts in blocks:
-        text = _SPACE.sub(" ", "".join(t for x, t in parts if not x.drop)).strip()
+        kept = [(x, t) for x, t in parts if not x.drop]
+        for x, t in kept:
+            x.text += len(t.strip())
+        text = _SPACE.sub(" ", "".join(t for _, t in kept)).strip()
         if text:
             out.append((holder, text))
+
+    def count(x: _Node, up: _Node) -> None:
+        if x.tag == "a":
+            x.linked = x.text
+        up.text += x.text
+        up.linked += x.linked
+        up.links += x.links + (x.tag == "a" and not x.drop)
+
+    _up(nodes, count)
     return out
 
 
@@ -137,15 +167,11 @@ def _blocks(page: str) -> tuple[list[tuple[_Node, str]], list[_Node]]:
     node = _Node("", None, False)
     nodes, blocks, parts = [node], [], []
     at, end = 0, len(page)
-
-    def holder(n: _Node) -> _Node:
-        while not n.block:
-            n = n.up
-        return n
+    opened: dict[str, int] = {}
 
     def flush() -> None:
         if parts:
-            blocks.append((holder(node), parts.copy()))
+            blocks.append((node.holder, parts.copy()))
             parts.clear()
 
     def close(to: _Node) -> None:
@@ -153,18 +179,12 @@ def _blocks(page: str) -> tuple[list[tuple[_Node, str]], list[_Node]]:
         while node is not to:
             if node.block:
                 flush()
+            opened[node.tag] -= 1
             node = node.up
 
     def say(raw: str) -> None:
         if raw and not node.drop:
-            text = html.unescape(raw) if "&" in raw else raw
-            parts.append((node, text))
-            n = len(text.strip())
-            link = False
-            for x in (node, *node.over()):
-                link = link or x.tag == "a"
-                x.text += n
-                x.linked += n if link else 0
+            parts.append((node, html.unescape(raw) if "&" in raw else raw))
 
     while at < end:
         start = page.find("<", at)
@@ -182,9 +202,11 @@ def _blocks(page: str) -> tuple[list[tuple[_Node, str]], list[_Node]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            found = next((x for x in (node, *node.over()) if x.tag == tag), None)
-            if found is not None:
-                close(found.up)
+            if opened.get(tag):
+                x = node
+                while x.tag != tag:
+                    x = x.up
+                close(x.up)
             elif tag in ("p", "br"):
                 flush()
             continue
@@ -199,29 +221,37 @@ def _blocks(page: str) -> tuple[list[tuple[_Node, str]], list[_Node]]:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = stop.end() if stop else end
             continue
-        if tag in _CLOSES_P:
-            found = next((x for x in (node, *node.over()) if x.tag == "p" or x.tag in _SCOPE), None)
-            if found is not None and found.tag == "p":
-                close(found.up)
+        if tag in _CLOSES_P and node.stop.tag == "p":
+            close(node.stop.up)
         if tag in _SAME:
-            for x in (node, *node.over()):
+            x = node.item
+            while x is not None:
+                above = x.up
                 if x.tag in _SAME[tag]:
-                    close(x.up)
-                if x.tag in ("table", "ul", "ol", "dl"):
+                    close(above)
+                if x.tag in _LISTS:
                     break
+                x = above.item
+        soft = tag == "header" and not node.drop and (opened.get("article") or opened.get("main"))
         new = _Node(tag, node, _unwanted(tag, m[3]), _named(tag, m[3]))
+        if soft:
+            new.soft = True
+        elif node.soft and _heading(tag) and not _unwanted(tag, m[3]):
+            new.drop = new.soft = False
         if new.block:
             flush()
+        opened[tag] = opened.get(tag, 0) + 1
         node = new
         nodes.append(new)
-        if tag == "a" and not new.drop:
-            for x in new.over():
-                x.links += 1
     close(nodes[0])
     flush()
     return _wanted(blocks, nodes), nodes
 
 
+#: A paragraph's points reach this many block elements above it; at the last one a share of less than 1/90 is left.
+_LEVELS = 32
+
+
 def main_text(page: str) -> str:
     """The blocks of the best container and of siblings that score alike, joined by newlines; empty if there is no text."""
     blocks, nodes = _blocks(page)
@@ -231,33 +261,44 @@ def main_text(page: str) -> str:
         if _heading(holder.tag):
             continue  # headings go with their section but speak for none
         points = _points(text)
-        up = [holder.up or holder, *(holder.up.over() if holder.up is not None else ())] if holder.tag in ("p", "li", "pre", "td", "blockquote", "dd") else [holder, *holder.over()]
-        for level, x in enumerate(up):
+        x = holder.up.holder if holder.up is not None and holder.tag in ("p", "li", "pre", "td", "blockquote", "dd") else holder
+        for level in range(_LEVELS):
             x.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
+            if x.up is None:
+                break
+            x = x.up.holder
     score = lambda x: x.points * (1 - x.linked / max(1, x.text))
     best = max(nodes, key=score)  # the first of equals: the outermost
-    best = next((x for x in (best, *best.over()) if x.tag in ("article", "main")), best)
+    x = best
+    while x is not None and x.tag not in ("article", "main"):
+        x = x.up
+    best = x or best
     floor = 0.2 * score(best)
     alike = {id(x) for x in nodes if x.up is best.up and x is not best and best.up is not None and score(x) >= floor and x.points > 0 and x.linked < 0.5 * max(1, x.text)}
     loose = {id(x) for x in nodes if x.up is best.up and best.up is not None and x.tag == "p" and x.text > 80 and x.linked < 0.25 * x.text}
     keep = {id(best)} | alike | loose
     listing = {id(x) for x in nodes if x.tag in ("ul", "ol", "dl", "div", "table") and x.links >= 3 and x.linked > 0.8 * max(1, x.text) and x is not best}
-    if best.tag not in ("", "html", "body"):  # what links an article holds, such as its references, are part of it
-        spoken = best.tag in ("article", "main")
-        for holder, text in blocks:
-            over = [holder, *holder.over()]
-            if best in over:
-                mine = over[: over.index(best)]
-                if spoken:
-                    listing -= {id(x) for x in mine}
-                elif listing.isdisjoint(map(id, mine)):
-                    spoken = holder.tag == "p"
-    out = []
-    for holder, text in blocks:
-        chain = [id(holder), *map(id, holder.over())]
-        if not keep.isdisjoint(chain) and listing.isdisjoint(chain):
-            out.append(text)
-    return "\n".join(out)
+    if best.tag not in ("", "html", "body") and listing:  # what links an article holds, such as its references, are part of it
+        _down(nodes, lambda x, over: x is best or over)
+        inside = {id(x) for x in nodes if x.flag and x is not best}
+        first = -1
+        if best.tag not in ("article", "main"):
+            _down(nodes, lambda x, over: x is not best and (over or id(x) in listing))
+            first = next((i for i, (x, _) in enumerate(blocks) if id(x) in inside and x.tag == "p" and not x.flag), len(blocks))
+        for x in nodes:
+            x.flag = False
+        for x, _ in blocks[first + 1 :]:
+            x.flag = True
+
+        def later(x: _Node, up: _Node) -> None:
+            up.flag = up.flag or x.flag
+
+        _up(nodes, later)
+        listing -= {id(x) for x in nodes if x.flag and id(x) in inside}
+    _down(nodes, lambda x, over: over or id(x) in keep)
+    kept = {id(x) for x in nodes if x.flag}
+    _down(nodes, lambda x, over: over or id(x) in listing)
+    return "\n".join(text for x, text in blocks if id(x) in kept and not x.flag)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

@@ -63,3 +63,29 @@ def test_short_siblings_and_link_lists_inside_the_article():
     want = f"{one}\n{two}\n" + "\n".join(f"Reference {i}" for i in range(4))
     for tag in ("article", "div"):
         assert main_text(f"<body><ul><li><a href=a>Home</a><li><a href=b>News</a><li><a href=c>Shop</a></ul><{tag}><p>{one}</p><p>{two}</p>{links}</{tag}></body>") == want
+
+
+def test_headings_of_the_article_s_own_header():
+    one = "First, of many words, " * 5 + "end."
+    for page in (
+        f'<body><header><h1>Site</h1></header><article><header><h1>Title</h1><nav><h2>no</h2></nav><p>By me, today, at home.</p></header><p>{one}</p></article></body>',
+        f'<body><div class="post"><div class="entry-header"><h1>Title</h1></div><p>{one}</p></div></body>',
+        f'<main><header class="top"><h1>Title</h1></header><p>{one}</p></main>',
+    ):
+        assert main_text(page) == f"Title\n{one}"
+
+
+def test_everyday_names_on_wrappers():
+    one, two = "First, of many words, " * 5 + "end.", "Second, " * 20
+    for name in ("no-sidebar", "comments-open", "header-fixed", "social-share-enabled", "notice-of-appeal"):
+        assert main_text(f'<body><div class="{name}"><p>{one}</p><p>{two}</p></div></body>') == f"{one}\n{two.strip()}"
+
+
+def test_hostile_nesting_takes_linear_time():
+    import time
+
+    one = "First, of many words, " * 5 + "end."
+    began = time.process_time()
+    for page in ("<b>" * 100_000 + one, "<div>" * 100_000 + one, "<b>" * 50_000 + "</i>" * 50_000 + one, "<p><table>" + "<b>" * 50_000 + "<p></p>" * 50_000 + one, "<b>" * 50_000 + "<li>x" * 50_000 + one, "<div>x" * 50_000 + one, "<a href=x>y" * 50_000 + one):
+        assert one in main_text(page)
+    assert time.process_time() - began < 20
