@@ -1,18 +1,20 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Each of ``tables`` random pseudo-rotations (three rounds of random signs and a fast Hadamard transform) sends a vector to
-the nearest signed axis, its bucket. A query looks into the ``probes`` nearest axes of every table, and what it meets is
-ranked by the exact inner product. That finds the largest inner products where they are the smallest angles, so only the
-dimensions whose vectors are of one length are hashed. Where lengths differ, long vectors answer at any angle and every
-query is compared with every vector; so is a query that met fewer than ``k`` vectors in its buckets.
-
-Buckets are few (tables * 2 * padded dimension), so their sizes are known to the driver; a bucket is split into blocks
-of at most ``block`` vectors and ``block`` queries, each pair of blocks being one small matrix product. Equal vectors are one
-class with its smallest ids, of which no answer can need more than k + 1.
+Each of ``tables`` has one or two random pseudo-rotations (three rounds of random signs and a fast Hadamard transform); each sends a
+vector to the nearest signed axis, and the axes of a table are its bucket. A query looks into the buckets of the nearest axes of every
+table, and what it meets is ranked by the exact inner product. How many buckets it probes falls with the number of vectors, and where
+buckets grow large a second axis divides them (``plan_of``). That finds the largest inner products where they are the smallest
+angles, so only the dimensions whose vectors are of one length are hashed. Where lengths differ, long vectors answer at any angle and
+every query is compared with every vector; so is a query that met fewer than ``k`` vectors worth sending back.
+
+Vectors are dealt by table and first axis, each once a table. There are few such cells (tables times signed axes), so their sizes are
+known to the driver; one of more than ``block`` vectors or queries is split, each pair of blocks being one task's matrix products.
+Equal vectors are one class with its smallest ids, of which no answer can need more than k + 1.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,54 +68,109 @@ def _by_dim(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, flat[start[at][:, None] + np.arange(d)]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 10, probes: int = 14, block: int = 4096, seed: int = 7) -> DataFrame:
+def _axes_of(x: np.ndarray, rotations: Rotations, tables: range, depth: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """For each table the ``depth`` matrices of the unit rows against its signed axes."""
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    own: list[np.ndarray] = []
+    for i, y in enumerate(rotations.axes(x)):
+        own.append(y)
+        if len(own) == depth:
+            yield tables[i // depth], own
+            own = []
+
+
+def _best_probes(axes: list[np.ndarray], first: int, probes: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(row, first axis, second axes) of the ``probes`` pairs of axes that lie nearest to each row, of its ``first`` nearest first axes; by
+    the summed squares of what an axis lacks to the nearest one."""
+    a, b = ((y.max(axis=1, keepdims=True) - y) ** 2 for y in axes)
+    near = np.argpartition(a, min(first, a.shape[1]) - 1, axis=1)[:, :first]
+    for i in range(len(a)):
+        total = (a[i, near[i]][:, None] + b[i]).ravel()
+        take = np.argpartition(total, min(probes, len(total)) - 1)[:probes]
+        row, second = take // b.shape[1], take % b.shape[1]
+        for j in np.unique(row):
+            yield i, int(near[i, j]), np.sort(second[row == j])
+
+
+def plan_of(n: int, axes: int, block: int) -> tuple[int, int, int]:
+    """(axes a table, first axes probed, pairs of axes probed) for ``n`` vectors and ``axes`` signed axes. The nearest of more vectors lie
+    nearer, so fewer buckets need be probed; from a quarter of a block a bucket on, a second axis divides the buckets."""
+    first = max(4, min(axes, math.ceil(axes * 0.17 * (10_000 / max(n, 1)) ** 0.2)))
+    if n < axes * block / 4:
+        return 1, first, 0
+    share = 2.6 * n**-0.25 / 5
+    return 2, min(axes, 2 * first), max(16, math.ceil(axes * axes * share))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 5, block: int = 4096, sample: int = 2048, seed: int = 7) -> DataFrame:
     """The ``k`` nearest of ``vectors`` (vec_id, embedding) found for each row of ``queries`` (the same columns): query_id, rank from
     1, vec_id, score.
 
     Score is the inner product in double precision, summed from the first component on; equal scores go to the smaller
     vec_id, and a row of the query's own vec_id is no candidate. Rows with a null vec_id or an unusable vector take no
     part, vectors of different length never meet, repeated rows count once, further columns are ignored. A query gets
-    fewer than ``k`` rows only where there are fewer vec_ids of its dimension.
+    fewer than ``k`` rows only where there are fewer vec_ids of its dimension. ``sample``: so many vectors, of each dimension
+    at most, are broadcast; the k-th best among them bounds what a query's buckets send back.
     """
     clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
+    single = all(dict(df.dtypes)["embedding"] == "array<float>" for df in (vectors, queries))
     rows = clean(vectors).distinct().withColumn("h", F.xxhash64("v"))
     first = rows.withColumn("r", F.row_number().over(Window.partitionBy("h", "v").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
     classes = stored(first.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")), "classes").select("v", "ids", F.lit(None).cast("long").alias("q"))
     asked = clean(queries).distinct().select("v", F.array().cast("array<long>").alias("ids"), F.col("vec_id").alias("q"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    lengths = classes.groupBy(F.size("v").alias("dim")).agg(F.max(norm).alias("most"), F.min(norm).alias("least")).collect()
-    even = frozenset(r.dim for r in lengths if r.least > r.most * (1 - 1e-6))
+    lengths = classes.groupBy(F.size("v").alias("dim")).agg(F.max(norm).alias("most"), F.min(norm).alias("least"), F.count("*").alias("n")).collect()
+    even = {r.dim: r.n for r in lengths if r.least > r.most * (1 - 1e-6)}
+    by_hash = Window.partitionBy(F.size("v")).orderBy(F.xxhash64("v"))
+    few = classes.select("v", F.row_number().over(by_hash).alias("r")).filter(F.col("r") <= sample).select("v")
+    held: dict[int, list] = {}
+    for r in few.collect() if lengths else []:
+        held.setdefault(len(r.v), []).append(r.v)
+    seen = {d: np.array(x) for d, x in held.items()}
+    run = lambda asked, even: _answers(classes, asked, k, tables, block, seed, even, seen, "<f4" if single else "<f8")
     if not even:
-        return _answers(classes, asked, k, tables, probes, block, seed, even)
-    met = stored(_answers(classes, asked, k, tables, probes, block, seed, even), "nearest")
+        return run(asked, {})
+    met = stored(run(asked, even), "nearest")
     full = met.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("query_id")
     short = asked.join(full, asked["q"] == full["query_id"], "left_anti")
     if short.isEmpty():
         return met
-    return met.join(full, "query_id", "left_semi").unionByName(_answers(classes, short, k, tables, probes, block, seed, frozenset()))
+    return met.join(full, "query_id", "left_semi").unionByName(run(short, {}))
 
 
-def _answers(classes: DataFrame, asked: DataFrame, k: int, tables: int, probes: int, block: int, seed: int, even: frozenset[int]) -> DataFrame:
-    """The answers to ``asked`` by hashing in the dimensions of ``even``; in others all vectors are one bucket."""
+def _answers(classes: DataFrame, asked: DataFrame, k: int, tables: int, block: int, seed: int, even: dict[int, int], seen: dict[int, np.ndarray], kind_of: str) -> DataFrame:
+    """The answers to ``asked`` by hashing in the dimensions of ``even`` (with their numbers of vectors); in others all vectors are one
+    bucket. ``seen``: some vectors of each dimension. Vectors travel as bytes of ``kind_of``."""
     spark = classes.sparkSession
     n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = spark.sparkContext.broadcast(seen)  # at most ``sample`` vectors of each dimension
 
     def hashed(kind: int):
-        """kind 0: buckets of vectors; 1: of queries. Yields (dim, row numbers, buckets, hashes of the vectors)."""
+        """kind 0: of vectors; 1: of queries. Yields (dim, row numbers, buckets, second axes or None, rows' hashes)."""
 
-        def rows_of(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        def rows_of(b: pa.RecordBatch) -> Iterator[tuple]:
             for at, x in _by_dim(b.column(0)):
                 dim = x.shape[1]
                 salt = (np.ascontiguousarray(x).view(np.uint64) * np.arange(1, 2 * dim, 2, dtype=np.uint64)).sum(axis=1)
-                salt = ((salt ^ (salt >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(34)
+                salt = (((salt ^ (salt >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(34)).astype(np.int64)
                 if dim not in even:
-                    yield dim, at, np.full(len(at), -1), salt.astype(np.int64)
+                    yield dim, x, at, np.full(len(at), -1), [b""] * len(at), salt
                     continue
-                x = x / np.linalg.norm(x, axis=1)[:, None]
-                for t, y in enumerate(Rotations(x.shape[1], tables, seed).axes(x)):
-                    near = np.argpartition(-y, probes, axis=1)[:, :probes] if kind and probes < y.shape[1] else np.argmax(y, axis=1)[:, None] if not kind else np.tile(np.arange(y.shape[1]), (len(y), 1))
-                    for c in range(near.shape[1]):
-                        yield dim, at, t * (1 << 20) + near[:, c], salt.astype(np.int64)
+                d = 1 << max(0, (dim - 1).bit_length())
+                depth, first, probes = plan_of(even[dim], 2 * d, block)
+                for t, axes in _axes_of(x, Rotations(dim, tables * depth, seed), range(tables), depth):
+                    base = t * (1 << 20)
+                    if kind == 0:
+                        second = axes[1].argmax(axis=1).astype("<u4") if depth == 2 else None
+                        yield dim, x, at, base + axes[0].argmax(axis=1), [b""] * len(at) if second is None else [c.tobytes() for c in second], salt
+                    elif depth == 1:
+                        near = np.argpartition(-axes[0], min(first, 2 * d) - 1, axis=1)[:, :first]
+                        for c in range(near.shape[1]):
+                            yield dim, x, at, base + near[:, c], [b""] * len(at), salt
+                    else:
+                        i, one, two = zip(*_best_probes(axes, first, probes), strict=True)
+                        i = np.array(i)
+                        yield dim, x[i], at[i], base + np.array(one), [c.astype("<u4").tobytes() for c in two], salt[i]
 
         return rows_of
 
@@ -121,13 +178,13 @@ def _answers(classes: DataFrame, asked: DataFrame, k: int, tables: int, probes:
         rows_of = hashed(kind)
 
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: dict[tuple[int, int], int] = {}
+            got: dict[tuple[int, int], int] = {}
             for b in batches:
-                for dim, _, bucket, _ in rows_of(b):
+                for dim, _, _, bucket, _, _ in rows_of(b):
                     for x, n in zip(*np.unique(bucket, return_counts=True), strict=True):
-                        seen[dim, int(x)] = seen.get((dim, int(x)), 0) + int(n)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in seen], pa.int32()), pa.array([x for _, x in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["dim", "bucket", "n"])
+                        got[dim, int(x)] = got.get((dim, int(x)), 0) + int(n)
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int32()), pa.array([x for _, x in got], pa.int32()), pa.array(list(got.values()), pa.int64())], names=["dim", "bucket", "n"])
 
         return go
 
@@ -135,29 +192,45 @@ def _answers(classes: DataFrame, asked: DataFrame, k: int, tables: int, probes:
     for kind, df in ((0, classes), (1, asked)):
         got = df.select("v").mapInArrow(count(kind), "dim int, bucket int, n long").groupBy("dim", "bucket").agg(F.sum("n").alias("n")).collect()
         sizes.append({(r.dim, r.bucket): -(-r.n // block) for r in got})
-    shared = spark.sparkContext.broadcast(sizes)  # a number for each bucket
+    shared = spark.sparkContext.broadcast(sizes)  # a number for each bucket: tables times signed axes
 
     def deal(kind: int):
         rows_of = hashed(kind)
 
+        def bounds(dim: int, x: np.ndarray) -> np.ndarray:
+            """What the k-th best of a row's answers reaches at least: the (k + 1)-th best of the vectors that are known, itself perhaps one."""
+            some = known.value.get(dim)
+            if kind == 0 or some is None or len(some) <= k:
+                return np.full(len(x), -np.inf)
+            slack = 1e-9 * np.linalg.norm(x, axis=1) * np.linalg.norm(some, axis=1).max()
+            return np.concatenate([-np.partition(-(x[s : s + 256] @ some.T), k, axis=1)[:, k] for s in range(0, len(x), 256)]) - slack
+
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, other = shared.value[kind], shared.value[1 - kind]
             for b in batches:
-                for dim, at, bucket, salt in rows_of(b):
-                    mine = np.array([own.get((dim, int(x)), 1) for x in bucket])
-                    copies = np.array([other.get((dim, int(x)), 0) for x in bucket])
-                    salt = salt % mine  # of the vector itself: the same whenever a task runs again
+                low: dict[int, np.ndarray] = {}
+                for dim, x, at, bucket, codes, salt in rows_of(b):
+                    if dim not in low:
+                        low[dim] = np.full(b.num_rows, -np.inf)
+                        mine, all_x = next((i, y) for i, y in _by_dim(b.column(0)) if y.shape[1] == dim)
+                        low[dim][mine] = bounds(dim, all_x)
+                    parts = np.array([own.get((dim, int(c)), 1) for c in bucket])
+                    copies = np.array([other.get((dim, int(c)), 0) for c in bucket])
+                    salt = salt % parts  # of the vector itself: the same whenever a task runs again
                     take = np.repeat(np.arange(len(at)), copies)
                     across = np.arange(len(take)) - np.repeat(np.cumsum(copies) - copies, copies)
                     cells = (salt[take], across) if kind == 0 else (across, salt[take])
                     for s in range(0, len(take), 8192):
-                        part = slice(s, s + 8192)
-                        pick = pa.array(at[take[part]])
-                        yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), b.column(2).take(pick), pa.array([dim] * len(pick), pa.int32()), pa.array(bucket[take[part]], pa.int32()), pa.array(cells[0][part], pa.int32()), pa.array(cells[1][part], pa.int32())], names=["v", "ids", "q", "dim", "bucket", "x", "y"])
+                        part = take[s : s + 8192]
+                        pick = pa.array(at[part])
+                        data = np.ascontiguousarray(x[part].astype(kind_of))
+                        edge = np.arange(len(part) + 1, dtype=np.int32) * (data.itemsize * dim)
+                        v = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(edge), pa.py_buffer(data)])
+                        yield pa.RecordBatch.from_arrays([v, b.column(1).take(pick), b.column(2).take(pick), pa.array([codes[i] for i in part], pa.binary()), pa.array(low[dim][at[part]]), pa.array([dim] * len(part), pa.int32()), pa.array(bucket[part], pa.int32()), pa.array(cells[0][s : s + 8192], pa.int32()), pa.array(cells[1][s : s + 8192], pa.int32())], names=["v", "ids", "q", "codes", "low", "dim", "bucket", "x", "y"])
 
         return go
 
-    schema = "v array<double>, ids array<long>, q long, dim int, bucket int, x int, y int"
+    schema = "v binary, ids array<long>, q long, codes binary, low double, dim int, bucket int, x int, y int"
     dealt = classes.mapInArrow(deal(0), schema).unionByName(asked.mapInArrow(deal(1), schema))
 
     def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -168,28 +241,50 @@ def _answers(classes: DataFrame, asked: DataFrame, k: int, tables: int, probes:
 
     def match(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        q = t.column("q").fill_null(0).to_numpy()
-        v = np.array(t.column("v").combine_chunks().flatten().to_numpy()).reshape(len(q), -1)
-        ids = t.column("ids").to_pylist()
+        q, low = t.column("q").fill_null(0).to_numpy(), t.column("low").to_numpy()
+        v = np.frombuffer(b"".join(t.column("v").to_pylist()), kind_of).reshape(len(q), -1).astype(float)
+        ids, codes = t.column("ids").to_pylist(), t.column("codes").to_pylist()
         is_class = np.array([len(i) > 0 for i in ids])
         own, ask = np.flatnonzero(is_class), np.flatnonzero(~is_class)
+        second = np.array([np.frombuffer(codes[i], "<u4")[0] if codes[i] else 0 for i in own], np.int64)
+        own = own[np.argsort(second, kind="stable")]
+        edge = np.searchsorted(np.sort(second), np.arange(second.max(initial=0) + 2))
         out_q, out_ids, out_scores = [], [], []
         data = v[own]
         slack = 1e-9 * np.linalg.norm(v[ask], axis=1) * np.linalg.norm(data, axis=1).max(initial=0)
-        for s in range(0, len(ask) if len(own) else 0, 256):
-            part = ask[s : s + 256]
-            near = v[part] @ data.T
-            kk = min(k + 1, len(own))
-            limit = -np.partition(-near, kk - 1, axis=1)[:, kk - 1] - slack[s : s + 256]
+
+        def close(rows: np.ndarray, part: slice) -> None:
+            """The best of ``rows`` (numbers in ``ask``) among a slice of the vectors."""
+            some = data[part]
+            near = v[ask[rows]] @ some.T
+            kk = min(k + 1, len(some))
+            limit = np.maximum(-np.partition(-near, kk - 1, axis=1)[:, kk - 1] - slack[rows], low[ask[rows]])
             r, c = np.nonzero(near >= limit[:, None])
-            score = exact(v[part[r]], data[c])
-            edge = np.searchsorted(r, np.arange(len(part) + 1))
-            for i, row in enumerate(part):
-                mine = q[row]
-                got = sorted((-score[j], x) for j in range(edge[i], edge[i + 1]) for x in ids[own[c[j]]] if x != mine)[:k]
-                out_q.append(mine)
-                out_ids.append([x for _, x in got])
-                out_scores.append([-s for s, _ in got])
+            score = exact(v[ask[rows[r]]], some[c])
+            cut = np.searchsorted(r, np.arange(len(rows) + 1))
+            for i, row in enumerate(rows):
+                mine = q[ask[row]]
+                got = sorted((-score[j], x) for j in range(cut[i], cut[i + 1]) for x in ids[own[part.start + c[j]]] if x != mine)[:k]
+                if got:
+                    out_q.append(mine)
+                    out_ids.append([x for _, x in got])
+                    out_scores.append([-s for s, _ in got])
+
+        if len(own) and len(ask):
+            wanted = [np.frombuffer(codes[i], "<u4") for i in ask]
+            whole = np.array([len(w) == 0 for w in wanted])
+            jobs = [(np.flatnonzero(whole), slice(0, len(own)))]
+            if not whole.all():
+                row = np.repeat(np.arange(len(ask)), [len(w) for w in wanted])
+                code = np.concatenate(wanted).astype(np.int64)
+                order = np.argsort(code, kind="stable")
+                row, code = row[order], code[order]
+                for c in np.unique(code[code < len(edge) - 1]):
+                    if edge[c + 1] > edge[c]:
+                        jobs.append((row[np.searchsorted(code, c) : np.searchsorted(code, c, "right")], slice(int(edge[c]), int(edge[c + 1]))))
+            for rows, part in jobs:
+                for s in range(0, len(rows), 256):
+                    close(rows[s : s + 256], part)
         return pa.table({"q": pa.array(out_q, pa.int64()), "ids": pa.array(out_ids, pa.list_(pa.int64())), "scores": pa.array(out_scores, pa.list_(pa.float64()))})
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
