@@ -19,8 +19,8 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeated_bytes
 
-    out = remove_repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), stable=True)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    out = remove_repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), stable=True, shorter=240)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,10 +101,14 @@ ORACLE: dict[str, str] = {
              x AS (SELECT r, min(p) AS a, max(p) + 400 AS z FROM g GROUP BY r, run),
              t AS (SELECT r, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS last FROM x GROUP BY r),
              y AS (SELECT r, a, lag(z, 1, 1) OVER (PARTITION BY r ORDER BY a) AS z FROM x),
+             k2 AS (SELECT r, p, md5(b[p:p + 239]) AS h FROM (SELECT r, unnest(range(1, octet_length(b) - 238)) AS p, b FROM d WHERE octet_length(b) >= 240)),
+             s2 AS (SELECT r, p, lead(p) OVER (PARTITION BY r ORDER BY p) - p AS gap FROM k2 JOIN (SELECT h FROM k2 GROUP BY h HAVING count(*) > 1) USING (h)),
+             v AS (SELECT r, sum(least(240, coalesce(gap, 240))) AS n_repeated FROM s2 GROUP BY r),
              q AS (SELECT y.r, string_agg(hex(b[y.z:y.a - 1]), '' ORDER BY y.a) AS kept FROM y JOIN d USING (r) WHERE y.a > y.z GROUP BY y.r)
         SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
-               sha256(CASE WHEN t.r IS NULL THEN b ELSE from_hex(coalesce(kept, '') || CASE WHEN last <= octet_length(b) THEN hex(b[last:octet_length(b)]) ELSE '' END) END) AS kept_sha256
-        FROM d LEFT JOIN t USING (r) LEFT JOIN q USING (r)""",
+               sha256(CASE WHEN t.r IS NULL THEN b ELSE from_hex(coalesce(kept, '') || CASE WHEN last <= octet_length(b) THEN hex(b[last:octet_length(b)]) ELSE '' END) END) AS kept_sha256,
+               coalesce(n_repeated, 0)::BIGINT AS n_repeated
+        FROM d LEFT JOIN t USING (r) LEFT JOIN q USING (r) LEFT JOIN v USING (r)""",
     "op3_near_duplicates": r"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                                     'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),

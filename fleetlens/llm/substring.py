@@ -16,7 +16,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -80,6 +79,27 @@ def unpack_gaps(data: bytes) -> np.ndarray:
     return np.cumsum(a, dtype=np.int64)[a != 255]
 
 
+def merge_blocks(block_bits: int):
+    """Merges counted cells (k, once, more), sorted by block k, into the bits of the cells that are counted twice or more; holds one block."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, counts = None, np.zeros(0, np.uint8)
+        bits = lambda: pa.RecordBatch.from_pydict({"k": pa.array([now], pa.int32()), "bits": pa.array([np.packbits(counts > 1).tobytes()], pa.binary())})
+        for b in batches:
+            for k, once, more in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if k != now:
+                    if now is not None:
+                        yield bits()
+                    now, counts = k, np.zeros(1 << block_bits, np.uint8)
+                at = unpack_gaps(once)
+                counts[at] = np.minimum(counts[at] + 1, 2)
+                counts[unpack_gaps(more)] = 2
+        if now is not None:
+            yield bits()
+
+    return merge
+
+
 def sketch(docs: DataFrame, window: int, bits: int) -> list[bytes]:
     """For each of two rows the bits of the cells that are counted twice or more, over all partitions of (.., text)."""
     block_bits = min(bits, _BLOCK_BITS)
@@ -116,15 +136,8 @@ def sketch(docs: DataFrame, window: int, bits: int) -> list[bytes]:
         if held:
             yield from emit([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = np.zeros(1 << block_bits, np.uint8)
-        for once, more in zip(pdf["once"], pdf["more"], strict=True):
-            at = unpack_gaps(once)
-            counts[at] = np.minimum(counts[at] + 1, 2)
-            counts[unpack_gaps(more)] = 2
-        return pd.DataFrame({"k": [key[0]], "bits": [np.packbits(counts > 1).tobytes()]})
-
-    rows = docs.select("text").mapInArrow(count, "k int, once binary, more binary").groupBy("k").applyInPandas(merge, "k int, bits binary").collect()
+    counted = docs.select("text").mapInArrow(count, "k int, once binary, more binary")
+    rows = counted.repartition("k").sortWithinPartitions("k").mapInArrow(merge_blocks(block_bits), "k int, bits binary").collect()  # the bits of the sketch
     out = [bytearray((1 << bits) // 8) for _ in range(2)]
     for r in rows:
         at = (r.k & 0xFFFF) << block_bits >> 3

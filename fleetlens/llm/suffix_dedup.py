@@ -2,31 +2,34 @@
 
 Every ``length``-byte window has an anchor: the place of its least k-gram hash, the first of equals. Equal windows have equal
 anchors at equal offsets, so it is enough to compare the text around anchors of one k-gram. A sketch of all anchors first
-drops those whose k-gram occurs once. The contexts of the others - the bytes of all windows of an anchor - are made distinct in their partition, grouped by k-gram, and their suffixes at the anchor
-are sorted to the right and to the left: prefix polynomial hashes and binary search give the common extension of two
-suffixes, so a comparison takes a logarithm of the length; a mergesort places the elements of either run in the other
-by such comparisons. The common extensions of neighbours are verified on the bytes themselves, which corrects any
-collision. Two contexts share the window that starts d bytes before the anchor where their common extensions are at
-least d to the left and ``length`` - d to the right: those are intervals of the two orders.
-
-A k-gram with more than ``most_contexts`` distinct contexts is not gathered: its windows become single rows and are counted by hash.
+drops those whose k-gram occurs once. The contexts of the others - the bytes of all windows of an anchor - are made distinct in
+their partition (by a 128-bit digest) and grouped by k-gram, and their suffixes at the anchor are sorted to the right and to the left:
+prefix polynomial hashes and binary search give the common extension of two suffixes, so a comparison takes a logarithm of the
+length; a mergesort places the elements of either run in the other by such comparisons. The common extensions of neighbours are
+verified on the bytes themselves, which corrects any collision. Two contexts share the window that starts d bytes before the anchor
+where their common extensions are at least d to the left and ``length`` - d to the right: those are intervals of the two orders.
+
+A group of more than ``most_contexts`` is not gathered: its windows are dealt again in two halves, by their d. All windows of a half
+have a longer core in common than the k-gram, which is the new key, and only what stands beside the core goes along, equal rows
+merged before the shuffle. So a half is smaller unless its core is as common as the k-gram was; the last halves are single windows, of
+which the count alone is the answer.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded_batches, stored, take_turn
 from .decontaminate import gram_hashes
-from .substring import _spread, pack_gaps, unpack_gaps
+from .substring import _spread, merge_blocks, pack_gaps
 
 K = 32
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
@@ -140,49 +143,53 @@ class Suffixes:
         return out
 
 
-def repeated(contexts: list[bytes], at: np.ndarray, windows: np.ndarray, count: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
-    """(n, length - K + 1) flags: the window that starts d bytes before the anchor also starts elsewhere.
+def repeated(left: list[bytes], right: list[bytes], lo: int, hi: int, base: list[int], first: np.ndarray, last: np.ndarray, count: np.ndarray, group: np.ndarray) -> list[np.ndarray]:
+    """For each of ``base`` (n, hi - lo + 1) flags: the window that starts d bytes before the anchor, lo <= d <= hi, also starts elsewhere.
 
-    ``at``: the anchor's place in its context; ``windows``: windows of the context, the first at its start; ``count``: times
-    the context occurs; ``group``: non-decreasing numbers of the k-grams.
+    ``left``: what stands before the core, in order of the text; ``right``: what stands after it. The window d takes d - lo bytes of
+    the left and hi - d + base of the right. ``first`` and ``last``: the d that a row has; ``count``: times that it occurs;
+    ``group``: non-decreasing numbers of the cores.
     """
-    n, most = len(contexts), length - K + 1
-    size = np.array([len(c) for c in contexts], np.int64)
-    flat, start = np.frombuffer(b"".join(contexts), np.uint8), np.concatenate([[0], np.cumsum(size)[:-1]])
-
-    def ordered(width: int, valid: np.ndarray, first: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-        """The order of the suffixes that run from ``first`` in steps of 1 or -1, and their neighbours' common extensions."""
-        text = np.zeros((n, width), np.uint8)
-        column = np.arange(width)
+    n, most = len(left), hi - lo
+
+    def ordered(parts: list[bytes], width: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """The order of the strings, read backwards for a step of -1, and their neighbours' common extensions."""
+        size = np.array([len(c) for c in parts], np.int64)
+        flat, end = np.frombuffer(b"".join(parts) or b"\0", np.uint8), np.cumsum(size)
+        start = end - size if step > 0 else end - 1
+        valid, text, column = np.minimum(size, width), np.zeros((n, max(width, 1)), np.uint8), np.arange(max(width, 1))
         for i in range(0, n, 1024):
             part = slice(i, i + 1024)
-            take = np.clip(first[part, None] + step * column, 0, len(flat) - 1)
+            take = np.clip(start[part, None] + step * column, 0, len(flat) - 1)
             text[part] = np.where(column < valid[part, None], flat[take], 0)
         s = Suffixes(text, valid, group)
         order = s.sort()
         return order, s.neighbours(order)
 
-    order_r, gap_r = ordered(length, np.minimum(size - at, length), start + at, 1)
-    order_l, gap_l = ordered(most, at, start + at - 1, -1)
-    out = np.zeros((n, most), bool)
+    order_r, gap_r = ordered(right, most + max(base), 1)
+    order_l, gap_l = ordered(left, most, -1)
+    reach = np.array([len(c) for c in right], np.int64)
     own_r, own_l = np.empty(n, np.int64), np.empty(n, np.int64)
-    first = at - windows + 1  # the window that starts d before the anchor exists for first <= d <= at
-    for d in range(most):
-        has = np.flatnonzero((d >= first) & (d <= at))
-        if not len(has):
-            continue
-        own_r[order_r] = np.cumsum(gap_r < length - d)
-        own_l[order_l] = np.cumsum(gap_l < d)
-        key = own_r[has] * (n + 1) + own_l[has]
-        _, inverse = np.unique(key, return_inverse=True)
-        total = np.bincount(inverse, weights=count[has])
-        out[has, d] = total[inverse] > 1
+    out = []
+    for more in base:
+        flags = np.zeros((n, most + 1), bool)
+        for d in range(lo, hi + 1):
+            need = hi - d + more
+            has = np.flatnonzero((d >= first) & (d <= last) & (reach >= need))
+            if not len(has):
+                continue
+            own_r[order_r] = np.cumsum(gap_r < need)
+            own_l[order_l] = np.cumsum(gap_l < d - lo)
+            key = own_r[has] * (n + 1) + own_l[has]
+            _, inverse = np.unique(key, return_inverse=True)
+            flags[has, d - lo] = np.bincount(inverse, weights=count[has])[inverse] > 1
+        out.append(flags)
     return out
 
 
-def spans(flags: np.ndarray, at: int, length: int) -> np.ndarray:
-    """Byte intervals (start, end) in the context that flagged windows cover, merged."""
-    start = np.sort(at - np.flatnonzero(flags))
+def spans(flags: np.ndarray, lo: int, length: int) -> np.ndarray:
+    """Byte intervals (start, end), from the anchor on, that flagged windows cover, merged."""
+    start = np.sort(-lo - np.flatnonzero(flags))
     cut = np.flatnonzero(np.diff(start) > 1)
     return np.stack([start[np.concatenate([[0], cut + 1])], start[np.append(cut, len(start) - 1)] + length], axis=1)
 
@@ -215,156 +222,249 @@ def _sketch(rows: DataFrame, length: int, bits: int) -> bytes:
         if held:
             yield emit()
 
-    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = np.zeros(1 << block_bits, np.uint8)
-        for once, more in zip(pdf["once"], pdf["more"], strict=True):
-            cells = unpack_gaps(once)
-            counts[cells] = np.minimum(counts[cells] + 1, 2)
-            counts[unpack_gaps(more)] = 2
-        return pd.DataFrame({"k": [key[0]], "bits": [np.packbits(counts > 1).tobytes()]})
-
     out = bytearray((1 << bits) // 8)
-    for r in rows.mapInArrow(count, "k int, once binary, more binary").groupBy("k").applyInPandas(merge, "k int, bits binary").collect():
+    counted = rows.mapInArrow(count, "k int, once binary, more binary")
+    for r in counted.repartition("k").sortWithinPartitions("k").mapInArrow(merge_blocks(block_bits), "k int, bits binary").collect():
         at = r.k << block_bits >> 3
         out[at : at + len(r.bits)] = r.bits
     return bytes(out)
 
 
-def repeated_spans(rows: DataFrame, length: int = 400, bits: int = 26, batch: int = 2500, most_contexts: int = 20_000) -> DataFrame:
-    """(r, start, end): byte intervals of the rows (r long, text string) that windows cover which start elsewhere too; the
-    intervals of a row may touch or overlap. ``bits``: size of the sketch, 2 ** bits cells (8 MB of bits at 26)."""
+#: The sketch is 128 MB of bits at most.
+_MAX_BITS = 30
+
+
+def repeated_spans(rows: DataFrame, lengths: tuple[int, ...] = (400,), bits: int | None = None, batch: int = 2500, most_contexts: int = 20_000) -> DataFrame:
+    """(kind, r, start, end): byte intervals of the rows (r long, text string) that windows of lengths[kind] bytes cover which start
+    elsewhere too; the intervals of a row may touch or overlap. The least length comes first. ``bits``: the sketch has 2 ** bits
+    cells, by default eight or more for each anchor, at most 2 ** 30; a fuller one lets more through and loses nothing."""
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(_sketch(rows, length, bits))
+    least = lengths[0]
+    top = least - K
+    if bits is None:
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+        bits = min(_MAX_BITS, max(12, math.ceil(math.log2(16 * size / (top + 2) + 2))))
+    shared = spark.sparkContext.broadcast(_sketch(rows, least, bits))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """(row, first window, context's hash, k-gram, context, anchor's place in it, windows) of all anchors that may repeat."""
+        """(row, anchor, digest, k-gram, left, right, windows) of all anchors that may repeat; the right part holds the k-gram."""
         take_turn("bytes")
         seen_bits = np.frombuffer(shared.value, np.uint8)
         for b in batches:
             for r, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 raw = text.as_py().encode("utf-8", "surrogatepass")
-                place, h, first, last = anchors(np.frombuffer(raw, np.uint8), length)
+                place, h, first, last = anchors(np.frombuffer(raw, np.uint8), least)
                 cell = h >> np.uint64(64 - bits)
                 maybe = seen_bits[cell >> np.uint64(3)] >> (np.uint64(7) - (cell & np.uint64(7))).astype(np.uint8) & 1
-                for j in np.flatnonzero(maybe).tolist():
-                    i = int(first[j])
-                    context, at = raw[i : int(last[j]) + length], int(place[j]) - i
-                    yield r, i, xxhash.xxh3_128_digest(context, seed=at), int(h[j].view(np.int64)), context, at, int(last[j]) - i + 1
+                at = np.flatnonzero(maybe)
+                for g, p, i, j in zip(h[at].astype(">u8"), place[at].tolist(), first[at].tolist(), last[at].tolist(), strict=True):
+                    end = j + lengths[-1]
+                    yield r, p, xxhash.xxh3_128_digest(raw[i:end], seed=(p - i) << 12 | (j - i)), g.tobytes(), raw, i, end, j - i + 1
+
+    columns = {"g": pa.binary(), "kind": pa.int32(), "lo": pa.int32(), "hi": pa.int32(), "c": pa.binary(), "left": pa.binary(), "right": pa.binary(), "first": pa.int32(), "last": pa.int32(), "n": pa.int32()}
+    schema = "g binary, kind int, lo int, hi int, c binary, left binary, right binary, first int, last int, n int"
+
+    class Merged:
+        """Rows by key and digest, made distinct while they are few enough to be held."""
+
+        def __init__(self) -> None:
+            self.rows: dict[tuple, list] = {}
+            self.held = 0
+
+        def add(self, g: bytes, kind: int, lo: int, hi: int, c: bytes, left: bytes, right: bytes, first: int, last: int, n: int) -> bool:
+            known = self.rows.get((g, c))
+            if known is not None:
+                known[-1] = 2
+                return False
+            self.rows[g, c] = [g, kind, lo, hi, c, left, right, first, last, n]
+            self.held += len(left) + len(right) + 500  # and the objects that hold it
+            return self.held > 24 << 20
+
+        def flush(self) -> pa.RecordBatch:
+            values = list(self.rows.values())
+            self.rows, self.held = {}, 0
+            return pa.RecordBatch.from_arrays([pa.array([v[i] for v in values], t) for i, t in enumerate(columns.values())], names=list(columns))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
-        known: dict[bytes, list] = {}
-        held = 0
-
-        def flush() -> pa.RecordBatch:
-            columns = zip(*((v[0], c, *v[1:]) for c, v in known.items()), strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["g", "c", "context", "at", "windows", "n"])
-
-        for _, _, c, g, context, at, windows in found(batches):
-            if c in known:
-                known[c][4] = 2
-            else:
-                known[c] = [g, context, at, windows, 1]
-                held += len(context) + 400  # and the objects that hold it
-                if held > 24 << 20:
-                    yield flush()
-                    known, held = {}, 0
-        if known:
-            yield flush()
+        known = Merged()
+        for _, p, c, g, raw, i, end, windows in found(batches):
+            if (g, c) in known.rows:
+                known.rows[g, c][-1] = 2
+            elif known.add(g, -1, 0, top, c, raw[i:p], raw[p:end], p - i - windows + 1, p - i, 1):
+                yield known.flush()
+        if known.rows:
+            yield known.flush()
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["r", "i", "c"])
-        for r, i, c, *_ in found(batches):
-            rows.append((r, i, c))
+        for r, p, c, *_ in found(batches):
+            rows.append((r, p, c))
             if len(rows) == 50_000:
                 yield batch_of()
                 rows = []
         if rows:
             yield batch_of()
 
-    # dealt and sorted by k-gram once, for the count and for the sort
-    mine = rows.mapInArrow(contexts, "g long, c binary, context binary, at int, windows int, n int").withColumn("k", F.count("*").over(Window.partitionBy("g")))
+    def bases(kind: int) -> list[int]:
+        """How much more of the right part than hi - d a window takes: at the k-gram for each length, later for one."""
+        return [K + x - least for x in lengths] if kind < 0 else [0]
+
+    def answer(c: bytes, kind: int, intervals: np.ndarray, out: list[list]) -> None:
+        out[0] += [c] * len(intervals)
+        out[1] += [kind] * len(intervals)
+        out[2] += intervals[:, 0].tolist()
+        out[3] += intervals[:, 1].tolist()
 
-    def settle(parts: list[tuple]) -> pa.RecordBatch:
+    def settle(parts: list[list], out: list[list]) -> None:
+        """Adds the answers of whole groups of one range of d."""
         merged: dict[tuple, list] = {}
-        for g, c, context, at, windows, n in parts:
-            if (g, c) in merged:
-                merged[g, c][3] = 2
+        for row in parts:
+            key = row[0], row[5], row[6], row[7], row[8]
+            if key in merged:
+                merged[key][1] += row[9]
+                merged[key][2].append(row[4])
             else:
-                merged[g, c] = [context, at, windows, n]
-        keys, own = [k for k, _ in merged.items()], [*merged.values()]
-        _, group = np.unique([g for g, _ in keys], return_inverse=True)
+                merged[key] = [row, row[9], [row[4]]]
+        own = list(merged.values())
+        kind, lo, hi = own[0][0][1:4]
+        _, group = np.unique([x[0][0] for x in own], return_inverse=True)
         order = np.argsort(group, kind="stable")
-        flags = np.zeros((0, 0), bool)
         alone = np.bincount(group)[group] == 1
-        sort = [i for i in order if not alone[i]]
-        whole = [i for i in order if alone[i] and own[i][3] > 1]
-        res_c, res_s = [], []
-        if sort:
-            at = np.array([own[i][1] for i in sort], np.int64)
-            windows = np.array([own[i][2] for i in sort], np.int64)
-            flags = repeated([own[i][0] for i in sort], at, windows, np.array([own[i][3] for i in sort], np.int64), group[sort], length)
-            for j, i in enumerate(sort):
-                if flags[j].any():
-                    res_c.append(keys[i][1])
-                    res_s.append(spans(flags[j], int(at[j]), length).astype(np.int32))
+        whole, sort = [i for i in order if alone[i] and own[i][1] > 1], [i for i in order if not alone[i]]
+        base, kinds = bases(kind), range(len(lengths)) if kind < 0 else [kind]
         for i in whole:
-            res_c.append(keys[i][1])
-            res_s.append(np.array([[0, own[i][2] - 1 + length]], np.int32))
-        flat = np.concatenate(res_s) if res_s else np.empty((0, 2), np.int32)
-        c = pa.array(res_c, pa.binary()).take(pa.array(np.repeat(np.arange(len(res_s)), np.array([len(x) for x in res_s], np.int64)), pa.int64()))
-        return pa.RecordBatch.from_arrays([c, pa.array(flat[:, 0], pa.int32()), pa.array(flat[:, 1], pa.int32()), pa.nulls(len(c), pa.binary()), pa.nulls(len(c), pa.int32())], names=["c", "s", "e", "w", "n"])
-
-    def singles(rows: list[tuple]) -> pa.RecordBatch:
-        """Every window of some contexts as a row of its own, with its hash."""
-        out = [(c, i, i + length, xxhash.xxh3_128_digest(context[i : i + length]), n) for _, c, context, _, _, n in rows for i in range(len(context) - length + 1)]
-        kinds = (pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["c", "s", "e", "w", "n"])
+            row = own[i][0]
+            for k, more in zip(kinds, base, strict=True):
+                d = np.arange(max(row[7], lo, hi + more - len(row[6])), min(row[8], hi) + 1)
+                if len(d):
+                    for c in own[i][2]:
+                        answer(c, k, np.array([[-d[-1], lengths[k] - d[0]]]), out)
+        if sort:
+            rows = [own[i][0] for i in sort]
+            numbers = lambda j: np.array([r[j] for r in rows], np.int64)
+            flags = repeated([r[5] for r in rows], [r[6] for r in rows], lo, hi, base, numbers(7), numbers(8), np.array([own[i][1] for i in sort], np.int64), group[sort])
+            for k, found_ in zip(kinds, flags, strict=True):
+                for j in np.flatnonzero(found_.any(axis=1)).tolist():
+                    cover = spans(found_[j], lo, lengths[k])
+                    for c in own[sort[j]][2]:
+                        answer(c, k, cover, out)
+
+    def single(row: list, out: list[list]) -> None:
+        """A window of several contexts: each of them holds it."""
+        answer(row[4], row[1], np.array([[-row[2], lengths[row[1]] - row[2]]]), out)
+
+    def halves(row: list) -> Iterator[tuple]:
+        """The row in the two halves of its range of d, for each length, with a longer core as key."""
+        g, kind, lo, hi, c, left, right, first, last, n = row
+        m = (lo + hi) // 2
+        for k, more in zip(range(len(lengths)) if kind < 0 else [kind], bases(kind), strict=True):
+            for a, b in ((lo, m), (m + 1, hi)):
+                inner, ahead = a - lo, hi - b + more
+                if a > b or first > b or last < a or len(right) < ahead or len(left) < inner:
+                    continue
+                core = left[len(left) - inner :] + right[:ahead]
+                key = xxhash.xxh3_128_digest(g + bytes([k]) + a.to_bytes(4) + b.to_bytes(4) + core)
+                rest = left[: len(left) - inner]
+                yield key, k, a, b, c, rest[max(0, len(rest) - (b - a)) :], right[ahead : ahead + b - a], max(first, a), min(last, b), n
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Answers (c, kind, s, e) of the groups that are small enough, and rows in halves of the others."""
         take_turn("bytes")
-        held: list[tuple] = []
-        group: list[tuple] = []
-        often: list[tuple] = []
+        out: list[list] = [[], [], [], []]
+        held: list[list] = []  # whole groups of one range of d
+        group: dict[bytes, list] = {}
+        now, large = None, False
+        more = Merged()
+
+        def answers() -> pa.RecordBatch:
+            n = len(out[0])
+            parts = [pa.array(x, t) for x, t in zip(out, (pa.binary(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
+            for x in out:
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.nulls(n, t) if name not in ("kind", "c") else parts[1] if name == "kind" else parts[0] for name, t in columns.items()] + parts[2:], names=[*columns, "s", "e"])
+
+        def rest() -> pa.RecordBatch:
+            b = more.flush()
+            return pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.int32())], names=[*columns, "s", "e"])
+
+        def finish() -> None:
+            held.extend(group.values())
+            group.clear()
+
+        def settle_held() -> None:
+            if held:
+                settle(held, out)
+                held.clear()
+
         for b in batches:
-            for *row, k in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                if k > most_contexts:
-                    often.append(row)
-                    if len(often) == 100:
-                        yield singles(often)
-                        often = []
-                    continue
-                if group and group[0][0] != row[0]:
-                    held += group
-                    group = []
-                    if len(held) >= batch:
-                        yield settle(held)
-                        held = []
-                group.append(tuple(row))
-        held += group
-        if held:
-            yield settle(held)
-        if often:
-            yield singles(often)
-
-    columns = ("g", "c", "context", "at", "windows", "n", "k")
-    answers = stored(mine.select(*columns).mapInArrow(sort, "c binary, s int, e int, w binary, n int"), "answers")
-    alone = answers.filter("w is not null")
-    twice = alone.groupBy("w").agg(F.sum("n").alias("t")).filter("t > 1")
-    rare = alone.join(twice, "w", "left_semi").select("c", "s", "e")
-    before = F.max("e").over(Window.partitionBy("c").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
-    rare = rare.withColumn("run", F.when(F.col("s") <= before, 0).otherwise(1))
-    rare = rare.withColumn("run", F.sum("run").over(Window.partitionBy("c").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)))
-    rare = rare.groupBy("c", "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("run")
-    answers = answers.filter("w is null").select("c", "s", "e").unionByName(rare)
+            for row in map(list, zip(*(b.column(i).to_pylist() for i in range(len(columns))), strict=True)):
+                if row[:4] != now:
+                    finish()
+                    if len(held) >= batch or now is not None and row[1:4] != now[1:4]:
+                        settle_held()
+                    now, large = row[:4], False
+                known = group.get(row[4])
+                if large:
+                    if row[1] >= 0 and row[2] == row[3]:
+                        single(row, out)
+                    else:
+                        for half in halves(row):
+                            if more.add(*half):
+                                yield rest()
+                elif known is not None:
+                    known[9] += row[9]
+                else:
+                    group[row[4]] = row
+                    leaf = row[1] >= 0 and row[2] == row[3]
+                    if len(group) > (1 if leaf else most_contexts):
+                        large = True
+                        for r in group.values():
+                            if leaf:
+                                single(r, out)
+                            else:
+                                for half in halves(r):
+                                    if more.add(*half):
+                                        yield rest()
+                        group.clear()
+                if len(out[0]) >= 20_000:
+                    yield answers()
+        finish()
+        settle_held()
+        if out[0]:
+            yield answers()
+        if more.rows:
+            yield rest()
+
+    answers = None
+    now = rows.mapInArrow(contexts, schema)
+    while True:  # once where no group is large; each further round halves the ranges of d
+        dealt = now.repartition("kind", "lo", "hi", "g").sortWithinPartitions("kind", "lo", "hi", "g")
+        got = stored(dealt.mapInArrow(sort, f"{schema}, s int, e int"), "answers")
+        mine = got.filter("s is not null").select("c", "kind", "s", "e")
+        answers = mine if answers is None else answers.unionByName(mine)
+        now = got.filter("s is null").select(*columns)
+        if now.isEmpty():
+            break
     where = rows.mapInArrow(places, "r long, i long, c binary")
-    return where.join(answers, "c").select("r", (F.col("i") + F.col("s")).alias("start"), (F.col("i") + F.col("e")).alias("end"))
+    return where.join(answers, "c").select("kind", "r", (F.col("i") + F.col("s")).alias("start"), (F.col("i") + F.col("e")).alias("end"))
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = 400, stable: bool = False, as_text: bool = False, **options) -> DataFrame:
+def _runs(intervals: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The maximal runs that the intervals cover, in order."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(intervals):
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((s, e))
+    return out
+
+
+def remove_repeated_bytes(docs: DataFrame, length: int = 400, stable: bool = False, as_text: bool = False, shorter: int | None = None, **options) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary: the bytes that stay) added;
-    ``as_text``: kept is a string, without the bytes of characters that a cut went through.
+    ``as_text``: kept is a string, without the bytes of characters that a cut went through. ``shorter``: a lesser length, for which
+    n_repeated is added, the bytes that strings of that length cover which start elsewhere too; they are counted and not removed.
 
     Removes each byte of the UTF-8 text that a ``length``-byte string covers which also starts anywhere else, in the same
     document or another; strings never cross documents and are judged on the input. Null and empty texts have no bytes.
@@ -372,39 +472,34 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, stable: bool = Fal
     are replaced. ``stable``: as for substring.remove_repeats.
     """
     bounded_batches(docs.sparkSession)
-    plain = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "_row").withColumn("_row", F.monotonically_increasing_id())
+    plain = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "n_repeated", "_row").withColumn("_row", F.monotonically_increasing_id())
     if not stable:
         plain = stored(plain, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = repeated_spans(plain.select(F.col("_row").alias("r"), text.alias("text")), length, **options)
-    by_row = found.groupBy(F.col("r").alias("_row")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    lengths = (length,) if shorter is None else (shorter, length)
+    found = repeated_spans(plain.select(F.col("_row").alias("r"), text.alias("text")), lengths, **options)
+    by_row = found.groupBy(F.col("r").alias("_row")).agg(F.collect_list(F.struct("kind", "start", "end")).alias("_spans"))
     joined = plain.join(by_row, "_row", "left")
     at_text, at_spans = joined.columns.index("text"), joined.columns.index("_spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_bytes, n_removed, n_spans, kept = [], [], [], []
+            n_bytes, n_removed, n_spans, kept, n_repeated = [], [], [], [], []
             for value, found in zip(b.column(at_text), b.column(at_spans).to_pylist(), strict=True):
                 raw = (value.as_py() or "").encode("utf-8", "surrogatepass")
-                parts, last, runs, gone = [], 0, 0, 0
-                for s, e in sorted((x["start"], x["end"]) for x in found or ()):
-                    if e <= last and runs:
-                        continue
-                    if s > last or not runs:
-                        parts.append(raw[last:s])
-                        runs += 1
-                    else:
-                        s = last
-                    gone += e - s
-                    last = e
-                parts.append(raw[last:])
+                runs = _runs((x["start"], x["end"]) for x in found or () if x["kind"] == len(lengths) - 1)
                 n_bytes.append(len(raw))
-                n_removed.append(gone)
-                n_spans.append(runs)
-                left = b"".join(parts)
+                n_removed.append(sum(e - s for s, e in runs))
+                n_spans.append(len(runs))
+                left = b"".join(raw[e:s] for e, s in zip([0, *(e for _, e in runs)], [*(s for s, _ in runs), len(raw)], strict=True))
                 kept.append(left.decode("utf-8", "ignore") if as_text else left)
+                if shorter is not None:
+                    n_repeated.append(sum(e - s for s, e in _runs((x["start"], x["end"]) for x in found or () if x["kind"] == 0)))
             added = [pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, "n_bytes", "n_removed", "n_spans", "kept"])
+            if shorter is not None:
+                added.append(pa.array(n_repeated, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, "n_bytes", "n_removed", "n_spans", "kept", *more])
 
-    fields = [*joined.schema.fields, *(T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.StringType() if as_text else T.BinaryType())]
+    more = [] if shorter is None else ["n_repeated"]
+    fields = [*joined.schema.fields, *(T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *(T.StructField(x, T.LongType()) for x in more)]
     return joined.mapInArrow(cut, T.StructType(fields)).drop("_row", "_spans")

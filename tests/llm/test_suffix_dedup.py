@@ -40,13 +40,58 @@ def corpus(seed):
     return docs
 
 
-@pytest.mark.parametrize("options", [{}, {"most_contexts": 3}, {"batch": 5, "bits": 12}])
+@pytest.mark.parametrize("options", [{}, {"most_contexts": 3}, {"batch": 5, "bits": 12}, {"shorter": 70}, {"shorter": 70, "most_contexts": 2, "batch": 4}])
 def test_against_brute_force(spark, options):
     docs = corpus(6)
     df = spark.createDataFrame([(*d, 3, "x") for d in docs], "doc_id long, text string, start long, c string")
-    out = remove_repeated_bytes(df, length=100, **options)
-    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out.collect())
+    rows = remove_repeated_bytes(df, length=100, **options).collect()
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rows)
     assert got == brute(docs, 100)
+    if "shorter" in options:
+        assert sorted((r.doc_id, r.n_repeated) for r in rows) == sorted((d, n) for d, _, n, _, _ in brute(docs, 70))
+
+
+def test_a_passage_in_many_texts(spark):
+    """One passage with different words around it, far more often than a group may hold contexts."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 8)))
+    passage = " ".join(word() for _ in range(40))
+    docs = [(i, " ".join([*(word() for _ in range(rng.randint(3, 30))), passage, *(word() for _ in range(rng.randint(3, 30)))])) for i in range(150)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    for options in ({"most_contexts": 20}, {"most_contexts": 20, "shorter": 64}):
+        rows = remove_repeated_bytes(df, length=120, **options).collect()
+        assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rows) == brute(docs, 120)
+
+
+def test_a_text_beyond_one_segment(spark):
+    rng = np.random.default_rng(2)
+    text = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    a, b, c = text(700), text(700), text(400)
+    at = 1 << 21  # where one piece of a text ends and the next begins
+    long = text(at - 300) + a + text(3 << 20) + b
+    docs = [(1, long), (2, "x" + a + "y"), (3, c + b), (4, text(5000) + c + text(10))]
+    rows = remove_repeated_bytes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in rows) == [(1, len(long), 1400, 2), (2, 702, 700, 1), (3, 1100, 1100, 1), (4, 5410, 400, 1)]
+
+
+def test_passages_of_over_fifty_words(spark):
+    """Passages of 51 to 80 words that two texts share: which reach 400 bytes, and that those and all of 240 are found."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.choice((2, 3, 4, 5, 6, 7, 9))))
+    words = lambda n: [word() for _ in range(n)]
+    docs, size = [], {}
+    for i in range(60):
+        passage = words(51 + i // 2)
+        for k in (0, 1):
+            docs.append((2 * i + k, " ".join([*words(rng.randint(60, 200)), *passage, *words(rng.randint(60, 200))])))
+            size[2 * i + k] = len(" ".join(passage)) + 2
+    docs += [(1000 + i, " ".join(words(200))) for i in range(40)]
+    rows = {r.doc_id: r for r in remove_repeated_bytes(spark.createDataFrame(docs, "doc_id long, text string"), shorter=240).collect()}
+    whole = [d for d, n in size.items() if n >= 402]
+    assert 0 < len(whole) < len(size) and min(size.values()) > 240
+    assert all(rows[d].n_removed >= 400 for d in whole)
+    assert all(rows[d].n_repeated >= size[d] - 2 for d in size) and all(rows[1000 + i].n_repeated == 0 for i in range(40))
+    print(f"{len(whole)} of {len(size)} passages reach 400 bytes")
 
 
 def test_empty(spark):
