@@ -6,8 +6,9 @@ documents of similarity s miss each other with a chance of at most 2 * (1 - s **
 0.85 with 10 keys, 4e-4 at 0.8 with 12.
 
 Documents of one set are one class. Documents that share table keys are joined to rough groups, without pairs: each
-key joins its members to its first one, in the partition before the shuffle and once more after it. Inside a group the
-full sets are compared in blocks, so that large groups are split over tasks and every link is confirmed exactly.
+key joins its members to its first one, in the partition before the shuffle and once more after it. Inside a group
+the sets meet in blocks of bounded size, so that large groups are split over tasks; in a pair of blocks those that share one of their
+rarest shingles are candidates, and every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -23,17 +24,17 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, stored, take_turn
 from .components import components
 from .decontaminate import gram_hashes
-from .substring import _spread, word_codes
+from .substring import _spread, word_hashes
 
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
 
 
-def shingles(text: str, width: int) -> np.ndarray:
+def shingles(text: bytes, width: int) -> np.ndarray:
     """The sorted set of 64-bit hashes of ``width``-word shingles, A-Z in lower case; all words as one where there are fewer."""
-    codes = word_codes(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
-    if not codes:
+    codes = word_hashes(text.lower())
+    if not len(codes):
         return np.empty(0, np.uint64)
-    return np.unique(_spread(gram_hashes(np.array(codes, np.uint64), min(width, len(codes))) + np.uint64(min(width, len(codes))), *_MIX))
+    return np.unique(_spread(gram_hashes(codes, min(width, len(codes))) + np.uint64(min(width, len(codes))), *_MIX))
 
 
 class MinHash:
@@ -114,41 +115,55 @@ def _rough_edges(classes: DataFrame, mh: MinHash, tasks: int) -> DataFrame:
 
 def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
     """For each set the number of the first one that links lead to, links being tried between ``left`` and ``right`` members:
-    100 * intersection >= percent * union."""
+    100 * intersection >= percent * union.
+
+    Two sets that link share one of their rarest shingles: of n, the (100 - percent) % and one more. Those that do are candidates,
+    unless a chain of links joins them already, and are compared in full.
+    """
     n = len(sets)
     size = np.array([len(s) for s in sets])
     flat, doc = np.concatenate(sets), np.repeat(np.arange(n), size)
-    order = np.argsort(flat, kind="stable")
-    new = np.ones(len(flat), bool)
-    new[1:] = flat[order][1:] != flat[order][:-1]
-    word = np.empty(len(flat), np.int64)
-    word[order] = np.cumsum(new) - 1
-    posting, edge = doc[order], np.append(np.flatnonzero(new), len(flat))
+    _, word, times = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(times), np.int64)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(times))
+    word = rank[word]
+    word = word[np.lexsort((word, doc))]  # of each set the rarest first
     start = np.concatenate([[0], np.cumsum(size)])
-    label = np.arange(n)
+    head = size - -(-percent * size // 100) + 1
+    rare = np.arange(len(word)) - start[doc] < head[doc]
+    posted, owner = word[rare & right[doc]], doc[rare & right[doc]]
+    order = np.argsort(posted, kind="stable")
+    owner, edge = owner[order], np.searchsorted(posted[order], np.arange(len(times) + 1))
+    mark, label = np.zeros(len(times), bool), np.arange(n)
+
+    def ranges(first: np.ndarray, width: np.ndarray) -> np.ndarray:
+        return np.repeat(first - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum())
+
     for i in np.flatnonzero(left):
-        w = word[start[i] : start[i + 1]]
-        width = edge[w + 1] - edge[w]
-        w, width = w[width > 1], width[width > 1]
-        if not len(w):
+        w = word[start[i] : start[i] + head[i]]
+        c = np.unique(owner[ranges(edge[w], edge[w + 1] - edge[w])])
+        c = c[(label[c] != label[i]) & (100 * np.minimum(size[c], size[i]) >= percent * np.maximum(size[c], size[i]))]
+        if not len(c):
             continue
-        at = np.repeat(edge[w] - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum())
-        both = np.bincount(posting[at], minlength=n)
-        near = np.flatnonzero((100 * both >= percent * (size + size[i] - both)) & right)
-        near = near[label[near] != label[i]]
+        mine = word[start[i] : start[i + 1]]
+        mark[mine] = True
+        both = np.add.reduceat(mark[word[ranges(start[c], size[c])]], np.concatenate([[0], np.cumsum(size[c])[:-1]]), dtype=np.int64)
+        mark[mine] = False
+        near = c[100 * both >= percent * (size[c] + size[i] - both)]
         if len(near):
             merged = np.unique(np.append(label[near], label[i]))
             label[np.isin(label, merged)] = merged[0]
     return label
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, half_keys: int = 12, rows: int = 3, block: int = 1000, stable: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, half_keys: int = 12, rows: int = 3, block: int = 1_000_000, stable: bool = False) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (least doc_id that links lead to, itself included), kept.
 
     A document's set holds its ``width``-word shingles, as 64-bit hashes, over words without ASCII white space, A-Z in lower
     case; with fewer words, the whole sequence. Documents link where 100 * intersection >= percent * union. Null and empty
     texts have an empty set and link to nothing. A null doc_id is a document of its own with a null component, kept.
-    Rows of one doc_id are one node with the links of all of them; further columns are ignored.
+    Rows of one doc_id are one node with the links of all of them; further columns are ignored. ``block``: shingles of the sets that a
+    task compares with as many others.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -161,7 +176,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, half_key
         for b in batches:
             n, h, half = [], [], []
             for text in b.column(1):
-                s = shingles(text.as_py(), width)
+                s = shingles(bytes(text.as_buffer()), width)
                 n.append(len(s))
                 h.append(xxhash.xxh3_128_digest(s.tobytes()))
                 half.append(mh.half(s).tobytes() if len(s) else None)
@@ -170,15 +185,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, half_key
     signed = stored(base.mapInArrow(sign, "doc_id long, n long, h binary, half binary"), "signatures")
     real = signed.filter("n > 0 and doc_id is not null")
     same = real.groupBy("h").agg(F.min("doc_id").alias("id"))
-    classes = real.join(same, "h").filter("doc_id = id").select("id", "half").dropDuplicates(["id", "half"])
+    classes = real.join(same, "h").filter("doc_id = id").select("id", "half", "n").dropDuplicates(["id", "half"])
     rough = components(_rough_edges(classes, mh, tasks))
-    size = rough.groupBy("component").agg(F.count("*").alias("size"))
+    size = rough.join(classes.select("id", "n"), "id").groupBy("component").agg(F.sum("n").alias("size"))
     groups = stored(rough.join(size, "component").select("id", F.col("component").alias("c"), F.ceil(F.col("size") / block).cast("int").alias("blocks")), "groups")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_turn("words")
         for b in batches:
-            s = [shingles(t.as_py(), width).tobytes() for t in b.column(1)]
+            s = [shingles(bytes(t.as_buffer()), width).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(s, pa.binary())], names=["id", "c", "blocks", "s"])
 
     members = base.join(groups, base["doc_id"] == groups["id"]).select("id", "text", "c", "blocks").mapInArrow(sets, "id long, c long, blocks int, s binary")

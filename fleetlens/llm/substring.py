@@ -13,6 +13,7 @@ it, which lets more windows through to pass 2 and changes no result.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,34 +22,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, bounded_batches, cache_of, stored, take_turn
+from .common import bounded_batches, stored, take_turn
+from .decontaminate import gram_hashes
 
 MAX_BITS = 28
 _BLOCK_BITS = 20
 #: Documents of a fragment: 2 ** FRAGMENT_BITS rows of one partition.
 FRAGMENT_BITS = 10
 _FLUSH = 4_000_000
-_CACHE_WORDS = 150_000
+#: A text of more bytes is a fragment of its own.
+_LONG_TEXT = 1 << 16
+#: Windows of a bucket of the exact grouping, if the sketch lets all through.
+_BUCKET = 1 << 21
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _NO_ID = np.iinfo(np.int64).max
 
-_words: dict[str, int] = {}
-cache_of("words", lambda: _words.clear())
-
-
-def word_codes(text: str) -> list[int]:
-    """A 64-bit hash of every word, in order."""
-    global _words
-    words = WORD_RE.findall(text)
-    if len(_words) > _CACHE_WORDS:
-        _words = {}
-    known = _words
-    try:
-        return [known[w] for w in words]
-    except KeyError:
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-    return [known[w] for w in words]
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_SPACE_RE = re.compile(rb"[\t-\r ]")
+_BYTE = np.random.default_rng(3).integers(0, 1 << 64, 256, dtype=np.uint64, endpoint=False)
+_ODD = 0x9E3779B97F4A7C15
+_PIECE = 1 << 16
+_UP = np.cumprod(np.full(_PIECE, _ODD, np.uint64))
+_DOWN = np.cumprod(np.full(_PIECE, pow(_ODD, -1, 1 << 64), np.uint64))
+_LONG_WORD = 64
 
 
 def _spread(x: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -56,13 +52,57 @@ def _spread(x: np.ndarray, a: int, b: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(b)
 
 
-def window_hashes(codes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of every ``window`` neighbouring codes."""
-    from .decontaminate import gram_hashes
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """The text cut at white space into pieces of at most ``_PIECE`` bytes; a longer word is a piece of its own."""
+    at = 0
+    while at < len(raw):
+        end = min(len(raw), at + _PIECE)
+        if end < len(raw):
+            space = np.flatnonzero(_SPACE[np.frombuffer(raw, np.uint8, end - at, at)])
+            if len(space):
+                end = at + int(space[-1]) + 1
+            else:
+                found = _SPACE_RE.search(raw, end)
+                end = found.start() if found else len(raw)
+        yield raw[at:end]
+        at = end
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of every word, in order: a polynomial over its bytes by differences of prefix sums; words of more than 64 bytes, where
+    such hashes could be made to collide, by another hash."""
+    if len(raw) > _PIECE:
+        return np.concatenate([word_hashes(p) if len(p) <= _PIECE else np.array([xxhash.xxh3_64_intdigest(p.strip())], np.uint64) for p in _pieces(raw)])
+    b = np.frombuffer(raw, np.uint8)
+    edge = np.flatnonzero(np.diff(~_SPACE[b], prepend=False, append=False))
+    start, end = edge[::2], edge[1::2]
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BYTE[b] * _UP[: len(b)], out=sums[1:])
+    size = end - start
+    h = _spread((sums[end] - sums[start]) * _DOWN[start] + size.astype(np.uint64), 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
+    for i in np.flatnonzero(size > _LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]])
+    return h
+
+
+def window_hash(codes: np.ndarray, window: int) -> np.ndarray:
+    """A 64-bit hash of every ``window`` neighbouring codes."""
+    return _spread(gram_hashes(codes, window), 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
+
+
+def second_hash(codes: np.ndarray, window: int, at: np.ndarray) -> np.ndarray:
+    """32 bits of another hash of the windows that start ``at`` some places."""
+    own = _spread(codes, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
+    out = np.zeros(len(at), np.uint64)
+    for i in range(window):
+        out = out * _FACTOR + own[at + i]
+    return (_spread(out, 0x94D049BB133111EB, 0xD6E8FEB86659FD93) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
 
-    h = gram_hashes(codes, window)
-    g = gram_hashes(_spread(codes, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53), window)
-    return _spread(h, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9), _spread(g, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
+def cells(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of each window in either row of the sketch."""
+    shift = np.uint64(64 - bits)
+    return h >> shift, _spread(h, 0x94D049BB133111EB, 0xD6E8FEB86659FD93) >> shift
 
 
 def pack_gaps(cells: np.ndarray) -> bytes:
@@ -122,14 +162,14 @@ def sketch(docs: DataFrame, window: int, bits: int) -> list[bytes]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_turn("words")
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        n, shift = 0, np.uint64(64 - bits)
+        n = 0
         for b in batches:
             for text in b.column(0):
-                codes = word_codes(text.as_py() or "")
+                codes = word_hashes(bytes(text.as_buffer() or b""))
                 if len(codes) >= window:
-                    h, g = window_hashes(np.array(codes, np.uint64), window)
-                    held.append(((h >> shift).astype(np.uint32), (g >> shift).astype(np.uint32)))
-                    n += len(h)
+                    one, two = cells(window_hash(codes, window), bits)
+                    held.append((one.astype(np.uint32), two.astype(np.uint32)))
+                    n += len(one)
                 if n >= _FLUSH:
                     yield from emit([np.concatenate(x) for x in zip(*held, strict=True)])
                     held, n = [], 0
@@ -155,20 +195,18 @@ def hash_order(h: np.ndarray, g: np.ndarray) -> np.ndarray:
 class Fragment:
     """The possibly repeated windows of some documents: distinct ones in hash order with their smallest doc_id."""
 
-    def __init__(self, ids: list[int | None], texts: list[str], window: int, sketches: list[np.ndarray], bits: int):
-        shift = np.uint64(64 - bits)
+    def __init__(self, ids: list[int | None], texts: list[bytes], window: int, sketches: list[np.ndarray], bits: int):
         hs, gs, docs, places, self.words = [], [], [], [], []
         for d, text in enumerate(texts):
-            codes = word_codes(text)
+            codes = word_hashes(text)
             self.words.append(len(codes))
             if len(codes) < window:
                 continue
-            h, g = window_hashes(np.array(codes, np.uint64), window)
-            a, b = h >> shift, g >> shift
-            seen = (sketches[0][a >> np.uint64(3)] >> (np.uint64(7) - (a & np.uint64(7))).astype(np.uint8)) & (sketches[1][b >> np.uint64(3)] >> (np.uint64(7) - (b & np.uint64(7))).astype(np.uint8)) & 1
-            at = np.flatnonzero(seen)
+            h = window_hash(codes, window)
+            once = [s[c >> np.uint64(3)] >> (np.uint64(7) - (c & np.uint64(7))).astype(np.uint8) for s, c in zip(sketches, cells(h, bits), strict=True)]
+            at = np.flatnonzero(once[0] & once[1] & 1)
             hs.append(h[at])
-            gs.append((g[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+            gs.append(second_hash(codes, window, at))
             docs.append(np.full(len(at), d))
             places.append(at)
         join = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
@@ -204,14 +242,15 @@ def remove_repeats(docs: DataFrame, window: int = 13, stable: bool = False, bits
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.withColumn("f", F.shiftright(F.monotonically_increasing_id(), FRAGMENT_BITS))
+    number = F.monotonically_increasing_id()
+    rows = rows.withColumn("f", F.when(F.octet_length("text") > _LONG_TEXT, -1 - number).otherwise(F.shiftright(number, FRAGMENT_BITS)))
     if not stable:
         rows = stored(rows, "documents")
+    words = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n // 6
     if bits is None:
-        chars = rows.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("n")).first().n
-        bits = min(MAX_BITS, max(12, math.ceil(math.log2(chars / 6 + 2)) + 1))
+        bits = min(MAX_BITS, max(12, math.ceil(math.log2(words + 2)) + 1))
     shared = spark.sparkContext.broadcast(sketch(rows, window, bits))
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), words // _BUCKET)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_turn("words")
@@ -227,7 +266,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, stable: bool = False, bits
 
         now, ids, texts = None, [], []
         for batch in batches:
-            for f, i, t in zip(batch.column(2).to_pylist(), batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for f, i, t in zip(batch.column(2).to_pylist(), batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                if f < 0:  # stands between the texts of another fragment
+                    yield from one(f, [i], [t])
+                    continue
                 if f != now:
                     if ids:
                         yield from one(now, ids, texts)
@@ -253,7 +295,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, stable: bool = False, bits
 
     def lay(left: pa.Table, right: pa.Table) -> pa.Table:
         take_turn("words")
-        ids, texts = left.column("doc_id").to_pylist(), left.column("text").to_pylist()
+        ids, texts = left.column("doc_id").to_pylist(), left.column("text").cast(pa.binary()).to_pylist()
         x = Fragment(ids, texts, window, _loaded(shared), bits)
         edge = x.bucket_edges(buckets)
         earlier = np.zeros(len(x.h), bool)
@@ -265,7 +307,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, stable: bool = False, bits
         edge = np.searchsorted(doc, np.arange(len(ids) + 1))
         removed, kept = [], []
         for d, (n, text) in enumerate(zip(x.words, texts, strict=True)):
-            words = WORD_RE.findall(text)
+            words = text.split()  # bytes are split at the six white-space characters
             at = place[edge[d] : edge[d + 1]]
             if len(at):
                 change = np.bincount(at, minlength=n + 1)[: n + 1] - np.bincount(at + window, minlength=n + 1)[: n + 1]
@@ -274,8 +316,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, stable: bool = False, bits
                 words = [w for w, o in zip(words, out.tolist(), strict=True) if not o]
             else:
                 removed.append(0)
-            kept.append(" ".join(words))
-        return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array(x.words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())})
+            kept.append(b" ".join(words))
+        return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array(x.words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary()).view(pa.string())})
 
     bits_back = rows.mapInArrow(records, "b int, f long, h binary, g binary, low binary").groupBy("b").applyInArrow(answer, "f long, b int, bits binary")
     return rows.groupBy("f").cogroup(bits_back.groupBy("f")).applyInArrow(lay, "doc_id long, n_words long, n_removed long, kept string")

@@ -3,8 +3,9 @@
 import random
 import re
 
+import numpy as np
 from fleetlens.llm.components import components
-from fleetlens.llm.near_dup import near_duplicates
+from fleetlens.llm.near_dup import linked, near_duplicates
 
 
 def brute(docs, percent=80):
@@ -45,7 +46,7 @@ def corpus():
 def test_against_brute_force(spark):
     docs = corpus()
     df = spark.createDataFrame([(*d, 5, "x") for d in docs], "doc_id long, text string, n long, h string")
-    for block, percent in ((40, 80), (1000, 80), (1000, 85)):
+    for block, percent in ((3000, 80), (1_000_000, 80), (1_000_000, 85)):
         got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, percent=percent, block=block).collect())
         assert got == brute(docs, percent)
 
@@ -67,3 +68,19 @@ def test_components(spark):
         x, y = sorted((find(a), find(b)))
         low[y] = x
     assert got == {x: find(x) for x in low}
+
+
+def test_links_inside_blocks():
+    rng = np.random.default_rng(7)
+    for percent in (50, 80, 85, 100):
+        base = [np.unique(rng.integers(0, 400, rng.integers(1, 60))) for _ in range(12)]
+        sets = [np.unique(np.where(rng.random(len(b)) < 0.1, rng.integers(0, 400, len(b)), b)).astype(np.uint64) for b in base for _ in range(6)]
+        left, right = rng.random(len(sets)) < 0.7, rng.random(len(sets)) < 0.7
+        low = list(range(len(sets)))
+        find = lambda x: x if low[x] == x else find(low[x])
+        for i in np.flatnonzero(left):
+            for j in np.flatnonzero(right):
+                if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j])):
+                    x, y = sorted((find(i), find(j)))
+                    low[y] = x
+        assert linked(sets, left, right, percent).tolist() == [find(x) for x in range(len(sets))]

@@ -51,3 +51,20 @@ def test_gaps():
     cells = np.unique(np.random.default_rng(1).integers(0, 1 << 20, 3000))
     assert (unpack_gaps(pack_gaps(cells)) == cells).all() and unpack_gaps(pack_gaps(np.array([0]))).tolist() == [0]
     assert len(unpack_gaps(pack_gaps(np.empty(0, np.int64)))) == 0
+
+
+def test_word_hashes():
+    import random
+
+    from fleetlens.llm.substring import word_hashes
+
+    rng = random.Random(3)
+    words = [bytes(rng.choices(b"abc\xc3\xa9", k=rng.choice((1, 2, 3, 5, 64, 65, 300)))) for _ in range(300)] + [b"x" * 70_000, b"y" * 140_000]
+    known: dict[bytes, int] = {}
+    for n in (0, 1, 5, 400, 3000):
+        some = rng.choices(words, k=n)
+        raw = b"".join(w + rng.choice((b" ", b"\n", b"\t \r", b"\x0b\x0c")) for w in some)
+        for text in (raw, raw.strip(), b" " + raw):
+            h = word_hashes(text).tolist()
+            assert len(h) == n and all(known.setdefault(w, x) == x for w, x in zip(some, h, strict=True))
+    assert len(set(known.values())) == len(known)
