@@ -44,7 +44,7 @@ def _one_of_each_set(docs: DataFrame) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_turn("words")
         for b in batches:
-            found = (near_dup.shingles(t.as_py() or "", 5) for t in b.column(at))
+            found = (near_dup.shingles(bytes(t.as_buffer() or b""), 5) for t in b.column(at))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found], pa.binary())], names=[*b.schema.names, "_set"])
 
     repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again"))
