@@ -76,7 +76,10 @@ def b11_split_path(spark, sf):
     return t.table(spark, sf, "pages").select("page_id", *sc.split_path(F.col("url")))
 
 
-@query()
+_STATE = """'{"o_custkey":' || o_custkey || ',"o_totalprice":' || o_totalprice || ',"col3":' || CASE WHEN o_orderstatus = 'F' THEN '"' || o_orderpriority || '"' ELSE 'null' END || '}'"""
+
+
+@query(f"WITH {t.CRC_TABLE}, s AS (SELECT o_orderkey, list_transform(string_split({_STATE}, ''), lambda x: ord(x)) AS b FROM orders) SELECT o_orderkey, printf('%x', {t.crc_sql('b')}) AS signature FROM s, crc_table")
 def b12_state_signature(spark, sf):
     return t.table(spark, sf, "orders").select("o_orderkey", sc.state_signature(F.col("o_custkey"), F.col("o_totalprice"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority"))).alias("signature"))
 
@@ -112,9 +115,12 @@ def b15_lint_terms(spark, sf):
     return sc.lint_terms(t.table(spark, sf, "documents"), "doc_id", "text", d.unionByName(fixed).distinct().withColumn("better", F.upper("term")))
 
 
-@query()
+_FOLDED = r"trim(regexp_replace(regexp_replace(translate(lower(text), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[-‐‑–]', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
+
+
+@query(rf"SELECT doc_id, md5({_FOLDED}) AS folded, regexp_matches({_FOLDED}, '(^|[^\p{{L}}\p{{N}}])et') AS starts_et FROM documents")
 def b16_fold_text(spark, sf):
-    return t.table(spark, sf, "documents").select("doc_id", F.crc32(sc.fold_text(F.col("text")).cast("binary")).alias("folded"), sc.starts_word(F.col("text"), "et").alias("starts_et"))
+    return t.table(spark, sf, "documents").select("doc_id", F.md5(sc.fold_text(F.col("text")).cast("binary")).alias("folded"), sc.starts_word(F.col("text"), "et").alias("starts_et"))
 
 
 @query("""SELECT event_id, round(CASE WHEN event_id % 4 > 0 THEN 90 - degrees(atan2(1, sqrt(pow(tan(radians(user_id % 60)), 2) + pow(tan(radians(event_id % 50)), 2)))) ELSE 90 - degrees((user_id % 15) / 10) END, 6) AS lean FROM events""")

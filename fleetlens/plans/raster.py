@@ -40,7 +40,8 @@ def d38_diff_histogram(spark, sf):
     return rounded(op.diff_histogram(a.join(b, ["pair", "i"])), 6)
 
 
-@query()
+@query(f"""WITH {t.LEVELS}, {t.CRC_TABLE}, g AS (SELECT image, avg(q) AS mean, min(q) AS lo, max(q) AS hi, min(q) = max(q) AS flat, list(q ORDER BY y, x) AS b FROM levels GROUP BY image)
+SELECT image, mean, lo, hi, {t.crc_sql("b")} AS crc, flat FROM g, crc_table""")
 def d39_tile_checksums(spark, sf):
     return op.tile_checksums(t.levels(spark, sf), ["y", "x"])
 

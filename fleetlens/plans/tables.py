@@ -103,3 +103,11 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 COMPONENTS = """components AS (SELECT l_suppkey AS image, l_returnflag AS tier, concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS id,
     l_quantity AS width, l_extendedprice / 100 AS length, l_quantity * l_extendedprice / 100 AS area FROM lineitem)"""
+
+
+#: CRC-32 in SQL: ``crc_table`` as a common table expression, and the sum of a list of bytes.
+CRC_TABLE = """crc_table AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) AS r(i)))"""
+
+
+def crc_sql(numbers: str) -> str:
+    return f"xor(list_reduce({numbers}::BIGINT[], lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"

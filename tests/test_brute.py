@@ -1,5 +1,6 @@
 """Queries that have no SQL, and a few more, against plain Python over the small tables."""
 
+import hashlib
 import json
 import math
 import os
@@ -46,7 +47,7 @@ def test_b16_fold_text(spark):
     assert len(got) == len(rows)
     for r in rows:
         f = fold(r.text)
-        assert got[r.doc_id] == (zlib.crc32(f.encode()), bool(re.search(r"(?<![^\W_])et", f)))
+        assert got[r.doc_id] == (hashlib.md5(f.encode()).hexdigest(), bool(re.search(r"(?<![^\W_])et", f)))
 
 
 @needs_tables
