@@ -1,8 +1,8 @@
 """Chat formatting with typed content parts, in DataFrame functions alone.
 
 A turn is ``<turn:ROLE>\\n`` + content + ``</turn>\\n``. Every control string begins with ``<`` and, inside a role or a
-text, ``\\`` is written ``\\s``, ``<`` is written ``\\l`` and, in roles, ``>`` is written ``\\g``. So ``<`` begins a control string
-wherever it stands, and each backslash begins exactly one escape: the way back is three literal replacements.
+text, ``\\`` is written ``\\s``, ``<`` is written ``\\l``, in roles and placeholders ``>`` is written ``\\g`` and in kinds a space ``\\w``. So ``<`` begins a control string
+wherever it stands, and each backslash begins exactly one escape: the way back is literal replacements.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ def escape(c: Column) -> Column:
 
 
 def unescape(c: Column) -> Column:
-    return _swap(c, ("\\g", ">"), ("\\l", "<"), ("\\s", "\\"))
+    return _swap(c, ("\\w", " "), ("\\g", ">"), ("\\l", "<"), ("\\s", "\\"))
 
 
 def text_parts(text: Column) -> Column:
@@ -38,7 +38,7 @@ def visit(part: Column) -> Column:
     """A part in the flat text: a text escaped, anything else a placeholder ``<KIND REF>``; null kinds are texts."""
     kind = F.coalesce(part["kind"], F.lit("text"))
     name = lambda c: _swap(escape(F.coalesce(c, F.lit(""))), (">", "\\g"))
-    return F.when(kind == "text", escape(F.coalesce(part["text"], F.lit("")))).otherwise(F.concat(F.lit("<"), name(kind), F.lit(" "), name(part["ref"]), F.lit(">")))
+    return F.when(kind == "text", escape(F.coalesce(part["text"], F.lit("")))).otherwise(F.concat(F.lit("<"), _swap(name(kind), (" ", "\\w")), F.lit(" "), name(part["ref"]), F.lit(">")))
 
 
 def part_tokens(part: Column) -> Column:
@@ -85,11 +85,18 @@ def format_chats(turns: DataFrame, parts: str = "parts", train_roles: tuple[str,
 
 
 def read_chats(chats: DataFrame) -> DataFrame:
-    """Reads ``formatted`` back: adds turns (role, text) and loss_text (all text under the mask, unescaped)."""
+    """Reads ``formatted`` back: adds turns (role, text), loss_text (all text under the mask, unescaped) and turn_parts, of each turn
+    the parts (kind, text, ref) with neighbouring texts as one and without empty ones; a null ref comes back empty."""
     cut = F.filter(F.split("formatted", "</turn>\\n"), lambda x: x != "")
     turns = F.transform(cut, lambda x: F.struct(
         unescape(F.substring_index(F.substr(x, F.lit(len(_OPEN) + 1)), ">\n", 1)).alias("role"),
         unescape(F.substr(x, F.locate(">\n", x) + 2)).alias("text"),
     ))
     kept = F.zip_with(cut, "layout", lambda x, y: F.when(y["loss"], F.substring(x, y["head"] + 1, y["content"])))
-    return chats.withColumns({"turns": turns, "loss_text": unescape(F.concat_ws("", kept))})
+    none = F.lit(None).cast("string")
+    inner = lambda y: F.substr(y, F.lit(2), F.char_length(y) - 2)
+    part = lambda y: F.when(
+        y.startswith("<"), F.struct(unescape(F.substring_index(inner(y), " ", 1)).alias("kind"), none.alias("text"), unescape(F.substr(inner(y), F.locate(" ", inner(y)) + 1)).alias("ref"))
+    ).otherwise(F.struct(F.lit("text").alias("kind"), unescape(y).alias("text"), none.alias("ref")))
+    parts = F.transform(cut, lambda x: F.transform(F.regexp_extract_all(F.substr(x, F.locate(">\n", x) + 2), F.lit("<[^>]*>|[^<]+"), 0), part))
+    return chats.withColumns({"turns": turns, "loss_text": unescape(F.concat_ws("", kept)), "turn_parts": parts})

@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
 import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-#: A word of the corpus contracts: a run without the six ASCII white-space characters.
-WORD = r"[^\x20\x09-\x0D]+"
-WORD_RE = re.compile(WORD)
-
-_own: dict[str, str] = {}
-_scratch: list[tuple[SparkSession, str]] = []
+from ..sources.shared import drop, scratch, shared_dir  # noqa: F401
 
+#: A word of the corpus contracts: a run without the six ASCII white-space characters.
+WORD_RE = re.compile(r"[^\x20\x09-\x0D]+")
 
 #: Rows of an Arrow batch: the JVM and the worker each hold one, and texts may be long.
 BATCH_ROWS = 1000
@@ -33,44 +26,6 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; on a local master a temporary one where it is unset,
-    and an error elsewhere, as executors could not read it."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="fleetlens-")
-            spark.sparkContext.setCheckpointDir(_own[app])
-        base = _own[app]
-    return base.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, removed when the session's driver ends."""
-    path = f"{shared_dir(spark)}/fleetlens-{name}-{uuid.uuid4().hex}"
-    if not _scratch:
-        atexit.register(_clean)
-    _scratch.append((spark, path))
-    return path
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Removes a scratch path that no result reads any more."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _clean() -> None:
-    for spark, path in _scratch:
-        try:
-            drop(spark, path)
-        except Exception:  # the session's JVM may be gone already
-            return
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts the lineage and survives the loss of executors."""
     spark = df.sparkSession
@@ -83,14 +38,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lower_ascii(text: Column) -> Column:
-    """Lower-cases A-Z and nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-LOWER_ASCII = {c: c + 32 for c in range(65, 91)}
-
-
 #: In a worker process: what empties each operator's cache, and whose turn it is.
 _caches: dict[str, Callable[[], None]] = {}
 _turn = ""

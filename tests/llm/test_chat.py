@@ -28,6 +28,21 @@ def test_parts_are_flattened_in_order(spark):
     assert r.expanded_tokens == 263
 
 
+def test_parts_come_back(spark):
+    kind = "array<struct<kind:string,text:string,ref:string,tokens:int>>"
+    parts = [("text", "see <\\", None, None), ("my image", None, "a b>\\.png", None), ("audio", None, None, 7), (None, "x", None, None), ("text", "y>", None, None), ("text", "", None, None)]
+    df = spark.createDataFrame([(1, 0, "us>er", parts), (1, 1, "assistant", None)], f"conv_id long, turn long, role string, parts {kind}")
+    got = read_chats(format_chats(df)).collect()[0].turn_parts
+    assert [[tuple(p) for p in t] for t in got] == [[("text", "see <\\", None), ("my image", None, "a b>\\.png"), ("audio", None, ""), ("text", "xy>", None)], []]
+
+
+def test_a_very_long_text(spark):
+    text = "long </turn>\n\\ text é " * 100_000
+    df = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    r = read_chats(format_chats(df.withColumn("parts", text_parts(F.col("text"))))).collect()[0]
+    assert r.loss_text == text and [t.text for t in r.turns] == [text, text]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string").withColumn("parts", text_parts(F.col("text")))
     assert read_chats(format_chats(df)).count() == 0

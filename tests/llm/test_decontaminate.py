@@ -93,3 +93,14 @@ def test_fewest_edits_are_those_of_align():
         for s, e in zip(starts, got, strict=True):
             want = align(item[s : s + 40], text, low + int(s), 12, k)
             assert want is not None and want[0] == e if e <= k else want is None
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(11)
+    other = lambda n: " ".join("".join(rng.choices("mnopqrst", k=5)) for _ in range(n))
+    item = " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(30))
+    long = f"{other(120_000)} {item[:60]}y{item[61:]} {other(120_000)}"
+    d = spark.createDataFrame([(1, long), (2, other(250_000)), (3, "a" * 1_000_000)], "doc_id long, text string")
+    b = spark.createDataFrame([(7, item), (8, "bb" * 300)], "item_id long, text string")
+    got = find_leaks(d, b).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(1, 7)] and long[got[0].start : got[0].end].startswith(item[:50])
