@@ -16,6 +16,7 @@ from .timing import MIN
 @query("""WITH b AS (SELECT o_orderkey AS file, o_custkey + 1 AS v, o_totalprice AS ord, 1 AS b FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, o_custkey, 200000.0, 0 FROM orders WHERE o_orderkey % 2 = 0),
  r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY ord DESC, b DESC) AS r FROM b) SELECT file, v, ord FROM r WHERE r = 1""")
 def a11_upsert_index(spark, sf):
+    """Two stand-ins for two days' records, made from one table as it holds no second state: their keys overlap in part."""
     o = t.table(spark, sf, "orders")
     batch = o.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("file"), (F.col("o_custkey") + 1).alias("v"), F.col("o_totalprice").alias("ord"))
     return op.upsert(batch, o.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("file"), F.col("o_custkey").alias("v"), F.lit(200000.0).alias("ord")), "file", "ord")
@@ -28,6 +29,7 @@ def a12_name_collisions(spark, sf):
 
 @query("""SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 2 = 0""")
 def g1_union_sources(spark, sf):
+    """Finished orders and those of even keys stand in for two sources that overlap."""
     o = t.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
     return op.union_sources(o.filter("o_orderstatus = 'F'"), o.filter("o_orderkey % 2 = 0"), key="o_orderkey")
 
@@ -89,6 +91,7 @@ def s1_settled_arrivals(spark, sf):
 @query("""WITH a AS (SELECT o_orderkey AS k, o_custkey AS x FROM orders WHERE o_orderkey % 5 > 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 1 ELSE o_custkey END AS y FROM orders WHERE o_orderkey % 7 > 0)
 SELECT k, CASE WHEN x IS NULL THEN 'new' WHEN y IS NULL THEN 'gone' WHEN x <> y THEN 'growing' ELSE 'settled' END AS status FROM a FULL JOIN b USING (k)""")
 def s2_growing_files(spark, sf):
+    """Two snapshots of one table, made by leaving out every fifth and seventh key and by raising some sizes."""
     o = t.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("s"))
     return st.growing_files(o.filter("k % 5 > 0"), o.filter("k % 7 > 0").withColumn("s", F.when(F.col("k") % 3 == 0, F.col("s") + 1).otherwise(F.col("s"))), "k", "s")
 
@@ -105,6 +108,7 @@ def s3_harvest(spark, sf):
 @query(r"""WITH n AS (SELECT page_id, regexp_extract(url, '//([^/]*)', 1) AS host FROM pages), o AS (SELECT page_id, host, regexp_extract(host, '^([^-/_.]+)', 1) AS prefix FROM n WHERE regexp_matches(host, '^[a-z]+\.[a-z]+\.'))
 SELECT page_id, host, prefix FROM o WHERE prefix NOT IN (SELECT prefix FROM o WHERE page_id % 7 = 0)""")
 def s4_unknown_shape_alerts(spark, sf):
+    """All pages; the prefixes of every seventh page stand in for the known ones."""
     p = t.table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "//([^/]*)", 1).alias("host"))
     shape = r"^[a-z]+\.[a-z]+\."
     known = p.filter(F.col("host").rlike(shape) & (F.col("page_id") % 7 == 0)).select(F.regexp_extract("host", "^([^-/_.]+)", 1).alias("prefix"))

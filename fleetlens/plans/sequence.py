@@ -36,18 +36,21 @@ def trace(spark, sf):
 @query(f"""WITH {_TRACE}, l AS (SELECT *, lag(t + d) OVER w AS t0, lag(i) OVER w AS b FROM trace WINDOW w AS (PARTITION BY series ORDER BY i)), k AS (SELECT *, t - t0 AS wait FROM l WHERE b = i - 1 AND i > 4),
  m AS (SELECT series, median(wait) AS m FROM k GROUP BY series) SELECT series, i, t0, t AS t1, wait FROM k JOIN m USING (series) WHERE wait > 3 * m""")
 def w4_wait_windows(spark, sf):
+    """The trace leaves out one of every five passes, as kept traces do, so that gaps occur."""
     return op.wait_windows(trace(spark, sf), "series", "i", "t", "d", 4).select("series", "i", "t0", "t1", "wait")
 
 
 @query(f"""WITH {_BUSY}, f AS (SELECT *, min(seq) FILTER (b >= 8) OVER (PARTITION BY series) AS full_at FROM busy)
 SELECT series, count(*) FILTER (full_at IS NULL OR seq < full_at) AS samples, coalesce(sum((8 - b) * 500) FILTER (full_at IS NULL OR seq < full_at), 0)::BIGINT AS idle FROM f GROUP BY series""")
 def w5_warm_up(spark, sf):
+    """All samples as a grid of busy workers."""
     return op.warm_up(busy(spark, sf), "series", 8, 500)
 
 
 @query(f"""WITH {_TRACE}, k AS (SELECT * FROM trace WHERE i > 4 AND (series % 3 > 0 OR i < 40)), n AS (SELECT series, count(*) AS n FROM samples GROUP BY series)
 SELECT series, count(*) AS rows, min(i) AS first, max(i) AS last, CASE WHEN count(*) > 1 THEN round((max(i) - min(i)) / (count(*) - 1), 6) END AS stride, (max(i) - min(i) + 1) / any_value(n) < 0.9 AS window_only FROM k JOIN n USING (series) GROUP BY series""")
 def w6_trace_coverage(spark, sf):
+    """The trace leaves out its first passes, and for every third series those after 40, as kept traces do."""
     total = t.samples(spark, sf).groupBy("series").agg(F.count("*").alias("n"))
     return rounded(op.trace_coverage(trace(spark, sf).filter("i > 4 and (series % 3 > 0 or i < 40)"), "series", "i", total), 6)
 

@@ -33,6 +33,7 @@ def a9_scan_lines(spark, sf):
 @query(f"""WITH {_REFS}, l AS (SELECT page_id, n, ref, ltrim(regexp_replace(ref, '[?#].*$', ''), '/') AS target FROM refs WHERE NOT regexp_matches(ref, '^([A-Za-z][A-Za-z0-9+.-]*:|//|#)')), f AS (SELECT DISTINCT ltrim(ref, '/') AS p FROM refs WHERE page_id % 3 = 0)
 SELECT page_id, n, target FROM l WHERE NOT EXISTS (SELECT 1 FROM f WHERE p = target)""")
 def c13_dead_links(spark, sf):
+    """All links; what every third page refers to stands in for the files that exist."""
     links = src.scan_pages(t.table(spark, sf, "pages")).withColumn("folder", F.lit("site"))
     files = links.filter("page_id % 3 = 0").select(op.resolve(F.lit("site"), F.col("ref")).alias("path")).distinct()
     return op.dead_links(links, files, "folder", "ref", "path").select("page_id", "n", "target")
@@ -81,6 +82,7 @@ def q6_dynamic_keys(spark, sf):
 @query("""SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'not listed' WHEN d.doc_id IS NULL THEN 'no file' WHEN l.doc_id % 11 = 0 THEN 'unnamed' WHEN (quality = 1) = (toxic = 0) THEN 'draft xor stable' ELSE 'ok' END AS status
 FROM labels l FULL JOIN (SELECT doc_id FROM documents WHERE doc_id % 7 > 0) d USING (doc_id)""")
 def q7_catalogue_status(spark, sf):
+    """All labels against documents but for every seventh, so that entries without files occur."""
     index = t.table(spark, sf, "labels").select("doc_id", F.when(F.col("doc_id") % 11 != 0, F.lit("n")).alias("name"), (F.col("quality") == 1).alias("draft"), (F.col("toxic") == 0).alias("stable"))
     return op.catalogue_status(index, t.table(spark, sf, "documents").filter("doc_id % 7 > 0"), "doc_id")
 
@@ -94,6 +96,7 @@ def _folded(x: str) -> str:
  w AS (SELECT DISTINCT s.doc_id, lang, term, g, x.f FROM s JOIN x USING (doc_id), g WHERE list_contains(regexp_split_to_array(s.f, '[^\p{{L}}\p{{N}}]+'), regexp_split_to_array(g, '[^\p{{L}}\p{{N}}]+')[1]) AND contains(' ' || regexp_replace(s.f, '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' ' || g))
 SELECT doc_id, lang, term FROM w WHERE NOT contains(f, g)""")
 def q8_keep_terms(spark, sf):
+    """Each document of an even id stands in for a source text and the next one for its translation."""
     d = t.table(spark, sf, "documents")
     source, target = d.filter("doc_id % 2 = 0").select("doc_id", "text"), d.filter("doc_id % 2 = 1").select((F.col("doc_id") - 1).alias("doc_id"), "lang", "text")
     words = t.table(spark, sf, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("term")).distinct()

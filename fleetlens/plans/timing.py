@@ -24,6 +24,7 @@ def windows(spark, sf):
 
 @query("""SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)""")
 def c1_needs_harvest(spark, sf):
+    """Every customer against the dear orders, which stand in for the sidecars that exist already."""
     sidecars = t.table(spark, sf, "orders").filter("o_totalprice > 400000")
     return op.needs_harvest(t.table(spark, sf, "customer"), sidecars, "c_custkey", "o_custkey").select("c_custkey", "c_name")
 
@@ -31,6 +32,7 @@ def c1_needs_harvest(spark, sf):
 @query("""SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM orders a WHERE a.o_orderstatus = 'F' AND a.o_custkey IS NOT DISTINCT FROM o.o_custkey
  AND a.o_orderpriority IS NOT DISTINCT FROM o.o_orderpriority) AND o.o_orderstatus = 'O'""")
 def c2_already_archived(spark, sf):
+    """Open orders against finished ones: the table's states stand in for incoming and archived files."""
     o = t.table(spark, sf, "orders")
     return op.already_archived(o.filter("o_orderstatus = 'O'"), o.filter("o_orderstatus = 'F'"), ["o_custkey", "o_orderpriority"]).select("o_orderkey")
 
@@ -38,6 +40,7 @@ def c2_already_archived(spark, sf):
 @query("""SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM orders a WHERE a.o_orderstatus = 'F' AND a.o_custkey IS NOT DISTINCT FROM o.o_custkey
  AND a.o_orderpriority IS NOT DISTINCT FROM o.o_orderpriority) AND o.o_orderstatus = 'O'""")
 def c2_not_archived(spark, sf):
+    """The other side of c2_already_archived, with the same stand-ins."""
     o = t.table(spark, sf, "orders")
     return op.already_archived(o.filter("o_orderstatus = 'O'"), o.filter("o_orderstatus = 'F'"), ["o_custkey", "o_orderpriority"], False).select("o_orderkey")
 
@@ -82,6 +85,7 @@ def c7_match_templates(spark, sf):
 @query("""WITH a AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey % 4 <> 0), b AS (SELECT DISTINCT o_custkey AS k FROM orders)
 SELECT k, CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 'both' WHEN a.k IS NOT NULL THEN 'missing' ELSE 'stale' END AS status FROM a FULL JOIN b USING (k)""")
 def c8_reconcile_keys(spark, sf):
+    """Customers but for every fourth against all orders, so that either side lacks keys of the other."""
     a = t.table(spark, sf, "customer").filter("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("k"))
     return op.reconcile_keys(a, t.table(spark, sf, "orders").select(F.col("o_custkey").alias("k")), "k")
 
@@ -252,6 +256,7 @@ def d32_drive_profile(spark, sf):
  g AS (SELECT series, avg(rv) FILTER (q <= 10) AS x, avg(rv) FILTER (q > 10) AS y FROM a GROUP BY series)
 SELECT series, round(x, 6) AS slow_mean, round(y, 6) AS rest_mean, abs(x / y - 1) > 0.25 AS differs FROM g""")
 def d33_slow_vs_rest(spark, sf):
+    """Views are the log's readings and all other events the tiles that are timed against them."""
     s = t.samples(spark, sf)
     tiles = s.filter("kind <> 'view'").withColumn("q", F.row_number().over(Window.partitionBy("series").orderBy(F.desc("value"), "id")))
     right = s.filter("kind = 'view'").select("series", F.col("t").alias("rt"), F.col("value").alias("rv"))
