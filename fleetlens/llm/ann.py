@@ -98,8 +98,8 @@ def plan_of(n: int, axes: int, block: int) -> tuple[int, int, int]:
     first = max(4, min(axes, math.ceil(axes * 0.17 * (10_000 / max(n, 1)) ** 0.2)))
     if n < axes * block / 4:
         return 1, first, 0
-    share = 2.6 * n**-0.25 / 5
-    return 2, min(axes, 2 * first), max(16, math.ceil(axes * axes * share))
+    share = 3.6 * n**-0.25 / 5
+    return 2, min(axes, 3 * first), max(16, math.ceil(axes * axes * share))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 5, block: int = 4096, sample: int = 2048, seed: int = 7) -> DataFrame:

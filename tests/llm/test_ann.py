@@ -1,7 +1,13 @@
 """Nearest neighbours: recall against brute force, exact scores, order and edge cases."""
 
+import os
+
 import numpy as np
-from fleetlens.llm.ann import nearest
+import pytest
+from fleetlens.llm.ann import Rotations, _axes_of, _best_probes, nearest, plan_of
+from fleetlens.llm.queries import op1_nearest
+
+SF = "/root/testdata/sf0.1"
 
 
 def brute(rows, asked, k):
@@ -85,3 +91,59 @@ def test_repeated_rows_leave_room_for_equal_vectors(spark):
     v = np.array([0.6, 0.8])
     got, want = answers(spark, [(1, v)] * 50 + [(i, v) for i in range(2, 6)] + [(20, v)] * 30)
     assert got == want and [i for i, _ in got[20]] == [1, 2, 3, 4, 5]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_recall_on_the_table(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()
+    x, ids = np.array([r.embedding for r in rows]), np.array([r.vec_id for r in rows])
+    got = {}
+    for r in op1_nearest(spark, SF).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = ids[ids % 20 == 0]
+    hits = 0
+    for q in asked:
+        score = x @ x[ids == q][0]
+        score[ids == q] = -9
+        hits += len(got[q] & set(ids[np.argsort(-score)[:20]].tolist()))
+    assert got.keys() == set(asked.tolist()) and hits >= 0.9 * 20 * len(asked)
+    print(f"recall {hits / 20 / len(asked):.3f}")
+
+
+def test_a_smaller_share_of_more_vectors_is_met():
+    rng, shares = np.random.default_rng(0), []
+    for n, asked in ((3000, 40), (30_000, 20), (140_000, 10)):
+        v = rng.normal(size=(n, 64))
+        v /= np.linalg.norm(v, axis=1)[:, None]
+        depth, first, probes = plan_of(n, 128, 4096)
+        seen = np.zeros((asked, n), bool)
+        for _, axes in _axes_of(v, Rotations(64, 5 * depth, 7), range(5), depth):
+            own = [y.argmax(axis=1) for y in axes]
+            if depth == 1:
+                near = np.argpartition(-axes[0][:asked], first - 1, axis=1)[:, :first]
+                for i in range(asked):
+                    seen[i] |= np.isin(own[0], near[i])
+            else:
+                for i, one, two in _best_probes([y[:asked] for y in axes], first, probes):
+                    seen[i] |= (own[0] == one) & np.isin(own[1], two)
+        score = v[:asked] @ v.T
+        score[np.arange(asked), np.arange(asked)] = -9
+        top = np.argpartition(-score, 20, axis=1)[:, :20]
+        assert np.mean([seen[i, top[i]].mean() for i in range(asked)]) >= 0.9
+        shares.append(seen.mean())
+    assert plan_of(140_000, 128, 4096)[0] == 2 and shares[0] > 1.2 * shares[1] > 1.8 * shares[2]
+
+
+def test_two_axes_a_table(spark):
+    """Buckets divided by a second axis: forced by a small block."""
+    x = np.random.default_rng(5).normal(size=(900, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, df.filter("vec_id % 20 == 0"), k=10, block=60).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    want = brute(rows, rows[::20], 10)
+    assert plan_of(900, 16, 60)[0] == 2
+    assert all([x[0] for x in sorted(g)] == list(range(1, 11)) for g in got.values())
+    assert sum(len({v for _, v, _ in got[q]} & {i for i, _ in w}) for q, w in want.items()) >= 0.9 * 10 * len(want)
