@@ -170,13 +170,19 @@ def stroke_share(components: DataFrame) -> DataFrame:
 
 
 def pen_capability(events: DataFrame, kind: str, pressure: str, tilt: str, hover: str, t: str, points: str) -> DataFrame:
-    """Per pointer kind: distinct pressures at three digits, range, verdict (none, on-off, levels, maybe), tilted and hovering events,
-    events a second, and points an event of those that do not hover (``points``: how many an event stands for)."""
+    """Per pointer kind: events, and tilted and hovering ones; of those that press, distinct pressures at three digits, their range, points a
+    second and points an event (``points``: how many an event stands for). Verdict: none where nothing but the placeholder 0.5 is
+    reported, on-off for one or two of 0, 0.5 and 1, levels for eight or more over a range above 0.2, else maybe. A null hover presses."""
     down = ~F.coalesce(F.col(hover), F.lit(False))
-    an_event = (F.sum(F.when(down, F.col(points))) / F.greatest(F.count_if(down), F.lit(1))).alias("points_per_event")
-    g = events.groupBy(kind).agg(an_event, F.count("*").alias("n"), F.count_distinct(F.round(pressure, 3)).alias("levels"), F.min(pressure).alias("lo"), F.max(pressure).alias("hi"), F.count_if(F.col(tilt) != 0).alias("tilted"), F.count_if(F.col(hover)).alias("hovering"), ((F.max(t) - F.min(t)) / 1e6).alias("_s"))
-    v = F.when(F.col("levels") <= 1, "none").when(F.col("levels") == 2, "on-off").when((F.col("levels") >= 8) & (F.col("hi") - F.col("lo") > 0.2), "levels").otherwise("maybe")
-    return g.withColumns({"verdict": v, "per_second": ratio(F.col("n"), F.col("_s"))}).drop("_s")
+    p = F.when(down, F.round(pressure, 3))
+    n_points = F.sum(F.when(down, F.col(points)))
+    g = events.groupBy(kind).agg(
+        F.count("*").alias("n"), F.count_distinct(p).alias("levels"), F.min(p).alias("lo"), F.max(p).alias("hi"), F.coalesce(F.bool_and(p.isin(0.0, 0.5, 1.0)), F.lit(False)).alias("_plain"),
+        F.count_if(F.col(tilt) != 0).alias("tilted"), F.count_if(F.col(hover)).alias("hovering"), n_points.alias("_p"),
+        (n_points / F.greatest(F.count_if(down), F.lit(1))).alias("points_per_event"), ((F.max(F.when(down, F.col(t))) - F.min(F.when(down, F.col(t)))) / 1e6).alias("_s"),
+    )
+    v = F.when((F.col("levels") == 1) & (F.col("lo") == 0.5), "none").when((F.col("levels") <= 2) & F.col("_plain"), "on-off").when((F.col("levels") >= 8) & (F.col("hi") - F.col("lo") > 0.2), "levels").otherwise("maybe")
+    return g.withColumns({"verdict": v, "per_second": ratio(F.col("_p"), F.col("_s"))}).drop("_s", "_p", "_plain")
 
 
 def best_candidates(items: DataFrame, key: str, score: str, prefer: list, name: str, per: int) -> DataFrame:

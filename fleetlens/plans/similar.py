@@ -67,10 +67,14 @@ def d58_stroke_share(spark, sf):
     return rounded(op.stroke_share(t.components(spark, sf)), 6)
 
 
-@query(f"""WITH {t.SAMPLES}, g AS (SELECT kind, count(*) AS n, count(DISTINCT round(value / 500, 3)) AS levels, min(value / 500) AS lo, max(value / 500) AS hi, count(*) FILTER (series % 3 <> 0) AS tilted, count(*) FILTER (id % 5 = 0) AS hovering, (max(t) - min(t)) / 1e6 AS s, sum(CASE WHEN id % 5 > 0 THEN id % 4 + 1 END) AS pts FROM samples GROUP BY kind)
-SELECT kind, n, levels, lo, hi, tilted, hovering, CASE WHEN levels <= 1 THEN 'none' WHEN levels = 2 THEN 'on-off' WHEN levels >= 8 AND hi - lo > 0.2 THEN 'levels' ELSE 'maybe' END AS verdict, round(n / s, 8) AS per_second, round(pts / greatest(n - hovering, 1), 8) AS points_per_event FROM g""")
+@query(f"""WITH {t.SAMPLES}, e AS (SELECT *, id % 5 > 0 AS down, CASE WHEN id % 5 > 0 THEN CASE kind WHEN 'view' THEN 0.5 WHEN 'click' THEN (id % 3) / 2 ELSE round(value / 500, 3) END END AS p FROM samples),
+ g AS (SELECT kind, count(*) AS n, count(DISTINCT p) AS levels, min(p) AS lo, max(p) AS hi, bool_and(p IN (0, 0.5, 1)) AS plain, count(*) FILTER (series % 3 <> 0) AS tilted, count(*) FILTER (NOT down) AS hovering, (max(t) FILTER (down) - min(t) FILTER (down)) / 1e6 AS s, sum(id % 4 + 1) FILTER (down) AS pts FROM e GROUP BY kind)
+SELECT kind, n, levels, lo, hi, tilted, hovering, CASE WHEN levels = 1 AND lo = 0.5 THEN 'none' WHEN levels <= 2 AND plain THEN 'on-off' WHEN levels >= 8 AND hi - lo > 0.2 THEN 'levels' ELSE 'maybe' END AS verdict,
+ round(pts / s, 8) AS per_second, round(pts / greatest(n - hovering, 1), 8) AS points_per_event FROM g""")
 def d65_pen_capability(spark, sf):
-    s = t.samples(spark, sf).select("kind", (F.col("value") / 500).alias("p"), (F.col("series") % 3).alias("tilt"), (F.col("id") % 5 == 0).alias("hover"), "t", (F.col("id") % 4 + 1).alias("points"))
+    """Kinds of events are pointer kinds; one is stuck at the placeholder and one knows three pressures."""
+    p = F.when(F.col("kind") == "view", 0.5).when(F.col("kind") == "click", (F.col("id") % 3) / 2).otherwise(F.col("value") / 500)
+    s = t.samples(spark, sf).select("kind", p.alias("p"), (F.col("series") % 3).alias("tilt"), (F.col("id") % 5 == 0).alias("hover"), "t", (F.col("id") % 4 + 1).alias("points"))
     return op.pen_capability(s, "kind", "p", "tilt", "hover", "t", "points").withColumns({c: F.round(c, 8) for c in ("per_second", "points_per_event")})
 
 
