@@ -113,10 +113,16 @@ def compare_to_reference(rows: DataFrame, group: str, order: list[str], value: s
 
 
 def nearest_declaration(pins: DataFrame, decls: DataFrame, name: str, line: str, decl: str) -> DataFrame:
-    """Each pin with the declaration line nearest to it (the lower of two as near): exact, moved or undeclared."""
-    d = decls.select(F.col(name).alias("_n"), F.col(decl).alias("_d"))
-    near = pins.join(d, F.col(name) == F.col("_n"), "left").groupBy(name, line).agg(F.min(F.when(F.col("_d").isNotNull(), F.struct(F.abs(F.col(line) - F.col("_d")).alias("gap"), F.col("_d").alias("at")))).alias("_m"))
-    return near.select(name, line, F.col("_m.at").alias("nearest"), F.when(F.col("_m").isNull(), "undeclared").when(F.col("_m.gap") == 0, "exact").otherwise("moved").alias("status"))
+    """Each pin with the declaration line nearest to it (the lower of two as near): exact, moved or undeclared. The last declaration before
+    and the first after are running values over the lines of a name, so a name's pins and declarations meet without pairs."""
+    rows = pins.select(name, F.col(line).cast("long").alias("_l"), F.lit(None).cast("long").alias("_d")).distinct()
+    rows = rows.unionByName(decls.select(name, F.col(decl).cast("long").alias("_l"), F.col(decl).cast("long").alias("_d")).filter("_d is not null"))
+    up, down = (Window.partitionBy(name).orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in ("_l", F.desc("_l")))
+    near = rows.withColumns({"_a": F.max("_d").over(up), "_b": F.min("_d").over(down)}).filter("_d is null")
+    before = F.col("_a").isNotNull() & (F.col("_b").isNull() | (F.col("_l") - F.col("_a") <= F.col("_b") - F.col("_l")))
+    at = F.when(before, F.col("_a")).otherwise(F.col("_b"))
+    kind = dict(pins.dtypes)[line]
+    return near.select(name, F.col("_l").cast(kind).alias(line), at.cast(dict(decls.dtypes)[decl]).alias("nearest"), F.when(at.isNull(), "undeclared").when(at == F.col("_l"), "exact").otherwise("moved").alias("status"))
 
 
 def misfiled(rows: DataFrame, folders: DataFrame, folder: str, device: str) -> DataFrame:
