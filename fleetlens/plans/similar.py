@@ -18,9 +18,9 @@ def vectors(spark, sf):
 _PAIRS = """v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), pr AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.v, b.v) AS distance FROM v a JOIN v b ON a.vec_id < b.vec_id)"""
 
 
-@query(f"WITH {_PAIRS} SELECT a, b, round(distance, 6) AS distance FROM pr WHERE distance <= 0.9")
+@query(f"WITH {_PAIRS} SELECT a, b, round(distance, 6) AS distance FROM pr WHERE distance <= 1.0")
 def c11_pair_within(spark, sf):
-    return rounded(op.pair_within(vectors(spark, sf), "image", "v", 0.9), 6)
+    return rounded(op.pair_within(vectors(spark, sf), "image", "v", 1.0), 6)
 
 
 @query(f"WITH {_PAIRS} SELECT a, b, round(distance, 6) AS distance FROM pr ORDER BY pr.distance, a, b LIMIT 8")
