@@ -52,9 +52,9 @@ def pair_within(vectors: DataFrame, key: str, vector: str, radius: float, dims:
     guests = home.withColumn("_s", F.explode(F.array(*[F.array(*map(F.lit, s)) for s in after])))
     guests = guests.select("k", "v", *[(F.col(c) + F.col("_s")[i]).alias(c) for i, c in enumerate(cells)], F.lit(True).alias("guest"))
     home = home.withColumn("guest", F.lit(False))
-    n_home = home.groupBy(*cells).agg(F.ceil(F.count("*") / block).cast("int").alias("nx"))
-    others = home.unionByName(guests.join(n_home.select(*cells), cells, "left_semi"))
-    sizes = n_home.join(others.groupBy(*cells).agg(F.ceil(F.count("*") / block).cast("int").alias("ny")), cells)
+    others = home.unionByName(guests)
+    sizes = others.groupBy(*cells).agg(F.count_if(~F.col("guest")).alias("_h"), F.count("*").alias("_n")).filter("_h > 0")
+    sizes = sizes.select(*cells, F.ceil(F.col("_h") / block).cast("int").alias("nx"), F.ceil(F.col("_n") / block).cast("int").alias("ny"))
     part = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = home.join(sizes, cells).select("k", "v", *cells, "guest", part("nx").alias("x"), every("ny").alias("y"), F.lit(True).alias("left"))
