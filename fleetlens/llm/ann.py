@@ -109,8 +109,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 5
     Score is the inner product in double precision, summed from the first component on; equal scores go to the smaller
     vec_id, and a row of the query's own vec_id is no candidate. Rows with a null vec_id or an unusable vector take no
     part, vectors of different length never meet, repeated rows count once, further columns are ignored. A query gets
-    fewer than ``k`` rows only where there are fewer vec_ids of its dimension. ``sample``: so many vectors, of each dimension
-    at most, are broadcast; the k-th best among them bounds what a query's buckets send back.
+    fewer than ``k`` rows only where there are fewer vec_ids of its dimension. ``sample``: so many vectors of each hashed dimension
+    are broadcast at most; the k-th best among them bounds what a query's buckets send back.
     """
     clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
     single = all(dict(df.dtypes)["embedding"] == "array<float>" for df in (vectors, queries))
@@ -121,11 +121,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 5
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     lengths = classes.groupBy(F.size("v").alias("dim")).agg(F.max(norm).alias("most"), F.min(norm).alias("least"), F.count("*").alias("n")).collect()
     even = {r.dim: r.n for r in lengths if r.least > r.most * (1 - 1e-6)}
-    by_hash = Window.partitionBy(F.size("v")).orderBy(F.xxhash64("v"))
-    few = classes.select("v", F.row_number().over(by_hash).alias("r")).filter(F.col("r") <= sample).select("v")
+    chance = F.lit(0.0)  # twice as many as wanted, by hash
+    for dim, n in even.items():
+        chance = F.when(F.size("v") == dim, min(1.0, 2 * sample / n)).otherwise(chance)
+    few = classes.filter(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < chance * (1 << 30)).select("v")
     held: dict[int, list] = {}
-    for r in few.collect() if lengths else []:
-        held.setdefault(len(r.v), []).append(r.v)
+    for r in sorted(few.collect(), key=lambda r: r.v) if even else []:
+        own = held.setdefault(len(r.v), [])
+        if len(own) < sample:
+            own.append(r.v)
     seen = {d: np.array(x) for d, x in held.items()}
     run = lambda asked, even: _answers(classes, asked, k, tables, block, seed, even, seen, "<f4" if single else "<f8")
     if not even:
