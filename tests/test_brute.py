@@ -82,7 +82,7 @@ def test_d56_width_breaks(spark):
     widths = {}
     for r in t.components(spark, SF).collect():
         widths.setdefault(r.image, []).append(float(r.width))
-    got = {r.image: r.breaks for r in QUERIES["d56_width_breaks"](spark, SF).collect()}
+    got = {r.image: r.breaks for r in similar.width_breaks(t.components(spark, SF)).collect()}
     assert got.keys() == widths.keys()
     for image, w in widths.items():
         assert np.allclose(got[image], breaks(w), rtol=1e-6)
