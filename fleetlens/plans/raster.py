@@ -236,7 +236,18 @@ def sheets(spark, sf):
     return t.pixels(spark, sf).select(F.expr("image div 9").alias("image"), (at % 3 * 8 + F.col("x")).alias("tx"), (F.floor(at / 3) * 8 + F.col("y")).alias("ty"), "v")
 
 
-@query()
+@query(f"""WITH {t.PIXELS}, sheet AS (SELECT image // 9 AS image, image % 9 % 3 * 8 + x AS tx, image % 9 // 3 * 8 + y AS ty, v FROM pixels),
+ near AS (SELECT a.image, a.tx, a.ty, b.v, row_number() OVER (PARTITION BY a.image, a.tx, a.ty ORDER BY b.v) - 1 AS i, count(*) OVER (PARTITION BY a.image, a.tx, a.ty) AS n FROM sheet a JOIN sheet b ON a.image = b.image AND abs(a.tx - b.tx) <= 1 AND abs(a.ty - b.ty) <= 1),
+ size AS (SELECT image, max(tx) + 1 AS w, max(ty) + 1 AS h, greatest(3, floor((max(tx) + 1) * 0.04 + 0.5)) AS least, floor((max(tx) + 1) * 0.45 + 0.5) AS most FROM sheet GROUP BY image),
+ cell AS (SELECT g.image, g.x, g.y, coalesce(v, 0) AS v FROM (SELECT image, x, unnest(range(h)) AS y FROM (SELECT image, h, unnest(range(w)) AS x FROM size)) g LEFT JOIN (SELECT * FROM near WHERE i = n // 2) f ON f.image = g.image AND tx = x AND ty = y),
+ ring AS (SELECT c.image, c.x AS cx, c.y AS cy, floor(sqrt((o.x - c.x) ** 2 + (o.y - c.y) ** 2))::INT AS d, count(*) AS n, sum(o.v) AS s, sum(o.v * o.v) AS ss FROM cell c JOIN cell o USING (image) GROUP BY ALL),
+ r AS (SELECT *, least_r AS r, least(most, least_r + greatest(4, least_r // 2)) AS far FROM (SELECT image, w, h, most, unnest(range(least::INT, most::INT - 5)) AS least_r FROM size)),
+ k AS (SELECT image, w, h, cx, cy, r, sum(n) FILTER (d <= r) AS n_in, sum(s) FILTER (d <= r) AS s_in, sum(n) FILTER (d BETWEEN r + 2 AND far) AS n_out, sum(s) FILTER (d BETWEEN r + 2 AND far) AS s_out, sum(ss) FILTER (d BETWEEN r + 2 AND far) AS ss_out FROM ring JOIN r USING (image) GROUP BY ALL),
+ z AS (SELECT *, (s_in / n_in - s_out / n_out) / sqrt((ss_out - s_out * s_out / n_out) / (n_out - 1)) AS z FROM k WHERE n_in >= 24 AND n_out >= 48),
+ best AS (SELECT image, image // 2 AS pair, cx::INT AS cx, cy::INT AS cy, r, z, least(cx, w - 1 - cx, cy, h - 1 - cy)::INT AS edge FROM z QUALIFY row_number() OVER (PARTITION BY image ORDER BY z DESC, cy, cx, r) = 1)
+SELECT a.image, a.pair, a.cx, a.cy, a.r::INT AS r, round(a.z, 6) AS z, a.edge, round(b.z, 6) AS control_z, round(a.z / b.z, 6) AS to_control,
+ CASE WHEN a.edge <= 1 THEN 'at the edge' WHEN b.z IS NULL THEN 'unproven' WHEN a.z / b.z < 1.8 THEN 'too close' ELSE 'separated' END AS verdict
+FROM best a LEFT JOIN (SELECT * FROM best WHERE image % 2 = 1) b USING (pair) WHERE a.image % 2 = 0""")
 def w11_radial_step(spark, sf):
     """Every other sheet is a target, the one after it its control."""
     fits = op.radial_step(op.smooth_median3x3(sheets(spark, sf))).withColumn("pair", F.expr("image div 2"))

@@ -34,7 +34,10 @@ def d55_standardise(spark, sf):
     return rounded(op.standardise(tall, "image", "axis", "value"), 6)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT a, b FROM pr WHERE distance <= 1.1 UNION ALL SELECT b, a FROM pr WHERE distance <= 1.1), n AS (SELECT a, list(b) AS near FROM e GROUP BY a),
+ o AS (SELECT row_number() OVER (ORDER BY label DESC, vec_id) AS i, vec_id, coalesce(near, []) AS near FROM embeddings LEFT JOIN n ON a = vec_id),
+ k(i, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT o.i, CASE WHEN list_has_any(kept, near) THEN kept ELSE list_append(kept, vec_id) END FROM k JOIN o ON o.i = k.i + 1)
+SELECT vec_id AS image, label FROM embeddings WHERE vec_id IN (SELECT unnest(kept) FROM (SELECT kept FROM k ORDER BY i DESC LIMIT 1))""")
 def f8_radius_thin(spark, sf):
     v = vectors(spark, sf)
     edges = op.pair_within(v, "image", "v", 1.1)
