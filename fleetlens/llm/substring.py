@@ -237,7 +237,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, stable: bool = False, bits
     doc_id, judged on the input. Words are runs without ASCII white space; null and empty texts have none. A null
     doc_id counts as the largest; rows of one doc_id never remove each other's words; further columns are ignored.
     ``stable`` says that ``docs`` is a plain scan that comes out in the same partitions and order each time; otherwise a
-    copy is written to the shared folder first. Two different windows count as one with a chance of 2 ** -96 a pair.
+    copy is written to the shared folder first. Two different windows count as one with a chance of 2 ** -96 a pair. ``bits``: the sketch
+    has two rows of 2 ** bits cells, by default two or more for each window but at most ``MAX_BITS``; executors with memory for
+    2 ** (bits - 2) bytes may be given more, up to 32.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
