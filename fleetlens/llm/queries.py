@@ -88,7 +88,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, weights).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest, op2_suffix_dedup, op3_near_duplicates, op4_chat_format, op5_best_fit_packing, op6_html_text, op7_substring_dedup, op8_token_files, op9_decontamination, op10_toxicity)}
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_middle import fill_in_middle, restored
+
+    out = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id",
+        F.col("n_tokens").alias("n"),
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_suffix_dedup, op3_near_duplicates, op4_chat_format, op5_best_fit_packing, op6_html_text, op7_substring_dedup, op8_token_files, op9_decontamination, op10_toxicity, op13_fill_in_middle)}
 
 ORACLE: dict[str, str] = {
     "op2_suffix_dedup": r"""
@@ -150,4 +165,14 @@ ORACLE: dict[str, str] = {
                sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, content), '')) AS loss_sha256,
                sum(length(content) + length(name) + 16)::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op13_fill_in_middle": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS ws,
+                          sha256('42:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+             d AS (SELECT *, len(ws) AS n, ('0x' || h[1:8])::BIGINT % (len(ws) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(ws) + 1) AS y,
+                          CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+                               WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM t),
+             c AS (SELECT *, array_to_string(ws[1:least(x, y)], '') AS p, array_to_string(ws[least(x, y) + 1:greatest(x, y)], '') AS m, array_to_string(ws[greatest(x, y) + 1:], '') AS s FROM d)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(text) AS restored_sha256 FROM c""",
 }
