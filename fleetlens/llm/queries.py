@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import scratch, stored, table
 from .tokens import tokenizer_path
 
 
@@ -88,6 +88,29 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, weights).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """``conversations`` with faults put in by the CRC-32 of ``conv_id:turn`` modulo 20; nulls read as one space."""
+    read = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat_ws(":", read("conv_id"), read("turn")).cast("binary")) % 20
+    rows = rows.select("conv_id", "turn", read("role").alias("role"), read("text").alias("text"), kind.alias("_k")).filter("_k <> 0")
+    text = F.when(F.col("_k") == 1, "").when(F.col("_k") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("_k") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.sequence(F.lit(1), F.when(F.col("_k") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("_c")).drop("_c")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import repair, repaired, summary, text_digests
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    edits = stored(repair(damaged(rows)), "edits")
+    out = rows.select(F.col("conv_id").alias("_id")).distinct()
+    for part in (summary(edits), text_digests(repaired(edits))):
+        out = out.join(part, F.col("_id").eqNullSafe(part["conv_id"]), "left").drop(part["conv_id"])
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(F.col("_id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fill_middle import fill_in_middle, restored
 
@@ -103,7 +126,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest, op2_suffix_dedup, op3_near_duplicates, op4_chat_format, op5_best_fit_packing, op6_html_text, op7_substring_dedup, op8_token_files, op9_decontamination, op10_toxicity, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_suffix_dedup, op3_near_duplicates, op4_chat_format, op5_best_fit_packing, op6_html_text, op7_substring_dedup, op8_token_files, op9_decontamination, op10_toxicity, op12_repair, op13_fill_in_middle)}
 
 ORACLE: dict[str, str] = {
     "op2_suffix_dedup": r"""
@@ -175,4 +198,35 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
                sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
                sha256(text) AS restored_sha256 FROM c""",
+    "op12_repair": r"""
+        WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+                 string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT)),
+                 lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS h FROM conversations),
+             d AS (SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                          unnest(range(CASE h WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE h <> 0),
+             n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || ':' || text), copy) AS i FROM d),
+             f AS (SELECT conv_id AS c, i, turn, role, text, left(role, 1) AS ini, count(*) OVER (PARTITION BY conv_id) AS n,
+                          CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                               WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE 'fine' END AS fault FROM n),
+             g AS (SELECT *, fault IN ('blank', 'duplicate') AS must, (fault = 'truncated')::BIGINT AS cut,
+                          CASE ini WHEN 's' THEN [2, 0, 0, 0] WHEN 'u' THEN [3, 3, 0, 3] WHEN 'a' THEN [0, 0, 4, 0] ELSE [0, 0, 0, 0] END AS keep FROM f),
+             b(c, i, v) AS (SELECT DISTINCT c, n + 1, [0, 4, 2, 0]::BIGINT[] FROM g UNION ALL
+                 SELECT c, i, [least(w[1], 2 + w[3], 4 + w[4]), least(w[2], 2 + w[3], 4 + w[4]), least(w[3], 2 + w[4]), least(w[4], 2 + w[3])] FROM (
+                   SELECT g.c, g.i, list_transform([1, 2, 3, 4], lambda q: least(3 + v[q], CASE WHEN must THEN 1000000000 ELSE 2 + cut + v[[3, 3, 4, 3][q]] END,
+                          CASE WHEN must OR keep[q] = 0 THEN 1000000000 ELSE cut + v[keep[q]] END)) AS w FROM b JOIN g ON g.c IS NOT DISTINCT FROM b.c AND g.i = b.i - 1)),
+             t(c, i, q, audit, lines) AS (SELECT DISTINCT c, 1::BIGINT, 1, '', []::VARCHAR[] FROM g UNION ALL
+                 SELECT c, CASE x WHEN 'I' THEN i ELSE i + 1 END, CASE x WHEN 'D' THEN q WHEN 'K' THEN keep[q] ELSE [3, 3, 4, 3][q] END, audit || x,
+                        CASE x WHEN 'D' THEN lines ELSE list_append(lines, CASE WHEN x = 'K' THEN role WHEN q = 3 THEN 'assistant' ELSE 'user' END || ':' || CASE x WHEN 'I' THEN '' ELSE text END) END FROM (
+                   SELECT t.*, g.role, g.text, g.keep, CASE WHEN y.v[q] = 3 + z.v[q] THEN 'D' WHEN y.v[q] = 2 + y.v[[3, 3, 4, 3][q]] THEN 'I'
+                          WHEN NOT must AND keep[q] > 0 AND y.v[q] = cut + z.v[keep[q]] THEN 'K' ELSE 'R' END AS x
+                   FROM t JOIN b y ON y.c IS NOT DISTINCT FROM t.c AND y.i = t.i LEFT JOIN b z ON z.c IS NOT DISTINCT FROM t.c AND z.i = t.i + 1
+                   LEFT JOIN g ON g.c IS NOT DISTINCT FROM t.c AND g.i = t.i WHERE z.v IS NOT NULL OR y.v[q] > 0)),
+             s AS (SELECT t.c, t.audit, sha256(array_to_string(t.lines, chr(10))) AS hash FROM t JOIN (SELECT DISTINCT c, n FROM g) m ON m.c IS NOT DISTINCT FROM t.c AND t.i = m.n + 1 WHERE t.q IN (1, 4)),
+             a AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                          count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (prev || ini NOT IN ('su', 'ua', 'au')) AS illegal
+                   FROM (SELECT *, lag(ini) OVER (PARTITION BY c ORDER BY i) AS prev FROM g) GROUP BY c)
+        SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+               coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.v[1], 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(hash, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN a ON a.c IS NOT DISTINCT FROM o.conv_id LEFT JOIN s ON s.c IS NOT DISTINCT FROM o.conv_id
+        LEFT JOIN b ON b.c IS NOT DISTINCT FROM o.conv_id AND b.i = 1""",
 }
