@@ -216,24 +216,28 @@ def repair(rows: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
             yield _table(out, pa.schema([("conv_id", b.schema.field(1).type.value_type), *((n, pa.int64()) for n in ("chunk", "place", "given", "found"))]))
 
     def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """From each conversation's last chunk to its first: the vector that is due after a chunk, and whether it has not been run from it."""
-        now, due = (), END
+        """From each conversation's last chunk to its first: the vector that is due after a chunk, and those it is to be run from. A vector
+        that one chunk lacks is asked of all before it as well, so each vector that occurs costs one pass at most."""
+        now, due, asked = (), END, []
         for b in batches:
             out = []
             for c, chunk, place, known in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 last = now != (c,)
-                now, due = (c,), END if last else due
+                if last:
+                    now, due, asked = (c,), END, []
                 runs = {k["given"]: k["found"] for k in known}
-                out.append((c, chunk, place, _number(due), _number(due) not in runs, last, runs[end]))
+                if _number(due) not in runs and _number(due) not in asked:
+                    asked.append(_number(due))
+                out.append((c, chunk, place, _number(due), [v for v in asked if v not in runs], last, runs[end]))
                 due = _vector(runs.get(_number(due), runs[end]))
-            yield _table(out, pa.schema([("conv_id", b.schema.field(0).type), *((n, pa.int64()) for n in ("chunk", "place", "given")), ("missing", pa.bool_()), ("last", pa.bool_()), ("old", pa.int64())]))
+            yield _table(out, pa.schema([("conv_id", b.schema.field(0).type), *((n, pa.int64()) for n in ("chunk", "place", "given")), ("missing", pa.list_(pa.int64())), ("last", pa.bool_()), ("old", pa.int64())]))
 
     known = stored(chunks.mapInArrow(speculate, f"conv_id {conv}, chunk long, place long, given long, found long"), "vectors")
     while True:
         runs = known.groupBy("conv_id", "chunk", "place").agg(F.collect_list(F.struct("given", "found")).alias("known"))
         line = runs.repartition("conv_id").sortWithinPartitions("conv_id", F.desc("chunk"))
-        due = stored(line.mapInArrow(stitch, f"conv_id {conv}, chunk long, place long, given long, missing boolean, last boolean, old long"), "due")
-        missing = due.filter("missing").select("chunk", "place", "given", "old")
+        due = stored(line.mapInArrow(stitch, f"conv_id {conv}, chunk long, place long, given long, missing array<long>, last boolean, old long"), "due")
+        missing = due.select("chunk", "place", F.explode("missing").alias("given"), "old")
         if missing.isEmpty():
             break
         known = known.unionByName(stored(chunks.join(missing, "chunk").select(*chunks.columns, "place", "given", "old").mapInArrow(fix, known.schema), "vectors"))
