@@ -88,6 +88,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, weights).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import held_out, pool, score, train, word_vectors
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pooled = stored(pool(docs, word_vectors(docs)).drop("text"), "pooled")
+    model = train(pooled, table(spark, sf_dir, "labels"))
+    return score(pooled, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """``conversations`` with faults put in by the CRC-32 of ``conv_id:turn`` modulo 20; nulls read as one space."""
     read = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -126,7 +135,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest, op2_suffix_dedup, op3_near_duplicates, op4_chat_format, op5_best_fit_packing, op6_html_text, op7_substring_dedup, op8_token_files, op9_decontamination, op10_toxicity, op12_repair, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_suffix_dedup, op3_near_duplicates, op4_chat_format, op5_best_fit_packing, op6_html_text, op7_substring_dedup, op8_token_files, op9_decontamination, op10_toxicity, op11_quality, op12_repair, op13_fill_in_middle)}
 
 ORACLE: dict[str, str] = {
     "op2_suffix_dedup": r"""
