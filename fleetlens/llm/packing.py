@@ -62,11 +62,11 @@ class BestFit:
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, free int"
 
 
-def _cut(docs: DataFrame, tokenizer: str, seq_len: int, end_id: int, open_bins: int, buffer: int) -> DataFrame:
+def _cut(docs: DataFrame, tokenizer: str, seq_len: int, end_id: int, open_bins: int, buffer: int, plain: bool) -> DataFrame:
     """Pieces in bins of their own partition; free: places left in a bin that was open at the partition's end, else -1."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, fit, first = token_ids(tokenizer), BestFit(seq_len, open_bins), TaskContext.get().partitionId() << 36
+        tok, fit, first = token_ids(tokenizer, plain), BestFit(seq_len, open_bins), TaskContext.get().partitionId() << 36
         rows: list[tuple] = []
         waiting: list[tuple] = []
 
@@ -108,7 +108,7 @@ def _merge(left: DataFrame, seq_len: int, open_bins: int, tasks: int) -> DataFra
     return left.repartition(tasks, "bin").sortWithinPartitions(F.desc("used"), "bin").mapInArrow(merge, "bin long, into long, shift long")
 
 
-def pack(docs: DataFrame, tokenizer: str, seq_len: int = 2048, end_id: int = 0, open_bins: int = 1024, buffer: int = 4096, tasks_a_merge: int = 16) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, seq_len: int = 2048, end_id: int = 0, open_bins: int = 1024, buffer: int = 4096, tasks_a_merge: int = 16, plain: bool = False) -> DataFrame:
     """Packs the documents (doc_id long, text string; further columns are ignored) into sequences.
 
     Returns a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null text is empty and gives
@@ -116,11 +116,11 @@ def pack(docs: DataFrame, tokenizer: str, seq_len: int = 2048, end_id: int = 0,
     gives no rows. Each partition packs its own stream in a fixed space of ``open_bins`` bins,
     the pieces of every ``buffer`` or so in order of length, the longest first. The bins that it leaves
     partly filled are packed once more, those of about ``tasks_a_merge`` partitions in one task, so that the partly
-    filled rest does not grow with the number of partitions.
+    filled rest does not grow with the number of partitions. Strings of special tokens in a text give those tokens, unless ``plain``.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    pieces = stored(_cut(docs, tokenizer, seq_len, end_id, open_bins, buffer), "pieces")
+    pieces = stored(_cut(docs, tokenizer, seq_len, end_id, open_bins, buffer, plain), "pieces")
     left = pieces.filter("free > 0").groupBy("bin").agg(F.sum("length").alias("used"))
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // tasks_a_merge)
     moved = _merge(left, seq_len, open_bins, tasks)

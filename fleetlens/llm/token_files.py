@@ -90,19 +90,19 @@ class _ShardWriter:
         return self.name, len(self.docs), self.total
 
 
-def write_token_files(docs: DataFrame, out: str, tokenizer: str, seq_len: int = 2048, end_id: int = 0, shards: int | None = None) -> None:
+def write_token_files(docs: DataFrame, out: str, tokenizer: str, seq_len: int = 2048, end_id: int = 0, shards: int | None = None, plain: bool = False) -> None:
     """Tokenises ``docs`` (doc_id long, text string; further columns are ignored) into a data set at the URI ``out``.
 
     Documents are range-partitioned and sorted by doc_id (rows of one doc_id by text; a null doc_id comes first); a null
     text counts as empty and gives the end id alone. ``shards`` defaults to the session's shuffle partitions, whose
-    number is to be set so that one holds about 64 MB of text. An empty table gives a manifest without shards. The URI
-    must be one that both Spark and Arrow open (file, hdfs, s3, gs).
+    number is to be set so that one holds about 64 MB of text. An empty table gives a manifest without shards. Strings of
+    special tokens in a text give those tokens, unless ``plain``. The URI must be one that both Spark and Arrow open (file, hdfs, s3, gs).
     """
     spark = docs.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, tok, end = None, token_ids(tokenizer), None
+        writer, tok, end = None, token_ids(tokenizer, plain), None
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if writer is None:

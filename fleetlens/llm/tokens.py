@@ -35,14 +35,16 @@ def _byte_chars() -> dict[int, int]:
 
 
 class TokenIds:
-    """``encode(text)`` gives the ids as little-endian bytes of ``dtype`` (uint16 if the vocabulary allows, else uint32)."""
+    """``encode(text)`` gives the ids as little-endian bytes of ``dtype`` (uint16 if the vocabulary allows, else uint32): those of the library
+    without special tokens added. The string of a special token in a text gives that token's id, as the library has it by default, or is
+    ordinary text if ``plain``."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = plain
         self.tok.no_padding()
         self.tok.no_truncation()
         self.model = self.tok.model
@@ -56,6 +58,10 @@ class TokenIds:
                 self.kind = "byte"
             elif kinds == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"] and "]+|[\\p{N}]|" in pre["pretokenizers"][0]["pattern"].get("Regex", ""):
                 self.kind = "word"
+        special = [t["content"].lower() for t in spec.get("added_tokens", []) if t["content"] and not (plain and t["special"])]
+        self.opening = os.path.commonprefix(special)  # of all strings that are a token as a whole
+        if special and not self.opening:
+            self.kind = None
         self.chars = _byte_chars()
         self.cache: dict[str, bytes] = {}
         self.held = 0
@@ -64,7 +70,7 @@ class TokenIds:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if self.kind is None or _ODD.search(text):
+        if self.kind is None or _ODD.search(text) or (self.opening and self.opening in text.lower()):
             return self._whole(text)
         if self.kind == "byte":
             pieces = _BYTE_PIECE.findall(text)
@@ -89,16 +95,16 @@ class TokenIds:
         return b"".join([cache[p] for p in pieces])
 
 
-_loaded: dict[str, TokenIds] = {}
+_loaded: dict[tuple[str, bool], TokenIds] = {}
 cache_of("tokens", lambda: _loaded.clear())
 
 
-def token_ids(path: str) -> TokenIds:
+def token_ids(path: str, plain: bool = False) -> TokenIds:
     """One instance per worker process and file."""
     take_turn("tokens")
-    if path not in _loaded:
-        _loaded[path] = TokenIds(path)
-    return _loaded[path]
+    if (path, plain) not in _loaded:
+        _loaded[path, plain] = TokenIds(path, plain)
+    return _loaded[path, plain]
 
 
 def tokenizer_path(name: str) -> str:
