@@ -1,53 +1,83 @@
-"""Range, nearest and reconciling joins. Two shapes that would run as nested loops are rewritten as equi-joins on buckets."""
+"""Range, nearest and reconciling joins. Shapes that would run as nested loops are equi-joins on dyadic cells, or running values over one
+stream in the order of time."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .merging import running
 
-def samples_in_windows(samples: DataFrame, windows: DataFrame, bucket: int, t: str = "t", lo: str = "t0", hi: str = "t1", by: tuple[str, ...] = ()) -> DataFrame:
-    """Samples with lo <= t <= hi, both ends included. A window is dealt to every bucket of ``bucket`` units that it touches, a
-    sample to its own; choose the bucket near the usual window so that a window touches few. Null times match nothing."""
-    w = windows.withColumn("_b", F.explode(F.sequence(F.floor(F.col(lo) / bucket), F.greatest(F.floor(F.col(lo) / bucket), F.floor(F.col(hi) / bucket)))))
-    s = samples.withColumn("_b", F.floor(F.col(t) / bucket))
-    return s.join(w, ["_b", *by]).filter(F.col(t).between(F.col(lo), F.col(hi))).drop("_b")
 
+def _level(lo: str, hi: str) -> Column:
+    """The size class of an interval: 2 ** level is an eighth to a half of its length, so some four to nine cells of that size cover it. Every
+    second level is used, which halves what a point has to visit."""
+    length = F.greatest(F.col(hi) - F.col(lo), F.lit(0)).cast("double")
+    return F.when(length > 0, F.greatest(F.floor((F.log2(length) - 1) / 2) * 2, F.lit(-40))).otherwise(0).cast("int")
 
-def outside_all_windows(samples: DataFrame, windows: DataFrame, bucket: int, lead: int, lag: int, t: str = "t", lo: str = "t0", hi: str = "t1", by: tuple[str, ...] = ()) -> DataFrame:
-    """Samples in no window widened by ``lead`` before and ``lag`` after. A null time is in no window and stays."""
-    wide = windows.withColumns({"_lo": F.col(lo) - lead, "_hi": F.col(hi) + lag})
-    wide = wide.select(*by, "_lo", "_hi", F.explode(F.sequence(F.floor(F.col("_lo") / bucket), F.greatest(F.floor(F.col("_lo") / bucket), F.floor(F.col("_hi") / bucket)))).alias("_wb"))
-    s = samples.withColumn("_b", F.floor(F.col(t) / bucket))
-    for b in by:
-        wide = wide.withColumnRenamed(b, f"_w_{b}")
-    on = F.col("_b") == F.col("_wb")
+
+def _cell(c: str, level: str) -> Column:
+    return F.floor(F.col(c) / F.pow(F.lit(2.0), F.col(level)))
+
+
+def _points_in(points: DataFrame, windows: DataFrame, t: str, lo: str, hi: str, by: tuple[str, ...]) -> DataFrame:
+    """Pairs with lo <= t <= hi. A window goes to the few dyadic cells of its own size class that cover it, however long it is; a point goes to
+    its cell of each class that occurs among the windows. A point meets a window in one cell at most, so each pair comes once."""
+    w = windows.filter(F.col(lo) <= F.col(hi)).withColumn("_level", _level(lo, hi))
+    w = w.withColumn("_cell", F.explode(F.sequence(_cell(lo, "_level"), _cell(hi, "_level"))))
+    levels = windows.filter(F.col(lo) <= F.col(hi)).agg(F.collect_set(_level(lo, hi)).alias("_levels"))  # one row, of some fifty numbers at most
+    s = points.crossJoin(F.broadcast(levels)).withColumn("_level", F.explode("_levels")).drop("_levels")
+    return s.withColumn("_cell", _cell(t, "_level")).join(w, ["_level", "_cell", *by]).filter(F.col(t).between(F.col(lo), F.col(hi))).drop("_level", "_cell")
+
+
+def samples_in_windows(samples: DataFrame, windows: DataFrame, t: str = "t", lo: str = "t0", hi: str = "t1", by: tuple[str, ...] = ()) -> DataFrame:
+    """Samples with lo <= t <= hi, both ends included, by dyadic cells of each window's own size. Null times and windows that end before they
+    begin match nothing."""
+    return _points_in(samples, windows, t, lo, hi, by)
+
+
+def outside_all_windows(samples: DataFrame, windows: DataFrame, lead: int, lag: int, t: str = "t", lo: str = "t0", hi: str = "t1", by: tuple[str, ...] = ()) -> DataFrame:
+    """Samples in no window widened by ``lead`` before and ``lag`` after. A null time or ``by`` is in no window and stays.
+
+    No pair is built: samples and windows are one stream in the order of time, and a sample is outside where the latest end of all windows
+    that began up to it is before it."""
+    wide = windows.select(*by, (F.col(lo) - lead).alias("_at"), (F.col(hi) + lag).alias("_end")).filter(F.col("_at") <= F.col("_end"))
+    wide = wide.groupBy(*by, "_at").agg(F.max("_end").alias("_end"))
+    rows = samples.select(*by, F.col(t).alias("_at"), F.struct(*samples.columns).alias("_row"))
     for b in by:
-        on = on & (F.col(b) == F.col(f"_w_{b}"))
-    return s.join(wide, on & F.col(t).between(F.col("_lo"), F.col("_hi")), "left_anti").drop("_b")
+        wide = wide.filter(F.col(b).isNotNull())
+    both = wide.withColumn("_side", F.lit(0)).unionByName(rows.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    seen = running(both, by, ("_at", "_side"), most=("_end",))
+    return seen.filter((F.col("_side") == 1) & (F.col("_at").isNull() | F.col("most__end").isNull() | (F.col("most__end") < F.col("_at")))).select("_row.*")
 
 
-def overlapping(left: DataFrame, right: DataFrame, bucket: int, left_ends: tuple[str, str], right_ends: tuple[str, str], by: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs of intervals that overlap by more than an end point (both comparisons strict). Each pair is kept only in the bucket where
-    the later of the two begins, so that no distinct is needed."""
+def overlapping(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], right_ends: tuple[str, str], by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of intervals that overlap by more than an end point (both comparisons strict): those where the right one begins in the left one,
+    and those where the left one begins in the right one after its beginning. No pair is in both. Intervals that end before
+    they begin overlap nothing."""
     (a0, a1), (b0, b1) = left_ends, right_ends
+    strict = (F.col(a0) < F.col(b1)) & (F.col(b0) < F.col(a1)) & (F.col(a0) <= F.col(a1)) & (F.col(b0) <= F.col(b1))
+    first = _points_in(right, left, b0, a0, a1, by).filter(strict)
+    second = _points_in(left, right, a0, b0, b1, by).filter(strict & (F.col(b0) < F.col(a0)))
+    return first.unionByName(second.select(*first.columns))
 
-    def dealt(df: DataFrame, lo: str, hi: str) -> DataFrame:
-        return df.withColumn("_b", F.explode(F.sequence(F.floor(F.col(lo) / bucket), F.greatest(F.floor(F.col(lo) / bucket), F.floor(F.col(hi) / bucket)))))
 
-    both = dealt(left, a0, a1).join(dealt(right, b0, b1), ["_b", *by])
-    return both.filter((F.col(a0) < F.col(b1)) & (F.col(b0) < F.col(a1)) & (F.col("_b") == F.floor(F.greatest(a0, b0) / bucket))).drop("_b")
+def nearest_in_time(left: DataFrame, right: DataFrame, tol: int, value: str, t: str = "t", rt: str = "rt", by: tuple[str, ...] = ()) -> DataFrame:
+    """``left`` with near_t and near_value, the nearest right time within ``tol`` (inclusive) and its value; the earlier wins a tie and the
+    least value among equal times; null where there is none, and for a null time or ``by``.
 
-
-def nearest_in_time(left: DataFrame, right: DataFrame, tol: int, key: str, value: str, t: str = "t", rt: str = "rt", by: tuple[str, ...] = ()) -> DataFrame:
-    """``left`` with the nearest right time and value within ``tol`` (inclusive); the earlier wins a tie, null where there is none.
-    Left rows go to three buckets of width tol, right rows to one. ``key`` is unique in left; right columns are rt and value."""
-    width = max(1, tol)
-    spread = left.select(key, *by, t, F.explode(F.array(*[F.floor(F.col(t) / width) + d for d in (-1, 0, 1)])).alias("_b"))
-    r = right.select(*by, rt, value, F.floor(F.col(rt) / width).alias("_b"))
-    near = spread.join(r, ["_b", *by]).filter(F.abs(F.col(t) - F.col(rt)) <= tol)
-    best = near.groupBy(key).agg(F.min(F.struct(F.abs(F.col(t) - F.col(rt)).alias("d"), rt, value)).alias("_n"))
-    return left.join(best, key, "left").select(*left.columns, F.col(f"_n.{rt}").alias("near_t"), F.col(f"_n.{value}").alias("near_value"))
+    An as-of merge: both sides are one stream in the order of time, the last right row before and the first one after are running values, so
+    a busy second costs its rows, not their pairs. Right columns are rt and value."""
+    r = right.filter(F.col(rt).isNotNull())
+    for b in by:
+        r = r.filter(F.col(b).isNotNull())
+    r = r.groupBy(*by, rt).agg(F.min(F.struct(value)).alias("_v"))
+    r = r.select(*by, F.col(rt).alias("_at"), F.struct(F.col(rt).alias("near_t"), F.col(f"_v.{value}").alias("near_value")).alias("_r"), F.lit(0).alias("_side"))
+    rows = left.select(*by, F.col(t).alias("_at"), F.struct(*left.columns).alias("_row"), F.lit(1).alias("_side"))
+    near = running(r.unionByName(rows, allowMissingColumns=True), by, ("_at", "_side"), last=("_r",), following=("_r",)).filter("_side = 1")
+    back, ahead = F.col("_at") - F.col("last__r.near_t"), F.col("next__r.near_t") - F.col("_at")
+    best = F.when((back <= tol) & (ahead.isNull() | (back <= ahead)), F.col("last__r")).when(ahead <= tol, F.col("next__r"))
+    return near.select("_row.*", best["near_t"].alias("near_t"), best["near_value"].alias("near_value"))
 
 
 def needs_harvest(files: DataFrame, sidecars: DataFrame, key: str, sidecar_key: str) -> DataFrame:
@@ -154,9 +184,9 @@ def shifted_control_join(pixels: DataFrame, dx: int, dy: int, w: int, h: int) ->
     return pixels.join(rolled, ["image", "x", "y"])
 
 
-def occupancy(spans: DataFrame, windows: DataFrame, bucket: int, by: tuple[str, ...] = ()) -> DataFrame:
+def occupancy(spans: DataFrame, windows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Mean number of spans (a0, a1) at work in each window (key, t0, t1): the sum of overlaps over the window's length."""
-    hit = overlapping(windows, spans, bucket, ("t0", "t1"), ("a0", "a1"), by)
+    hit = overlapping(windows, spans, ("t0", "t1"), ("a0", "a1"), by)
     s = hit.groupBy("key").agg(F.sum(F.least("t1", "a1") - F.greatest("t0", "a0")).alias("busy"))
     return windows.join(s, "key", "left").select("key", F.when(F.col("t1") > F.col("t0"), F.coalesce("busy", F.lit(0)) / (F.col("t1") - F.col("t0"))).alias("occupancy"))
 

@@ -47,19 +47,19 @@ def c2_not_archived(spark, sf):
 
 @query(f"""WITH {WINDOWS} SELECT s.id, w.key FROM samples s JOIN windows w ON s.series = w.series AND s.t BETWEEN w.t0 AND w.t1""")
 def c3_samples_in_windows(spark, sf):
-    return op.samples_in_windows(t.samples(spark, sf), windows(spark, sf), 120 * MIN, by=("series",)).select("id", "key")
+    return op.samples_in_windows(t.samples(spark, sf), windows(spark, sf), by=("series",)).select("id", "key")
 
 
 @query(f"""WITH {WINDOWS} SELECT a.key AS a, b.key AS b FROM windows a JOIN windows b ON a.series = b.series AND a.t0 < b.t1 AND b.t0 < a.t1 WHERE a.key < b.key""")
 def c4_overlapping(spark, sf):
     w = windows(spark, sf)
     a, b = w.select(F.col("key").alias("a"), "series", F.col("t0").alias("a0"), F.col("t1").alias("a1")), w.select(F.col("key").alias("b"), "series", F.col("t0").alias("b0"), F.col("t1").alias("b1"))
-    return op.overlapping(a, b, 120 * MIN, ("a0", "a1"), ("b0", "b1"), ("series",)).filter("a < b").select("a", "b")
+    return op.overlapping(a, b, ("a0", "a1"), ("b0", "b1"), ("series",)).filter("a < b").select("a", "b")
 
 
 @query(f"""WITH {WINDOWS} SELECT id FROM samples s WHERE NOT EXISTS (SELECT 1 FROM windows w WHERE w.series = s.series AND s.t BETWEEN w.t0 - {60 * MIN} AND w.t1 + {300 * MIN})""")
 def c5_outside_all_windows(spark, sf):
-    return op.outside_all_windows(t.samples(spark, sf), windows(spark, sf), 240 * MIN, 60 * MIN, 300 * MIN, by=("series",)).select("id")
+    return op.outside_all_windows(t.samples(spark, sf), windows(spark, sf), 60 * MIN, 300 * MIN, by=("series",)).select("id")
 
 
 @query(f"""WITH {t.SAMPLES}, r AS (SELECT series, t AS rt, value AS rv FROM samples WHERE kind = 'view'),
@@ -68,7 +68,7 @@ SELECT s.id, j.rt AS near_t, j.rv AS near_value FROM samples s LEFT JOIN j ON s.
 def c6_nearest_in_time(spark, sf):
     s = t.samples(spark, sf)
     right = s.filter("kind = 'view'").select("series", F.col("t").alias("rt"), F.col("value").alias("rv"))
-    return op.nearest_in_time(s.filter("kind = 'click'"), right, 240 * MIN, "id", "rv", by=("series",)).select("id", "near_t", "near_value")
+    return op.nearest_in_time(s.filter("kind = 'click'"), right, 240 * MIN, "rv", by=("series",)).select("id", "near_t", "near_value")
 
 
 @query("""WITH tp AS (SELECT n_nationkey AS ord, CASE WHEN n_nationkey % 3 <> 0 THEN n_nationkey END AS nat, CASE WHEN n_nationkey % 2 = 0 THEN n_regionkey END AS seg, n_name AS name FROM nation),
@@ -155,7 +155,7 @@ def d19_busy_histogram(spark, sf):
 SELECT key, CASE WHEN t1 > t0 THEN round(coalesce(busy, 0) / (t1 - t0), 6) END AS occupancy FROM windows LEFT JOIN o USING (key)""")
 def d21_occupancy(spark, sf):
     spans = t.samples(spark, sf).filter("kind = 'error'").select("series", F.col("t").alias("a0"), (F.col("t") + F.round(F.col("value") * MIN).cast("long")).alias("a1"))
-    return rounded(op.occupancy(spans, windows(spark, sf), 120 * MIN, ("series",)), 6)
+    return rounded(op.occupancy(spans, windows(spark, sf), ("series",)), 6)
 
 
 @query(f"""WITH {t.SAMPLES}, v AS (SELECT round((t / 1000000 - (t // 3600000000 * 3600 - (series % 3) * 3600)) / 3600)::BIGINT AS hours FROM samples), g AS (SELECT hours, count(*) AS agree FROM v GROUP BY 1)
@@ -171,14 +171,14 @@ def d23_vote_offset(spark, sf):
 SELECT g.series, g.n, p10, p50, round(mean, 8) AS mean, round(avg((value > p10 + 1)::INT), 8) AS above,
  CASE WHEN g.n <= 20 THEN 'too few' WHEN p10 > 8 THEN 'floor too high' WHEN mean > p10 + 60 THEN 'not idle' END AS refused FROM g JOIN q USING (series) GROUP BY ALL""")
 def d24_idle_floor(spark, sf):
-    idle = op.outside_all_windows(t.samples(spark, sf), windows(spark, sf), 240 * MIN, 0, 0, by=("series",))
+    idle = op.outside_all_windows(t.samples(spark, sf), windows(spark, sf), 0, 0, by=("series",))
     return rounded(hw.idle_floor(idle, "series", "value", least=20, most_floor=8, most_over=60), 8)
 
 
 @query(f"""WITH {WINDOWS} SELECT key, count(*) AS n, round(avg(value) FILTER (kind = 'view'), 6) AS view, round(avg(value) FILTER (kind = 'click'), 6) AS click, round(avg(value) FILTER (kind = 'error'), 6) AS error,
  round((avg(value) FILTER (kind = 'view') - 5) / 8, 6) AS above_floor FROM samples s JOIN windows w ON s.series = w.series AND s.t BETWEEN w.t0 AND w.t1 GROUP BY key""")
 def d25_render_hardware(spark, sf):
-    hit = op.samples_in_windows(t.samples(spark, sf), windows(spark, sf), 120 * MIN, by=("series",))
+    hit = op.samples_in_windows(t.samples(spark, sf), windows(spark, sf), by=("series",))
     return rounded(hw.render_hardware(hit, "key", "kind", "value", ["view", "click", "error"], "view", 5, 8), 6)
 
 
@@ -186,7 +186,7 @@ def d25_render_hardware(spark, sf):
  g AS (SELECT key, any_value(size) / 1e6 AS size, sum(value * dt) AS written, count(*) FILTER (value > 100) AS over_n, min(t) FILTER (value > 100) AS over_first, max(t) FILTER (value > 100) AS over_last FROM h GROUP BY key)
 SELECT key, round(written, 3) AS written, written > size * 1.15 AS is_foreign, over_n, over_first, over_last FROM g""")
 def d26_foreign_io(spark, sf):
-    hit = op.samples_in_windows(t.samples(spark, sf), windows(spark, sf).withColumn("size", (F.col("t1") - F.col("t0")) / 1e6), 120 * MIN, by=("series",))
+    hit = op.samples_in_windows(t.samples(spark, sf), windows(spark, sf).withColumn("size", (F.col("t1") - F.col("t0")) / 1e6), by=("series",))
     return rounded(hw.foreign_io(hit, "key", "t", "value", "size", 100), 3)
 
 
@@ -260,7 +260,7 @@ def d33_slow_vs_rest(spark, sf):
     s = t.samples(spark, sf)
     tiles = s.filter("kind <> 'view'").withColumn("q", F.row_number().over(Window.partitionBy("series").orderBy(F.desc("value"), "id")))
     right = s.filter("kind = 'view'").select("series", F.col("t").alias("rt"), F.col("value").alias("rv"))
-    near = op.nearest_in_time(tiles, right, 600 * MIN, "id", "rv", by=("series",))
+    near = op.nearest_in_time(tiles, right, 600 * MIN, "rv", by=("series",))
     return rounded(hw.slow_vs_rest(near, "series", "q", 10, "near_value"), 6)
 
 
@@ -290,5 +290,5 @@ def d35_interleaved_medians(spark, sf):
 SELECT key, round(wall * busy, 3) AS core_s, CASE WHEN wall <= 1.1 * 3000 THEN 'as fast' WHEN wall * busy > 1.1 * 3000 * 40 THEN 'work' WHEN busy < 0.9 * 40 THEN 'schedule' ELSE 'machine' END AS verdict FROM h""")
 def d36_core_seconds(spark, sf):
     w = windows(spark, sf).withColumn("wall", (F.col("t1") - F.col("t0")) / 1e6)
-    h = op.samples_in_windows(t.samples(spark, sf), w, 120 * MIN, by=("series",)).groupBy("key").agg(F.first("wall").alias("wall"), F.avg("value").alias("busy"))
+    h = op.samples_in_windows(t.samples(spark, sf), w, by=("series",)).groupBy("key").agg(F.first("wall").alias("wall"), F.avg("value").alias("busy"))
     return rounded(hw.core_seconds(h, "wall", "busy", 3000, 40).select("key", "core_s", "verdict"), 3)

@@ -83,7 +83,7 @@ def test_longest_run(spark):
 def test_nearest_takes_the_earlier_of_two(spark):
     left = spark.createDataFrame([(1, 10), (2, 100), (3, None)], "id int, t long")
     right = spark.createDataFrame([(8, 1.0), (12, 2.0), (92, 3.0), (109, 4.0)], "rt long, v double")
-    got = {r.id: (r.near_t, r.near_value) for r in joins.nearest_in_time(left, right, 8, "id", "v").collect()}
+    got = {r.id: (r.near_t, r.near_value) for r in joins.nearest_in_time(left, right, 8, "v").collect()}
     assert got == {1: (8, 1.0), 2: (92, 3.0), 3: (None, None)}
 
 
