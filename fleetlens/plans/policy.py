@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..operators import policy as op
+from ..sources.shared import scratch
+from ..sources.snapshots import SnapshotTable
 from ..streaming import streams as st
 from . import tables as t
 from .fleet import rounded
@@ -19,7 +21,10 @@ def a11_upsert_index(spark, sf):
     """Two stand-ins for two days' records, made from one table as it holds no second state: their keys overlap in part."""
     o = t.table(spark, sf, "orders")
     batch = o.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("file"), (F.col("o_custkey") + 1).alias("v"), F.col("o_totalprice").alias("ord"))
-    return op.upsert(batch, o.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("file"), F.col("o_custkey").alias("v"), F.lit(200000.0).alias("ord")), "file", "ord")
+    index = SnapshotTable(spark, scratch(spark, "index"), "file", "ord")
+    index.upsert(o.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("file"), F.col("o_custkey").alias("v"), F.lit(200000.0).alias("ord")))
+    index.upsert(batch)
+    return index.read()
 
 
 @query("""SELECT l_orderkey AS name, count(DISTINCT l_partkey) AS bodies, count(*) AS rows FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) > 1""")

@@ -6,11 +6,16 @@ timestamps; a time without zone is cast first, with the session zone fixed to UT
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.files import last_object
+from ..sources.snapshots import SnapshotTable
+from .state import Harvest, History, Settled, require_state_store
 
 
 def settled_arrivals(polls: DataFrame, path: str = "path", t: str = "t", size: str = "size") -> DataFrame:
@@ -23,28 +28,9 @@ def settled_arrivals(polls: DataFrame, path: str = "path", t: str = "t", size: s
 def settled_arrivals_stream(polls: DataFrame, forget: str = "1 hour") -> DataFrame:
     """Stream of (path string, t timestamp, size long): emits a path when two successive polls agree, then forgets it after ``forget``
     of event time without a poll."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, done = state.get if state.exists else (-1, False)
-        pdf = pd.concat([f.copy() for f in frames]).sort_values("t")  # one key's polls of one micro-batch
-        settled = None
-        for t, size in pdf[["t", "size"]].itertuples(index=False):
-            if size is None or pd.isna(size):
-                continue
-            if not done and size == last:
-                done, settled = True, (t, int(size))
-            last = int(size)
-        latest = pdf["t"].max()
-        state.update((last, done))
-        if not pd.isna(latest):
-            state.setTimeoutTimestamp(max(int(latest.timestamp() * 1000), state.getCurrentWatermarkMs()) + int(pd.Timedelta(forget).total_seconds() * 1000))
-        if settled is not None:
-            yield pd.DataFrame({"path": [key[0]], "t": [settled[0]], "size": [settled[1]]})
-
-    return polls.withWatermark("t", forget).groupBy("path").applyInPandasWithState(step, "path string, t timestamp, size long", "last long, done boolean", "append", "EventTimeTimeout")
+    require_state_store(polls.sparkSession)
+    keep = int(pd.Timedelta(forget).total_seconds() * 1000)
+    return polls.withWatermark("t", forget).groupBy("path").transformWithStateInPandas(Settled(keep), "path string, t timestamp, size long", "Append", "EventTime")
 
 
 def growing_files(first: DataFrame, second: DataFrame, key: str, size: str) -> DataFrame:
@@ -59,18 +45,56 @@ def judged(files: DataFrame, key: str, order: str, verdict: Column) -> DataFrame
     return rows.withColumn("verdict", verdict).withColumn("goes_to", F.when(F.col("verdict").isNull(), "index").otherwise("aside"))
 
 
-def harvest_stream(files: DataFrame, key: str, t: str, verdict: Column, index_path: str, aside_path: str, checkpoint: str, delay: str = "1 hour"):
-    """Judges a stream of records once per key and appends them to the index or aside table, exactly once per batch number. Starts the
-    query with everything available and returns it."""
-    once = judged(files.withWatermark(t, delay).dropDuplicatesWithinWatermark([key]), key, t, verdict)
+def harvested(files: DataFrame, marker: str, read: Callable[[str], str | None] | None = None, retry: str = "30 seconds", most: int = 8, forget: str = "7 days") -> DataFrame:
+    """Stream of (path string, t timestamp, body string): each path once with the JSON object after the last ``marker`` of its body (meta),
+    or null once ``most`` readings have found none. Bodies without it are read again with ``read`` after ``retry``, doubled each time."""
+    require_state_store(files.sparkSession)
+    ms = lambda d: int(pd.Timedelta(d).total_seconds() * 1000)
+
+    def parse(body: str) -> str | None:
+        found = last_object(body, marker)
+        return found and found[0]
+
+    step = Harvest(parse, read, ms(retry), most, ms(forget))
+    return files.select("path", "t", "body").groupBy("path").transformWithStateInPandas(step, "path string, t timestamp, meta string, tries int", "Append", "ProcessingTime")
+
+
+def harvest_stream(
+    files: DataFrame, marker: str, schema: str, verdict: Column, refusal: Column, index: SnapshotTable, aside: SnapshotTable, name: str, checkpoint: str,
+    read: Callable[[str], str | None] | None = None, retry: str = "30 seconds", most: int = 8, forget: str = "7 days", every: str | None = None,
+):
+    """Parses, judges and records a stream of files (path, t, body), and returns the running query.
+
+    ``schema`` types the fields of the metadata, over which ``verdict`` (why a file is set aside, or null) and ``refusal`` (what a record
+    lacks, or null) are columns. Verified rows go to the table ``index``, all others with their ``status`` to ``aside``; both are merged by
+    path in snapshot commits that carry the batch's number under ``name``. So a batch that is run again after a crash, between the two commits
+    or after both, changes nothing twice. With ``every``, a time between batches, the query runs on and waiting files are read again when
+    due; without, it ends once all that is there is taken, and waiting files are read again by a later run's batches."""
+    fields = [c for c in T.StructType.fromDDL(schema).names if c not in ("path", "t", "tries")]
+    rows = harvested(files, marker, read, retry, most, forget).withColumn("_m", F.from_json("meta", schema))
+    rows = rows.select("path", "t", "tries", "meta", *[F.col("_m")[c].alias(c) for c in fields])
+    status = F.when(F.col("meta").isNull(), "not parsed").otherwise(F.coalesce(verdict, refusal, F.lit("verified")))
+    rows = rows.withColumn("status", status)
 
     def save(batch: DataFrame, number: int) -> None:
         batch.persist()
-        for where, path in (("index", index_path), ("aside", aside_path)):
-            batch.filter(F.col("goes_to") == where).write.mode("overwrite").parquet(f"{path}/batch={number}")
-        batch.unpersist()
-
-    return once.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        try:
+            index.upsert(batch.filter("status = 'verified'"), (name, number))
+            aside.upsert(batch.filter("status <> 'verified'"), (name, number))
+        finally:
+            batch.unpersist()
+
+    writer = rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    if every:
+        return writer.trigger(processingTime=every).start()
+    # Wall-clock timers ask for one more batch without end, so a query that is to end runs no batch without data.
+    conf, key = files.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    was = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return writer.trigger(availableNow=True).start()  # takes a copy of the session's settings
+    finally:
+        conf.set(key, was)
 
 
 def unknown_shape_alerts(files: DataFrame, prefixes: DataFrame, key: str, name: str, shape: str, t: str | None = None, delay: str = "1 hour") -> DataFrame:
@@ -115,28 +139,11 @@ def bounded_history(events: DataFrame, key: str, t: str, keep: int, most: int) -
 
 def bounded_history_stream(events: DataFrame, keep: str, most: int, delay: str = "1 minute") -> DataFrame:
     """Stream of (key string, t timestamp, value double): after each batch the size of a key's history cut to ``keep`` and ``most``, and
-    whether it is full. The history itself is the state, an array of at most ``most`` entries; it goes once the watermark (``delay``) is
-    ``keep`` past its last event."""
-    span = pd.Timedelta(keep)
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = list(state.get[0]) if state.exists else []
-        for pdf in frames:
-            held += [x.value // 1000 for x in pd.to_datetime(pdf["t"]) if not pd.isna(x)]
-        if not held:
-            return
-        held.sort()
-        kept = [x for x in held if x >= held[-1] - span.value // 1000]
-        full = len(kept) > most
-        kept = kept[-most:]
-        state.update((kept,))
-        state.setTimeoutTimestamp(max(kept[-1] // 1000, state.getCurrentWatermarkMs()) + int(span.total_seconds() * 1000) + 1)
-        yield pd.DataFrame({"key": [key[0]], "n": [len(kept)], "full": [full]})
-
-    return events.withWatermark("t", delay).groupBy("key").applyInPandasWithState(step, "key string, n long, full boolean", "held array<long>", "update", "EventTimeTimeout")
+    whether it is full. The history is the state, in buckets of a 64th of ``keep``; it goes once the watermark (``delay``) is ``keep`` past its
+    last event."""
+    require_state_store(events.sparkSession)
+    step = History(int(pd.Timedelta(keep).total_seconds() * 1_000_000), most)
+    return events.withWatermark("t", delay).groupBy("key").transformWithStateInPandas(step, "key string, n long, full boolean", "Update", "EventTime")
 
 
 def sampler_overruns(samples: DataFrame, key: str, t: str, cost: str, every: float) -> DataFrame:

@@ -103,16 +103,6 @@ def test_settled_stream_equals_batch(spark, tmp_path):
     assert sorted(spark.table("settled").collect()) == sorted(st.settled_arrivals(df).select("path", "t", "size").collect())
 
 
-def test_harvest_stream(spark, tmp_path):
-    df = polls(spark)
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = st.harvest_stream(stream, "path", "t", F.when(F.col("path") == "b", "BLACK FRAME"), str(tmp_path / "index"), str(tmp_path / "aside"), str(tmp_path / "cp"))
-    q.awaitTermination(120)
-    assert [r.path for r in spark.read.parquet(str(tmp_path / "index")).collect()] == ["a"]
-    assert [(r.path, r.verdict) for r in spark.read.parquet(str(tmp_path / "aside")).collect()] == [("b", "BLACK FRAME")]
-
-
 def test_rates_and_history_streams(spark, tmp_path):
     df = polls(spark).select(F.col("path").alias("key"), "t", F.col("size").cast("double").alias("value"))
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
