@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Keywords of a finish, in the order in which they are looked for.
-FINISHES = ("polished", "honed", "leathered", "brushed", "flamed", "matte")
+# The words of a finish; the least length and number of spaces of prose, and the font families that give a style away.
+FINISHES = ("honed", "polished", "leathered", "brushed")
+PROSE_CHARS, PROSE_SPACES = 34, 5
+GENERIC_FONTS = ("sans-serif", "ui-monospace", "monospace", "system-ui")
+# Letters that have no decomposition, and what they fold to.
+UNDECOMPOSED = {"ł": "l", "đ": "d", "ø": "o", "ħ": "h", "ŧ": "t", "ı": "i"}
 
 
 def pixel_metrics(w: Column, h: Column, size: Column) -> list[Column]:
@@ -96,11 +101,13 @@ def has_entity(text: Column) -> Column:
 
 
 def has_prose(text: Column) -> Column:
-    """Reads like a sentence: at least 34 characters and 5 spaces, three small letters in a row in its first line, neither markup nor
-    template braces, no leading digit, no key or path, and no generic font family. Whether it is a known key is a join for the caller."""
-    spaces = F.char_length(text) - F.char_length(F.replace(text, F.lit(" "), F.lit("")))
-    sentence = text.rlike(r"^(?=.*[a-z]{3})[^<>{}]*$") & ~text.rlike(r"^[a-z0-9.\-_/]+$") & ~text.rlike(r"^[0-9]")
-    return (F.char_length(text) >= 34) & (spaces >= 5) & sentence & ~text.rlike(r"\b(sans-serif|ui-monospace|monospace|system-ui)\b")
+    """Reads like a sentence: long enough and of enough words, a word of three small letters begins or goes on in its first line, it does not
+    start with a digit, and holds no markup, template braces or generic font family. Whether it is a known key is a join for the caller."""
+    words = F.size(F.split(text, " ")) > PROSE_SPACES
+    bare = F.translate(text, "<>{}", "") == text
+    small = F.split_part(text, F.lit("\n"), F.lit(1)).rlike("[a-z][a-z][a-z]")
+    styled = text.rlike(rf"\b(?:{'|'.join(GENERIC_FONTS)})\b")
+    return words & (F.char_length(text) >= PROSE_CHARS) & small & bare & ~F.substring(text, 1, 1).between("0", "9") & ~styled
 
 
 def lint_terms(texts: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
@@ -109,9 +116,19 @@ def lint_terms(texts: DataFrame, key: str, text: str, dictionary: DataFrame) ->
     return words.join(dictionary, "term").select(key, "term", "better")
 
 
+def _base_letters() -> tuple[str, str]:
+    """Small letters with marks and the letters under the marks, by Unicode's own decomposition."""
+    letters = dict(UNDECOMPOSED)
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        base = unicodedata.normalize("NFD", chr(code))
+        if len(base) > 1 and len(base[0].lower()) == 1 and all(unicodedata.combining(c) for c in base[1:]):
+            letters[chr(code)] = base[0]
+    return "".join(letters), "".join(letters.values())
+
+
 def fold_text(text: Column) -> Column:
-    """Without case, accents, hyphens and runs of white space."""
-    plain = F.translate(F.lower(text), "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    """Without case, marks on letters (also as characters of their own), hyphens and runs of white space."""
+    plain = F.regexp_replace(F.translate(F.lower(text), *_base_letters()), r"\p{M}", "")
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[-‐‑–]", ""), r"\s+", " "))
 
 
@@ -137,7 +154,8 @@ def slab_inches(name: Column) -> tuple[Column, Column]:
 
 
 def finish(name: Column) -> Column:
-    return classify([(F.lower(name).contains(f), f) for f in FINISHES])
+    """The first word of a finish in the name, null if there is none."""
+    return F.nullif(F.regexp_extract(F.lower(name), "|".join(FINISHES), 0), F.lit(""))
 
 
 def name_tokens(slug: Column, stop: list[str]) -> Column:

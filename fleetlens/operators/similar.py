@@ -128,29 +128,39 @@ def layer_fingerprint(components: DataFrame, area_total: float) -> DataFrame:
     )
 
 
+#: Where the first means lie among an image's widths, and what is added to a width before its logarithm.
+BREAK_SEEDS, LEAST_WIDTH = (0.15, 0.85), 1e-6
+
+
 def width_breaks(components: DataFrame, k: int = 3, rounds: int = 40) -> DataFrame:
-    """Break points of an image's ln widths by one-dimensional k-means, seeded at quantiles: the midpoints between neighbouring means, empty
-    where there are fewer than k widths. The widths of an image are first counted by value, so a group is as large as its distinct widths."""
+    """Break points of an image's ln widths by k-means in one dimension: the midpoints between neighbouring means, empty where there are fewer
+    than k widths. Clusters on a line are intervals, so a round is a search for the midpoints among the sorted distinct widths and two
+    differences of prefix sums. The widths of an image are first counted by value; a group is as large as its distinct widths."""
     import pandas as pd
 
+    def means(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        count, total = np.append(0, np.cumsum(n)), np.append(0.0, np.cumsum(n * x))
+        place = np.linspace(*BREAK_SEEDS, k) * (count[-1] - 1)  # quantiles of all widths, between neighbours by share
+        low, high = (x[np.searchsorted(count[1:], f(place).astype(int), side="right")] for f in (np.floor, np.ceil))
+        c = low + (high - low) * (place % 1)
+        for _ in range(rounds):
+            cuts = np.concatenate(([0], np.searchsorted(x, (c[1:] + c[:-1]) / 2, side="right"), [len(x)]))
+            size = np.diff(count[cuts])
+            moved = np.sort(np.where(size > 0, np.diff(total[cuts]) / np.maximum(size, 1), c))
+            if np.abs(moved - c).max() <= 1e-12:
+                break
+            c = moved
+        return c
+
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, n = np.log(pdf["width"].to_numpy()), pdf["n"].to_numpy()
-        order = np.argsort(x)
-        x, n = x[order], n[order]
+        pdf = pdf.sort_values("width")
         breaks: list[float] = []
-        if n.sum() >= k:
-            at = np.searchsorted(np.cumsum(n), (np.arange(k) + 0.5) / k * n.sum())
-            c = x[np.minimum(at, len(x) - 1)].astype(float)
-            for _ in range(rounds):
-                own = np.abs(x[:, None] - c).argmin(axis=1)
-                new = np.array([np.average(x[own == i], weights=n[own == i]) if (own == i).any() else c[i] for i in range(k)])
-                if np.allclose(new, c, rtol=0, atol=1e-12):
-                    break
-                c = new
-            breaks = [float(v) for v in np.exp((c[1:] + c[:-1]) / 2)]
+        if pdf["n"].sum() >= k:
+            c = means(np.log(pdf["width"].to_numpy() + LEAST_WIDTH), pdf["n"].to_numpy())
+            breaks = np.exp((c[1:] + c[:-1]) / 2).tolist()
         return pd.DataFrame({"image": [pdf["image"].iloc[0]], "breaks": [breaks]})
 
-    counted = components.filter("width > 0").groupBy("image", "width").agg(F.count("*").alias("n"))
+    counted = components.filter("width >= 0").groupBy("image", "width").agg(F.count("*").alias("n"))
     return counted.groupBy("image").applyInPandas(fit, f"image {dict(components.dtypes)['image']}, breaks array<double>")
 
 

@@ -101,7 +101,7 @@ def b14_html_entities(spark, sf):
     return t.table(spark, sf, "pages").select("page_id", sc.has_entity(F.col("html")).alias("entity"))
 
 
-@query(r"""SELECT doc_id, length(text) >= 34 AND length(text) - length(replace(text, ' ', '')) >= 5 AND regexp_matches(split_part(text, chr(10), 1), '[a-z]{3}') AND NOT regexp_matches(text, '[<>{}]') AND NOT regexp_matches(text, '^[a-z0-9.\-_/]+$')
+@query(r"""SELECT doc_id, length(text) >= 34 AND length(text) - length(replace(text, ' ', '')) >= 5 AND regexp_matches(split_part(text, chr(10), 1), '[a-z]{3}') AND NOT regexp_matches(text, '[<>{}]')
  AND NOT regexp_matches(text, '^[0-9]') AND NOT regexp_matches(text, '\b(sans-serif|ui-monospace|monospace|system-ui)\b') AS prose FROM documents""")
 def b14_has_prose(spark, sf):
     return t.table(spark, sf, "documents").select("doc_id", sc.has_prose(F.col("text")).alias("prose"))
@@ -115,7 +115,7 @@ def b15_lint_terms(spark, sf):
     return sc.lint_terms(t.table(spark, sf, "documents"), "doc_id", "text", d.unionByName(fixed).distinct().withColumn("better", F.upper("term")))
 
 
-_FOLDED = r"trim(regexp_replace(regexp_replace(translate(lower(text), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[-‐‑–]', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
+_FOLDED = r"trim(regexp_replace(regexp_replace(translate(strip_accents(lower(text)), 'łđøħŧı', 'ldohti'), '[-‐‑–]', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
 
 
 @query(rf"SELECT doc_id, md5({_FOLDED}) AS folded, regexp_matches({_FOLDED}, '(^|[^\p{{L}}\p{{N}}])et') AS starts_et FROM documents")
@@ -134,7 +134,7 @@ def b18_strip_derivative(spark, sf):
     return t.table(spark, sf, "pages").select("page_id", sc.strip_derivative(F.col("url")).alias("stem"), *sc.slab_inches(F.col("url")))
 
 
-@query("""SELECT p_partkey, CASE WHEN contains(lower(p_type), 'polished') THEN 'polished' WHEN contains(lower(p_type), 'brushed') THEN 'brushed' END AS finish FROM part""")
+@query("""SELECT p_partkey, nullif(regexp_extract(lower(p_type), '(honed|polished|leathered|brushed)', 1), '') AS finish FROM part""")
 def b18_finish(spark, sf):
     return t.table(spark, sf, "part").select("p_partkey", sc.finish(F.col("p_type")).alias("finish"))
 

@@ -54,10 +54,9 @@ _NEAREST = "CASE WHEN abs(x - a) <= abs(x - b) AND abs(x - a) <= abs(x - c) THEN
 _MEANS = ", ".join(f"coalesce(sum(x * n) FILTER (o = {i}) / sum(n) FILTER (o = {i}), any_value({c}))" for i, c in ((1, "a"), (2, "b"), (3, "c")))
 
 
-@query(f"""WITH RECURSIVE {t.COMPONENTS}, w AS (SELECT image, ln(width) AS x, count(*) AS n FROM components WHERE width > 0 GROUP BY image, width),
- cum AS (SELECT *, sum(n) OVER (PARTITION BY image ORDER BY x) AS cum, sum(n) OVER (PARTITION BY image) AS total FROM w),
- seed AS (SELECT image, min(x) FILTER (cum >= 0.5::DOUBLE / 3 * total) AS a, min(x) FILTER (cum >= 1.5::DOUBLE / 3 * total) AS b, min(x) FILTER (cum >= 2.5::DOUBLE / 3 * total) AS c, any_value(total) AS total FROM cum GROUP BY image),
- km(image, r, a, b, c) AS (SELECT image, 0, a, b, c FROM seed UNION ALL SELECT image, r + 1, {_MEANS} FROM (SELECT k.*, w.x, w.n, {_NEAREST} AS o FROM km k JOIN w USING (image) WHERE r < 40) GROUP BY image, r)
+@query(f"""WITH RECURSIVE {t.COMPONENTS}, w AS (SELECT image, ln(width + 1e-6) AS x, count(*) AS n FROM components WHERE width >= 0 GROUP BY image, width),
+ seed AS (SELECT image, quantile_cont(ln(width + 1e-6), 0.15) AS a, quantile_cont(ln(width + 1e-6), 0.5) AS b, quantile_cont(ln(width + 1e-6), 0.85) AS c, count(*) AS total FROM components WHERE width >= 0 GROUP BY image),
+ km(image, r, a, b, c) AS (SELECT image, 0, a, b, c FROM seed UNION ALL SELECT image, r + 1, m[1], m[2], m[3] FROM (SELECT image, r, list_sort([{_MEANS}]) AS m FROM (SELECT k.*, w.x, w.n, {_NEAREST} AS o FROM km k JOIN w USING (image) WHERE r < 40) GROUP BY image, r))
 SELECT image, CASE WHEN total >= 3 THEN round(exp((km.a + km.b) / 2), 6) END AS lower, CASE WHEN total >= 3 THEN round(exp((km.b + km.c) / 2), 6) END AS upper FROM km JOIN seed USING (image) WHERE r = 40""")
 def d56_width_breaks(spark, sf):
     at = lambda i: F.round(F.try_element_at("breaks", F.lit(i)), 6)

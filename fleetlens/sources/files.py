@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -43,25 +44,19 @@ def pass_trace(renders: DataFrame) -> DataFrame:
     return t.select("file", "seq", *[F.col(f"_t.{n}").alias(n) for n in names])
 
 
+#: What matters in a JSON text: whole strings, a quote that is not closed, braces.
+_JSON_PARTS = re.compile(r'"(?:[^"\\]++|\\.)*+"|["{}]', re.S)
+
+
 def match_braces(text: str, start: int) -> int:
     """End of the JSON object that begins at ``start``, minding strings and escapes; -1 if it does not end."""
-    depth, quoted, i = 0, False, start
-    while i < len(text):
-        c = text[i]
-        if quoted:
-            if c == "\\":
-                i += 1
-            elif c == '"':
-                quoted = False
-        elif c == '"':
-            quoted = True
-        elif c == "{":
-            depth += 1
-        elif c == "}":
-            depth -= 1
-            if depth == 0:
-                return i + 1
-        i += 1
+    depth = 0
+    for part in _JSON_PARTS.finditer(text, start):
+        depth += {"{": 1, "}": -1}.get(part[0], 0)
+        if part[0] == '"':
+            return -1
+        if part[0] == "}" and depth == 0:
+            return part.end()
     return -1
 
 
@@ -94,7 +89,9 @@ def extract_embedded_json(rows: DataFrame, key: str, body: str, marker: str) ->
 
 def extract_from_tails(files: DataFrame, path: str, marker: str, step: int = 4 << 20, most: int = 1 << 30, tasks: int | None = None) -> DataFrame:
     """The same from the ends of files, read backwards in steps and no further than needed: path, meta, start, end in bytes. The listing is
-    dealt over tasks; paths are URIs that Arrow opens. Files without an object give nulls."""
+    dealt over tasks; paths are URIs that Arrow opens. Each step reads its block alone and looks for markers there. Files without an
+    object give nulls."""
+    mark = marker.encode("utf-8")
 
     def one(uri: str) -> tuple[str, int, int] | None:
         import pyarrow.fs as pafs
@@ -102,17 +99,27 @@ def extract_from_tails(files: DataFrame, path: str, marker: str, step: int = 4 <
         fs, at = pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
         with fs.open_input_file(at) as f:
             size = f.size()
-            read = min(step, size)
-            while True:
-                f.seek(size - read)
-                text = f.read(read).decode("latin-1")
-                got = last_object(text, marker)
-                if got:
-                    raw = got[0].encode("latin-1").decode("utf-8", "replace")
-                    return raw, size - read + got[1], size - read + got[2]
-                if read >= min(size, most):
-                    return None
-                read = min(size, read + step, most)
+            begin, blocks = size, []  # what was read so far, from ``begin`` on, the last block first
+            while begin > max(0, size - most):
+                step_begin = max(0, begin - step, size - most)
+                f.seek(step_begin)
+                new = f.read(begin - step_begin)
+                blocks.append(new)
+                begin = step_begin
+                over = b"".join(b[: len(mark)] for b in reversed(blocks[-3:-1]))[: len(mark) - 1]
+                places = new + over  # markers that begin in the new block; later ones were tried before
+                k = len(places)
+                while (k := places.rfind(mark, 0, k)) >= 0:
+                    text = b"".join([new[k:], *reversed(blocks[:-1])]).decode("latin-1")
+                    opened = text.find("{", len(mark))
+                    end = match_braces(text, opened) if opened >= 0 else -1
+                    if end > 0:
+                        try:
+                            json.loads(text[opened:end])
+                            return text[opened:end].encode("latin-1").decode("utf-8", "replace"), begin + k + opened, begin + k + end
+                        except ValueError:
+                            pass
+        return None
 
     def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
