@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir
+from ..sources.shared import written
 from .stats import ratio
 
 
@@ -95,37 +97,101 @@ def nearest_pairs(vectors: DataFrame, key: str, vector: str, k: int, sample: int
     return pair_within(vectors, key, vector, bound).orderBy("distance", "a", "b").limit(k)
 
 
-def radius_thin(edges: DataFrame, points: DataFrame, key: str, priority: str) -> DataFrame:
-    """Greedy thinning: in order of priority (largest first, then least key) a point is kept if no kept one is its neighbour in ``edges``
-    (a, b). Rounds keep every live point without a live neighbour before it and drop the neighbours of those; the kept set is that of
-    the sequential order. Every round settles at least the first live point, so it ends; each round is written to the shared folder."""
+def _thin_edges(live: DataFrame, before: DataFrame) -> DataFrame:
+    """The points of ``live`` (r, p) that a walk in order of priority keeps, given edges ``before`` (r, a, b) from each point to its neighbours of
+    higher priority. A round keeps every point without such a neighbour left and drops the neighbours of those; what a round settles,
+    the points left and the edges left are written to the shared folder."""
+    kept = []
+    while not live.isEmpty():
+        blocked = before.select("r", F.col("a").alias("p")).distinct().withColumn("_blocked", F.lit(True))
+        free = written(live.join(blocked, ["r", "p"], "left").filter("_blocked is null").select("r", "p"), "thin-kept")
+        kept.append(free)
+        gone = before.join(free.select("r", F.col("p").alias("b")), ["r", "b"], "left_semi").select("r", F.col("a").alias("p")).distinct()
+        settled = written(free.unionByName(gone), "thin-settled")
+        live = written(live.join(settled, ["r", "p"], "left_anti"), "thin-live")
+        for side in ("a", "b"):
+            before = before.join(settled.withColumnRenamed("p", side), ["r", side], "left_anti")
+        before = written(before, "thin-edges")
+    return reduce(DataFrame.unionByName, kept) if kept else live
+
+
+def radius_thin(points: DataFrame, key: str, vector: str, priority: str, radii: tuple[float, ...], pivots: int = 512, share: float = 0.125) -> DataFrame:
+    """Greedy thinning at several radii at once: (radius, and the columns of ``points``) of the points kept. In order of priority (largest first,
+    then least key) a point is kept if it is farther than the radius from all points kept before it.
+
+    First, in passes that all radii share, the foremost ``pivots`` points left at each radius are settled among themselves (a bounded
+    number of vectors on the driver), and one scan drops what lies within the radius of those kept: where the radius is wide few passes
+    settle all, and no pairs are built. A radius leaves the passes once one settles less than ``share`` of its points: then few points lie
+    near each other, so the pairs within the radius are found once, with their distances, for all such radii, and rounds over these edges
+    settle the rest. Both give what the walk in order gives. Rows with a null key or vector take no part; keys are unique.
+    """
+    own = points.filter(F.col(key).isNotNull() & F.col(vector).isNotNull())
+    rows = own.select(F.col(key).alias("p"), F.col(vector).cast("array<double>").alias("v"), F.col(priority).cast("double").alias("w"))
+    live = written(rows.withColumn("left", F.array(*[F.lit(True)] * len(radii))), "thin-points")
+    kind, dense, kept = dict(points.dtypes)[key], set(range(len(radii))), []
     spark = points.sparkSession
-    shared_dir(spark)
-    rank = points.select(F.col(key).alias("p"), F.col(priority).alias("w"))
-    r1, r2 = rank.toDF("a", "wa"), rank.toDF("b", "wb")
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    # later -> earlier neighbours
-    before = both.join(r1, "a").join(r2, "b").filter((F.col("wb") > F.col("wa")) | (F.col("wb") == F.col("wa")) & (F.col("b") < F.col("a"))).select("a", "b").checkpoint()
-    live, kept = rank.select("p").checkpoint(), None
-    while True:
-        blocked = before.select(F.col("a").alias("p")).distinct()
-        free = live.join(blocked, "p", "left_anti").checkpoint()
-        kept = free if kept is None else kept.union(free)
-        gone = before.join(free.select(F.col("p").alias("b")), "b", "left_semi").select(F.col("a").alias("p")).distinct().checkpoint()
-        settled = free.union(gone).checkpoint()
-        live = live.join(settled, "p", "left_anti").checkpoint()
-        before = before.join(settled.select(F.col("p").alias("a")), "a", "left_anti").join(settled.select(F.col("p").alias("b")), "b", "left_anti").checkpoint()
-        if live.isEmpty():
-            return points.join(kept.withColumnRenamed("p", key), key, "left_semi")
-
-
-def layer_fingerprint(components: DataFrame, area_total: float) -> DataFrame:
-    """Per image and tier: coverage, components per million of area, median and deviation of ln width, median ln of length over width."""
-    lw = F.log("width")
-    return components.filter((F.col("width") > 0) & (F.col("length") > 0)).groupBy("image", "tier").agg(
+
+    def count(i: int) -> Column:
+        return F.count_if(F.col("left")[i]).alias(str(i))
+
+    left = live.agg(*[count(i) for i in range(len(radii))]).first()
+    while dense := {i for i in dense if left[i]}:
+        settled, near = {}, {}
+        for i in sorted(dense):
+            front = live.filter(F.col("left")[i]).orderBy(F.desc("w"), "p").limit(pivots).select("p", "v").collect()  # ``pivots`` rows at most
+            x = np.array([r.v for r in front], float)
+            free = np.ones(len(x), bool)
+            for j in range(len(x)):
+                if free[j]:
+                    free[j + 1 :] &= np.sqrt(((x[j + 1 :] - x[j]) ** 2).sum(axis=1)) > radii[i]
+            near[i] = x[free]
+            settled[i] = {r.p for r in front}
+            kept += [(i, r.p) for r, f in zip(front, free, strict=True) if f]
+        shared = spark.sparkContext.broadcast((near, settled, [float(r) for r in radii]))
+
+        def drop(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            near, settled, radii = shared.value
+            for b in batches:
+                v = np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1)
+                left = np.asarray(b.column(3).flatten()).reshape(b.num_rows, -1).copy()
+                keys = b.column(0).to_pylist()
+                for i, x in near.items():
+                    for k in np.flatnonzero(left[:, i]).tolist():
+                        left[k, i] = keys[k] not in settled[i] and bool((np.sqrt(((x - v[k]) ** 2).sum(axis=1)) > radii[i]).all())
+                lists = pa.ListArray.from_arrays(np.arange(0, left.size + 1, left.shape[1], dtype=np.int32), pa.array(left.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), lists], names=["p", "v", "w", "left"])
+
+        live = written(live.mapInArrow(drop, live.schema).filter(F.array_contains("left", True)), "thin-points")
+        now = live.agg(*[count(i) for i in range(len(radii))]).first()
+        dense = {i for i in dense if left[i] - now[i] >= share * left[i] or now[i] <= pivots}
+        left = now
+    found = spark.createDataFrame(kept, f"_r int, p {kind}")
+    sparse = [i for i in range(len(radii)) if left[i]]
+    if sparse:
+        pairs = written(pair_within(live, "p", "v", max(radii[i] for i in sparse)), "thin-pairs")
+        states = live.select("p", "w", F.posexplode("left").alias("r", "_left")).filter("_left").select("r", "p", "w")
+        wide = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(radii[i])).alias("at")) for i in sparse])).alias("_r")
+        edges = pairs.select("a", "b", "distance", wide).filter(F.col("distance") <= F.col("_r.at")).select(F.col("_r.i").alias("r"), "a", "b")
+        edges = edges.join(states.toDF("r", "a", "wa"), ["r", "a"]).join(states.toDF("r", "b", "wb"), ["r", "b"])
+        first = (F.col("wa") > F.col("wb")) | (F.col("wa") == F.col("wb")) & (F.col("a") < F.col("b"))
+        before = edges.select("r", F.when(first, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("b"))
+        rest = _thin_edges(written(states.select("r", "p"), "thin-live"), written(before, "thin-edges"))
+        found = found.unionByName(rest.select(F.col("r").alias("_r"), "p"))
+    at = F.array(*[F.lit(float(r)) for r in radii])
+    return own.join(found, own[key] == found["p"]).select(at[F.col("_r")].alias("radius"), *points.columns)
+
+
+def layer_fingerprint(components: DataFrame, area_total: float, directions: DataFrame | None = None) -> DataFrame:
+    """Per image and tier: coverage, components per million of area, median and deviation of ln width and of ln length over width, and the
+    direction of the image's structure (image, resultant; see ``raster.orientation``), 0 where none was measured."""
+    lw, ls = F.log("width"), F.log(F.col("length") / F.col("width"))
+    g = components.filter((F.col("width") > 0) & (F.col("length") > 0)).groupBy("image", "tier").agg(
         (F.sum("area") / area_total).alias("coverage"), (F.count("*") * 1e6 / area_total).alias("density"),
-        F.median(lw).alias("width_median"), F.stddev_pop(lw).alias("width_sd"), F.median(F.log(F.col("length") / F.col("width"))).alias("slender"),
+        F.median(lw).alias("width_median"), F.stddev_pop(lw).alias("width_sd"), F.median(ls).alias("slender"), F.stddev_pop(ls).alias("slender_sd"),
     )
+    if directions is None:
+        return g.withColumn("direction", F.lit(0.0))
+    return g.join(directions.select("image", F.col("resultant").alias("_d")), "image", "left").withColumn("direction", F.coalesce("_d", F.lit(0.0))).drop("_d")
 
 
 #: Where the first means lie among an image's widths, and what is added to a width before its logarithm.
@@ -164,12 +230,46 @@ def width_breaks(components: DataFrame, k: int = 3, rounds: int = 40) -> DataFra
     return counted.groupBy("image").applyInPandas(fit, f"image {dict(components.dtypes)['image']}, breaks array<double>")
 
 
-def assign_tiers(components: DataFrame, breaks: DataFrame, gauge: float) -> DataFrame:
-    """major from the upper break on; below it minor, subminor if length is three widths or more, else micro, by the lower break. Images
-    without two breaks are split at ``gauge``."""
+#: Fine cells across the greatest distance that counts as near.
+_FINE = 8
+
+
+def distance_to_nearest(points: DataFrame, sources: DataFrame, most: float, by: str, key: str) -> DataFrame:
+    """``points`` with the Euclidean distance (x, y) to the nearest of ``sources`` of the same ``by``, null at ``most`` and beyond; exact.
+
+    Both are dealt to fine cells. Between cells that are occupied, a ring search bounds the nearest distance from above by the cell whose
+    farthest corner is nearest, and only cells whose nearest corner lies within that bound meet point by point. So dense parts, where a source
+    is in the same cell or beside it, meet few cells, and pairs do not grow with ``most``. Sources in one place count once."""
+    side = most / _FINE
+    cell = lambda c: F.floor(F.col(c) / side)
+    p = points.select(by, key, "x", "y", cell("x").alias("cx"), cell("y").alias("cy")).filter("x is not null and y is not null")
+    s = sources.select(by, F.col("x").alias("sx"), F.col("y").alias("sy")).filter("sx is not null and sy is not null").distinct()
+    s = s.withColumns({"ex": cell("sx"), "ey": cell("sy")})
+    span = F.sequence(F.lit(-_FINE - 1), F.lit(_FINE + 1))
+    ring = p.select(by, "cx", "cy").distinct().withColumn("_i", F.explode(span)).withColumn("_j", F.explode(span))
+    ring = ring.withColumns({"ex": F.col("cx") + F.col("_i"), "ey": F.col("cy") + F.col("_j")}).join(s.select(by, "ex", "ey").distinct(), [by, "ex", "ey"])
+    gap = lambda d: F.greatest(F.abs(d) - 1, F.lit(0))
+    ring = ring.withColumns({"_low": F.hypot(gap(F.col("_i")), gap(F.col("_j"))), "_high": F.hypot(F.abs("_i") + 1, F.abs("_j") + 1)})
+    bound = ring.groupBy(by, "cx", "cy").agg(F.min("_high").alias("_bound"))
+    meet = ring.join(bound, [by, "cx", "cy"]).filter((F.col("_low") <= F.col("_bound")) & (F.col("_low") < _FINE)).select(by, "cx", "cy", "ex", "ey")
+    pairs = p.join(meet, [by, "cx", "cy"]).join(s, [by, "ex", "ey"])
+    nearest = pairs.groupBy(by, key).agg(F.min(F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))).alias("distance")).filter(F.col("distance") < most)
+    return points.join(nearest, [by, key], "left")
+
+
+def assign_tiers(components: DataFrame, breaks: DataFrame, gauge: float, near: float, key: str = "id") -> DataFrame:
+    """Tier of each component (image, key, width, length, x, y), and its distance to the major network: major from the upper break on; minor
+    from the lower break on if its distance to the image's nearest major one is below ``near``; of the rest subminor where the
+    length is three widths or more, else micro. ``distance`` is 0 for major ones and null where none is near. Images without two breaks are split
+    at ``gauge`` and half of it. Keys are unique in an image."""
     hi, lo = F.coalesce(F.try_element_at("breaks", F.lit(2)), F.lit(gauge)), F.coalesce(F.try_element_at("breaks", F.lit(1)), F.lit(gauge / 2))
-    slim = F.col("length") >= 3 * F.col("width")
-    return components.join(breaks, "image", "left").withColumn("assigned", F.when(F.col("width") >= hi, "major").when(F.col("width") >= lo, "minor").when(slim, "subminor").otherwise("micro")).drop("breaks")
+    sized = components.join(breaks, "image", "left").withColumns({"_major": F.col("width") >= hi, "_wide": F.col("width") >= lo}).drop("breaks")
+    far = distance_to_nearest(sized.filter("not _major"), sized.filter("_major"), near, "image", key)
+    rest = F.when(F.col("length") >= 3 * F.col("width"), "subminor").otherwise("micro")
+    minor = far.withColumn("assigned", F.when(F.col("_wide") & F.col("distance").isNotNull(), "minor").otherwise(rest))
+    major = sized.filter("_major").withColumns({"distance": F.lit(0.0), "assigned": F.lit("major")})
+    unsized = sized.filter("_major is null").withColumns({"distance": F.lit(None).cast("double"), "assigned": rest})
+    return major.unionByName(minor).unionByName(unsized).drop("_major", "_wide")
 
 
 def stroke_share(components: DataFrame) -> DataFrame:
@@ -213,6 +313,16 @@ def biggest(rows: DataFrame, size: str, key: str, n: int) -> DataFrame:
     return rows.orderBy(F.desc(size), key).limit(n)
 
 
+def mid_stratum_sample(tiles: DataFrame, key: str, index: str, n: int) -> DataFrame:
+    """The middle tile of each of min(n, total) equal strata of a key: index (from 0, without gaps) floor((i + 1/2) * total / strata). Whole numbers
+    decide, so no rounding moves a pick."""
+    total = tiles.groupBy(key).agg(F.count("*").alias("_n"))
+    rows = tiles.join(total, key).withColumn("_m", F.least(F.lit(n).cast("long"), F.col("_n")))
+    i = F.expr(f"(2 * _m * {index} + _n - 1) div (2 * _n)")  # the first stratum whose middle is not before the index
+    rows = rows.withColumn("_i", i)
+    return rows.filter((F.col("_i") < F.col("_m")) & (F.expr("((2 * _i + 1) * _n) div (2 * _m)") == F.col(index))).drop("_n", "_m", "_i")
+
+
 def systematic_sample(tiles: DataFrame, key: str, index: str, n: int) -> DataFrame:
     """About n tiles of each key, evenly spread: index modulo max(1, floor(total / n)) is zero. The total is an aggregate joined back."""
     total = tiles.groupBy(key).agg(F.count("*").alias("_n"))

@@ -167,8 +167,11 @@ _GRAD = t.PIXELS + """, s AS (SELECT *, lead(v) OVER r - lag(v) OVER r AS d, lag
  gr AS (SELECT image, x, y, lag(d) OVER c + 2 * d + lead(d) OVER c AS gx, lead(e) OVER c - lag(e) OVER c AS gy FROM s WINDOW c AS (PARTITION BY image, x ORDER BY y)), g AS (SELECT * FROM gr WHERE gx IS NOT NULL AND gy IS NOT NULL)"""
 
 
-@query(f"""WITH {_GRAD}, m AS (SELECT image, sqrt(gx * gx + gy * gy) AS mag, 2 * atan2(gy, gx) AS a FROM g), c AS (SELECT image, quantile_cont(mag, 0.5) AS cut FROM m GROUP BY image)
-SELECT image, count(*) AS n, round(CASE WHEN count(*) < 10 THEN 0 ELSE sqrt(pow(avg(cos(a)), 2) + pow(avg(sin(a)), 2)) END, 6) AS resultant FROM m JOIN c USING (image) WHERE mag >= cut GROUP BY image""")
+DIRECTIONS = _GRAD + """, m AS (SELECT image, sqrt(gx * gx + gy * gy) AS mag, 2 * atan2(gy, gx) AS a FROM g), c AS (SELECT image, quantile_cont(mag, 0.5) AS cut FROM m GROUP BY image),
+ directions AS (SELECT image, count(*) AS n, round(CASE WHEN count(*) < 10 THEN 0 ELSE sqrt(pow(avg(cos(a)), 2) + pow(avg(sin(a)), 2)) END, 6) AS resultant FROM m JOIN c USING (image) WHERE mag >= cut GROUP BY image)"""
+
+
+@query(f"WITH {DIRECTIONS} SELECT * FROM directions")
 def d52_orientation(spark, sf):
     return rounded(op.orientation(t.pixels(spark, sf), 0.5, 10), 6)
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import raster
 from ..operators import similar as op
 from . import tables as t
 from .fleet import rounded
+from .raster import DIRECTIONS
 from .registry import query
 
 
@@ -34,20 +36,28 @@ def d55_standardise(spark, sf):
     return rounded(op.standardise(tall, "image", "axis", "value"), 6)
 
 
-@query(f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT a, b FROM pr WHERE distance <= 1.1 UNION ALL SELECT b, a FROM pr WHERE distance <= 1.1), n AS (SELECT a, list(b) AS near FROM e GROUP BY a),
- o AS (SELECT row_number() OVER (ORDER BY label DESC, vec_id) AS i, vec_id, coalesce(near, []) AS near FROM embeddings LEFT JOIN n ON a = vec_id),
- k(i, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT o.i, CASE WHEN list_has_any(kept, near) THEN kept ELSE list_append(kept, vec_id) END FROM k JOIN o ON o.i = k.i + 1)
-SELECT vec_id AS image, label FROM embeddings WHERE vec_id IN (SELECT unnest(kept) FROM (SELECT kept FROM k ORDER BY i DESC LIMIT 1))""")
+#: The radii at which thinning is judged.
+RADII = (0.6, 0.9, 1.2, 1.6, 2.2, 3.0)
+
+
+@query(f"""WITH RECURSIVE {_PAIRS}, r AS (SELECT unnest([0.6, 0.9, 1.2, 1.6, 2.2, 3.0])::DOUBLE AS radius), e AS (SELECT radius, a, b FROM pr, r WHERE distance <= radius UNION ALL SELECT radius, b, a FROM pr, r WHERE distance <= radius),
+ n AS (SELECT radius, a, list(b) AS near FROM e GROUP BY ALL),
+ o AS (SELECT r.radius, row_number() OVER (PARTITION BY r.radius ORDER BY label DESC, vec_id) AS i, vec_id, coalesce(near, []) AS near FROM embeddings CROSS JOIN r LEFT JOIN n ON a = vec_id AND n.radius = r.radius),
+ k(radius, i, kept) AS (SELECT radius, 0::BIGINT, []::BIGINT[] FROM r UNION ALL SELECT k.radius, o.i, CASE WHEN list_has_any(kept, near) THEN kept ELSE list_append(kept, vec_id) END FROM k JOIN o ON o.i = k.i + 1 AND o.radius = k.radius)
+SELECT radius, image, label FROM (SELECT radius, unnest(kept) AS image FROM (SELECT radius, arg_max(kept, i) AS kept FROM k GROUP BY radius)) JOIN embeddings ON vec_id = image""")
 def f8_radius_thin(spark, sf):
-    v = vectors(spark, sf)
-    edges = op.pair_within(v, "image", "v", 1.1)
-    return op.radius_thin(edges, t.table(spark, sf, "embeddings").select(F.col("vec_id").alias("image"), "label"), "image", "label")
+    """Survivors at all six radii; the label is the priority."""
+    points = vectors(spark, sf).join(t.table(spark, sf, "embeddings").select(F.col("vec_id").alias("image"), "label"), "image")
+    return op.radius_thin(points, "image", "v", "label", RADII).select("radius", "image", "label")
 
 
-@query(f"""WITH {t.COMPONENTS} SELECT image, tier, round(sum(area) / 1e8, 6) AS coverage, round(count(*) * 1e6 / 1e8, 6) AS density, round(median(ln(width)), 6) AS width_median, round(stddev_pop(ln(width)), 6) AS width_sd,
- round(median(ln(length / width)), 6) AS slender FROM components WHERE width > 0 AND length > 0 GROUP BY 1, 2""")
+@query(f"""WITH {t.COMPONENTS}, {DIRECTIONS}, layers AS (SELECT image, tier, round(sum(area) / 1e8, 6) AS coverage, round(count(*) * 1e6 / 1e8, 6) AS density, round(median(ln(width)), 6) AS width_median, round(stddev_pop(ln(width)), 6) AS width_sd,
+ round(median(ln(length / width)), 6) AS slender, round(stddev_pop(ln(length / width)), 6) AS slender_sd FROM components WHERE width > 0 AND length > 0 GROUP BY 1, 2)
+SELECT layers.*, coalesce(resultant, 0) AS direction FROM layers LEFT JOIN directions USING (image)""")
 def d54_layer_fingerprint(spark, sf):
-    return rounded(op.layer_fingerprint(t.components(spark, sf), 1e8), 6)
+    """The rasters of the vectors stand in for the images' masks."""
+    directions = raster.orientation(t.pixels(spark, sf), 0.5, 10)
+    return rounded(op.layer_fingerprint(t.components(spark, sf), 1e8, directions), 6)
 
 
 _NEAREST = "CASE WHEN abs(x - a) <= abs(x - b) AND abs(x - a) <= abs(x - c) THEN 1 WHEN abs(x - b) <= abs(x - c) THEN 2 ELSE 3 END"
@@ -66,11 +76,14 @@ def d56_width_breaks(spark, sf):
 _BREAKS = "br AS (SELECT image, quantile_cont(width, 0.33) AS b1, quantile_cont(width, 0.67) AS b2 FROM components WHERE image % 4 > 0 GROUP BY image)"
 
 
-@query(f"""WITH {t.COMPONENTS}, {_BREAKS} SELECT c.image, id, CASE WHEN width >= coalesce(b2, 30) THEN 'major' WHEN width >= coalesce(b1, 15) THEN 'minor' WHEN length >= 3 * width THEN 'subminor' ELSE 'micro' END AS assigned FROM components c LEFT JOIN br USING (image)""")
+@query(f"""WITH {t.COMPONENTS}, {_BREAKS}, z AS (SELECT c.*, width >= coalesce(b2, 30) AS major, width >= coalesce(b1, 15) AS wide FROM components c LEFT JOIN br USING (image)),
+ d AS (SELECT a.image, a.id, min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS d FROM z a JOIN z b ON a.image = b.image AND b.major AND NOT a.major GROUP BY 1, 2)
+SELECT z.image, z.id, CASE WHEN major THEN 'major' WHEN wide AND d < 25 THEN 'minor' WHEN length >= 3 * width THEN 'subminor' ELSE 'micro' END AS assigned, round(CASE WHEN major THEN 0 WHEN d < 25 THEN d END, 6) AS distance
+FROM z LEFT JOIN d USING (image, id)""")
 def d57_assign_tiers(spark, sf):
     c = t.components(spark, sf)
     breaks = c.filter("image % 4 > 0").groupBy("image").agg(F.array(F.percentile("width", 0.33), F.percentile("width", 0.67)).alias("breaks"))
-    return op.assign_tiers(c, breaks, 30.0).select("image", "id", "assigned")
+    return rounded(op.assign_tiers(c, breaks, 30.0, 25.0).select("image", "id", "assigned", "distance"), 6)
 
 
 @query(f"""WITH {t.COMPONENTS}, m AS (SELECT image, median(width) AS m FROM components GROUP BY image) SELECT image, round(avg((length >= 3 * width)::INT), 6) AS share FROM components JOIN m USING (image) WHERE width <= m GROUP BY image""")
@@ -116,6 +129,13 @@ def f5_systematic_sample(spark, sf):
     return op.systematic_sample(t.series(spark, sf), "render", "pass", 25).select("render", "pass")
 
 
+@query(f"""WITH {t.SERIES}, s AS (SELECT render, pass - 1 AS i, count(*) OVER (PARTITION BY render) AS n FROM series), p AS (SELECT DISTINCT render, (2 * k + 1) * n // (2 * least(25, n)) AS i FROM s, range(25) AS r(k) WHERE k < least(25, n))
+SELECT render, i + 1 AS pass FROM p""")
+def f5_mid_stratum_sample(spark, sf):
+    rows = t.series(spark, sf).withColumn("i", F.col("pass") - 1)
+    return op.mid_stratum_sample(rows, "render", "i", 25).select("render", "pass")
+
+
 @query(f"""WITH {t.SERIES}, j AS (SELECT render, pass, ms - lag(ms) OVER (PARTITION BY render ORDER BY pass) AS jump FROM series) SELECT render, pass, round(jump, 2) AS jump FROM j WHERE jump IS NOT NULL ORDER BY abs(jump) DESC, render, pass LIMIT 4""")
 def f6_worst_cells(spark, sf):
     j = F.col("ms") - F.lag("ms").over(Window.partitionBy("render").orderBy("pass"))

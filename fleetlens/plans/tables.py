@@ -93,16 +93,18 @@ LEVELS = PIXELS + ", levels AS (SELECT *, (floor(abs(v) * 255)::BIGINT % 256)::I
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image, tier, id, width, length, area."""
+    """image, tier, id, width, length, area, and a place x, y made of the keys."""
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("image"), F.col("l_returnflag").alias("tier"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("id"),
         F.col("l_quantity").alias("width"), (F.col("l_extendedprice") / 100).alias("length"), (F.col("l_quantity") * F.col("l_extendedprice") / 100).alias("area"),
+        (F.col("l_orderkey") * 7 % 499).cast("double").alias("x"), (F.col("l_partkey") * 13 % 503 / 2.0).alias("y"),
     )
 
 
 COMPONENTS = """components AS (SELECT l_suppkey AS image, l_returnflag AS tier, concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS id,
-    l_quantity AS width, l_extendedprice / 100 AS length, l_quantity * l_extendedprice / 100 AS area FROM lineitem)"""
+    l_quantity AS width, l_extendedprice / 100 AS length, l_quantity * l_extendedprice / 100 AS area,
+    (l_orderkey * 7 % 499)::DOUBLE AS x, (l_partkey * 13 % 503) / 2.0 AS y FROM lineitem)"""
 
 
 #: CRC-32 in SQL: ``crc_table`` as a common table expression, and the sum of a list of bytes.

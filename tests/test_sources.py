@@ -73,22 +73,6 @@ def test_sinks(spark, tmp_path):
     assert {p.name for p in (tmp_path / "l").iterdir() if "=" in p.name} == {"name=a", "name=b"}
 
 
-def test_thinning_equals_the_sequential_order(spark):
-    import random
-
-    rng = random.Random(2)
-    pts = [(i, [rng.random(), rng.random(), rng.random()], rng.randrange(20)) for i in range(150)]
-    df = spark.createDataFrame(pts, "id long, v array<double>, w int")
-    edges = similar.pair_within(df, "id", "v", 0.25)
-    near = {(a, b) for a, va, _ in pts for b, vb, _ in pts if a < b and sum((x - y) ** 2 for x, y in zip(va, vb, strict=True)) ** 0.5 <= 0.25}
-    assert {(r.a, r.b) for r in edges.collect()} == near
-    kept = []
-    for i, _, _ in sorted(pts, key=lambda p: (-p[2], p[0])):
-        if all((min(i, k), max(i, k)) not in near for k in kept):
-            kept.append(i)
-    assert sorted(r.id for r in similar.radius_thin(edges, df, "id", "w").collect()) == sorted(kept)
-
-
 def polls(spark):
     rows = [("a", 0, 5), ("b", 0, 1), ("a", 1, 5), ("b", 1, 2), ("a", 2, 9), ("a", 3, 9), ("b", 2, 3)]
     return spark.createDataFrame(rows, "path string, s long, size long").select("path", F.timestamp_seconds(F.col("s") * 60 + 1_700_000_000).alias("t"), "size")
