@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import samples_in_windows
+
 
 def upsert(batch: DataFrame, target: DataFrame, key: str, order: str) -> DataFrame:
     """The target with the batch merged by key: the latest row by ``order`` wins, the batch among equals. Write the result beside the
@@ -35,9 +37,11 @@ def export_stats_csv(rows: DataFrame, path: str, columns: list[str]) -> None:
     rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns]).write.mode("overwrite").csv(path, header=True)
 
 
-def split_log_by_render(hits: DataFrame, path: str, render: str) -> None:
-    """One folder of CSV for each render's window."""
-    hits.write.mode("overwrite").partitionBy(render).csv(path, header=True)
+def split_log_by_render(log: DataFrame, windows: DataFrame, path: str, render: str, t: str = "t", lo: str = "t0", hi: str = "t1", by: tuple[str, ...] = ()) -> None:
+    """One folder of CSV for each window (render, lo, hi), with the rows of the log whose time lies in it, both ends included, in order of time and
+    with the log's own columns. A row in several windows is in each of their folders. Rows of a window go to as few files as tasks hold it."""
+    hits = samples_in_windows(log, windows.select(render, *by, lo, hi), t, lo, hi, by).select(render, *log.columns)
+    hits.repartitionByRange(render, t).sortWithinPartitions(render, t).write.mode("overwrite").partitionBy(render).csv(path, header=True)
 
 
 def tables_differ(a: DataFrame, b: DataFrame) -> DataFrame:

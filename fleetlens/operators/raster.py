@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .joins import shifted_control_join
 from .stats import pearson, ratio
 
@@ -48,24 +49,45 @@ def tile_checksums(levels: DataFrame, order: list[str]) -> DataFrame:
     return levels.groupBy("image").agg(F.avg("q").alias("mean"), F.min("q").alias("lo"), F.max("q").alias("hi"), F.crc32(F.unhex(b)).alias("crc"), (F.min("q") == F.max("q")).alias("flat"))
 
 
+def _sum_hash(*columns: str) -> Column:
+    """A hash of a group of rows as an aggregate that needs no order; repeated rows do not cancel, as the sum and the number of hashes are in it."""
+    return F.xxhash64(F.sum(F.xxhash64(*columns).cast("decimal(38,0)")), F.count("*"), F.bit_xor(F.xxhash64(*reversed(columns))))
+
+
 def tile_hashes(levels: DataFrame, *tile: str) -> DataFrame:
     """One hash of all pixels of each tile of each image, by a mergeable aggregate: (image, the tile's columns, hash)."""
-    return levels.groupBy("image", *tile).agg(F.bit_xor(F.xxhash64("y", "x", "q")).alias("hash"))
+    return levels.groupBy("image", *tile).agg(_sum_hash("y", "x", "q").alias("hash"))
 
 
-def same_picture(pairs: DataFrame, hashes: DataFrame, pixels: DataFrame, tile: list[str], width: int) -> DataFrame:
+def same_picture(pairs: DataFrame, hashes: DataFrame, pixels: DataFrame, tile: list[str], width: int, mark: Column | None = None) -> DataFrame:
     """Pairs (pair, a, b) of images: same where all tiles have equal hashes; only tiles that differ, or that one image lacks, meet pixel
     by pixel: tiles that differ, differing pixels, the first of them and the largest difference. ``pixels`` has image, the columns of
-    ``tile``, x, y and q."""
-    a = pairs.select("pair", F.col("a").alias("image")).join(hashes, "image").select("pair", *tile, F.col("hash").alias("ha"))
-    b = pairs.select("pair", F.col("b").alias("image")).join(hashes, "image").select("pair", *tile, F.col("hash").alias("hb"))
-    tiles = a.join(b, ["pair", *tile], "full_outer").withColumn("_same", F.col("ha").eqNullSafe(F.col("hb")))
-    whole = tiles.groupBy("pair").agg(F.bool_and("_same").alias("same"), F.count_if(~F.col("_same")).alias("tiles"))
-    other = tiles.filter("not _same and ha is not null and hb is not null").join(pairs, "pair").select("pair", "a", "b", *tile)
+    ``tile``, x, y and q. mark_shaped: pixels differ, each of them by one and where ``mark``, a rule over x and y, says that marks go.
+
+    Hashes form a tree: the image, then a node for each value of the first column of ``tile`` (its rows), and so on down to the tiles. A pair
+    goes down only where its nodes differ, so equal images meet in one row and equal rows of tiles in one each."""
+    nodes = [written(hashes, "tile-hashes")]  # read once for each depth
+    for depth in range(len(tile) - 1, -1, -1):
+        nodes.insert(0, nodes[0].groupBy("image", *tile[:depth]).agg(_sum_hash(tile[depth], "hash").alias("hash")))
+    open_at, met = pairs.select("pair", "a", "b"), None
+    for depth, level in enumerate(nodes):
+        keys = ["pair", *tile[:depth]]
+        side = lambda image, name, level=level, depth=depth: (
+            open_at.select(*["pair", *tile[: max(0, depth - 1)]], F.col(image).alias("image")).join(level, ["image", *tile[: max(0, depth - 1)]]).select("pair", *tile[:depth], F.col("hash").alias(name))
+        )
+        both = side("a", "ha").join(side("b", "hb"), keys, "full_outer")
+        differing = both.filter(~F.col("ha").eqNullSafe(F.col("hb")))
+        if met is None:
+            met = both.select("pair", F.col("ha").eqNullSafe(F.col("hb")).alias("same"))  # pairs of which an image is there
+        open_at = differing.select(*keys, "ha", "hb").join(pairs.select("pair", "a", "b"), "pair")
+    whole = met.join(open_at.groupBy("pair").agg(F.count("*").alias("tiles")), "pair", "left").withColumn("tiles", F.coalesce("tiles", F.lit(0)))
+    other = open_at.filter("ha is not null and hb is not null").select("pair", "a", "b", *tile)
     p = other.join(pixels.select(F.col("image").alias("a"), *tile, "x", "y", F.col("q").alias("qa")), ["a", *tile])
     p = p.join(pixels.select(F.col("image").alias("b"), *tile, "x", "y", F.col("q").alias("qb")), ["b", *tile, "x", "y"])
-    d = p.filter("qa <> qb").groupBy("pair").agg(F.count("*").alias("differ"), F.min(F.col("y") * width + F.col("x")).alias("first"), F.max(F.abs(F.col("qa") - F.col("qb"))).alias("worst"))
-    return whole.join(d, "pair", "left").withColumn("differ", F.coalesce("differ", F.lit(0)))
+    shaped = F.bool_and((F.abs(F.col("qa") - F.col("qb")) == 1) & mark) if mark is not None else F.lit(False)
+    first, worst = F.min(F.col("y") * width + F.col("x")), F.max(F.abs(F.col("qa") - F.col("qb")))
+    d = p.filter("qa <> qb").groupBy("pair").agg(F.count("*").alias("differ"), first.alias("first"), worst.alias("worst"), shaped.alias("mark_shaped"))
+    return whole.join(d, "pair", "left").withColumns({"differ": F.coalesce("differ", F.lit(0)), "mark_shaped": F.coalesce("mark_shaped", F.lit(False))})
 
 
 def tile_audit(levels: DataFrame, size: int, recorded: DataFrame, width: int, every: int = 1) -> DataFrame:

@@ -46,17 +46,22 @@ def d39_tile_checksums(spark, sf):
     return op.tile_checksums(t.levels(spark, sf), ["y", "x"])
 
 
-@query(f"""WITH {t.LEVELS}, s AS (SELECT image, x, y, x // 4 AS tx, y // 4 AS ty, CASE WHEN image % 6 IN (0, 1) AND x < 4 THEN 7 ELSE q END AS q FROM levels), h AS (SELECT image, tx, ty, string_agg(q::VARCHAR, ',' ORDER BY y, x) AS hash FROM s GROUP BY ALL),
+@query(f"""WITH {t.LEVELS}, z AS (SELECT image, x, y, x // 4 AS tx, y // 4 AS ty, CASE WHEN image % 6 IN (0, 1) AND x < 4 THEN 7 ELSE q END AS q FROM levels),
+ s AS (SELECT * FROM z WHERE image % 10 <> 1 UNION ALL SELECT image + 1, x, y, tx, ty, q + (y % 4 = 0 AND x % 2 = 0)::INT FROM z WHERE image % 10 = 0), h AS (SELECT image, tx, ty, string_agg(q::VARCHAR, ',' ORDER BY y, x) AS hash FROM s GROUP BY ALL),
  p AS (SELECT a.image // 2 AS pair, tx, ty, a.image AS a, b.image AS b, a.hash = b.hash AS same FROM h a JOIN h b USING (tx, ty) WHERE a.image % 2 = 0 AND b.image = a.image + 1),
  w AS (SELECT pair, bool_and(same) AS same, count(*) FILTER (NOT same) AS tiles FROM p GROUP BY pair),
- d AS (SELECT p.pair, count(*) AS differ, min(x.y * 8 + x.x) AS first, max(abs(x.q - y.q)) AS worst FROM (SELECT DISTINCT pair, a, b FROM p) p JOIN s x ON x.image = p.a JOIN s y ON y.image = p.b AND x.x = y.x AND x.y = y.y WHERE x.q <> y.q GROUP BY 1)
-SELECT pair, same, tiles, coalesce(differ, 0) AS differ, first, worst FROM w LEFT JOIN d USING (pair)""")
+ d AS (SELECT p.pair, count(*) AS differ, min(x.y * 8 + x.x) AS first, max(abs(x.q - y.q)) AS worst, bool_and(abs(x.q - y.q) = 1 AND x.y % 4 = 0) AS mark_shaped FROM (SELECT DISTINCT pair, a, b FROM p) p JOIN s x ON x.image = p.a JOIN s y ON y.image = p.b AND x.x = y.x AND x.y = y.y WHERE x.q <> y.q GROUP BY 1)
+SELECT pair, same, tiles, coalesce(differ, 0) AS differ, first, worst, coalesce(mark_shaped, false) AS mark_shaped FROM w LEFT JOIN d USING (pair)""")
 def d40_same_picture(spark, sf):
+    """Neighbouring images are pairs. Some share their left half, and the second of every fifth pair is the first one with marks: one more at every
+    second pixel of every fourth row."""
     q = t.levels(spark, sf).withColumn("q", F.when((F.col("image") % 6 < 2) & (F.col("x") < 4), 7).otherwise(F.col("q")))
-    q = q.withColumns({"tx": F.expr("x div 4"), "ty": F.expr("y div 4")})
+    q = q.withColumns({"tx": F.expr("x div 4"), "ty": F.expr("y div 4")}).select("image", "x", "y", "tx", "ty", "q")
+    marked = q.filter("image % 10 = 0").withColumns({"image": F.col("image") + 1, "q": F.col("q") + ((F.col("y") % 4 == 0) & (F.col("x") % 2 == 0)).cast("int")})
+    q = q.filter("image % 10 <> 1").unionByName(marked)
     e = t.table(spark, sf, "embeddings").select(F.col("vec_id").alias("a"))
     pairs = e.filter("a % 2 = 0").withColumn("b", F.col("a") + 1).join(e.select(F.col("a").alias("b")), "b", "left_semi").select(F.expr("a div 2").alias("pair"), "a", "b")
-    return op.same_picture(pairs, op.tile_hashes(q, "tx", "ty"), q, ["tx", "ty"], 8)
+    return op.same_picture(pairs, op.tile_hashes(q, "ty", "tx"), q, ["ty", "tx"], 8, F.col("y") % 4 == 0)
 
 
 @query(f"""WITH {t.LEVELS}, g AS (SELECT image, count(*) AS n, count(*) <> 64 AS wrong_size, NOT bool_or(q <> 0) AS never_drawn, avg(q) FILTER ((y * 8 + x) % 5 = 0) AS mean, avg((q > 40)::INT) FILTER ((y * 8 + x) % 5 = 0) AS lit40 FROM levels GROUP BY image)

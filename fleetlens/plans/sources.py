@@ -116,11 +116,12 @@ def a13_export_stats_csv(spark, sf):
     return spark.read.csv(path, header=True, schema="o_orderkey long, note string, o_orderstatus string, o_totalprice double")
 
 
-@query("""SELECT l_suppkey % 20 AS render, l_orderkey, l_linenumber, l_quantity FROM lineitem""")
+@query(f"""WITH {t.SAMPLES}, w AS (SELECT series AS render, min(t) AS t0, max(t) AS t1 FROM samples WHERE kind = 'purchase' GROUP BY 1) SELECT render, id, kind, value, t FROM samples JOIN w ON series = render AND t BETWEEN t0 AND t1""")
 def a14_split_log_by_render(spark, sf):
-    path = scratch(spark, "split")
-    rows = t.table(spark, sf, "lineitem").select((F.col("l_suppkey") % 20).alias("render"), F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("long"), F.col("l_quantity").cast("double"))
-    policy.split_log_by_render(rows, path, "render")
-    kinds = dict(t.table(spark, sf, "lineitem").dtypes)
-    back = spark.read.csv(path, header=True, schema=f"l_orderkey long, l_linenumber {kinds['l_linenumber']}, l_quantity {kinds['l_quantity']}, render {kinds['l_suppkey']}")
-    return back.select("render", "l_orderkey", "l_linenumber", "l_quantity")
+    """A user's events from the first purchase to the last, a folder each."""
+    path, s = scratch(spark, "split"), t.samples(spark, sf)
+    windows = s.filter("kind = 'purchase'").groupBy(F.col("series").alias("render")).agg(F.min("t").alias("t0"), F.max("t").alias("t1")).withColumn("series", F.col("render"))
+    policy.split_log_by_render(s, windows, path, "render", by=("series",))
+    kinds = dict(s.dtypes)
+    back = spark.read.csv(path, header=True, schema=f"id {kinds['id']}, series {kinds['series']}, t long, kind string, value double, render {kinds['series']}")
+    return back.select("render", "id", "kind", "value", "t")

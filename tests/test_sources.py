@@ -69,7 +69,9 @@ def test_sinks(spark, tmp_path):
         policy.write_sidecars(rows.union(spark.createDataFrame([("a", "z")])), str(tmp_path / "t"), "name", "body")
     policy.export_stats_csv(rows, str(tmp_path / "c"), ["body", "none"])
     assert spark.read.csv(str(tmp_path / "c"), header=True).columns == ["body", "none"]
-    policy.split_log_by_render(rows, str(tmp_path / "l"), "name")
+    log = rows.withColumn("t", F.monotonically_increasing_id() * 0 + 5)
+    windows = rows.select("name").distinct().withColumns({"t0": F.lit(5), "t1": F.lit(5)})
+    policy.split_log_by_render(log.drop("name"), windows, str(tmp_path / "l"), "name")
     assert {p.name for p in (tmp_path / "l").iterdir() if "=" in p.name} == {"name=a", "name=b"}
 
 
