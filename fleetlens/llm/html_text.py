@@ -1,7 +1,8 @@
 """Main text of web pages by tree scoring.
 
 Each paragraph gives points for its length and commas to its ancestors, the nearest one most; a container's points are
-discounted by its link density, and the best container is kept with the siblings that score alike. A page takes time in proportion to its length: each element
+discounted by its link density, and the best container is kept with the siblings that score alike or are parts of the same article by their
+tag, class or headings. A page takes time in proportion to its length: each element
 knows the block, list and paragraph around it, and sums go up the tree in one pass. Elements that are
 navigation, notices, adverts, forms, comments and the like by their tag, role or class take no part at all; a class or id
 says nothing of an element that holds the page's article or most of its paragraph points. Of an article's own header the
@@ -42,14 +43,21 @@ _DROP_NAMES = {
     "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "discussion",
     "sidebar", "aside", "widget", "widgets", "related", "recommended", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager", "toolbar", "toc",
     "header", "masthead", "footer", "copyright", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay",
-    "share", "sharing", "social", "newsletter", "subscribe", "subscription", "signup", "login", "paywall", "skip",
+    "cta", "donate", "feedback", "guestbook", "share", "sharing", "social", "newsletter", "subscribe", "subscription", "signup", "login", "paywall", "skip",
 }
 #: Words that make no other thing of a name in _DROP_NAMES when they stand beside it, as in "comment-list".
-_PLAIN_NAMES = {"area", "bar", "block", "box", "btn", "button", "buttons", "container", "global", "icons", "inner", "item", "items", "left", "link", "links", "list", "page", "panel", "posts", "primary", "right", "secondary", "section", "site", "top", "wrap", "wrapper"}
+_PLAIN_NAMES = {
+    "area", "bar", "block", "body", "box", "btn", "button", "buttons", "card", "container", "entries", "feed", "form", "global", "holder", "icons", "inner", "item", "items", "left", "link", "links", "list",
+    "meta", "outer", "page", "pane", "panel", "posts", "primary", "reader", "readers", "right", "row", "secondary", "section", "single", "site", "stream", "text", "thread", "top", "user", "users", "visitor", "visitors", "wrap", "wrapper",
+}
+#: Words that a part of an article may carry; a header of such a name is the article's own.
+_OWN_NAMES = {"article", "blog", "entry", "post", "story"}
+_OWN_HEADERS = {"header", "masthead", "notice", "alert", "banner", "toc", "aside"}
+_CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+))""", re.I)
 
 
 class _Node:
-    __slots__ = ("tag", "up", "drop", "soft", "named", "weight", "points", "text", "linked", "links", "block", "holder", "stop", "item", "flag")
+    __slots__ = ("tag", "up", "drop", "soft", "named", "weight", "points", "text", "linked", "links", "block", "holder", "stop", "item", "flag", "attrs")
 
     def __init__(self, tag: str, up: _Node | None, drop: bool, named: bool = False):
         self.tag, self.up, self.drop = tag, up, drop or (up is not None and up.drop)
@@ -57,6 +65,7 @@ class _Node:
         self.soft = up is not None and up.soft and not drop
         self.named, self.weight = named, 0.0  # unwanted by class or id; points of the paragraphs inside
         self.points, self.text, self.linked, self.links = 0.0, 0, 0, 0
+        self.attrs = ""
         self.block, self.flag = tag not in _INLINE, False
         # the nearest of itself and those above: a block, what an open paragraph ends at, a list or what belongs to one
         self.holder = self if self.block or up is None else up.holder
@@ -86,7 +95,10 @@ def _named(tag: str, attrs: str) -> bool:
         if m[1].lower() in ("class", "id"):
             for name in _WORD.findall((m[2] or m[3] or m[4] or "").lower()):
                 words = set(_NAME.findall(name))
-                if words & _DROP_NAMES and words <= _DROP_NAMES | _PLAIN_NAMES:
+                found = words & _DROP_NAMES
+                if found and words <= _DROP_NAMES | _PLAIN_NAMES:
+                    return True
+                if found - _OWN_HEADERS and words <= _DROP_NAMES | _PLAIN_NAMES | _OWN_NAMES:
                     return True
     return False
 
@@ -234,6 +246,7 @@ def _blocks(page: str) -> tuple[list[tuple[_Node, str]], list[_Node]]:
                 x = above.item
         soft = tag == "header" and not node.drop and (opened.get("article") or opened.get("main"))
         new = _Node(tag, node, _unwanted(tag, m[3]), _named(tag, m[3]))
+        new.attrs = m[3]
         if soft:
             new.soft = True
         elif node.soft and _heading(tag) and not _unwanted(tag, m[3]):
@@ -252,6 +265,26 @@ def _blocks(page: str) -> tuple[list[tuple[_Node, str]], list[_Node]]:
 _LEVELS = 32
 
 
+def _parts_like(best: _Node, nodes: list[_Node]) -> set[int]:
+    """Siblings that are parts of the same article however short: other sections beside a section, elements of the best one's own class, those
+    under a heading of their own where the best one has one too; and the headings between parts."""
+    if best.up is None or best.tag in ("article", "main", "html", "body"):
+        return set()
+    name = lambda x: next((m[1] or m[2] or m[3] or "" for m in [_CLASS.search(x.attrs)] if m), "").split()
+    own, kin = name(best), [x for x in nodes if x.up is best.up]
+    headed = {id(x.up) for x in nodes if _heading(x.tag) and x.up is not None and not x.drop}
+    out = set()
+    for x in kin:
+        if x is not best and x.tag == best.tag and not x.drop and x.text and x.linked < 0.5 * x.text:
+            if x.tag == "section" or own and name(x) == own or id(best) in headed and id(x) in headed:
+                out.add(id(x))
+    if out:
+        for x, after in zip(kin, kin[1:], strict=False):
+            if _heading(x.tag) and (id(after) in out or after is best):
+                out.add(id(x))
+    return out
+
+
 def main_text(page: str) -> str:
     """The blocks of the best container and of siblings that score alike, joined by newlines; empty if there is no text."""
     blocks, nodes = _blocks(page)
@@ -276,7 +309,7 @@ def main_text(page: str) -> str:
     floor = 0.2 * score(best)
     alike = {id(x) for x in nodes if x.up is best.up and x is not best and best.up is not None and score(x) >= floor and x.points > 0 and x.linked < 0.5 * max(1, x.text)}
     loose = {id(x) for x in nodes if x.up is best.up and best.up is not None and x.tag == "p" and x.text > 80 and x.linked < 0.25 * x.text}
-    keep = {id(best)} | alike | loose
+    keep = {id(best)} | alike | loose | _parts_like(best, nodes)
     listing = {id(x) for x in nodes if x.tag in ("ul", "ol", "dl", "div", "table") and x.links >= 3 and x.linked > 0.8 * max(1, x.text) and x is not best}
     if best.tag not in ("", "html", "body") and listing:  # what links an article holds, such as its references, are part of it
         _down(nodes, lambda x, over: x is best or over)
@@ -298,7 +331,13 @@ def main_text(page: str) -> str:
     _down(nodes, lambda x, over: over or id(x) in keep)
     kept = {id(x) for x in nodes if x.flag}
     _down(nodes, lambda x, over: over or id(x) in listing)
-    return "\n".join(text for x, text in blocks if id(x) in kept and not x.flag)
+    out = [(x, text) for x, text in blocks if id(x) in kept and not x.flag]
+    if best.tag in ("", "html", "body"):  # nothing holds the article alone: rows of links at either end are the page's
+        rows = [x.linked > 0.8 * x.text for x, _ in out]
+        first = next((i for i, r in enumerate(rows) if not r), 0)
+        last = next((i for i, r in enumerate(reversed(rows)) if not r), 0)
+        out = out[first : len(out) - last]
+    return "\n".join(text for _, text in out)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

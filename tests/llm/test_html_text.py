@@ -81,6 +81,50 @@ def test_everyday_names_on_wrappers():
         assert main_text(f'<body><div class="{name}"><p>{one}</p><p>{two}</p></div></body>') == f"{one}\n{two.strip()}"
 
 
+ONE, TWO = "First, of many words, " * 5 + "end.", "Second, of a few, words."
+LINKS = "<a href=1>Home</a> <a href=2>A</a>"
+BOTH = f"{ONE}\n{TWO}"
+P = f"<p>{ONE}</p><p>{TWO}</p>"
+NICE = "<p>Nice, nice, very nice, I think.</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        # no container of the article's own, comments and menus beside it
+        (f'<body><div id=top>{LINKS}</div>{P}<div class="comment-body">{NICE}</div><div class="user-comments">{NICE}</div></body>', BOTH),
+        (f"<body><div id=top>{LINKS}</div><h1>Title</h1>{P}<div>{LINKS}</div></body>", f"Title\n{BOTH}"),
+        (f"<body><p>{LINKS}</p>{P}<p>{LINKS}</p></body>", BOTH),
+        (f'<body>{P}<ul class="comment-thread"><li>{NICE}</ul></body>', BOTH),
+        (f'<body>{P}<section id="reader-comments">{NICE}</section></body>', BOTH),
+        # short sections are part of the article
+        (f"<body><div><section>{P}</section><section><h2>More</h2><p>Short end.</p></section></div></body>", f"{BOTH}\nMore\nShort end."),
+        (f"<body><section>{P}</section><section><p>Short end.</p></section></body>", f"{BOTH}\nShort end."),
+        (f'<body><div class="part">{P}</div><div class="part"><p>Short end.</p></div></body>', f"{BOTH}\nShort end."),
+        (f"<body><div><h2>One</h2>{P}</div><div><h2>Two</h2><p>Short end.</p></div></body>", f"One\n{BOTH}\nTwo\nShort end."),
+        (f"<body><div><h2>One</h2><section>{P}</section><h2>Two</h2><section><p>Short end.</p></section></div></body>", f"One\n{BOTH}\nTwo\nShort end."),
+        (f"<body><section>{P}</section><section>{LINKS}</section></body>", BOTH),
+        # parts of an article that are not its text
+        (f'<body><article>{P}<div class="cta-box"><p>Join, now, please.</p></div><div class="post-footer"><p>By me, today.</p></div></article></body>', BOTH),
+        (f'<body><div class="post">{P}<div class="post-share">{LINKS}</div><div class="entry-comments">{NICE}</div></div></body>', BOTH),
+        (f'<body><article>{P}<div class="newsletter-form"><p>Sign up, please, here.</p></div></article></body>', BOTH),
+        (f'<body><main>{P}<div class="related-posts"><p>Other, things, to read.</p></div></main></body>', BOTH),
+        # and parts that are
+        (f'<body><div class="post"><div class="post-header"><h1>Title</h1></div>{P}</div></body>', f"Title\n{BOTH}"),
+        (f'<body><div class="story-body">{P}</div></body>', BOTH),
+        (f'<body><div class="text-block">{P}</div></body>', BOTH),
+        (f'<body><article><div class="notice-of-appeal"><p>{ONE}</p></div><p>{TWO}</p></article></body>', BOTH),
+        (f"<body><div>{P}<p><a href=x>Source</a></p></div></body>", f"{BOTH}\nSource"),
+        (f"<body><div><p>{ONE}</p><table><tr><td>Cell, one<td>Cell, two</table><p>{TWO}</p></div></body>", f"{ONE}\nCell, one\nCell, two\n{TWO}"),
+        (f"<body><nav>{LINKS}</nav><div><div><div>{P}</div></div></div><div><p>&copy; 2020</p></div></body>", BOTH),
+        (f'<body><div class="wrap"><div class="content">{P}</div><div class="sidebar-right">{NICE}</div></div></body>', BOTH),
+        (f"<body><dl><dt>Term, here<dd>{ONE}<dt>Other<dd>{TWO}</dl></body>", f"Term, here\n{ONE}\nOther\n{TWO}"),
+    ],
+)
+def test_shapes(page, want):
+    assert main_text(page) == want
+
+
 def test_hostile_nesting_takes_linear_time():
     import time
 
