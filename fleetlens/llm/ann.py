@@ -3,11 +3,14 @@
 Each of ``tables`` has one or two random pseudo-rotations (three rounds of random signs and a fast Hadamard transform); each sends a
 vector to the nearest signed axis, and the axes of a table are its bucket. A query looks into the buckets of the nearest axes of every
 table, and what it meets is ranked by the exact inner product. How many buckets it probes falls with the number of vectors, and where
-buckets grow large a second axis divides them (``plan_of``). That finds the largest inner products where they are the smallest
-angles, so only the dimensions whose vectors are of one length are hashed. Where lengths differ, long vectors answer at any angle and
-every query is compared with every vector; so is a query that met fewer than ``k`` vectors worth sending back.
+buckets grow large a second axis divides them (``plan_of``).
 
-Vectors are dealt by table and first axis, each once a table. There are few such cells (tables times signed axes), so their sizes are
+The largest inner products are the smallest angles only among vectors of one length, so vectors lie in bands of norms, each a factor of
+2 ** (1 / 4) wide and hashed by itself. A query first looks into the bands of the longest vectors, some ``50 * k`` of them or more; what it finds bounds its
+k-th best, and of the other bands it visits those whose longest vector could still reach that bound. Vectors of one length are one
+band. A query that has met fewer than ``k`` vectors in all is compared with all vectors.
+
+Vectors are dealt by band, table and first axis, each once a table. There are few such cells (bands times tables times signed axes), so their sizes are
 known to the driver; one of more than ``block`` vectors or queries is split, each pair of blocks being one task's matrix products.
 Equal vectors are one class with its smallest ids, of which no answer can need more than k + 1.
 """
@@ -19,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,124 +106,128 @@ def plan_of(n: int, axes: int, block: int) -> tuple[int, int, int]:
     return 2, min(axes, 3 * first), max(16, math.ceil(axes * axes * share))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 5, block: int = 4096, sample: int = 2048, seed: int = 7) -> DataFrame:
+Bands = dict[int, list[tuple[int, int, float]]]
+
+
+def _norm(v: Column) -> Column:
+    """Euclidean norm, of numbers of any size."""
+    most = F.array_max(F.transform(v, lambda x: F.abs(x)))
+    return most * F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x / most) * (x / most)))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 5, block: int = 4096, seed: int = 7, compared: Accumulator | None = None) -> DataFrame:
     """The ``k`` nearest of ``vectors`` (vec_id, embedding) found for each row of ``queries`` (the same columns): query_id, rank from
     1, vec_id, score.
 
     Score is the inner product in double precision, summed from the first component on; equal scores go to the smaller
     vec_id, and a row of the query's own vec_id is no candidate. Rows with a null vec_id or an unusable vector take no
     part, vectors of different length never meet, repeated rows count once, further columns are ignored. A query gets
-    fewer than ``k`` rows only where there are fewer vec_ids of its dimension. ``sample``: so many vectors of each hashed dimension
-    are broadcast at most; the k-th best among them bounds what a query's buckets send back.
+    fewer than ``k`` rows only where there are fewer vec_ids of its dimension. ``compared`` counts the inner products made.
     """
     clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
     single = all(dict(df.dtypes)["embedding"] == "array<float>" for df in (vectors, queries))
     rows = clean(vectors).distinct().withColumn("h", F.xxhash64("v"))
     first = rows.withColumn("r", F.row_number().over(Window.partitionBy("h", "v").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
-    classes = stored(first.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")), "classes").select("v", "ids", F.lit(None).cast("long").alias("q"))
-    asked = clean(queries).distinct().select("v", F.array().cast("array<long>").alias("ids"), F.col("vec_id").alias("q"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    lengths = classes.groupBy(F.size("v").alias("dim")).agg(F.max(norm).alias("most"), F.min(norm).alias("least"), F.count("*").alias("n")).collect()
-    even = {r.dim: r.n for r in lengths if r.least > r.most * (1 - 1e-6)}
-    chance = F.lit(0.0)  # twice as many as wanted, by hash
-    for dim, n in even.items():
-        chance = F.when(F.size("v") == dim, min(1.0, 2 * sample / n)).otherwise(chance)
-    few = classes.filter(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < chance * (1 << 30)).select("v")
-    held: dict[int, list] = {}
-    for r in sorted(few.collect(), key=lambda r: r.v) if even else []:
-        own = held.setdefault(len(r.v), [])
-        if len(own) < sample:
-            own.append(r.v)
-    seen = {d: np.array(x) for d, x in held.items()}
-    run = lambda asked, even: _answers(classes, asked, k, tables, block, seed, even, seen, "<f4" if single else "<f8")
-    if not even:
-        return run(asked, {})
-    met = stored(run(asked, even), "nearest")
+    classes = first.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).withColumn("norm", _norm(F.col("v")))
+    classes = stored(classes.withColumn("band", F.floor(4 * F.log2("norm") + 0.5).cast("int")), "classes")
+    bands = classes.groupBy(F.size("v").alias("dim"), "band").agg(F.count("*").alias("n"), F.max("norm").alias("most")).collect()  # a row a band
+    classes = classes.select("v", "ids", F.lit(None).cast("long").alias("q"), F.lit(0.0).alias("low"), "band")
+    asked = clean(queries).distinct().select("v", F.array().cast("array<long>").alias("ids"), F.col("vec_id").alias("q"), F.lit(float("-inf")).alias("low"), F.lit(0).alias("band"))
+    long: Bands = {}
+    rest: Bands = {}
+    for r in sorted(bands, key=lambda r: -r.band):
+        enough = sum(n for _, n, _ in long.get(r.dim, [])) >= 50 * k
+        (rest if enough else long).setdefault(r.dim, []).append((r.band, r.n, r.most))
+    run = lambda asked, bands: _answers(classes, asked, k, tables, block, seed, bands, "<f4" if single else "<f8", compared)
+    met = stored(run(asked, long), "nearest")
+    if rest:
+        kth = met.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).filter(F.col("n") >= k)
+        bound = asked.join(kth, asked["q"] == kth["query_id"], "left").select("v", "ids", "q", F.coalesce("kth", "low").alias("low"), "band")
+        both = met.drop("rank").unionByName(run(bound, rest).drop("rank")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        met = stored(both.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
     full = met.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("query_id")
-    short = asked.join(full, asked["q"] == full["query_id"], "left_anti")
+    short = asked.join(full, asked["q"] == full["query_id"], "left_anti")  # met fewer than k vectors
     if short.isEmpty():
         return met
-    return met.join(full, "query_id", "left_semi").unionByName(run(short, {}))
+    return met.join(full, "query_id", "left_semi").unionByName(run(short, None))
 
 
-def _answers(classes: DataFrame, asked: DataFrame, k: int, tables: int, block: int, seed: int, even: dict[int, int], seen: dict[int, np.ndarray], kind_of: str) -> DataFrame:
-    """The answers to ``asked`` by hashing in the dimensions of ``even`` (with their numbers of vectors); in others all vectors are one
-    bucket. ``seen``: some vectors of each dimension. Vectors travel as bytes of ``kind_of``."""
+def _answers(classes: DataFrame, asked: DataFrame, k: int, tables: int, block: int, seed: int, bands: Bands | None, kind_of: str, compared: Accumulator | None = None) -> DataFrame:
+    """The answers to ``asked`` among the vectors of ``bands`` (by dimension: band, number of vectors, largest norm), no worse than each query's
+    ``low``; without bands all vectors of a dimension are one bucket. Vectors travel as bytes of ``kind_of``."""
     spark = classes.sparkSession
     n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    known = spark.sparkContext.broadcast(seen)  # at most ``sample`` vectors of each dimension
-
     def hashed(kind: int):
-        """kind 0: of vectors; 1: of queries. Yields (dim, row numbers, buckets, second axes or None, rows' hashes)."""
+        """kind 0: of vectors; 1: of queries. Yields (dim, band, vectors, row numbers, buckets, second axes or none, rows' hashes)."""
 
         def rows_of(b: pa.RecordBatch) -> Iterator[tuple]:
+            low, of = b.column(3).to_numpy(), b.column(4).to_numpy()
             for at, x in _by_dim(b.column(0)):
                 dim = x.shape[1]
                 salt = (np.ascontiguousarray(x).view(np.uint64) * np.arange(1, 2 * dim, 2, dtype=np.uint64)).sum(axis=1)
                 salt = (((salt ^ (salt >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(34)).astype(np.int64)
-                if dim not in even:
-                    yield dim, x, at, np.full(len(at), -1), [b""] * len(at), salt
+                if bands is None:
+                    yield dim, 0, x, at, np.full(len(at), -1), [b""] * len(at), salt
                     continue
                 d = 1 << max(0, (dim - 1).bit_length())
-                depth, first, probes = plan_of(even[dim], 2 * d, block)
-                for t, axes in _axes_of(x, Rotations(dim, tables * depth, seed), range(tables), depth):
-                    base = t * (1 << 20)
-                    if kind == 0:
-                        second = axes[1].argmax(axis=1).astype("<u4") if depth == 2 else None
-                        yield dim, x, at, base + axes[0].argmax(axis=1), [b""] * len(at) if second is None else [c.tobytes() for c in second], salt
-                    elif depth == 1:
-                        near = np.argpartition(-axes[0], min(first, 2 * d) - 1, axis=1)[:, :first]
-                        for c in range(near.shape[1]):
-                            yield dim, x, at, base + near[:, c], [b""] * len(at), salt
-                    else:
-                        i, one, two = zip(*_best_probes(axes, first, probes), strict=True)
-                        i = np.array(i)
-                        yield dim, x[i], at[i], base + np.array(one), [c.astype("<u4").tobytes() for c in two], salt[i]
+                size = np.linalg.norm(x / np.abs(x).max(axis=1)[:, None], axis=1) * np.abs(x).max(axis=1)
+                for band, n, most in bands.get(dim, []):
+                    with np.errstate(over="ignore"):
+                        mine = np.flatnonzero(of[at] == band if kind == 0 else most * size * (1 + 1e-9) >= low[at])
+                    if len(mine):
+                        depth, first, probes = plan_of(n, 2 * d, block)
+                        for got in in_band(kind, x[mine], d, depth, first, probes):
+                            where, bucket, codes = got
+                            yield dim, band, x[mine[where]], at[mine[where]], bucket, codes, salt[mine[where]]
 
         return rows_of
 
+    def in_band(kind: int, x: np.ndarray, d: int, depth: int, first: int, probes: int) -> Iterator[tuple]:
+        """(rows, buckets, second axes or none) of vectors or queries in each table of a band."""
+        every = np.arange(len(x))
+        for t, axes in _axes_of(x, Rotations(x.shape[1], tables * depth, seed), range(tables), depth):
+            base = t * (1 << 20)
+            if kind == 0:
+                second = axes[1].argmax(axis=1).astype("<u4") if depth == 2 else None
+                yield every, base + axes[0].argmax(axis=1), [b""] * len(x) if second is None else [c.tobytes() for c in second]
+            elif depth == 1:
+                near = np.argpartition(-axes[0], min(first, 2 * d) - 1, axis=1)[:, :first]
+                for c in range(near.shape[1]):
+                    yield every, base + near[:, c], [b""] * len(x)
+            else:
+                i, one, two = zip(*_best_probes(axes, first, probes), strict=True)
+                yield np.array(i), base + np.array(one), [c.astype("<u4").tobytes() for c in two]
+
     def count(kind: int):
         rows_of = hashed(kind)
 
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            got: dict[tuple[int, int], int] = {}
+            got: dict[tuple[int, int, int], int] = {}
             for b in batches:
-                for dim, _, _, bucket, _, _ in rows_of(b):
+                for dim, band, _, _, bucket, _, _ in rows_of(b):
                     for x, n in zip(*np.unique(bucket, return_counts=True), strict=True):
-                        got[dim, int(x)] = got.get((dim, int(x)), 0) + int(n)
+                        got[dim, band, int(x)] = got.get((dim, band, int(x)), 0) + int(n)
             if got:
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int32()), pa.array([x for _, x in got], pa.int32()), pa.array(list(got.values()), pa.int64())], names=["dim", "bucket", "n"])
+                yield pa.RecordBatch.from_arrays([*(pa.array([g[i] for g in got], pa.int32()) for i in range(3)), pa.array(list(got.values()), pa.int64())], names=["dim", "band", "bucket", "n"])
 
         return go
 
     sizes = []
     for kind, df in ((0, classes), (1, asked)):
-        got = df.select("v").mapInArrow(count(kind), "dim int, bucket int, n long").groupBy("dim", "bucket").agg(F.sum("n").alias("n")).collect()
-        sizes.append({(r.dim, r.bucket): -(-r.n // block) for r in got})
-    shared = spark.sparkContext.broadcast(sizes)  # a number for each bucket: tables times signed axes
+        got = df.mapInArrow(count(kind), "dim int, band int, bucket int, n long").groupBy("dim", "band", "bucket").agg(F.sum("n").alias("n")).collect()
+        sizes.append({(r.dim, r.band, r.bucket): -(-r.n // block) for r in got})
+    shared = spark.sparkContext.broadcast(sizes)  # a number for each bucket: bands times tables times signed axes
 
     def deal(kind: int):
         rows_of = hashed(kind)
 
-        def bounds(dim: int, x: np.ndarray) -> np.ndarray:
-            """What the k-th best of a row's answers reaches at least: the (k + 1)-th best of the vectors that are known, itself perhaps one."""
-            some = known.value.get(dim)
-            if kind == 0 or some is None or len(some) <= k:
-                return np.full(len(x), -np.inf)
-            slack = 1e-9 * np.linalg.norm(x, axis=1) * np.linalg.norm(some, axis=1).max()
-            return np.concatenate([-np.partition(-(x[s : s + 256] @ some.T), k, axis=1)[:, k] for s in range(0, len(x), 256)]) - slack
-
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, other = shared.value[kind], shared.value[1 - kind]
             for b in batches:
-                low: dict[int, np.ndarray] = {}
-                for dim, x, at, bucket, codes, salt in rows_of(b):
-                    if dim not in low:
-                        low[dim] = np.full(b.num_rows, -np.inf)
-                        mine, all_x = next((i, y) for i, y in _by_dim(b.column(0)) if y.shape[1] == dim)
-                        low[dim][mine] = bounds(dim, all_x)
-                    parts = np.array([own.get((dim, int(c)), 1) for c in bucket])
-                    copies = np.array([other.get((dim, int(c)), 0) for c in bucket])
+                for dim, band, x, at, bucket, codes, salt in rows_of(b):
+                    parts = np.array([own.get((dim, band, int(c)), 1) for c in bucket])
+                    copies = np.array([other.get((dim, band, int(c)), 0) for c in bucket])
                     salt = salt % parts  # of the vector itself: the same whenever a task runs again
                     take = np.repeat(np.arange(len(at)), copies)
                     across = np.arange(len(take)) - np.repeat(np.cumsum(copies) - copies, copies)
@@ -230,11 +238,11 @@ def _answers(classes: DataFrame, asked: DataFrame, k: int, tables: int, block: i
                         data = np.ascontiguousarray(x[part].astype(kind_of))
                         edge = np.arange(len(part) + 1, dtype=np.int32) * (data.itemsize * dim)
                         v = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(edge), pa.py_buffer(data)])
-                        yield pa.RecordBatch.from_arrays([v, b.column(1).take(pick), b.column(2).take(pick), pa.array([codes[i] for i in part], pa.binary()), pa.array(low[dim][at[part]]), pa.array([dim] * len(part), pa.int32()), pa.array(bucket[part], pa.int32()), pa.array(cells[0][s : s + 8192], pa.int32()), pa.array(cells[1][s : s + 8192], pa.int32())], names=["v", "ids", "q", "codes", "low", "dim", "bucket", "x", "y"])
+                        yield pa.RecordBatch.from_arrays([v, b.column(1).take(pick), b.column(2).take(pick), pa.array([codes[i] for i in part], pa.binary()), b.column(3).take(pick), pa.array([dim] * len(part), pa.int32()), pa.array([band] * len(part), pa.int32()), pa.array(bucket[part], pa.int32()), pa.array(cells[0][s : s + 8192], pa.int32()), pa.array(cells[1][s : s + 8192], pa.int32())], names=["v", "ids", "q", "codes", "low", "dim", "band", "bucket", "x", "y"])
 
         return go
 
-    schema = "v binary, ids array<long>, q long, codes binary, low double, dim int, bucket int, x int, y int"
+    schema = "v binary, ids array<long>, q long, codes binary, low double, dim int, band int, bucket int, x int, y int"
     dealt = classes.mapInArrow(deal(0), schema).unionByName(asked.mapInArrow(deal(1), schema))
 
     def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -260,9 +268,11 @@ def _answers(classes: DataFrame, asked: DataFrame, k: int, tables: int, block: i
         def close(rows: np.ndarray, part: slice) -> None:
             """The best of ``rows`` (numbers in ``ask``) among a slice of the vectors."""
             some = data[part]
+            if compared is not None:
+                compared.add(len(rows) * len(some))
             near = v[ask[rows]] @ some.T
             kk = min(k + 1, len(some))
-            limit = np.maximum(-np.partition(-near, kk - 1, axis=1)[:, kk - 1] - slack[rows], low[ask[rows]])
+            limit = np.maximum(-np.partition(-near, kk - 1, axis=1)[:, kk - 1], low[ask[rows]]) - slack[rows]
             r, c = np.nonzero(near >= limit[:, None])
             score = exact(v[ask[rows[r]]], some[c])
             cut = np.searchsorted(r, np.arange(len(rows) + 1))
@@ -310,5 +320,5 @@ def _answers(classes: DataFrame, asked: DataFrame, k: int, tables: int, block: i
         if ids:
             yield close(now, ids, scores)
 
-    found = dealt.groupBy("dim", "bucket", "x", "y").applyInArrow(match, "q long, ids array<long>, scores array<double>")
+    found = dealt.groupBy("dim", "band", "bucket", "x", "y").applyInArrow(match, "q long, ids array<long>, scores array<double>")
     return found.repartition(n_tasks, "q").sortWithinPartitions("q").mapInArrow(best, "query_id long, rank int, vec_id long, score double")
