@@ -125,3 +125,15 @@ def a14_split_log_by_render(spark, sf):
     kinds = dict(s.dtypes)
     back = spark.read.csv(path, header=True, schema=f"id {kinds['id']}, series {kinds['series']}, t long, kind string, value double, render {kinds['series']}")
     return back.select("render", "id", "kind", "value", "t")
+
+
+@query(f"""WITH {t.LEVELS} SELECT image, x, y, round(q / 255.0, 6) AS v FROM levels""")
+def a6_scan_images(spark, sf):
+    """Sixty-four rasters side by side are an image file each; the grey values come back from the files."""
+    path, side = scratch(spark, "images"), 64
+    tiles = t.levels(spark, sf).select((F.col("image") / side).cast("long").alias("image"), (F.col("image") % side * 8 + F.col("x")).alias("x"), "y", "q")
+    src.write_images(tiles, path)
+    back = src.scan_images(spark, path).withColumn("file", F.regexp_extract("image", r"(\d+)\.png$", 1).cast("long"))
+    known = t.levels(spark, sf).select("image").distinct()  # the last file may have room for more
+    out = back.select((F.col("file") * side + F.expr("x div 8")).alias("image"), (F.col("x") % 8).cast("int").alias("x"), "y", F.round("v", 6).alias("v"))
+    return out.join(known, "image", "left_semi")

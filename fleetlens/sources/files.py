@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -204,8 +206,39 @@ def tile_pixels(tiles: DataFrame, width: int, samples: int) -> DataFrame:
     return tiles.filter("px is not null").select("path", "idx", "px").mapInPandas(go, "path string, idx long, x int, y int, q0 int, q1 int, q2 int, q3 int")
 
 
+def write_images(pixels: DataFrame, out: str) -> None:
+    """Grey images (image, x, y, q from 0 to 255) as PNG files ``out``/<image>.png, a task's images one after the other; pixels that are not given
+    are black. An image is one row of bytes, as its file is. ``out`` is a URI that Arrow opens."""
+
+    def save(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.fs as pafs
+
+        fs, at = pafs.FileSystem.from_uri(out if "://" in out else "file://" + out.removeprefix("file:"))
+        fs.create_dir(at, recursive=True)
+        part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+        for f in frames:
+            for image, p in zip(f["image"], f["p"], strict=True):
+                x, y, q = (np.array([v[c] for v in p], np.int64) for c in ("x", "y", "q"))
+                grid = np.zeros((y.max() + 1, x.max() + 2), np.uint8)  # the first column says: no filter
+                grid[y, x + 1] = q
+                head = struct.pack(">IIBBBBB", grid.shape[1] - 1, grid.shape[0], 8, 0, 0, 0, 0)
+                with fs.open_output_stream(f"{at}/{image}.png") as file:
+                    file.write(b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(grid.tobytes())) + part(b"IEND", b""))
+            yield pd.DataFrame({"n": [len(f)]})
+
+    whole = pixels.groupBy("image").agg(F.collect_list(F.struct("x", "y", F.col("q").cast("int").alias("q"))).alias("p"))
+    whole.mapInPandas(save, "n long").agg(F.sum("n")).collect()
+
+
+def refused_images(spark: SparkSession, path: str) -> DataFrame:
+    """Files of a folder that do not decode as images: image, reason."""
+    im = spark.read.format("image").option("dropInvalid", False).load(path).select("image.origin", "image.width")
+    return im.filter("width < 0").select(F.col("origin").alias("image"), F.lit("not an image").alias("reason"))
+
+
 def scan_images(spark: SparkSession, path: str) -> DataFrame:
-    """Images as grey pixels 0..1: image, x, y, v, the mean of the colour channels; files that do not decode are left out."""
+    """Images as grey pixels 0..1: image, x, y, v, the mean of the colour channels; files that do not decode are left to
+    ``refused_images``."""
     im = spark.read.format("image").option("dropInvalid", True).load(path).select(F.col("image.origin").alias("image"), "image.width", "image.nChannels", "image.data")
     n = F.least("nChannels", F.lit(3))
     colours = F.expr("aggregate(sequence(1, least(nChannels, 3)), 0L, (a, c) -> a + conv(hex(substring(data, _i * nChannels + c, 1)), 16, 10))")

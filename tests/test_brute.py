@@ -153,6 +153,7 @@ def test_a6_scan_images(spark, tmp_path):
     got = {(r.x, r.y): r.v for r in src.scan_images(spark, str(tmp_path)).collect()}
     want = {(0, 0): 85 / 255, (1, 0): 9 / 255, (0, 1): 30 / 255, (1, 1): 1.0}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+    assert [(r.image.rsplit("/", 1)[1], r.reason) for r in src.refused_images(spark, str(tmp_path)).collect()] == [("b.png", "not an image")]
 
 
 def test_pairs_in_many_blocks(spark):
