@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import exact_rank, pearson, ratio
+from .stats import exact_rank, pearson, quantiles, ratio
 
 BIG = "decimal(38,0)"
 
@@ -61,7 +61,7 @@ def singletons(rows: DataFrame, *keys: list[str]) -> DataFrame:
 def tile_stats(passes: DataFrame) -> DataFrame:
     """Passes, least, most, upper and midpoint median of ms, and how many took over twice the upper median."""
     upper = exact_rank(passes, ["render"], "ms", 0.5, "upper").withColumnRenamed("ms", "upper_median")
-    mid = passes.groupBy("render").agg(F.median("ms").alias("mid_median"))
+    mid = quantiles(passes, ["render"], {"mid_median": ("ms", 0.5)})
     return passes.join(upper, "render").groupBy("render").agg(
         F.count("ms").alias("n"), F.min("ms").alias("least"), F.max("ms").alias("most"), F.first("upper_median").alias("upper_median"),
         F.count_if(F.col("ms") > 2 * F.col("upper_median")).alias("slow"),
@@ -129,7 +129,8 @@ def saturated_share(passes: DataFrame, value: str, over: float) -> DataFrame:
 
 def occupancy_percentiles(passes: DataFrame, value: str) -> DataFrame:
     """Dearest, 90th percentile and median of a value per render, exact."""
-    return passes.groupBy("render").agg(F.max(value).alias("dearest"), F.percentile(value, 0.9).alias("p90"), F.median(value).alias("median"))
+    ends = passes.groupBy("render").agg(F.max(value).alias("dearest"))
+    return ends.join(quantiles(passes, ["render"], {"p90": (value, 0.9), "median": (value, 0.5)}), "render", "left")
 
 
 def degradation(passes: DataFrame) -> DataFrame:

@@ -34,6 +34,31 @@ def exact_rank(df: DataFrame, keys: list[str], value: str, q: float, rule: str)
     return ranked.filter("_i = _at").select(*keys, value)
 
 
+def quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], accuracy: int = 1000) -> DataFrame:
+    """Exact quantiles for each key, interpolated between ranks as ``percentile`` does: keys and a column for each name of ``wanted`` (column, q).
+
+    A mergeable sketch of bounded size brackets each rank first: its error is below n / ``accuracy``, the bracket two of those wide on either
+    side; groups of less than four times ``accuracy`` values are taken whole. Then only counts by value inside the bracket, and one count on either side of it, are shuffled and ranked. So no aggregate
+    holds a group's values, however many differ. Null values do not count; a key without values of a column has a null there.
+    """
+    names = list(wanted)
+    near = sorted({min(1.0, max(0.0, q + d / accuracy)) for _, q in wanted.values() for d in (-2, 2)})
+    pick = lambda f: F.element_at(F.array(*[f(wanted[name][1]) for name in names]), F.col("_i") + 1)
+    end = lambda sign: lambda q: F.lit(None).cast("double") if not 0 < q + 2 * sign / accuracy < 1 else F.col("_s")[near.index(q + 2 * sign / accuracy)]
+    tall = df.select(*keys, F.posexplode(F.array(*[F.col(c).cast("double") for c, _ in wanted.values()])).alias("_i", "_v")).filter("_v is not null")
+    sketch = tall.groupBy(*keys, "_i").agg(F.count("*").alias("_n"), F.percentile_approx("_v", near, accuracy).alias("_s"))
+    bracket = sketch.select(*[F.col(c).alias(f"_of_{c}") for c in (*keys, "_i")], "_n", *[F.when(F.col("_n") >= 4 * accuracy, pick(end(sign))).alias(name) for sign, name in ((-1, "_lo"), (1, "_hi"))])
+    met = tall.join(bracket, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*keys, "_i")])
+    side = F.when(F.col("_v") < F.col("_lo"), -1).when(F.col("_v") > F.col("_hi"), 1).otherwise(0)
+    counts = met.groupBy(*keys, "_i", "_n", side.alias("_side"), F.when(side == 0, F.col("_v")).alias("_at")).agg(F.count("*").alias("_c"))
+    seen = F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy("_side", "_at").rowsBetween(Window.unboundedPreceding, 0))
+    place = pick(lambda q: F.lit(float(q))) * (F.col("_n") - 1)
+    ranked = counts.withColumns({"_seen": seen, "_place": place}).filter("_side = 0")
+    found = ranked.groupBy(*keys, "_i").agg(*[F.min(F.when(F.col("_seen") > f("_place"), F.col("_at"))).alias(name) for f, name in ((F.floor, "_a"), (F.ceil, "_b"))], F.first("_place").alias("_place"))
+    value = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_place") - F.floor("_place"))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, value)).alias(name) for i, name in enumerate(names)])
+
+
 def _whole_rank(rows: DataFrame, value: str, at) -> DataFrame:  # noqa: ANN001
     """The rank over a whole table without one task for all: range partitions, their counts, and a row number in each."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
