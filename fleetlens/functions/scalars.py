@@ -127,14 +127,22 @@ def _base_letters() -> tuple[str, str]:
 
 
 def fold_text(text: Column) -> Column:
-    """Without case, marks on letters (also as characters of their own), hyphens and runs of white space."""
-    plain = F.regexp_replace(F.translate(F.lower(text), *_base_letters()), r"\p{M}", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[-‐‑–]", ""), r"\s+", " "))
+    """Without case and marks on letters (also as characters of their own); hyphens and white space between words are one space, as a term is
+    the same with any of them."""
+    plain = F.regexp_replace(F.translate(F.lower(text), *_base_letters()), "[\u0300-\u036f]", "")
+    return F.trim(F.regexp_replace(plain, r"[-\u2010-\u2015\s]+", " "))
+
+
+def folded_starts(folded: Column, term: Column) -> Column:
+    """A folded text holds a folded term: at the start of a word if the term begins with a Latin letter, anywhere else, as other scripts
+    have no spaces between words."""
+    at_word = F.regexp_like(folded, F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), term, F.lit(r"\E")))
+    return F.when(term.rlike("^[a-z]"), at_word).otherwise(F.contains(folded, term))
 
 
 def starts_word(text: Column, term: str) -> Column:
-    """The folded text holds the term at a word's start."""
-    return fold_text(text).rlike(r"(?<![\p{L}\p{N}])\Q" + term + r"\E")
+    """The folded text holds the term as ``folded_starts`` has it."""
+    return folded_starts(fold_text(text), fold_text(F.lit(term)))
 
 
 def lean_deg(tilt_x: Column, tilt_y: Column, altitude: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import fold_text, placeholders, strip_derivative
+from ..functions.scalars import fold_text, folded_starts, placeholders, strip_derivative
 
 
 def resolve(folder: Column, ref: Column) -> Column:
@@ -61,15 +64,46 @@ def dynamic_keys(asked: DataFrame, defined: DataFrame, key: str) -> DataFrame:
     return plain.unionByName(prefix)
 
 
+def find_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str, most_chars: int = 4_000_000) -> DataFrame:
+    """(key, term) of all terms that a text holds, both folded already; Latin terms at the start of a word only, each once a text.
+
+    One automaton (Aho-Corasick) finds all terms in a single pass over a text, also those that overlap or lie in one another. At most
+    ``most_chars`` characters of terms are broadcast; a larger dictionary takes several passes. Null texts and empty terms match nothing."""
+    known = terms.select(F.col(term).alias("term")).filter("term <> ''").distinct()
+    total = known.agg(F.coalesce(F.sum(F.char_length("term")), F.lit(0)).alias("n")).first().n
+    parts, out = max(1, -(-int(total) // most_chars)), None
+    rows, kind = texts.select(key, F.col(text).alias("_t")), dict(texts.dtypes)[key]
+    for part in range(parts):
+        own = known.filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == part)
+        shared = texts.sparkSession.sparkContext.broadcast([r.term for r in own.collect()])  # about ``most_chars`` characters
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for word in shared.value:
+                automaton.add_word(word, word)
+            automaton.make_automaton()
+            for b in batches:
+                at, found = [], []
+                for i, t in enumerate(b.column(1).to_pylist()):
+                    held = {w for end, w in automaton.iter(t) if not "a" <= w[0] <= "z" or end < len(w) or not t[end - len(w)].isalnum()} if t and shared.value else ()
+                    at += [i] * len(held)
+                    found += sorted(held)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(found, pa.string())], names=[key, "term"])
+
+        hits = rows.mapInArrow(scan, f"`{key}` {kind}, term string")
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
 def keep_terms(source: DataFrame, target: DataFrame, glossary: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, lang, term) where the source text holds a kept term at a word's start and the translation (key, lang, text) lacks the ruled
-    form of its language. The glossary (term, lang, form) is met through the first word of each term."""
-    head = lambda c: F.element_at(F.split(c, r"[^\p{L}\p{N}]+"), 1)
-    words = source.select(key, fold_text(F.col(text)).alias("_t")).withColumn("_w", F.explode(F.array_distinct(F.split("_t", r"[^\p{L}\p{N}]+"))))
-    terms = glossary.withColumns({"_g": fold_text(F.col("term")), "_f": fold_text(F.col("form"))}).withColumn("_w", head(F.col("_g")))
-    has = words.join(terms, "_w").filter(F.expr("contains(concat(' ', regexp_replace(_t, '[^\\\\p{L}\\\\p{N}]+', ' ')), concat(' ', _g))"))
-    j = has.select(key, "lang", "term", "_f").distinct().join(target.select(key, "lang", fold_text(F.col(text)).alias("_x")), [key, "lang"])
-    return j.filter(~F.contains("_x", "_f")).select(key, "lang", "term")
+    """(key, lang, term) where the source text holds a kept term and the translation (key, lang, text) lacks the ruled form of its language
+    (glossary: term, lang, form), both as ``folded_starts`` has it: words may go on after a term, as in an inflected form."""
+    rules = glossary.select("term", "lang", fold_text(F.col("term")).alias("_g"), fold_text(F.col("form")).alias("_f"))
+    has = find_terms(source.select(key, fold_text(F.col(text)).alias("_t")), key, "_t", rules, "_g").withColumnRenamed("term", "_g")
+    j = has.join(rules, "_g").distinct().join(target.select(key, "lang", fold_text(F.col(text)).alias("_x")), [key, "lang"])
+    return j.filter(~folded_starts(F.col("_x"), F.col("_f"))).select(key, "lang", "term")
 
 
 def context_coverage(keys: DataFrame, context: DataFrame, glossary: DataFrame, key: str) -> DataFrame:

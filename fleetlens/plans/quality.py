@@ -115,7 +115,7 @@ def b15_lint_terms(spark, sf):
     return sc.lint_terms(t.table(spark, sf, "documents"), "doc_id", "text", d.unionByName(fixed).distinct().withColumn("better", F.upper("term")))
 
 
-_FOLDED = r"trim(regexp_replace(regexp_replace(translate(strip_accents(lower(text)), 'łđøħŧı', 'ldohti'), '[-‐‑–]', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
+_FOLDED = r"trim(regexp_replace(translate(strip_accents(lower(text)), 'łđøħŧı', 'ldohti'), '[-‐-― \t\n\x0B\f\r]+', ' ', 'g'))"
 
 
 @query(rf"SELECT doc_id, md5({_FOLDED}) AS folded, regexp_matches({_FOLDED}, '(^|[^\p{{L}}\p{{N}}])et') AS starts_et FROM documents")

@@ -88,13 +88,13 @@ def q7_catalogue_status(spark, sf):
 
 
 def _folded(x: str) -> str:
-    return rf"trim(regexp_replace(regexp_replace(translate(lower({x}), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[-‐‑–]', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
+    return rf"trim(regexp_replace(translate(strip_accents(lower({x})), 'łđøħŧı', 'ldohti'), '[-‐-― \t\n\x0B\f\r]+', ' ', 'g'))"
 
 
 @query(rf"""WITH s AS (SELECT doc_id, {_folded("text")} AS f FROM documents WHERE doc_id % 2 = 0), x AS (SELECT doc_id - 1 AS doc_id, lang, {_folded("text")} AS f FROM documents WHERE doc_id % 2 = 1),
  g AS (SELECT term, {_folded("term")} AS g FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS term FROM part UNION ALL SELECT unnest(['the', 'und', 'de la', 'los']))),
- w AS (SELECT DISTINCT s.doc_id, lang, term, g, x.f FROM s JOIN x USING (doc_id), g WHERE list_contains(regexp_split_to_array(s.f, '[^\p{{L}}\p{{N}}]+'), regexp_split_to_array(g, '[^\p{{L}}\p{{N}}]+')[1]) AND contains(' ' || regexp_replace(s.f, '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' ' || g))
-SELECT doc_id, lang, term FROM w WHERE NOT contains(f, g)""")
+ w AS (SELECT DISTINCT s.doc_id, lang, term, g, x.f FROM s JOIN x USING (doc_id), g WHERE regexp_matches(s.f, '(^|[^\p{{L}}\p{{N}}])' || g))
+SELECT doc_id, lang, term FROM w WHERE NOT regexp_matches(f, '(^|[^\p{{L}}\p{{N}}])' || g)""")
 def q8_keep_terms(spark, sf):
     """Each document of an even id stands in for a source text and the next one for its translation."""
     d = t.table(spark, sf, "documents")
