@@ -62,6 +62,7 @@ class TokenIds:
         self.opening = os.path.commonprefix(special)  # of all strings that are a token as a whole
         if special and not self.opening:
             self.kind = None
+        self.cased = self.opening.upper() != self.opening
         self.chars = _byte_chars()
         self.cache: dict[str, bytes] = {}
         self.held = 0
@@ -70,7 +71,7 @@ class TokenIds:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if self.kind is None or _ODD.search(text) or (self.opening and self.opening in text.lower()):
+        if self.kind is None or _ODD.search(text) or (self.opening and self.opening in (text.lower() if self.cased else text)):
             return self._whole(text)
         if self.kind == "byte":
             pieces = _BYTE_PIECE.findall(text)

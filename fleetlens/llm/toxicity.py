@@ -1,7 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 The model is trained on a bounded sample of labelled rows (``max_rows``, the rows of smallest id hash), whose features are hashed in
-parallel first. A few learning rates and L1 strengths are tried, a task each, and judged on a fifth of the sample; the best is fitted
+parallel first. Several L1 strengths at one learning rate are tried, a task each, and judged on a fifth of the sample; the best is fitted
 to all of it. L1 leaves few weights, so they are broadcast as two short arrays.
 """
 
