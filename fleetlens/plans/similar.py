@@ -41,8 +41,8 @@ RADII = (0.6, 0.9, 1.2, 1.6, 2.2, 3.0)
 
 
 @query(f"""WITH RECURSIVE {_PAIRS}, r AS (SELECT unnest([0.6, 0.9, 1.2, 1.6, 2.2, 3.0])::DOUBLE AS radius), e AS (SELECT radius, a, b FROM pr, r WHERE distance <= radius UNION ALL SELECT radius, b, a FROM pr, r WHERE distance <= radius),
- n AS (SELECT radius, a, list(b) AS near FROM e GROUP BY ALL),
- o AS (SELECT r.radius, row_number() OVER (PARTITION BY r.radius ORDER BY label DESC, vec_id) AS i, vec_id, coalesce(near, []) AS near FROM embeddings CROSS JOIN r LEFT JOIN n ON a = vec_id AND n.radius = r.radius),
+ n AS MATERIALIZED (SELECT radius, a, list(b) AS near FROM e GROUP BY ALL),
+ o AS MATERIALIZED (SELECT r.radius, row_number() OVER (PARTITION BY r.radius ORDER BY label DESC, vec_id) AS i, vec_id, coalesce(near, []) AS near FROM embeddings CROSS JOIN r LEFT JOIN n ON a = vec_id AND n.radius = r.radius),
  k(radius, i, kept) AS (SELECT radius, 0::BIGINT, []::BIGINT[] FROM r UNION ALL SELECT k.radius, o.i, CASE WHEN list_has_any(kept, near) THEN kept ELSE list_append(kept, vec_id) END FROM k JOIN o ON o.i = k.i + 1 AND o.radius = k.radius)
 SELECT radius, image, label FROM (SELECT radius, unnest(kept) AS image FROM (SELECT radius, arg_max(kept, i) AS kept FROM k GROUP BY radius)) JOIN embeddings ON vec_id = image""")
 def f8_radius_thin(spark, sf):
