@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import exact_rank, pearson, quantiles, ratio
+from .stats import exact_rank, pearson, quantiles, ratio, whole_ranks
 
 BIG = "decimal(38,0)"
 
@@ -155,12 +155,12 @@ def per_worker(passes: DataFrame) -> DataFrame:
 
 
 def compare_runs(a: DataFrame, b: DataFrame, workers: int) -> DataFrame:
-    """Two runs of passes as one row: wall, floor (paint over workers), p90 over p10 by index, and the gain of b over a."""
+    """Two runs of passes as one row: wall, floor (paint over workers), p90 and p10 by index, and the gain of b over a; no row where one is empty."""
 
     def one(df: DataFrame, s: str) -> DataFrame:
         g = df.agg(F.count("*").alias(f"n_{s}"), F.sum("ms").alias(f"paint_{s}"), F.avg("ms").alias(f"mean_{s}"))
-        hi, lo = exact_rank(df, [], "ms", 0.9, "upper"), exact_rank(df, [], "ms", 0.1, "upper")
-        return g.withColumn(f"floor_{s}", F.col(f"paint_{s}") / workers).crossJoin(hi.withColumnRenamed("ms", f"p90_{s}")).crossJoin(lo.withColumnRenamed("ms", f"p10_{s}"))
+        ranks = whole_ranks(df, "ms", {f"p90_{s}": 0.9, f"p10_{s}": 0.1}, "upper")
+        return g.filter(f"n_{s} > 0").withColumn(f"floor_{s}", F.col(f"paint_{s}") / workers).crossJoin(ranks)  # two single rows
 
     both = one(a, "a").crossJoin(one(b, "b"))
     gain = ratio(F.col("mean_a"), F.col("mean_b")) - 1

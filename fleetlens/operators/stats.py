@@ -19,6 +19,10 @@ def pearson(a: str | Column, b: str | Column) -> Column:
     return F.when(varies, ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
+def _place(n: Column, q: float, rule: str) -> Column:
+    return F.least(F.floor(n * q), n - 1) if rule == "upper" else F.greatest(F.ceil(n * q) - 1, F.lit(0))
+
+
 def exact_rank(df: DataFrame, keys: list[str], value: str, q: float, rule: str) -> DataFrame:
     """The q-quantile of ``value`` for each key, by row_number: a sort that spills, never a collected list.
 
@@ -26,11 +30,10 @@ def exact_rank(df: DataFrame, keys: list[str], value: str, q: float, rule: str)
     without values give no row.
     """
     rows = df.filter(F.col(value).isNotNull())
-    at = lambda n: F.least(F.floor(n * q), n - 1) if rule == "upper" else F.greatest(F.ceil(n * q) - 1, F.lit(0))
     if not keys:
-        return _whole_rank(rows.select(value), value, at)
+        return whole_ranks(rows, value, {value: q}, rule).filter(F.col(value).isNotNull())
     w = Window.partitionBy(*keys)
-    ranked = rows.select(*keys, value, (F.row_number().over(w.orderBy(value)) - 1).alias("_i"), at(F.count(value).over(w)).alias("_at"))
+    ranked = rows.select(*keys, value, (F.row_number().over(w.orderBy(value)) - 1).alias("_i"), _place(F.count(value).over(w), q, rule).alias("_at"))
     return ranked.filter("_i = _at").select(*keys, value)
 
 
@@ -59,14 +62,22 @@ def quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float
     return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, value)).alias(name) for i, name in enumerate(names)])
 
 
-def _whole_rank(rows: DataFrame, value: str, at) -> DataFrame:  # noqa: ANN001
-    """The rank over a whole table without one task for all: range partitions, their counts, and a row number in each."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, value).withColumn("_p", F.spark_partition_id())
-    counts = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
-    w = Window.orderBy("_p")  # a row for each partition
-    place = counts.select("_p", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), at(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_at"), "_n")
-    own = place.filter((F.col("_before") <= F.col("_at")) & (F.col("_at") < F.col("_before") + F.col("_n")))
-    ranked = dealt.join(own.select("_p", (F.col("_at") - F.col("_before")).alias("_k")), "_p")
-    i = F.row_number().over(Window.partitionBy("_p").orderBy(value)) - 1
-    return ranked.withColumn("_i", i).filter("_i = _k").select(value)
+def whole_ranks(df: DataFrame, value: str, wanted: dict[str, float], rule: str, accuracy: int = 10_000) -> DataFrame:
+    """One row: the quantiles of a whole table by the rules of ``exact_rank``, a column for each name of ``wanted``; null where there are no values.
+
+    As in ``quantiles`` a sketch of bounded size brackets each rank, and only counts by value inside the brackets, and one count for each gap
+    between them, are ranked: some 4 / ``accuracy`` of the rows for each rank, or all of a table of less than four times ``accuracy``. As each
+    side is an aggregate of a single row, cross joins with it cost nothing; those with a table that may have many partitions multiply them.
+    """
+    rows = df.select(F.col(value).alias("_v")).filter("_v is not null")
+    near = sorted({min(1.0, max(0.0, q + d / accuracy)) for q in wanted.values() for d in (-2, 2)})
+    end = lambda q, d: F.col("_s")[near.index(min(1.0, max(0.0, q + d / accuracy)))]
+    sketch = rows.agg(F.count("*").alias("_n"), F.percentile_approx("_v", near, accuracy).alias("_s"))
+    inside = F.col("_n") < 4 * accuracy
+    for q in wanted.values():
+        inside = inside | F.col("_v").between(end(q, -2), end(q, 2))
+    below = F.when(F.col("_n") < 4 * accuracy, 0).otherwise(sum((F.col("_v") > F.col("_s")[i]).cast("int") for i in range(len(near))))
+    met = rows.crossJoin(F.broadcast(sketch))  # a single row
+    counts = met.groupBy("_n", below.alias("_gap"), F.when(inside, F.col("_v")).alias("_at")).agg(F.count("*").alias("_c"))
+    seen = F.sum("_c").over(Window.orderBy("_gap", "_at").rowsBetween(Window.unboundedPreceding, 0))
+    return counts.withColumn("_seen", seen).agg(*[F.min(F.when(F.col("_seen") > _place(F.col("_n"), q, rule), F.col("_at"))).alias(name) for name, q in wanted.items()])
