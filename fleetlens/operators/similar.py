@@ -234,25 +234,51 @@ def width_breaks(components: DataFrame, k: int = 3, rounds: int = 40) -> DataFra
 _FINE = 8
 
 
-def distance_to_nearest(points: DataFrame, sources: DataFrame, most: float, by: str, key: str) -> DataFrame:
+def distance_to_nearest(points: DataFrame, sources: DataFrame, most: float, by: str, key: str, few: int = 256) -> DataFrame:
     """``points`` with the Euclidean distance (x, y) to the nearest of ``sources`` of the same ``by``, null at ``most`` and beyond; exact.
 
-    Both are dealt to fine cells. Between cells that are occupied, a ring search bounds the nearest distance from above by the cell whose
-    farthest corner is nearest, and only cells whose nearest corner lies within that bound meet point by point. So dense parts, where a source
-    is in the same cell or beside it, meet few cells, and pairs do not grow with ``most``. Sources in one place count once."""
-    side = most / _FINE
+    Sources go to the tiles, twice ``most`` wide, that a point near them may lie in, four at most. Where a tile has at most ``few``, they are
+    one row beside its points, whose distances are measured in place; nothing is exploded and nothing joined back. Points in tiles of
+    more sources go by fine cells. Sources in one place count once."""
+    wide = 2 * most
+    tile = lambda c, by=0.0: F.floor((F.col(c) + by) / wide)
+    p = points.withColumns({"_tx": tile("x"), "_ty": tile("y")})
+    s = sources.select(by, F.col("x").alias("sx"), F.col("y").alias("sy")).filter(F.col(by).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()).distinct()
+    near = s.withColumn("_tx", F.explode(F.sequence(tile("sx", -most), tile("sx", most)))).withColumn("_ty", F.explode(F.sequence(tile("sy", -most), tile("sy", most))))
+    tiles = [by, "_tx", "_ty"]
+    crowded = written(near.groupBy(*tiles).agg(F.count("*").alias("_n")).filter(F.col("_n") > few).select(*tiles), "crowded-tiles")
+    dense = not crowded.isEmpty()
+    if dense:
+        near = near.join(crowded, tiles, "left_anti")
+    lists = near.groupBy(*tiles).agg(F.collect_list(F.struct("sx", "sy")).alias("_near"))  # ``few`` at most
+    least = F.array_min(F.transform("_near", lambda c: F.hypot(F.col("x") - c["sx"], F.col("y") - c["sy"])))
+    rest = p.join(crowded, tiles, "left_anti") if dense else p
+    out = rest.join(lists, tiles, "left").withColumn("distance", F.when(least < most, least)).select(*points.columns, "distance")
+    if dense:
+        out = out.unionByName(_distance_by_cells(p.join(crowded, tiles, "left_semi").select(*points.columns), s, most, by, key))
+    return out
+
+
+def _distance_by_cells(points: DataFrame, sources: DataFrame, most: float, by: str, key: str) -> DataFrame:
+    """The same where sources (by, sx, sy) stand close. Both are dealt to fine cells. The occupied ones around a tile of cells, of a
+    bounded number, are one row; of these a ring search bounds the nearest distance from above by the cell whose farthest corner is nearest, and
+    only cells whose nearest corner lies within that bound meet point by point. So dense parts, where a source is in the same cell or
+    beside it, meet few cells, and pairs do not grow with ``most``."""
+    side, reach = most / _FINE, _FINE + 1
     cell = lambda c: F.floor(F.col(c) / side)
-    p = points.select(by, key, "x", "y", cell("x").alias("cx"), cell("y").alias("cy")).filter("x is not null and y is not null")
-    s = sources.select(by, F.col("x").alias("sx"), F.col("y").alias("sy")).filter("sx is not null and sy is not null").distinct()
-    s = s.withColumns({"ex": cell("sx"), "ey": cell("sy")})
-    span = F.sequence(F.lit(-_FINE - 1), F.lit(_FINE + 1))
-    ring = p.select(by, "cx", "cy").distinct().withColumn("_i", F.explode(span)).withColumn("_j", F.explode(span))
-    ring = ring.withColumns({"ex": F.col("cx") + F.col("_i"), "ey": F.col("cy") + F.col("_j")}).join(s.select(by, "ex", "ey").distinct(), [by, "ex", "ey"])
-    gap = lambda d: F.greatest(F.abs(d) - 1, F.lit(0))
-    ring = ring.withColumns({"_low": F.hypot(gap(F.col("_i")), gap(F.col("_j"))), "_high": F.hypot(F.abs("_i") + 1, F.abs("_j") + 1)})
-    bound = ring.groupBy(by, "cx", "cy").agg(F.min("_high").alias("_bound"))
-    meet = ring.join(bound, [by, "cx", "cy"]).filter((F.col("_low") <= F.col("_bound")) & (F.col("_low") < _FINE)).select(by, "cx", "cy", "ex", "ey")
-    pairs = p.join(meet, [by, "cx", "cy"]).join(s, [by, "ex", "ey"])
+    tile = lambda c: F.floor(c / (2 * _FINE))
+    p = points.select(by, key, "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+    s = sources.withColumns({"ex": cell("sx"), "ey": cell("sy")})
+    around = s.select(by, "ex", "ey").distinct()
+    for t, c in (("_tx", "ex"), ("_ty", "ey")):
+        around = around.withColumn(t, F.explode(F.sequence(tile(F.col(c) - reach), tile(F.col(c) + reach))))
+    around = around.groupBy(by, "_tx", "_ty").agg(F.collect_list(F.struct("ex", "ey")).alias("_cells"))
+    own = p.select(by, "cx", "cy").distinct().withColumns({"_tx": tile(F.col("cx")), "_ty": tile(F.col("cy"))}).join(around, [by, "_tx", "_ty"])
+    gap = lambda c, d: F.greatest(F.abs(c - F.col(d)) - 1, F.lit(0))
+    high = F.array_min(F.transform("_cells", lambda c: F.hypot(F.abs(c["ex"] - F.col("cx")) + 1, F.abs(c["ey"] - F.col("cy")) + 1)))
+    low = lambda c: F.hypot(gap(c["ex"], "cx"), gap(c["ey"], "cy"))
+    met = own.withColumn("_high", high).select(by, "cx", "cy", F.explode(F.filter("_cells", lambda c: (low(c) <= F.col("_high")) & (low(c) < _FINE))).alias("_e"))
+    pairs = p.join(met.select(by, "cx", "cy", "_e.ex", "_e.ey"), [by, "cx", "cy"]).join(s, [by, "ex", "ey"])
     nearest = pairs.groupBy(by, key).agg(F.min(F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))).alias("distance")).filter(F.col("distance") < most)
     return points.join(nearest, [by, key], "left")
 

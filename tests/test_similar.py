@@ -51,6 +51,31 @@ def test_distance_to_nearest(spark):
             assert (got[i] is None) if want >= most else math.isclose(got[i], want, abs_tol=1e-12), (i, most)
 
 
+@pytest.mark.parametrize("few", [0, 3])
+def test_distance_to_nearest_in_crowded_tiles(spark, few):
+    """Tiles with more than ``few`` sources go by cells: together with the others each point has its distance once, negative places too."""
+    rng = random.Random(6)
+    place = lambda wide: (rng.uniform(-wide, wide), rng.uniform(-wide, wide))
+    points = [(i, rng.randrange(2), *place(60)) for i in range(300)] + [(500, 0, None, 1.0), (501, 7, 0.0, 0.0), (502, None, 1.0, 1.0)]
+    sources = [(rng.randrange(2), *(place(60) if rng.random() < 0.3 else place(5))) for _ in range(150)]
+    p = spark.createDataFrame(points, "id int, image int, x double, y double")
+    s = spark.createDataFrame(sources, "image int, x double, y double")
+    for most in (2.0, 17.0):
+        rows = similar.distance_to_nearest(p, s, most, "image", "id", few=few).collect()
+        assert sorted(r.id for r in rows) == [r[0] for r in points]
+        for r in rows:
+            want = min((math.hypot(r.x - a, r.y - b) for k, a, b in sources if k == r.image), default=most) if r.x is not None else most
+            assert (r.distance is None) if want >= most else math.isclose(r.distance, want, abs_tol=1e-12), (r, most)
+
+
+def test_distance_to_nearest_explodes_sources_alone(spark):
+    """Only sources are sent to tiles around them; points stay one row each."""
+    p = spark.range(200).selectExpr("id", "id % 4 as image", "cast(id * 7 % 499 as double) as x", "cast(id * 13 % 251 as double) as y")
+    out = similar.distance_to_nearest(p, p.filter("id % 3 = 0"), 25.0, "image", "id")
+    sent = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in line]
+    assert len(sent) == 2 and all("sx" in line or "sy" in line for line in sent)
+
+
 def test_mid_strata(spark):
     rows = [(k, i) for k in (1, 2, 3, 7, 24, 25, 26, 60, 1000) for i in range(k)]
     got = sorted((r.k, r.i) for r in similar.mid_stratum_sample(spark.createDataFrame(rows, "k int, i long"), "k", "i", 25).collect())
