@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -208,26 +209,24 @@ def tile_pixels(tiles: DataFrame, width: int, samples: int) -> DataFrame:
 
 def write_images(pixels: DataFrame, out: str) -> None:
     """Grey images (image, x, y, q from 0 to 255) as PNG files ``out``/<image>.png, a task's images one after the other; pixels that are not given
-    are black. An image is one row of bytes, as its file is. ``out`` is a URI that Arrow opens."""
+    are black. A task holds one image at a time, as columns of numbers. ``out`` is a URI that Arrow opens."""
 
-    def save(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def save(t: pa.Table) -> pa.Table:
         import pyarrow.fs as pafs
 
         fs, at = pafs.FileSystem.from_uri(out if "://" in out else "file://" + out.removeprefix("file:"))
-        fs.create_dir(at, recursive=True)
         part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-        for f in frames:
-            for image, p in zip(f["image"], f["p"], strict=True):
-                x, y, q = (np.array([v[c] for v in p], np.int64) for c in ("x", "y", "q"))
-                grid = np.zeros((y.max() + 1, x.max() + 2), np.uint8)  # the first column says: no filter
-                grid[y, x + 1] = q
-                head = struct.pack(">IIBBBBB", grid.shape[1] - 1, grid.shape[0], 8, 0, 0, 0, 0)
-                with fs.open_output_stream(f"{at}/{image}.png") as file:
-                    file.write(b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(grid.tobytes())) + part(b"IEND", b""))
-            yield pd.DataFrame({"n": [len(f)]})
-
-    whole = pixels.groupBy("image").agg(F.collect_list(F.struct("x", "y", F.col("q").cast("int").alias("q"))).alias("p"))
-    whole.mapInPandas(save, "n long").agg(F.sum("n")).collect()
+        x, y, q = (t.column(c).to_numpy() for c in ("x", "y", "q"))
+        grid = np.zeros((y.max() + 1, x.max() + 2), np.uint8)  # the first column says: no filter
+        grid[y, x + 1] = q
+        head = struct.pack(">IIBBBBB", grid.shape[1] - 1, grid.shape[0], 8, 0, 0, 0, 0)
+        fs.create_dir(at, recursive=True)
+        with fs.open_output_stream(f"{at}/{t.column('image')[0].as_py()}.png") as file:
+            file.write(b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(grid.tobytes())) + part(b"IEND", b""))
+        return pa.table({"n": pa.array([1], pa.int64())})
+
+    whole = pixels.select("image", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.col("q").cast("int").alias("q"))
+    whole.groupBy("image").applyInArrow(save, "n long").agg(F.sum("n")).collect()
 
 
 def refused_images(spark: SparkSession, path: str) -> DataFrame:

@@ -99,3 +99,15 @@ def test_rates_and_history_streams(spark, tmp_path):
     q = st.bounded_history_stream(stream, "10 minutes", 3).writeStream.format("memory").queryName("history").outputMode("update").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.key, r.n, r.full) for r in spark.table("history").collect()) == [("a", 3, True), ("b", 3, False)]
+
+
+def test_images_are_written_one_at_a_time(spark, tmp_path, monkeypatch):
+    """A task is handed the pixels of one image, in columns, not frames of many images' pixels; pixels in any order, of other types, and gaps."""
+    import pyspark.sql.classic.dataframe as classic
+
+    monkeypatch.delattr(classic.DataFrame, "mapInPandas")
+    want = {(i, x, y): (i * 31 + x * 7 + y) % 256 for i in range(5) for x in range(3 + i) for y in range(4) if (x + y) % 3 or (x, y) == (2 + i, 3)}
+    rows = spark.createDataFrame([(*k, q) for k, q in want.items()], "image long, x long, y int, q int").orderBy(F.rand(1))
+    src.write_images(rows, f"file://{tmp_path}/i")
+    back = src.scan_images(spark, str(tmp_path / "i")).select(F.regexp_extract("image", r"(\d+)\.png", 1).cast("int").alias("i"), "x", "y", F.round(F.col("v") * 255).cast("int").alias("q")).collect()
+    assert {(r.i, r.x, r.y): r.q for r in back} == {(i, x, y): want.get((i, x, y), 0) for i in range(5) for x in range(3 + i) for y in range(4)}
