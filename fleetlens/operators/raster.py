@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -276,44 +277,56 @@ def smooth_median3x3(grid: DataFrame) -> DataFrame:
     return grid.join(g, ["image", "tx", "ty"]).select("image", "tx", "ty", F.element_at("_s", (F.floor(F.size("_s") / 2) + 1).cast("int")).alias("v"))
 
 
+@functools.lru_cache(maxsize=4)
+def _rings(depth: int, across: int, most: int, y0: int, y1: int, x0: int, x1: int, step: int, first: int, last: int) -> tuple[np.ndarray, ...]:
+    """Of the centres ``first`` to ``last`` of a grid of rows y0 to y1 and columns x0 to x1: column and row of each; the cells within ``most`` of it, and for
+    each of these its centre's own bin of whole distances; and how many cells lie below each distance. They depend on sizes alone."""
+    cy, cx = (c.ravel()[first:last] for c in np.mgrid[y0:y1:step, x0:x1:step])
+    ys, xs = (c.ravel() for c in np.mgrid[0:depth, 0:across])
+    ring = np.hypot(xs - cx[:, None], ys - cy[:, None]).astype(np.int64)
+    centre, cell = np.nonzero(ring <= most)
+    bins = centre * (most + 1) + ring[centre, cell]
+    return cx, cy, cell.astype(np.int32), bins.astype(np.int32), _below(bins, None, len(cx), most)
+
+
+def _below(bins: np.ndarray, weights: np.ndarray | None, centres: int, most: int) -> np.ndarray:
+    """Sums below each distance from 0 to most + 1, a row for each centre."""
+    sums = np.bincount(bins, weights, minlength=centres * (most + 1)).reshape(centres, most + 1)
+    return np.concatenate([np.zeros((centres, 1), sums.dtype), np.cumsum(sums, axis=1)], axis=1)
+
+
 def _best_circle(f: np.ndarray, inner: int, outer: int) -> tuple[float, int, int, int] | None:
     """(separation, column, row, radius) of the best circle on a grid of rows and columns, or None: coarse centres, then those around the
-    best."""
+    best; the first in order of rows, columns and radii among equals. Some million cells, over many centres, are summed at a time."""
     depth, across = f.shape
     least, most = max(3, math.floor(across * 0.04 + 0.5)), math.floor(across * 0.45 + 0.5)
     step = max(1, math.floor(across / 64 + 0.5))
-    ys, xs = np.mgrid[0:depth, 0:across]
-    f = f - f.mean()
+    f = (f - f.mean()).ravel()
+    squares = f * f
+    r = np.arange(least, most - 5)
+    far = np.minimum(most, r + np.maximum(4, r // 2))
     best: tuple[float, int, int, int] | None = None
 
-    def at(cx: int, cy: int) -> None:
+    def among(y0: int, y1: int, x0: int, x1: int, step: int) -> None:
         nonlocal best
-        ring = np.hypot(xs - cx, ys - cy).astype(np.int64)
-        inside = ring <= most
-        ring, v = ring[inside], f[inside]
-        n, s, ss = (np.concatenate([[0], np.cumsum(np.bincount(ring, w, minlength=most + 1))]) for w in (None, v, v * v))
-        r = np.arange(least, most - 5)
-        far = np.minimum(most, r + np.maximum(4, r // 2))
-        n_in, n_out = n[r + 1], n[far + 1] - n[r + 2]
-        ok = (n_in >= inner) & (n_out >= outer)
-        if not ok.any():
-            return
-        r, far, n_in, n_out = r[ok], far[ok], n_in[ok], n_out[ok]
-        s_out, ss_out = s[far + 1] - s[r + 2], ss[far + 1] - ss[r + 2]
-        sd = np.sqrt(np.maximum(0, ss_out - s_out * s_out / n_out) / np.maximum(1, n_out - 1))
-        z = np.where(sd > 0, (s[r + 1] / n_in - s_out / n_out) / np.where(sd > 0, sd, 1), -np.inf)
-        i = int(z.argmax())
-        if z[i] > (best[0] if best else -np.inf):
-            best = (float(z[i]), cx, cy, int(r[i]))
-
-    for cy in range(0, depth, step):
-        for cx in range(0, across, step):
-            at(cx, cy)
+        centres, many = len(range(y0, y1, step)) * len(range(x0, x1, step)), max(1, (1 << 20) // f.size)
+        for first in range(0, centres if len(r) else 0, many):
+            cx, cy, cell, bins, n = _rings(depth, across, most, y0, y1, x0, x1, step, first, min(first + many, centres))
+            s, ss = (_below(bins, v[cell], len(cx), most) for v in (f, squares))
+            n_in, n_out = n[:, r + 1], n[:, far + 1] - n[:, r + 2]
+            s_out, ss_out = s[:, far + 1] - s[:, r + 2], ss[:, far + 1] - ss[:, r + 2]
+            ring = np.maximum(1, n_out)
+            sd = np.sqrt(np.maximum(0, ss_out - s_out * s_out / ring) / np.maximum(1, n_out - 1))
+            z = (s[:, r + 1] / np.maximum(1, n_in) - s_out / ring) / np.where(sd > 0, sd, 1)
+            z = np.where((n_in >= inner) & (n_out >= outer) & (sd > 0) & ~np.isnan(z), z, -np.inf)
+            at, i = np.unravel_index(int(z.argmax()), z.shape)
+            if z[at, i] > (best[0] if best else -np.inf):
+                best = (float(z[at, i]), int(cx[at]), int(cy[at]), int(r[i]))
+
+    among(0, depth, 0, across, step)
     if best and step > 1:
         _, x, y, _ = best
-        for cy in range(max(0, y - step), min(depth - 1, y + step) + 1):
-            for cx in range(max(0, x - step), min(across - 1, x + step) + 1):
-                at(cx, cy)
+        among(max(0, y - step), min(depth - 1, y + step) + 1, max(0, x - step), min(across - 1, x + step) + 1, 1)
     return best
 
 

@@ -132,6 +132,16 @@ def test_w11_refines_a_coarse_grid():
     assert (cx, cy) == (51, 37) and abs(r - 9) <= 1 and z > 3
 
 
+def test_w11_sums_many_centres_at_once(monkeypatch):
+    """A sheet of 24 x 24 takes a few sums, not some for each of its 576 centres; the same circle at any number of centres a time."""
+    f = np.random.default_rng(7).normal(size=(24, 24))
+    f[np.hypot(*np.mgrid[-9:15, -13:11]) <= 4] += 2
+    calls, count = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **b: calls.append(1) or count(*a, **b))
+    assert raster._best_circle(f, 24, 48)[1:] == circles(f.tolist(), 3, 11, 24, 48)[1:] and len(calls) <= 3
+    assert raster._best_circle(f * 0, 24, 48) is None and raster._best_circle(f * np.nan, 24, 48) is None
+
+
 @needs_tables
 def test_q8_keep_terms(spark):
     rows = spark.createDataFrame([(1, "The Slate is old, the slates-set"), (2, "no word"), (3, "a translate")], "id long, text string")
