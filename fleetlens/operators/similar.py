@@ -32,59 +32,76 @@ def _spread_axes(vectors: DataFrame, key: str, vector: str, dims: int, most: int
     return np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :dims].T
 
 
-def pair_within(vectors: DataFrame, key: str, vector: str, radius: float, dims: int = 3, block: int = 2048) -> DataFrame:
+#: Tasks of pair_within at most.
+_MOST_TASKS = 20_000
+
+
+def pair_within(vectors: DataFrame, key: str, vector: str, radius: float, dims: int = 3, block: int | None = None) -> DataFrame:
     """Pairs (a < b) of vectors at a Euclidean distance of at most ``radius``, none lost.
 
     Vectors are projected on ``dims`` orthonormal directions of large spread, which shortens no distance's lower bound, and cut into
     cells as wide as the radius. A vector stays in its cell and visits the half of the neighbouring cells that come after it, so each
-    pair meets once. Cells are split into blocks of about ``block`` vectors a side, each pair of blocks a task's matrix product. Where
-    the radius is wide against the spread of the data there are few cells and the work is that of all pairs, in blocks. All vectors
-    are of one length, without nulls inside; null vectors and keys take no part, and rows of one key never meet.
+    pair meets once. Cells are split into blocks of about ``block`` vectors a side (by default some 8 MB of them), each pair of blocks a group's
+    matrix product, whose pairs leave it in parts. There are as many tasks as pairs of blocks fill, so what a task sorts and holds does not
+    grow with the vectors. Where the radius is wide against the spread of the data there are few cells and the work is that of all
+    pairs, in blocks: products and the vectors dealt to them then grow with the square. All vectors are of one length, without nulls
+    inside; null vectors and keys take no part, and rows of one key never meet.
     """
     axes = _spread_axes(vectors, key, vector, dims)
     own = dict(vectors.dtypes)[key]
     if not len(axes):
         return vectors.select(F.col(key).alias("a"), F.col(key).alias("b"), F.lit(0.0).alias("distance")).filter(F.lit(False))
+    block = block or max(256, (1 << 20) // axes.shape[1])
     width = radius if radius > 0 else 1.0
     rows = vectors.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
     dot = lambda axis: F.aggregate(F.zip_with("v", F.array(*[F.lit(float(c)) for c in axis]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     cells = [f"c{i}" for i in range(len(axes))]
-    home = rows.select("k", "v", *[F.floor(dot(a) / width).alias(c) for a, c in zip(axes, cells, strict=True)])
+    home = written(rows.select("k", "v", *[F.floor(dot(a) / width).alias(c) for a, c in zip(axes, cells, strict=True)]), "cells")
     after = [s for s in product((-1, 0, 1), repeat=len(axes)) if s > (0,) * len(axes)]
     guests = home.withColumn("_s", F.explode(F.array(*[F.array(*map(F.lit, s)) for s in after])))
     guests = guests.select("k", "v", *[(F.col(c) + F.col("_s")[i]).alias(c) for i, c in enumerate(cells)], F.lit(True).alias("guest"))
     home = home.withColumn("guest", F.lit(False))
     others = home.unionByName(guests)
     sizes = others.groupBy(*cells).agg(F.count_if(~F.col("guest")).alias("_h"), F.count("*").alias("_n")).filter("_h > 0")
-    sizes = sizes.select(*cells, F.ceil(F.col("_h") / block).cast("int").alias("nx"), F.ceil(F.col("_n") / block).cast("int").alias("ny"))
+    sizes = written(sizes.select(*cells, "_h", "_n", F.ceil(F.col("_h") / block).cast("int").alias("nx"), F.ceil(F.col("_n") / block).cast("int").alias("ny")), "cell-sizes")
+    dealt = sizes.agg(F.sum(F.col("_h") * F.col("ny") + F.col("_n") * F.col("nx")).alias("rows"), F.sum(F.col("nx").cast("long") * F.col("ny")).alias("pairs")).first()
+    least = min(dealt["pairs"] or 1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = min(_MOST_TASKS, max(least, -(-(dealt["rows"] or 1) // (2 * block))))
+    sizes = sizes.drop("_h", "_n")
+    home, others = (df.repartition(-(-tasks // 2), "k") for df in (home, others))  # a task's copies are bounded too
     part = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = home.join(sizes, cells).select("k", "v", *cells, "guest", part("nx").alias("x"), every("ny").alias("y"), F.lit(True).alias("left"))
     right = others.join(sizes, cells).select("k", "v", *cells, "guest", every("nx").alias("x"), part("ny").alias("y"), F.lit(False).alias("left"))
 
-    def meet(t: pa.Table) -> pa.Table:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
         is_left, guest = t.column("left").to_numpy(), t.column("guest").to_numpy()
         keys = t.column("k").to_numpy(zero_copy_only=False)
         v = t.column("v").combine_chunks().flatten().to_numpy().reshape(len(keys), -1)
+        kind = t.schema.field("k").type
         i, j = np.flatnonzero(is_left), np.flatnonzero(~is_left)
-        out: list[tuple[np.ndarray, ...]] = []
         norm = (v * v).sum(axis=1)
-        for s in range(0, len(i), 512):
-            p = i[s : s + 512]
-            square = norm[p][:, None] + norm[j] - 2 * (v[p] @ v[j].T)
-            r, c = np.nonzero(square <= radius * radius + 1e-9 * (1 + norm[p][:, None] + norm[j]))
-            x, y = p[r], j[c]
-            fit = guest[y] & (keys[x] != keys[y]) | (keys[x] < keys[y])
-            x, y = x[fit], y[fit]
-            d = np.sqrt(((v[x] - v[y]) ** 2).sum(axis=1))
-            near = d <= radius
-            out.append((keys[x[near]], keys[y[near]], d[near]))
-        a, b, d = (np.concatenate(c) if out else np.empty(0) for c in (zip(*out, strict=True) if out else ((), (), ())))
-        low = a < b
-        kind = t.schema.field("k").type
-        return pa.table({"a": pa.array(np.where(low, a, b), kind), "b": pa.array(np.where(low, b, a), kind), "distance": pa.array(d, pa.float64())})
-
-    return left.unionByName(right).groupBy(*cells, "x", "y").applyInArrow(meet, f"a {own}, b {own}, distance double")
+        half = ((1 - 1e-9) * norm - (radius * radius + 1e-9) / 2) / 2  # the product of two within the radius is at least the sum of theirs
+        others, bound = v[j], half[j]
+        for s in range(0, len(i), 128):
+            p = i[s : s + 128]
+            product = v[p] @ others.T
+            product -= bound
+            r, c = np.nonzero(product >= half[p][:, None])
+            for m in range(0, len(r), 1 << 16):
+                x, y = p[r[m : m + (1 << 16)]], j[c[m : m + (1 << 16)]]
+                fit = guest[y] & (keys[x] != keys[y]) | (keys[x] < keys[y])
+                x, y = x[fit], y[fit]
+                d = np.sqrt(((v[x] - v[y]) ** 2).sum(axis=1))
+                near = d <= radius
+                a, b = keys[x[near]], keys[y[near]]
+                if len(a):
+                    low = a < b
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(np.where(low, a, b), kind), "b": pa.array(np.where(low, b, a), kind), "distance": pa.array(d[near], pa.float64())})
+
+    met = left.unionByName(right).repartition(tasks, *cells, "x", "y")
+    return met.groupBy(*cells, "x", "y").applyInArrow(meet, f"a {own}, b {own}, distance double")
 
 
 def nearest_pairs(vectors: DataFrame, key: str, vector: str, k: int, sample: int = 1000) -> DataFrame:

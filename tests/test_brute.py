@@ -181,6 +181,16 @@ def test_pairs_in_many_blocks(spark):
     assert similar.nearest_pairs(df.limit(1), "id", "v", 3).count() == 0 and similar.pair_within(df.limit(0), "id", "v", 1.0).count() == 0
 
 
+def test_tasks_of_pairs_grow_with_their_blocks(spark):
+    """What a task sorts is bounded: twice the vectors in one cell are four times the pairs of blocks, over as many more tasks."""
+    rng = np.random.default_rng(9)
+    tasks = []
+    for n in (200, 400):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(n, 5)))], "id long, v array<double>")
+        tasks.append(similar.pair_within(df, "id", "v", 50.0, block=20).rdd.getNumPartitions())
+    assert tasks[0] > 4 and tasks[1] >= 3 * tasks[0]
+
+
 def files(spark, folder, batches, schema):
     """One file, and so one micro-batch, of each list of rows."""
     for i, rows in enumerate(batches):
