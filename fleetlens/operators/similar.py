@@ -114,21 +114,32 @@ def nearest_pairs(vectors: DataFrame, key: str, vector: str, k: int, sample: int
     return pair_within(vectors, key, vector, bound).orderBy("distance", "a", "b").limit(k)
 
 
+#: Rows of pairs, edges or points that a task of the thinning sorts, about.
+_ROWS_A_TASK = 1 << 20
+
+
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows``, which are on disk, by key in as many parts as ``_ROWS_A_TASK`` asks for, to be merged with what is joined to them: neither side is
+    broadcast, as files of few bytes may hold very many rows."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = -(-rows.count() // _ROWS_A_TASK)
+    return (rows.repartition(min(_MOST_TASKS, parts), *by) if parts > least else rows).hint("merge")
+
+
 def _thin_edges(live: DataFrame, before: DataFrame) -> DataFrame:
     """The points of ``live`` (r, p) that a walk in order of priority keeps, given edges ``before`` (r, a, b) from each point to its neighbours of
     higher priority. A round keeps every point without such a neighbour left and drops the neighbours of those; what a round settles,
     the points left and the edges left are written to the shared folder."""
     kept = []
     while not live.isEmpty():
-        blocked = before.select("r", F.col("a").alias("p")).distinct().withColumn("_blocked", F.lit(True))
-        free = written(live.join(blocked, ["r", "p"], "left").filter("_blocked is null").select("r", "p"), "thin-kept")
+        blocked = _dealt(before, "r", "a").select("r", F.col("a").alias("p")).distinct().withColumn("_blocked", F.lit(True))
+        free = written(_dealt(live, "r", "p").join(blocked, ["r", "p"], "left").filter("_blocked is null").select("r", "p"), "thin-kept")
         kept.append(free)
-        gone = before.join(free.select("r", F.col("p").alias("b")), ["r", "b"], "left_semi").select("r", F.col("a").alias("p")).distinct()
+        gone = _dealt(before, "r", "b").join(free.select("r", F.col("p").alias("b")), ["r", "b"], "left_semi").select("r", F.col("a").alias("p")).distinct()
         settled = written(free.unionByName(gone), "thin-settled")
-        live = written(live.join(settled, ["r", "p"], "left_anti"), "thin-live")
+        live = written(_dealt(live, "r", "p").join(settled, ["r", "p"], "left_anti"), "thin-live")
         for side in ("a", "b"):
-            before = before.join(settled.withColumnRenamed("p", side), ["r", side], "left_anti")
-        before = written(before, "thin-edges")
+            before = written(_dealt(before, "r", side).join(settled.withColumnRenamed("p", side), ["r", side], "left_anti"), "thin-edges")
     return reduce(DataFrame.unionByName, kept) if kept else live
 
 
@@ -141,9 +152,14 @@ def radius_thin(points: DataFrame, key: str, vector: str, priority: str, radii:
     settle all, and no pairs are built. A radius leaves the passes once one settles less than ``share`` of its points: then few points lie
     near each other, so the pairs within the radius are found once, with their distances, for all such radii, and rounds over these edges
     settle the rest. Both give what the walk in order gives. Rows with a null key or vector take no part; keys are unique.
+
+    Of equal vectors only the foremost is walked: what keeps or drops it is as near to the others, and it drops them where it is kept. So
+    copies make no pairs.
     """
     own = points.filter(F.col(key).isNotNull() & F.col(vector).isNotNull())
     rows = own.select(F.col(key).alias("p"), F.col(vector).cast("array<double>").alias("v"), F.col(priority).cast("double").alias("w"))
+    foremost = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("w"), "p"))
+    rows = rows.withColumn("_n", foremost).filter("_n = 1").drop("_n")
     live = written(rows.withColumn("left", F.array(*[F.lit(True)] * len(radii))), "thin-points")
     kind, dense, kept = dict(points.dtypes)[key], set(range(len(radii))), []
     spark = points.sparkSession
@@ -186,13 +202,14 @@ def radius_thin(points: DataFrame, key: str, vector: str, priority: str, radii:
     sparse = [i for i in range(len(radii)) if left[i]]
     if sparse:
         pairs = written(pair_within(live, "p", "v", max(radii[i] for i in sparse)), "thin-pairs")
-        states = live.select("p", "w", F.posexplode("left").alias("r", "_left")).filter("_left").select("r", "p", "w")
-        wide = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(radii[i])).alias("at")) for i in sparse])).alias("_r")
-        edges = pairs.select("a", "b", "distance", wide).filter(F.col("distance") <= F.col("_r.at")).select(F.col("_r.i").alias("r"), "a", "b")
-        edges = edges.join(states.toDF("r", "a", "wa"), ["r", "a"]).join(states.toDF("r", "b", "wb"), ["r", "b"])
+        states = live.select("p", F.posexplode("left").alias("r", "_left")).filter("_left").select("r", "p")
+        for side in ("a", "b"):  # a pair takes up its points' priorities and states once, whatever the radii
+            pairs = written(_dealt(pairs, side).join(live.select(F.col("p").alias(side), F.col("w").alias(f"w{side}"), F.col("left").alias(f"left_{side}")), side), "thin-pairs")
+        wide = F.explode(F.array(*[F.struct(F.lit(i).alias("r"), F.lit(float(radii[i])).alias("at"), (F.col("left_a")[i] & F.col("left_b")[i]).alias("both")) for i in sparse])).alias("_r")
+        edges = pairs.select("a", "b", "wa", "wb", "distance", wide).filter((F.col("distance") <= F.col("_r.at")) & F.col("_r.both")).select("_r.r", "a", "b", "wa", "wb")
         first = (F.col("wa") > F.col("wb")) | (F.col("wa") == F.col("wb")) & (F.col("a") < F.col("b"))
         before = edges.select("r", F.when(first, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("b"))
-        rest = _thin_edges(written(states.select("r", "p"), "thin-live"), written(before, "thin-edges"))
+        rest = _thin_edges(written(states, "thin-live"), written(before, "thin-edges"))
         found = found.unionByName(rest.select(F.col("r").alias("_r"), "p"))
     at = F.array(*[F.lit(float(r)) for r in radii])
     return own.join(found, own[key] == found["p"]).select(at[F.col("_r")].alias("radius"), *points.columns)

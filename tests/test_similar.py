@@ -35,6 +35,39 @@ def test_thinning_nothing_and_one(spark):
     assert similar.radius_thin(df.limit(0), "id", "v", "w", (0.1, 2.0)).count() == 0
 
 
+def test_thinning_broadcasts_no_edges_and_pairs_no_copies(spark, monkeypatch):
+    """Edges, however few bytes their files have, are merged in parts that grow in number with their rows; equal vectors never meet."""
+    plans, met = [], []
+    write, pairs = similar.written, similar.pair_within
+
+    def watched(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name)
+
+    def seen(vectors, *a, **k):
+        met.append(vectors.select("v").collect())
+        return pairs(vectors, *a, **k)
+
+    monkeypatch.setattr(similar, "written", watched)
+    monkeypatch.setattr(similar, "pair_within", seen)
+    monkeypatch.setattr(similar, "_ROWS_A_TASK", 2)
+    rng = random.Random(3)
+    pts = [(i, [rng.random(), rng.random()], rng.randrange(5)) for i in range(40)]
+    pts += [(100 + i, pts[i % 6][1], rng.choice([None, 1, 4, 9])) for i in range(12)]
+    df = spark.createDataFrame(pts, "id long, v array<double>, w int")
+    got = {(r.radius, r.id) for r in similar.radius_thin(df, "id", "v", "w", (0.05,), pivots=1).collect()}
+    for r in (0.05,):
+        kept = []
+        for i, v, _ in sorted(pts, key=lambda p: (p[2] is None, -(p[2] or 0), p[0])):
+            if all(math.dist(v, k) > r for _, k in kept):
+                kept.append((i, v))
+        assert {i for at, i in got if at == r} == {i for i, _ in kept}
+    joins = [p for name, p in plans if name.startswith("thin-") and "Join" in p and "meet(" not in p]  # pair_within broadcasts the sizes of its cells
+    assert joins and not [p for p in joins if "Broadcast" in p]
+    assert "REPARTITION_BY_NUM" in "".join(joins)
+    assert len(met[0]) == len({tuple(r.v) for r in met[0]}) <= 40
+
+
 def test_distance_to_nearest(spark):
     rng = random.Random(4)
     place = lambda wide: (rng.uniform(-wide, wide), rng.uniform(-wide, wide))
