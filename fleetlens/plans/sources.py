@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import policy
 from ..sources import files as src
 from ..sources import text as txt
-from ..sources.shared import scratch
+from ..sources.shared import few_listings, scratch
 from . import tables as t
 from .registry import query
 
@@ -123,7 +123,8 @@ def a14_split_log_by_render(spark, sf):
     windows = s.filter("kind = 'purchase'").groupBy(F.col("series").alias("render")).agg(F.min("t").alias("t0"), F.max("t").alias("t1")).withColumn("series", F.col("render"))
     policy.split_log_by_render(s, windows, path, "render", by=("series",))
     kinds = dict(s.dtypes)
-    back = spark.read.csv(path, header=True, schema=f"id {kinds['id']}, series {kinds['series']}, t long, kind string, value double, render {kinds['series']}")
+    with few_listings(spark):
+        back = spark.read.csv(path, header=True, schema=f"id {kinds['id']}, series {kinds['series']}, t long, kind string, value double, render {kinds['series']}")
     return back.select("render", "id", "kind", "value", "t")
 
 

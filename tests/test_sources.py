@@ -7,6 +7,7 @@ import pytest
 from fleetlens.operators import policy, similar
 from fleetlens.sources import files as src
 from fleetlens.sources import text as txt
+from fleetlens.sources.shared import few_listings
 from fleetlens.streaming import streams as st
 from pyspark.sql import functions as F
 
@@ -75,6 +76,44 @@ def test_sinks(spark, tmp_path):
     assert {p.name for p in (tmp_path / "l").iterdir() if "=" in p.name} == {"name=a", "name=b"}
 
 
+def test_split_log_is_as_sparks_writer_has_it(spark, tmp_path):
+    """Folders, lines and header equal those of partitionBy, for odd names and values; tasks write them without Spark's writer, and few tasks list them."""
+    names = ["a", "", None, "a=b/c d", "50%", "q\"'", "\u00fc[x]^{y}:*?#\\", "z\x01\x7f"]
+    texts = ["x,y", None, "", 'say "so"', " padded ", "\u00e9", "back\\slash", "#"]
+    rows = [(i, names[i % 8], texts[i // 8 % 8], i / 4 if i % 5 else None) for i in range(160)]
+    log = spark.createDataFrame(rows, "i long, own string, `a,text` string, v double").withColumns({"t": F.col("i"), "at": F.timestamp_seconds(F.col("i") / 8 + 1_700_000_000)})
+    windows = spark.createDataFrame([(k,) for k in names], "render string").withColumns({"t0": F.lit(3), "t1": F.lit(140)})
+    windows = windows.filter("render is null or render <> 'a'")
+
+    def read(path):
+        out = {}
+        for f in path.rglob("*.csv"):
+            head, *lines = f.read_text().splitlines()
+            out.setdefault((f.parent.name, head), []).extend(lines)
+        return {k: sorted(v) for k, v in out.items()}
+
+    both = log.join(windows, F.col("t").between(F.col("t0"), F.col("t1"))).select("render", *log.columns)
+    both.write.partitionBy("render").csv(str(tmp_path / "want"), header=True)
+    at = tmp_path / "odd %20 name"
+    (at / "render=old").mkdir(parents=True)
+    (at / "render=old" / "x.csv").write_text("gone")
+    policy.split_log_by_render(log, windows, str(at), "render")
+    assert read(at) == read(tmp_path / "want") and len(read(at)) == 6
+    assert {p.name for p in at.iterdir() if "=" not in p.name} <= {"_SUCCESS", "._SUCCESS.crc"}
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith("odd")] == [at.name]
+    assert not list(at.rglob("render=*/.*"))  # no sums beside each file
+    policy.split_log_by_render(log, windows.limit(0), str(at), "render")
+    assert (at / "_SUCCESS").exists() and not read(at)
+
+
+def test_listings_are_few_and_the_setting_comes_back(spark):
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    with few_listings(spark):
+        assert int(spark.conf.get(key)) <= 4 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get(key) == before
+
+
 def polls(spark):
     rows = [("a", 0, 5), ("b", 0, 1), ("a", 1, 5), ("b", 1, 2), ("a", 2, 9), ("a", 3, 9), ("b", 2, 3)]
     return spark.createDataFrame(rows, "path string, s long, size long").select("path", F.timestamp_seconds(F.col("s") * 60 + 1_700_000_000).alias("t"), "size")
