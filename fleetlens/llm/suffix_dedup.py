@@ -22,6 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,13 +34,18 @@ from .substring import _spread, merge_blocks, pack_gaps
 
 K = 32
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
-_SEGMENT = 1 << 21
+#: Windows whose hashes are made at once: their arrays stay in a core's cache.
+_SEGMENT = 1 << 15
+#: Bytes of short texts that are taken together.
+_TOGETHER = 1 << 20
 _BASE = np.uint64(0xD1342543DE82EF95)
+_CODE = _spread(np.arange(1, 257, dtype=np.uint64), *_MIX)
 
 
-def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, length: int, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all windows of the bytes: (anchor place, its k-gram's hash mixed anew, first window, last window), in order. The hash by
-    which anchors are chosen is low for all of them; the new one is spread evenly."""
+    which anchors are chosen is low for all of them; the new one is spread evenly. ``ends``: where the texts end that the bytes are
+    made of, for windows that lie in one text."""
     out: list[tuple[np.ndarray, ...]] = []
     w = length - K + 1
     for begin in range(0, len(data) - length + 1, _SEGMENT):
@@ -55,12 +61,40 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
         behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
         windows = n - w + 1
         place = (np.minimum(behind[:windows], ahead[w - 1 : w - 1 + windows]) & np.uint64((1 << 22) - 1)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        last = np.append(first[1:], windows) - 1
-        out.append((place[first] + begin, _spread(h[place[first]], 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53), first + begin, last + begin))
+        at = None
+        if ends is not None:
+            inside = np.ones(windows, bool)
+            for e in ends[np.searchsorted(ends, begin, "right") : np.searchsorted(ends, begin + windows + length - 1)].tolist():
+                inside[max(0, e - begin - length + 1) : max(0, e - begin)] = False
+            at = np.flatnonzero(inside)
+            place = place[at]
+        if not len(place):
+            continue
+        new = np.flatnonzero(place[1:] != place[:-1]) + 1
+        first, last = np.concatenate([[0], new]), np.append(new, len(place)) - 1
+        place = place[first]
+        if at is not None:
+            first, last = at[first], at[last]
+        out.append((place + begin, _spread(h[place], 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53), first + begin, last + begin))
     if not out:
         return tuple(np.empty(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    place, h, first, last = (np.concatenate(x) for x in zip(*out, strict=True))
+    new = np.concatenate([[True], place[1:] != place[:-1]])  # the windows of one anchor may lie in two segments
+    return place[new], h[new], first[new], last[np.append(new[1:], True)]
+
+
+def text_anchors(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[tuple]:
+    """(rows, bytes, where each row's text ends in them, anchors) of texts (r, text) that are taken together; a text without a window is left out."""
+    for b in batches:
+        raw = b.column(1).cast(pa.binary()).to_numpy(zero_copy_only=False)
+        size = np.array([len(x) for x in raw], np.int64)
+        at = np.flatnonzero(size >= length)
+        row = b.column(0).to_numpy()[at]
+        lot = np.cumsum(size[at]) // _TOGETHER
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(lot)) + 1, [len(at)]]) if len(at) else [0]
+        for i, j in zip(edge[:-1], edge[1:], strict=True):
+            data, ends = b"".join(raw[at[i:j]]), np.cumsum(size[at[i:j]])
+            yield row[i:j], data, ends, anchors(np.frombuffer(data, np.uint8), length, ends)
 
 
 class Suffixes:
@@ -73,21 +107,21 @@ class Suffixes:
         power = np.cumprod(np.full(self.width + 1, _BASE, np.uint64))
         self.prefix = np.zeros((n, self.width + 1), np.uint64)
         for i in range(0, n, 1024):
-            np.cumsum(_spread(text[i : i + 1024].astype(np.uint64) + np.uint64(1), *_MIX) * power[1:], axis=1, out=self.prefix[i : i + 1024, 1:])
+            np.cumsum(_CODE[text[i : i + 1024]] * power[1:], axis=1, out=self.prefix[i : i + 1024, 1:])
         self.flat = self.prefix.ravel()
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Common extension of suffixes a and b, by binary search over equal prefix hashes."""
-        low, high = np.zeros(len(a), np.int64), np.minimum(self.size[a], self.size[b])
+        """Common extension of suffixes a and b, by binary search over equal prefix hashes; the whole is tried first."""
+        out = np.minimum(self.size[a], self.size[b])
         at, bt = a * (self.width + 1), b * (self.width + 1)
-        while True:
-            open_ = low < high
-            if not open_.any():
-                return low
+        go = np.flatnonzero(self.flat[at + out] != self.flat[bt + out])
+        at, bt, low, high = at[go], bt[go], np.zeros(len(go), np.int64), out[go] - 1
+        while (low < high).any():
             mid = (low + high + 1) >> 1
             same = self.flat[at + mid] == self.flat[bt + mid]
-            low = np.where(open_ & same, mid, low)
-            high = np.where(open_ & ~same, mid - 1, high)
+            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        out[go] = low
+        return out
 
     def less(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """a before b: by group, then by the first byte after the common extension; a prefix before what it begins."""
@@ -101,9 +135,11 @@ class Suffixes:
         return out
 
     def sort(self) -> np.ndarray:
-        """Bottom-up mergesort of all rows; every level merges all its pairs of runs at once."""
+        """Bottom-up mergesort of all rows, whose groups are in order; every level merges all its pairs of runs at once. A row's place in
+        the other run lies among its group there."""
         n = len(self.size)
         order = np.arange(n)
+        begin, end = np.searchsorted(self.group, self.group), np.searchsorted(self.group, self.group, "right")
         run = 1
         while run < n:
             i = np.arange(n)
@@ -111,7 +147,7 @@ class Suffixes:
             start = pair * 2 * run
             other_lo = np.where(left, np.minimum(start + run, n), start)
             other_hi = np.where(left, np.minimum(start + 2 * run, n), np.minimum(start + run, n))
-            low, high = other_lo.copy(), other_hi
+            low, high = np.clip(begin, other_lo, other_hi), np.clip(end, other_lo, other_hi)
             while True:
                 go = np.flatnonzero(low < high)
                 if not len(go):
@@ -169,29 +205,47 @@ def repeated(left: list[bytes], right: list[bytes], lo: int, hi: int, base: list
     order_r, gap_r = ordered(right, most + max(base), 1)
     order_l, gap_l = ordered(left, most, -1)
     reach = np.array([len(c) for c in right], np.int64)
+    first, last = np.maximum(first, lo), np.minimum(last, hi)
+
+    def nearest(order: np.ndarray, gap: np.ndarray) -> np.ndarray:
+        """What each row has in common with the nearer of its neighbours in the order."""
+        out = np.empty(n, np.int64)
+        out[order] = np.maximum(gap, np.append(gap[1:], -1))
+        return out
+
+    most_l, most_r = nearest(order_l, gap_l), nearest(order_r, gap_r)
     own_r, own_l = np.empty(n, np.int64), np.empty(n, np.int64)
+    bits = np.int64(n.bit_length())
     out = []
     for more in base:
         flags = np.zeros((n, most + 1), bool)
+        # a row that occurs twice has all its windows twice; any other shares them as far as with a neighbour in either order
+        begin = np.maximum(first, hi + more - reach)
+        for i in np.flatnonzero((count > 1) & (begin <= last)).tolist():
+            flags[i, begin[i] - lo : last[i] - lo + 1] = True
+        begin, end = np.maximum(begin, hi + more - most_r), np.minimum(last, lo + most_l)
+        rows = np.flatnonzero(begin <= end)
+        begin, end = begin[rows], end[rows]
         for d in range(lo, hi + 1):
-            need = hi - d + more
-            has = np.flatnonzero((d >= first) & (d <= last) & (reach >= need))
-            if not len(has):
+            has = rows[(d >= begin) & (d <= end)]
+            if len(has) < 2:
                 continue
-            own_r[order_r] = np.cumsum(gap_r < need)
+            own_r[order_r] = np.cumsum(gap_r < hi - d + more)
             own_l[order_l] = np.cumsum(gap_l < d - lo)
-            key = own_r[has] * (n + 1) + own_l[has]
-            _, inverse = np.unique(key, return_inverse=True)
-            flags[has, d - lo] = np.bincount(inverse, weights=count[has])[inverse] > 1
+            key = np.sort((own_r[has] * (n + 1) + own_l[has]) << bits | has)
+            same = np.flatnonzero(key[1:] >> bits == key[:-1] >> bits)
+            flags[key[same] & ((1 << bits) - 1), d - lo] = True
+            flags[key[same + 1] & ((1 << bits) - 1), d - lo] = True
         out.append(flags)
     return out
 
 
-def spans(flags: np.ndarray, lo: int, length: int) -> np.ndarray:
-    """Byte intervals (start, end), from the anchor on, that flagged windows cover, merged."""
-    start = np.sort(-lo - np.flatnonzero(flags))
-    cut = np.flatnonzero(np.diff(start) > 1)
-    return np.stack([start[np.concatenate([[0], cut + 1])], start[np.append(cut, len(start) - 1)] + length], axis=1)
+def spans(flags: np.ndarray, lo: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, interval): byte intervals (start, end), from the anchor on, that each row's flagged windows cover, merged."""
+    edge = np.diff(flags.astype(np.int8), axis=1, prepend=0, append=0)
+    row, a = np.nonzero(edge == 1)
+    b = np.nonzero(edge == -1)[1] - 1
+    return row, np.stack([-lo - b, length - lo - a], axis=1)
 
 
 def _sketch(rows: DataFrame, length: int, bits: int) -> bytes:
@@ -210,12 +264,9 @@ def _sketch(rows: DataFrame, length: int, bits: int) -> bytes:
             part = lambda b: cells[edge[b] : edge[b + 1]] - (b << block_bits)
             return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([pack_gaps(part(b)) for b in own], pa.binary()), pa.array([pack_gaps(part(b)[times[edge[b] : edge[b + 1]] > 1]) for b in own], pa.binary())], names=["k", "once", "more"])
 
-        for b in batches:
-            for text in b.column(1):
-                h = anchors(np.frombuffer(text.as_py().encode("utf-8", "surrogatepass"), np.uint8), length)[1]
-                if len(h):
-                    held.append(h)
-                    n += len(h)
+        for *_, (_, h, _, _) in text_anchors(batches, length):
+            held.append(h)
+            n += len(h)
             if n > 2_000_000:
                 yield emit()
                 held, n = [], 0
@@ -247,19 +298,18 @@ def repeated_spans(rows: DataFrame, lengths: tuple[int, ...] = (400,), bits: int
     shared = spark.sparkContext.broadcast(_sketch(rows, least, bits))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """(row, anchor, digest, k-gram, left, right, windows) of all anchors that may repeat; the right part holds the k-gram."""
+        """Lists of all anchors that may repeat: (row, anchor in its text, digest, k-gram, bytes, window bytes from and to, anchor in the bytes, windows)."""
         take_turn("bytes")
         seen_bits = np.frombuffer(shared.value, np.uint8)
-        for b in batches:
-            for r, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                raw = text.as_py().encode("utf-8", "surrogatepass")
-                place, h, first, last = anchors(np.frombuffer(raw, np.uint8), least)
-                cell = h >> np.uint64(64 - bits)
-                maybe = seen_bits[cell >> np.uint64(3)] >> (np.uint64(7) - (cell & np.uint64(7))).astype(np.uint8) & 1
-                at = np.flatnonzero(maybe)
-                for g, p, i, j in zip(h[at].astype(">u8"), place[at].tolist(), first[at].tolist(), last[at].tolist(), strict=True):
-                    end = j + lengths[-1]
-                    yield r, p, xxhash.xxh3_128_digest(raw[i:end], seed=(p - i) << 12 | (j - i)), g.tobytes(), raw, i, end, j - i + 1
+        for row, raw, ends, (place, h, first, last) in text_anchors(batches, least):
+            cell = h >> np.uint64(64 - bits)
+            at = np.flatnonzero(seen_bits[cell >> np.uint64(3)] >> (np.uint64(7) - (cell & np.uint64(7))).astype(np.uint8) & 1)
+            place, first, last = place[at], first[at], last[at]
+            doc = np.searchsorted(ends, place, "right")
+            begin, end = first.tolist(), np.minimum(last + lengths[-1], ends[doc]).tolist()
+            digests = [xxhash.xxh3_128_digest(raw[i:e], seed=s) for i, e, s in zip(begin, end, (place - first << 12 | last - first).tolist(), strict=True)]
+            grams = h[at].astype(">u8").tobytes()
+            yield row[doc], place - np.append(0, ends)[doc], digests, [grams[i : i + 8] for i in range(0, len(grams), 8)], raw, begin, end, place.tolist(), (last - first + 1).tolist()
 
     columns = {"g": pa.binary(), "kind": pa.int32(), "lo": pa.int32(), "hi": pa.int32(), "c": pa.binary(), "left": pa.binary(), "right": pa.binary(), "first": pa.int32(), "last": pa.int32(), "n": pa.int32()}
     schema = "g binary, kind int, lo int, hi int, c binary, left binary, right binary, first int, last int, n int"
@@ -287,24 +337,18 @@ def repeated_spans(rows: DataFrame, lengths: tuple[int, ...] = (400,), bits: int
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Merged()
-        for _, p, c, g, raw, i, end, windows in found(batches):
-            if (g, c) in known.rows:
-                known.rows[g, c][-1] = 2
-            elif known.add(g, -1, 0, top, c, raw[i:p], raw[p:end], p - i - windows + 1, p - i, 1):
-                yield known.flush()
+        for _, _, digests, grams, raw, begin, ends, place, windows in found(batches):
+            for c, g, i, end, p, n in zip(digests, grams, begin, ends, place, windows, strict=True):
+                if (g, c) in known.rows:
+                    known.rows[g, c][-1] = 2
+                elif known.add(g, -1, 0, top, c, raw[i:p], raw[p:end], p - i - n + 1, p - i, 1):
+                    yield known.flush()
         if known.rows:
             yield known.flush()
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["r", "i", "c"])
-        for r, p, c, *_ in found(batches):
-            rows.append((r, p, c))
-            if len(rows) == 50_000:
-                yield batch_of()
-                rows = []
-        if rows:
-            yield batch_of()
+        for r, p, digests, *_ in found(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(p, pa.int64()), pa.array(digests, pa.binary())], names=["r", "i", "c"])
 
     def bases(kind: int) -> list[int]:
         """How much more of the right part than hi - d a window takes: at the k-gram for each length, later for one."""
@@ -318,15 +362,18 @@ def repeated_spans(rows: DataFrame, lengths: tuple[int, ...] = (400,), bits: int
 
     def settle(parts: list[list], out: list[list]) -> None:
         """Adds the answers of whole groups of one range of d."""
-        merged: dict[tuple, list] = {}
-        for row in parts:
-            key = row[0], row[5], row[6], row[7], row[8]
-            if key in merged:
-                merged[key][1] += row[9]
-                merged[key][2].append(row[4])
-            else:
-                merged[key] = [row, row[9], [row[4]]]
-        own = list(merged.values())
+        if parts[0][1] < 0:  # rows of two digests differ
+            own = [[row, row[9], [row[4]]] for row in parts]
+        else:
+            merged: dict[tuple, list] = {}
+            for row in parts:
+                key = row[0], row[5], row[6], row[7], row[8]
+                if key in merged:
+                    merged[key][1] += row[9]
+                    merged[key][2].append(row[4])
+                else:
+                    merged[key] = [row, row[9], [row[4]]]
+            own = list(merged.values())
         kind, lo, hi = own[0][0][1:4]
         _, group = np.unique([x[0][0] for x in own], return_inverse=True)
         order = np.argsort(group, kind="stable")
@@ -345,10 +392,11 @@ def repeated_spans(rows: DataFrame, lengths: tuple[int, ...] = (400,), bits: int
             numbers = lambda j: np.array([r[j] for r in rows], np.int64)
             flags = repeated([r[5] for r in rows], [r[6] for r in rows], lo, hi, base, numbers(7), numbers(8), np.array([own[i][1] for i in sort], np.int64), group[sort])
             for k, found_ in zip(kinds, flags, strict=True):
-                for j in np.flatnonzero(found_.any(axis=1)).tolist():
-                    cover = spans(found_[j], lo, lengths[k])
-                    for c in own[sort[j]][2]:
-                        answer(c, k, cover, out)
+                row, cover = spans(found_, lo, lengths[k])
+                for j, s, e in zip(row.tolist(), *cover.T.tolist(), strict=True):
+                    digests = own[sort[j]][2]
+                    for x, more in zip(out, (digests, [k] * len(digests), [s] * len(digests), [e] * len(digests)), strict=True):
+                        x += more
 
     def single(row: list, out: list[list]) -> None:
         """A window of several contexts: each of them holds it."""
@@ -389,7 +437,8 @@ def repeated_spans(rows: DataFrame, lengths: tuple[int, ...] = (400,), bits: int
             return pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.int32())], names=[*columns, "s", "e"])
 
         def finish() -> None:
-            held.extend(group.values())
+            if len(group) > 1 or any(row[9] > 1 for row in group.values()):  # a context that is alone shares no window
+                held.extend(group.values())
             group.clear()
 
         def settle_held() -> None:
@@ -398,7 +447,7 @@ def repeated_spans(rows: DataFrame, lengths: tuple[int, ...] = (400,), bits: int
                 held.clear()
 
         for b in batches:
-            for row in map(list, zip(*(b.column(i).to_pylist() for i in range(len(columns))), strict=True)):
+            for row in map(list, zip(*(b.column(i).to_numpy(zero_copy_only=False).tolist() for i in range(len(columns))), strict=True)):
                 if row[:4] != now:
                     finish()
                     if len(held) >= batch or now is not None and row[1:4] != now[1:4]:
@@ -450,15 +499,17 @@ def repeated_spans(rows: DataFrame, lengths: tuple[int, ...] = (400,), bits: int
     return where.join(answers, "c").select("kind", "r", (F.col("i") + F.col("s")).alias("start"), (F.col("i") + F.col("e")).alias("end"))
 
 
-def _runs(intervals: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The maximal runs that the intervals cover, in order."""
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(intervals):
-        if out and s <= out[-1][1]:
-            out[-1] = out[-1][0], max(e, out[-1][1])
-        else:
-            out.append((s, e))
-    return out
+def _runs(row: np.ndarray, start: np.ndarray, end: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end): the maximal runs that the rows' intervals cover, in order; ``size``: the bytes of each row."""
+    if not len(row):
+        return row, start, end
+    base = np.cumsum(size + 1) - size  # the rows one after another, a byte apart
+    order = np.argsort(base[row] + start)
+    row, start, end = row[order], (base[row] + start)[order], np.maximum.accumulate((base[row] + end)[order])
+    new = np.flatnonzero(start[1:] > end[:-1]) + 1
+    first, last = np.concatenate([[0], new]), np.append(new, len(start)) - 1
+    row = row[first]
+    return row, start[first] - base[row], end[last] - base[row]
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = 400, stable: bool = False, as_text: bool = False, shorter: int | None = None, **options) -> DataFrame:
@@ -484,20 +535,33 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, stable: bool = Fal
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_bytes, n_removed, n_spans, kept, n_repeated = [], [], [], [], []
-            for value, found in zip(b.column(at_text), b.column(at_spans).to_pylist(), strict=True):
-                raw = (value.as_py() or "").encode("utf-8", "surrogatepass")
-                runs = _runs((x["start"], x["end"]) for x in found or () if x["kind"] == len(lengths) - 1)
-                n_bytes.append(len(raw))
-                n_removed.append(sum(e - s for s, e in runs))
-                n_spans.append(len(runs))
-                left = b"".join(raw[e:s] for e, s in zip([0, *(e for _, e in runs)], [*(s for s, _ in runs), len(raw)], strict=True))
-                kept.append(left.decode("utf-8", "ignore") if as_text else left)
-                if shorter is not None:
-                    n_repeated.append(sum(e - s for s, e in _runs((x["start"], x["end"]) for x in found or () if x["kind"] == 0)))
-            added = [pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary())]
+            raw = [x or b"" for x in b.column(at_text).cast(pa.binary()).to_numpy(zero_copy_only=False)]
+            size = np.array([len(x) for x in raw], np.int64)
+            found = b.column(at_spans)
+            row = np.repeat(np.arange(len(raw)), pc.fill_null(pc.list_value_length(found), 0).to_numpy())
+            kind, start, end = (x.to_numpy().astype(np.int64) for x in found.flatten().flatten())
+
+            def runs(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                own = kind == k  # noqa: B023
+                return _runs(row[own], start[own], end[own], size)  # noqa: B023
+
+            def covered(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+                return np.bincount(row, end - start, len(raw)).astype(np.int64)  # noqa: B023
+
+            gone = runs(len(lengths) - 1)
+            parts: dict[int, list[bytes]] = {}
+            past: dict[int, int] = {}
+            for i, s, e in zip(*(x.tolist() for x in gone), strict=True):
+                parts.setdefault(i, []).append(raw[i][past.get(i, 0) : s])
+                past[i] = e
+            kept = list(raw)
+            for i, own in parts.items():
+                kept[i] = b"".join([*own, raw[i][past[i] :]])
+            if as_text:
+                kept = [x.decode("utf-8", "ignore") for x in kept]
+            added = [pa.array(size), pa.array(covered(*gone)), pa.array(np.bincount(gone[0], minlength=len(raw)), pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary())]
             if shorter is not None:
-                added.append(pa.array(n_repeated, pa.int64()))
+                added.append(pa.array(covered(*runs(0))))
             yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, "n_bytes", "n_removed", "n_spans", "kept", *more])
 
     more = [] if shorter is None else ["n_repeated"]

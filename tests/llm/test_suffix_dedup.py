@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from fleetlens.llm.suffix_dedup import Suffixes, anchors, remove_repeated_bytes
+from fleetlens.llm.suffix_dedup import Suffixes, _runs, anchors, remove_repeated_bytes, spans
 
 
 def brute(docs, length):
@@ -122,3 +122,49 @@ def test_every_window_has_its_anchor():
     place, _, first, last = anchors(data, 60)
     assert first[0] == 0 and last[-1] == 940 and (first[1:] == last[:-1] + 1).all()
     assert ((place >= last) & (place <= first + 60 - 32)).all()
+
+
+def test_anchors_of_texts_taken_together():
+    """Texts that are joined have the anchors that each has alone, short ones and those of several segments alike."""
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 4, n).astype(np.uint8) for n in (60, 300, 61, 70_000, 59, 2000, 100)]
+    start = np.cumsum([0, *(len(t) for t in texts)])
+    got = anchors(np.concatenate(texts), 60, start[1:])
+    alone = [anchors(t, 60) for t in texts]
+    for k, x in enumerate(got):
+        assert (x == np.concatenate([a[k] + (0 if k == 1 else s) for a, s in zip(alone, start, strict=False)])).all()
+
+
+def test_sort_compares_within_groups():
+    """Rows of many groups of two are each compared once with the other one, however many groups there are."""
+    rng = np.random.default_rng(5)
+    compared = 0
+
+    class Counted(Suffixes):
+        def less(self, a, b):
+            nonlocal compared
+            compared += len(a)
+            return super().less(a, b)
+
+    n = 4000
+    Counted(rng.integers(97, 99, (n, 12)).astype(np.uint8), np.full(n, 12), np.arange(n) // 2).sort()
+    assert compared <= 2 * n
+
+
+def test_runs_and_spans():
+    rng = np.random.default_rng(6)
+    size = rng.integers(0, 80, 50)
+    row = rng.integers(0, 50, 120)
+    row = row[size[row] > 1]
+    start = rng.integers(0, size[row])
+    end = rng.integers(start + 1, size[row] + 1)
+    covered = [np.zeros(n, bool) for n in size]
+    for r, s, e in zip(row, start, end, strict=True):
+        covered[r][s:e] = True
+    edges = lambda flags: np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(int), [0]]))).reshape(-1, 2).tolist()
+    got = _runs(row, start, end, size)
+    assert [list(x) for x in zip(*(y.tolist() for y in got), strict=True)] == [[r, *e] for r in range(50) for e in edges(covered[r])]
+    flags = rng.random((40, 30)) < 0.6
+    want = [(r, -7 - b + 1, 20 - 7 - a) for r in range(40) for a, b in edges(flags[r])]
+    rows, cover = spans(flags, 7, 20)
+    assert [(r, s, e) for r, (s, e) in zip(rows.tolist(), cover.tolist(), strict=True)] == want
